@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing
+from tessera.llm import neardup, packing
 from tessera.llm import textkit as K
 
 
@@ -14,11 +14,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark, K.documents(spark, sf_dir), width=5, percent=75)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, K.documents(spark, sf_dir), tokenizer_path(), capacity=2048, end_id=0)
 
 
 QUERIES = {
+    "op7_minhash": op7_minhash,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
