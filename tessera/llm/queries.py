@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import neardup, packing
+from tessera.llm import neardup, packing, quality, toxicity
 from tessera.llm import textkit as K
 
 
@@ -14,6 +14,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(spark, K.documents(spark, sf_dir), K.documents(spark, sf_dir, "labels"), folds=3, held=1, cut=0.7)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(spark, K.documents(spark, sf_dir), K.documents(spark, sf_dir, "labels"), folds=5, held=0, cut=0.3)
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, K.documents(spark, sf_dir), width=5, percent=75)
 
@@ -23,6 +31,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op6_quality": op6_quality,
     "op7_minhash": op7_minhash,
     "op10_packing": op10_packing,
 }
