@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tessera.llm import textkit as K
 
 #: Distinct chunks of text whose ids a Python worker keeps at most.
-CACHE = 700_000
+CACHE = 300_000
 
 
 class Encoder:
@@ -150,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         for batch in batches:
-            for part in K.pieces_of(batch, "text", 8 << 20):
+            for part in K.pieces_of(batch, "text", 4 << 20):
                 rows: list[tuple] = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), coder.batch(K.column(part, "text"))):
                     for k, (start, own) in enumerate(cut(ids, capacity, end_id)):

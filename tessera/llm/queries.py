@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import neardup, packing, quality, toxicity
+from tessera.llm import neardup, packing, quality, toxicity, urls
 from tessera.llm import textkit as K
 
 
@@ -18,6 +18,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, K.documents(spark, sf_dir), K.documents(spark, sf_dir, "labels"), folds=3, held=1, cut=0.7)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filtered(spark, K.documents(spark, sf_dir, "pages")).drop("score")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(spark, K.documents(spark, sf_dir), K.documents(spark, sf_dir, "labels"), folds=5, held=0, cut=0.3)
 
@@ -32,8 +36,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op4_url_filter": op4_url_filter,
     "op6_quality": op6_quality,
     "op7_minhash": op7_minhash,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": urls.sql(),
+}
