@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import neardup, packing, quality, toxicity, urls
+from tessera.llm import fingerprints, neardup, packing, quality, toxicity, urls
 from tessera.llm import textkit as K
 
 
@@ -30,6 +30,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, K.documents(spark, sf_dir), width=5, percent=75)
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.document_fingerprints(spark, K.documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, K.documents(spark, sf_dir), tokenizer_path(), capacity=2048, end_id=0)
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op6_quality": op6_quality,
     "op7_minhash": op7_minhash,
+    "op8_fingerprints": op8_fingerprints,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {
