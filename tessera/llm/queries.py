@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fingerprints, neardup, packing, quality, toxicity, urls
+from tessera.llm import decontamination, fingerprints, neardup, packing, quality, toxicity, urls
 from tessera.llm import textkit as K
 
 
@@ -22,6 +22,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filtered(spark, K.documents(spark, sf_dir, "pages")).drop("score")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(spark, K.documents(spark, sf_dir), K.documents(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(spark, K.documents(spark, sf_dir), K.documents(spark, sf_dir, "labels"), folds=5, held=0, cut=0.3)
 
@@ -41,6 +45,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_url_filter": op4_url_filter,
+    "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
     "op7_minhash": op7_minhash,
     "op8_fingerprints": op8_fingerprints,
