@@ -11,9 +11,11 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Odd multiplier of the rolling polynomial; one random 64-bit value stands for each byte.
@@ -173,3 +175,28 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Bits of a sieve: its size never depends on the number of ids.
+SIEVE = 1 << 23
+
+
+def sieve(df: DataFrame, name: str):
+    """A predicate on ids (long) that holds for all ids in df's column, and for few others.
+
+    The ids set bits of a map of fixed size (1 MB) in a distributed aggregate; where the ids
+    outgrow the map it lets more pass, and stays correct. Use it to keep rows that cannot match
+    out of a shuffle.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
+    bits = df.select(slot(F.col(name).cast("long")).alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b"))
+    words_ = np.zeros(SIEVE // 64, np.uint64)
+    got = bits.toArrow()
+    words_[np.asarray(got["w"], np.int64)] = np.asarray(got["b"], np.int64).view(np.uint64)
+
+    @F.pandas_udf("boolean")
+    def holds(s: pd.Series) -> pd.Series:
+        s = s.to_numpy()
+        return pd.Series((words_[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return lambda c: holds(slot(F.col(c) if isinstance(c, str) else c))
