@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, fingerprints, lines, neardup, packing, quality, toxicity, urls
+from tessera.llm import decontamination, fingerprints, lines, neardup, packing, quality, substrings, toxicity, urls
 from tessera.llm import textkit as K
 
 
@@ -22,6 +22,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(spark, K.documents(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(spark, K.documents(spark, sf_dir), length=50)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filtered(spark, K.documents(spark, sf_dir, "pages")).drop("score")
 
@@ -49,6 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
