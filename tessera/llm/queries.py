@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, fingerprints, lines, neardup, packing, quality, substrings, toxicity, urls
+from tessera.llm import decontamination, fingerprints, lines, lm, neardup, packing, quality, substrings, toxicity, urls
 from tessera.llm import textkit as K
 
 
@@ -46,6 +46,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.document_fingerprints(spark, K.documents(spark, sf_dir))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.backoff_scores(spark, K.documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, K.documents(spark, sf_dir), tokenizer_path(), capacity=2048, end_id=0)
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_minhash": op7_minhash,
     "op8_fingerprints": op8_fingerprints,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {
