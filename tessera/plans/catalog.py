@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from tessera.plans import analytics, changes, texts  # noqa: F401  they register their queries
+from tessera.plans.registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "market_map"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
