@@ -101,38 +101,44 @@ def label_model(votes: np.ndarray, given: np.ndarray, prior: float, rounds: int
 
 def train(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, voters: int = 128, features: int = 3000, support: int = 6) -> Model:
     """The classifier from a sample; weight restores each row's share in the whole."""
-    data, off = K.buffers(texts)
-    n = len(texts)
-    rows, hashes, words = [], [], np.zeros(n)
-    for kind, (row, h) in enumerate(patterns(data, off)):
+    n, toxic, words = len(texts), toxic > 0, np.zeros(len(texts))
+    found: list[list[tuple]] = [[] for _ in range(1 + len(HEADS))]
+    base = 0
+    for part in K.pieces_of(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 1 << 20):
+        for kind, (row, h) in enumerate(patterns(*K.buffers(part.column(0)))):
+            found[kind].append(((row + base).astype(np.int32), h))
+        base += part.num_rows
+    lexicon = np.unique(np.array([K.substring_hash(K.prefix(b), np.array([0]), np.array([len(b)]))[0] for b in (np.frombuffer(w.encode(), np.uint8) for w in LEXICON)], np.uint64))
+    keys, gains, entries = [], [], []
+    for kind in range(len(found)):  # one kind at a time bounds the memory
+        row, h = (np.concatenate(x) for x in zip(*found[kind])) if found[kind] else (np.zeros(0, np.int32), np.zeros(0, np.uint64))
+        found[kind] = []
         if not kind:
             words = np.bincount(row, minlength=n).astype(float)
-        rows.append(row.astype(np.int32))
-        hashes.append(h)
-    row, h = np.concatenate(rows), np.concatenate(hashes)
-    order = np.lexsort((row, h))
-    row, h = row[order], h[order]
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))
-    at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(h)))
-    row, h = row[at], h[at]
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    code = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
-    toxic = toxic > 0
-    pos, both = np.bincount(code, toxic[row], len(first)), np.bincount(code, minlength=len(first))
-    rate1 = np.bincount(code, toxic[row] * count, len(first)) + 0.5
-    rate0 = np.bincount(code, ~toxic[row] * count, len(first)) + 0.5
-    ratio = np.log(rate1 / max(1.0, words[toxic].sum())) - np.log(rate0 / max(1.0, words[~toxic].sum()))
-    keys = h[first]
-    gain = np.where(pos >= support, np.maximum(ratio, 0) * pos, 0)
-    lexicon = np.array([K.substring_hash(K.prefix(b), np.array([0]), np.array([len(b)]))[0] for b in (np.frombuffer(w.encode(), np.uint8) for w in LEXICON)], np.uint64)
-    best = np.argsort(-gain, kind="stable")[:features]
-    best = best[gain[best] > 0]
+        order = np.lexsort((row, h))
+        row, h = row[order], h[order]
+        at = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))) if len(h) else np.zeros(0, np.int64)
+        count = np.diff(np.append(at, len(h)))
+        row, h = row[at], h[at]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else at
+        code = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+        pos = np.bincount(code, toxic[row], len(first))
+        rate1 = np.bincount(code, toxic[row] * count, len(first)) + 0.5
+        rate0 = np.bincount(code, ~toxic[row] * count, len(first)) + 0.5
+        ratio = np.log(rate1 / max(1.0, words[toxic].sum())) - np.log(rate0 / max(1.0, words[~toxic].sum()))
+        gain = np.where(pos >= support, np.maximum(ratio, 0) * pos, 0)
+        use = ((gain > 0) | np.isin(h[first], lexicon))[code]
+        keys.append(h[first][gain > 0])
+        gains.append(gain[gain > 0])
+        entries.append((row[use], h[use], count[use]))
+    keys, gains = np.concatenate(keys), np.concatenate(gains)
+    row, h, count = (np.concatenate(x) for x in zip(*entries))
+    best = np.argsort(-gains, kind="stable")[:features]
     chosen = np.unique(np.concatenate((keys[best], lexicon)))
     slot = np.searchsorted(chosen, h)
     slot[slot == len(chosen)] = 0
     use = chosen[slot] == h
-    r, c, v = row[use], slot[use], count[use].astype(float)
+    r, c, v = row[use].astype(np.int64), slot[use], count[use].astype(float)
     lead = np.unique(np.concatenate((keys[best[:voters]], lexicon)))
     votes = np.zeros((n, len(lead)), bool)
     place = np.searchsorted(lead, chosen)
@@ -181,7 +187,7 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[
     return (text.chunk(0) if isinstance(text, pa.ChunkedArray) and text.num_chunks else text if isinstance(text, pa.Array) else pa.array([], pa.string())), y, weight
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 4000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 2000) -> Model:
     """Learns from at most `rows` texts of each class; labels (doc_id, <label>) holds the rows to learn from only."""
     return train(*sampled(docs, labels, label, rows))
 
@@ -197,7 +203,7 @@ def scored(docs: DataFrame, model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
-def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, cut: float = 0.7, rows: int = 4000) -> DataFrame:
+def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, cut: float = 0.7, rows: int = 2000) -> DataFrame:
     """doc_id, held_out, score and predicted for every document.
 
     Labels are read only for rows whose crc32(doc_id as text) mod `folds` is not `held`; of each
