@@ -93,10 +93,21 @@ class Model:
         return z, total
 
 
+def _sample(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """described() of many texts, a slice at a time to bound the memory."""
+    out, base = [described(texts[:0])], 0
+    for part in K.pieces_of(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 1 << 20):
+        row, bucket, stats = described(part.column(0))
+        out.append(((row + base).astype(np.int32), bucket.astype(np.int32), stats))
+        base += part.num_rows
+    row, bucket, stats = (np.concatenate(x) for x in zip(*out))
+    return row.astype(np.int32), bucket.astype(np.int32), stats
+
+
 def train(texts: pa.Array, y: np.ndarray, weight: np.ndarray, epochs: int = 30, batch: int = 256, rate: float = 0.03, ridge: float = 2e-4, seed: int = 5) -> Model:
     """Adagrad over shuffled mini-batches of the sample; the factors' gradients use the same sums as the score."""
     rng = np.random.default_rng(seed)
-    row, bucket, stats = described(texts)
+    row, bucket, stats = _sample(texts)
     n, d = len(texts), BUCKETS + BINS * len(STATS)
     cuts = np.stack([np.quantile(stats[:, k], np.arange(1, BINS) / BINS) if n else np.zeros(BINS - 1) for k in range(len(STATS))])
     prior = np.clip((weight @ y / weight.sum()) if n else 0.5, 0.01, 0.99)
@@ -133,12 +144,12 @@ def train(texts: pa.Array, y: np.ndarray, weight: np.ndarray, epochs: int = 30,
     return Model(cuts, float(w0), model.w, model.v)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 4000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 2000) -> Model:
     """Learns from at most `rows` texts of each class; labels holds the rows to learn from only."""
     return train(*sampled(docs, labels, label, rows))
 
 
-def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cut: float = 0.3, rows: int = 4000) -> DataFrame:
+def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cut: float = 0.3, rows: int = 2000) -> DataFrame:
     """doc_id, held_out, score and predicted for every document.
 
     Labels are read only for rows whose crc32(doc_id as text) mod `folds` is not `held`; of each
@@ -154,7 +165,7 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int
 def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, whose texts are not rejected; rows are judged by text alone."""
     fold = F.crc32(F.col("doc_id").cast("string")) % options.get("folds", 5)
-    model = fit(docs, labels.filter(fold != options.get("held", 0)), "quality", options.get("rows", 4000))
+    model = fit(docs, labels.filter(fold != options.get("held", 0)), "quality", options.get("rows", 2000))
     cut = options.get("cut", 0.3)
     names = docs.columns
 
