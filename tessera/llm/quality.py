@@ -115,7 +115,8 @@ def train(texts: pa.Array, y: np.ndarray, weight: np.ndarray, epochs: int = 30,
     bins, bounds = model.features(stats), np.searchsorted(row, np.arange(n + 1))
     weight = weight / max(weight.mean(), 1e-9) if n else weight
     gw, gv, g0, w0 = np.full(d, 1e-2), np.full((d, RANK), 1e-2), 1e-2, model.w0
-    for _ in range(epochs):
+    steps = -(-n // batch) or 1
+    for _ in range(min(300, max(epochs, 800 // steps))):  # small samples are gone through more often
         order = rng.permutation(n)
         for lo in range(0, n, batch):
             own = order[lo : lo + batch]

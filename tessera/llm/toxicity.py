@@ -82,12 +82,14 @@ def label_model(votes: np.ndarray, given: np.ndarray, prior: float, rounds: int
     x = votes.astype(float)
     n, quiet = len(x), ~votes.any(1)
     q = np.where(given > 0, 0.95, 0.2 * prior)
-    for _ in range(rounds):
+    for t in range(rounds):
         s1, s0 = q.sum() + 1e-9, (1 - q).sum() + 1e-9
         p1, p0 = (q @ x + 0.05) / (s1 + 0.1), ((1 - q) @ x + 0.05) / (s0 + 0.1)
         r = x - np.outer(q, p1) - np.outer(1 - q, p0)
         sd = np.sqrt((r * r).mean(0)) + 1e-6
         moves = np.maximum((r / sd).T @ (r / sd) / n, 0)
+        if t < 2:  # wrong labels look like correlation until the posteriors have settled
+            moves[:] = 0
         np.fill_diagonal(moves, 1)
         weight = np.clip(np.log(p1 / p0), -4, 8) / moves.sum(1)
         silent = np.clip(np.log(((q @ quiet + 0.5) / (s1 + 1)) / (((1 - q) @ quiet + 0.5) / (s0 + 1))), -4, 4)
