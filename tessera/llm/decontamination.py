@@ -1,6 +1,6 @@
 """Benchmark decontamination: q-gram lemma filtering in overlapping diagonal bands, then banded alignment.
 
-Texts and items are compared lower-cased, with each run of white space as one space. An item
+Texts and items are compared lower-cased (Latin letters), with each run of white space as one space. An item
 longer than WINDOW bytes is sought as overlapping windows of that length (every half window,
 and the last one), a shorter one as a whole, so that part of an item counts as well. A window
 of w bytes may differ in k = floor(share * w) edits; by the q-gram lemma a passage within that
@@ -39,7 +39,10 @@ def normalised(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     inner = off[(off > 0) & (off < len(data))]
     again[inner] = False
     at = np.flatnonzero(~again)
-    out = K.ascii_lower(np.where(white, np.uint8(32), data)[at])
+    out = K.ascii_lower(np.where(white, np.uint8(32), data))
+    accented = np.zeros(len(data), bool)  # the second byte of a Latin-1 capital
+    accented[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    out = (out + accented.astype(np.uint8) * np.uint8(32))[at]
     return out, np.searchsorted(at, off), at
 
 
