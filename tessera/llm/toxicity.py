@@ -74,13 +74,12 @@ def label_model(votes: np.ndarray, given: np.ndarray, prior: float, rounds: int
     """The posterior of label 1 for each row of 0/1 votes; given: the labels, a voter of unknown accuracy.
 
     M-step: how often each voter fires under either class, how the voters' residuals correlate
-    within the classes, and how accurate the given labels are. E-step: a vote counts with its
-    log-likelihood ratio divided by the number of voters it effectively moves with (one and its
-    positive correlations); abstaining voters say nothing one by one, but a text on which all
-    abstain is the less likely to be toxic.
+    within the classes, and how accurate the given labels are. E-step: a vote, or its absence,
+    counts with its log-likelihood ratio divided by the number of voters it effectively moves
+    with (one and its positive correlations).
     """
     x = votes.astype(float)
-    n, quiet = len(x), ~votes.any(1)
+    n = len(x)
     q = np.where(given > 0, 0.95, 0.2 * prior)
     for t in range(rounds):
         s1, s0 = q.sum() + 1e-9, (1 - q).sum() + 1e-9
@@ -91,13 +90,12 @@ def label_model(votes: np.ndarray, given: np.ndarray, prior: float, rounds: int
         if t < 2:  # wrong labels look like correlation until the posteriors have settled
             moves[:] = 0
         np.fill_diagonal(moves, 1)
-        weight = np.clip(np.log(p1 / p0), -4, 8) / moves.sum(1)
-        silent = np.clip(np.log(((q @ quiet + 0.5) / (s1 + 1)) / (((1 - q) @ quiet + 0.5) / (s0 + 1))), -4, 4)
+        fires, rests = (np.clip(np.log(u / v), -4, 8) / moves.sum(1) for u, v in ((p1, p0), (1 - p1, 1 - p0)))
         hit1 = np.clip((q @ (given > 0) + 1) / (s1 + 2), 0.6, 0.98)
         hit0 = np.clip(((1 - q) @ (given > 0) + 1) / (s0 + 2), 0.002, 0.3)
         said = np.where(given > 0, np.log(hit1 / hit0), np.log((1 - hit1) / (1 - hit0)))
         share = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-        q = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + np.clip(x @ weight, -12, 12) + silent * quiet + said, -30, 30)))
+        q = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + np.clip(x @ (fires - rests) + rests.sum(), -12, 12) + said, -30, 30)))
     return q
 
 
