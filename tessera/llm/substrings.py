@@ -3,6 +3,8 @@
 A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller
 doc_id. Documents are judged as they are in the input; matches never cross documents.
 
+0. Copies. Of documents with equal texts all but the least lose everything, and only that one
+   goes on, so a text that very many documents have as a whole costs what one costs.
 1. Anchors. Each window of LENGTH bytes has as its anchor the least hash among its GRAM-byte
    grams, so equal windows have equal anchors, and neighbouring windows mostly share theirs.
    Anchors are counted over documents in hash buckets; those of two documents or more are
@@ -36,8 +38,9 @@ from tessera.llm import textkit as K
 from tessera.llm.suffixes import permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM, COMMON = 50, 24, 0.001
-#: Bytes of pieces that a shard gets about, before those settled in their tasks are left out.
-SHARD = 6 << 20
+#: Bytes of pieces that a shard gets about, before those settled in their tasks are left out. An
+#: array takes some sixty times as much memory as its text, so shards are small and many.
+SHARD = 3 << 20
 _M48 = np.uint64(0xFFFFFFFFFFFF)
 _ROW = "bucket int, kind int, a binary, b binary, c binary"
 
@@ -82,7 +85,7 @@ def _anchors(length: int, gram: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.pieces_of(batch, "text", 8 << 20):
+            for part in K.pieces_of(batch, "text", 2 << 20):
                 ids = np.asarray(part.column("doc_id"))
                 data, off = K.buffers(K.column(part, "text"))
                 row, _, _, anchor, _ = anchored(data, off, length, gram)
@@ -220,7 +223,7 @@ def _pieces(length: int, gram: int, shards: int, common: np.ndarray, docs_bucket
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
             n = size[a:b]
             flat = np.repeat(lo[a:b] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            rows.append((int(shard[a]), 0, doc[a:b].astype(np.int64).tobytes(), np.stack((lo[a:b] - off[row[a:b]], n)).astype(np.int64).tobytes(), data[flat].tobytes()))
+            rows.append((int(shard[a]), 0, doc[a:b].astype(np.int64).tobytes(), np.stack((lo[a:b] - off[row[a:b]], n)).astype(np.int64).tobytes(), K.packed(data[flat].tobytes())))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +245,7 @@ def _pieces(length: int, gram: int, shards: int, common: np.ndarray, docs_bucket
                 if ready is None:
                     ready = np.unique(np.concatenate(marks)) if marks else np.zeros(0, np.uint64)
                 raw = text.encode("utf-8", "surrogatepass")
-                if size and size + len(raw) > 4 << 20:
+                if size and size + len(raw) > 2 << 20:
                     yield _row(flush())
                     texts, ids, size = [], [], 0
                 texts.append(raw)
@@ -298,7 +301,7 @@ def _shards(length: int):
             doc = np.concatenate([np.frombuffer(a, np.int64) for a, _, _ in held])
             both = [np.frombuffer(b, np.int64).reshape(2, -1) for _, b, _ in held]
             at, size = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
-            return out(*repeats(doc, at, size, np.frombuffer(b"".join(c for _, _, c in held), np.uint8), length))
+            return out(*repeats(doc, at, size, np.frombuffer(b"".join(K.unpacked(c) for _, _, c in held), np.uint8), length))
 
         now, held = None, []
         for batch in batches:
@@ -321,6 +324,7 @@ def removed(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: in
     """(doc_id, begins, ends): for documents that lose bytes, runs to remove, packed int64; runs may overlap."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") >= length)
+    table, copies = _without_copies(spark, table)
     total = table.count()
     found = table.mapInArrow(_anchors(length, gram, n), _ROW)
     marks = found.repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_shared(n, max(64, int(common * total))), _ROW)
@@ -333,7 +337,26 @@ def removed(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: in
     texts = table.filter(maybe("doc_id")).select(spread(F.col("doc_id"), n).alias("bucket"), F.lit(0).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"))
     both = marks.filter("kind = 1").select("bucket", "kind", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "a", "b").union(texts)
     pieces = both.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("kind").desc()).mapInArrow(_pieces(length, gram, shards, often, n), _ROW)
-    return pieces.repartition(shards, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_shards(length), "doc_id long, begins binary, ends binary")
+    lost = pieces.repartition(max(n, -(-shards // 4)), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_shards(length), "doc_id long, begins binary, ends binary")
+    return lost.union(copies.select("doc_id", "n").mapInArrow(_whole_texts, "doc_id long, begins binary, ends binary"))
+
+
+def _without_copies(spark: SparkSession, table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of table (doc_id, text) but for copies of a smaller document; and those: (doc_id, m, n)."""
+    named = table.select("doc_id", F.md5("text").alias("m"), F.octet_length("text").cast("long").alias("n"))
+    least = named.groupBy("m").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("most > least").select("m", "least")
+    copies = K.stored(spark, named.join(least, "m").filter("doc_id > least").select("doc_id", "m", "n").distinct(), "copies")
+    maybe = K.sieve(copies, "doc_id")("doc_id")
+    known = copies.select(F.col("doc_id").alias("d_"), F.col("m").alias("m_"))
+    some = table.filter(maybe).join(known, (F.col("doc_id") == F.col("d_")) & (F.md5("text") == F.col("m_")), "left_anti")
+    return table.filter(~maybe).union(some), copies
+
+
+def _whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = np.asarray(batch.column("n"), np.int64)
+        at = np.arange(len(n) + 1)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), K.binaries(np.zeros_like(n), at), K.binaries(n, at)], names=["doc_id", "begins", "ends"])
 
 
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +367,7 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def merged(begins: bytes, ends: bytes, n: int) -> list[tuple[int, int]]:
     """The maximal removed runs of a text of n bytes."""
-    a, b = np.frombuffer(begins, np.int64), np.frombuffer(ends, np.int64)
+    a, b = np.minimum(np.frombuffer(begins, np.int64), n), np.minimum(np.frombuffer(ends, np.int64), n)
     delta = np.zeros(n + 1, np.int64)
     np.add.at(delta, a, 1)
     np.add.at(delta, b, -1)

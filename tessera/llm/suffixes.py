@@ -25,7 +25,7 @@ def _induce(t: np.ndarray, s: np.ndarray, heads: np.ndarray, lms: np.ndarray) ->
     all that a bucket induces is dealt to its targets at once by a stable sort of their symbols.
     """
     n, k = len(t), len(heads) - 1
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     of = np.searchsorted  # lms comes sorted by symbol
     symbol = t[lms]
     order = np.argsort(symbol, kind="stable")
@@ -111,7 +111,7 @@ def suffix_array(data: np.ndarray, depth: int | None = None) -> np.ndarray:
     numpy does in whole passes. With `depth`, suffixes that agree in their first `depth` bytes
     may stand in any order. Place 0 of the result is the end itself.
     """
-    t = np.append(data.astype(np.int64) + 1, 0)
+    t = np.append(data.astype(np.uint16) + np.uint16(1), np.uint16(0))  # small symbols sort by radix
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int64)
@@ -122,34 +122,42 @@ def suffix_array(data: np.ndarray, depth: int | None = None) -> np.ndarray:
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = sa[is_lms[sa]]
-    end = np.zeros(n, np.int64)
+    end = np.zeros(n, np.int32)
     end[lms] = np.append(lms[1:], n - 1)
     differs = _named(t, order, end)
-    name = np.zeros(n, np.int64)
+    name = np.zeros(n, np.int32)
     name[order] = np.cumsum(differs)
-    rank = name[lms]  # in text order
+    rank = name[lms].astype(np.int64)  # in text order
+    del name, end, is_lms, order, sa
     reach, m = 1, len(lms)
     while m > 1 and rank.max() < m and (depth is None or 2 * reach < depth + 2):
         key = rank * (m + 1) + np.append(rank[reach:], np.zeros(min(reach, m), np.int64))[:m]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)  # equal keys get equal ranks in any order
         rank = np.empty(m, np.int64)
         rank[by] = np.cumsum(np.concatenate(([True], key[by][1:] != key[by][:-1])))
         reach *= 2
-    return _induce(t, s, heads, lms[np.argsort(rank, kind="stable")])
+    return _induce(t, s, heads, lms[np.argsort(rank)])
 
 
 def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """plcp[i]: the common prefix of suffix i and the one before it in sa, `most` at most."""
     n = len(data)
-    before = np.full(n + 1, n, np.int64)
+    before = np.full(n + 1, n, np.int32)
     before[sa[1:]] = sa[:-1]
-    plcp = np.zeros(n, np.int64)
-    padded = np.concatenate((data, np.zeros(most + 8, np.uint8)))
-    alive, k = np.arange(n), 0
-    while len(alive) and k < most:
+    padded = np.concatenate((data, np.zeros(most + 16, np.uint8)))
+    words = np.zeros(n + most + 8, np.uint64)  # the eight bytes from each place on
+    for k in range(8):
+        words |= padded[k : k + len(words)].astype(np.uint64) << np.uint64(8 * k)
+    plcp, alive = np.zeros(n, np.int32), np.arange(n, dtype=np.int32)
+    for k in range(0, most, 8):
         i, j = alive + k, before[alive] + k
-        same = (padded[i] == padded[j]) & (i < n) & (j < n)
+        apart = words[i] ^ words[j]
+        same = apart == 0
+        dead = ~same
+        low = apart[dead]
+        plcp[alive[dead]] = k + sum(((low & np.uint64((1 << 8 * b) - 1)) == 0).astype(np.int64) for b in range(1, 8))
         alive = alive[same]
-        k += 1
-        plcp[alive] = k
-    return plcp
+        plcp[alive] = k + 8
+        if not len(alive):
+            break
+    return np.minimum(plcp, np.minimum(n - np.maximum(np.arange(n), before[:n]), most))

@@ -11,10 +11,10 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -64,7 +64,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def pieces_of(batch: pa.RecordBatch, name: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces_of(batch: pa.RecordBatch, name: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch cut into runs of rows of at most `most` bytes of text (a longer row stands alone)."""
     if not batch.num_rows:
         return
@@ -144,6 +144,15 @@ def binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
+def packed(blob: bytes) -> bytes:
+    """Compressed for the way through the JVM and the shuffle."""
+    return zstandard.ZstdCompressor(level=1).compress(blob)
+
+
+def unpacked(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -193,10 +202,11 @@ def sieve(df: DataFrame, name: str):
     words_ = np.zeros(SIEVE // 64, np.uint64)
     got = bits.toArrow()
     words_[np.asarray(got["w"], np.int64)] = np.asarray(got["b"], np.int64).view(np.uint64)
+    table = df.sparkSession.createDataFrame([(bytearray(words_.tobytes()),)], "bits binary")
 
-    @F.pandas_udf("boolean")
-    def holds(s: pd.Series) -> pd.Series:
-        s = s.to_numpy()
-        return pd.Series((words_[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) == 1)
+    def holds(c) -> Column:
+        s = slot((F.col(c) if isinstance(c, str) else c).cast("long"))
+        byte = F.conv(F.hex(F.substring(table.scalar(), (F.floor(s / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.floor(byte / F.pow(F.lit(2), s % 8)) % 2 == 1
 
-    return lambda c: holds(slot(F.col(c) if isinstance(c, str) else c))
+    return holds
