@@ -199,7 +199,8 @@ def dropped(spark: SparkSession, docs: DataFrame, least: int = LEAST, group: int
     classes = table.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("keys").alias("keys"))
     classes = K.stored(spark, classes, "line_classes")
     halves = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), F.explode("keys").alias("key"))
-    shared = halves.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
+    shared = K.stored(spark, halves.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "shared_halves")
+    halves = halves.filter(K.sieve(shared, "key")("key"))
     wanted = K.stored(spark, halves.join(shared, "key").groupBy("doc_id").agg(F.collect_list(F.struct("line", "key", (F.col("many") > group).alias("common"))).alias("wanted")), "wanted")
     maybe = K.sieve(wanted, "doc_id")
 
@@ -224,9 +225,11 @@ def dropped(spark: SparkSession, docs: DataFrame, least: int = LEAST, group: int
     local = meeting.filter("not common").repartition("key").sortWithinPartitions("key").mapInArrow(_neighbours, "doc_id long, line int, by_doc long, by_line int")
     near = local.union(_by_shuffle(meeting.filter("common")))
     earliest = near.groupBy("doc_id", "line").agg(F.min(F.struct(F.col("by_doc").alias("doc_id"), F.col("by_line").alias("line"))).alias("by"))
-    bounds = classes.select("h1", "h2", "first", "last", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")).join(earliest, ["doc_id", "line"], "left")
-    bounds = bounds.filter("last > first or by is not null").select("h1", "h2", F.coalesce(F.least("first", "by"), "first").alias("from"))
-    gone = table.select("doc_id", "line", "h1", "h2").join(bounds, ["h1", "h2"]).filter("struct(doc_id, line) > from")
+    earliest = K.stored(spark, earliest, "earliest")
+    some = classes.filter((F.col("last") > F.col("first")) | K.sieve(earliest, "doc_id")("first.doc_id"))
+    bounds = some.select("h1", "h2", "first", "last", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")).join(earliest, ["doc_id", "line"], "left")
+    bounds = K.stored(spark, bounds.filter("last > first or by is not null").select("h1", "h2", F.coalesce(F.least("first", "by"), "first").alias("from")), "bounds")
+    gone = table.select("doc_id", "line", "h1", "h2").filter(K.sieve(bounds, "h1")("h1")).join(bounds, ["h1", "h2"]).filter("struct(doc_id, line) > from")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
