@@ -41,10 +41,11 @@ def _row(rows: list[tuple]) -> pa.RecordBatch:
 def _planes(*cols: np.ndarray) -> bytes:
     """Columns of unsigned numbers under 2**40 as planes of 32 and 8 bits, which compress where they repeat."""
     n = len(cols[0])
-    return np.array([n], np.int64).tobytes() + b"".join(p for c in cols for p in ((c & 0xFFFFFFFF).astype(np.uint32).view(np.uint8).reshape(n, 4).T.tobytes(), (c >> 32).astype(np.uint8).tobytes()))
+    return K.packed(np.array([n], np.int64).tobytes() + b"".join(p for c in cols for p in ((c & 0xFFFFFFFF).astype(np.uint32).view(np.uint8).reshape(n, 4).T.tobytes(), (c >> 32).astype(np.uint8).tobytes())))
 
 
 def _unplaned(blob: bytes, k: int) -> list[np.ndarray]:
+    blob = K.unpacked(blob)
     n = int(np.frombuffer(blob, np.int64, 1)[0])
     flat, out = np.frombuffer(blob, np.uint8, -1, 8) if n else np.zeros(0, np.uint8), []
     for i in range(k):
@@ -53,6 +54,18 @@ def _unplaned(blob: bytes, k: int) -> list[np.ndarray]:
     return out
 
 
+def _wide(*cols: np.ndarray) -> bytes:
+    """int64 columns of one length as planes of bytes."""
+    return K.packed(b"".join(np.ascontiguousarray(c, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for c in cols))
+
+
+def _unwide(blob: bytes, k: int) -> np.ndarray:
+    blob = K.unpacked(blob)
+    n = len(blob) // (8 * k)
+    flat = np.frombuffer(blob, np.uint8).reshape(k, 8, n)
+    return np.stack([np.ascontiguousarray(x.T).view(np.int64).reshape(n) for x in flat])
+
+
 def hashed(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, 40-bit hash) of every word, in order; 0 stands for no word."""
     data, off = K.buffers(col)
@@ -107,7 +120,7 @@ def _exploded(buckets: int, hot: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.pieces_of(batch, "text", 6 << 20):
+            for part in K.pieces_of(batch, "text", 2 << 20):
                 row, w = hashed(K.column(part, "text"))
                 if not len(w):
                     continue
@@ -133,46 +146,66 @@ def _exploded(buckets: int, hot: np.ndarray):
                 for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
                     mine, slot = np.unique(row[lo:hi], return_inverse=True)
                     a = _planes(w[lo:hi], before[lo:hi], slot, times[lo:hi], own[lo:hi], np.where(before[lo:hi] > 0, prior[lo:hi], 0))
-                    rows.append((int(bucket[lo]), 0, a, ids[mine].astype(np.int64).tobytes() + n[mine].astype(np.int64).tobytes()))
+                    rows.append((int(bucket[lo]), 0, a, _wide(ids[mine], n[mine])))
                 yield _row(rows)
 
     return run
 
 
 def _sums(doc: np.ndarray, docs_buckets: int, log: np.ndarray, backoff: np.ndarray | None = None, unseen: np.ndarray | None = None) -> list[tuple]:
-    """Sums per document, by bucket of documents. Kind 1: a: documents; b: log sums and the two counts."""
+    """Sums per document, by bucket of documents. Kind 1: a: documents; b: log sums and the two counts.
+
+    Log sums are in whole millionths, so that their total does not depend on the order of adding.
+    """
     ids, at = np.unique(doc, return_inverse=True)
-    cols = [np.bincount(at, x, len(ids)) if x is not None else np.zeros(len(ids)) for x in (log, backoff, unseen)]
+    cols = [np.rint(np.bincount(at, x, len(ids)) * scale).astype(np.int64) if x is not None else np.zeros(len(ids), np.int64) for x, scale in ((log, 1e6), (backoff, 1), (unseen, 1))]
     bucket = spread(ids, docs_buckets)
     order = np.argsort(bucket, kind="stable")
     ids, bucket, cols = ids[order], bucket[order], [c[order] for c in cols]
     cut = _edges(bucket)
-    return [(int(bucket[lo]), 1, ids[lo:hi].tobytes(), np.concatenate([c[lo:hi] for c in cols]).tobytes()) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist())]
+    return [(int(bucket[lo]), 1, _wide(ids[lo:hi]), _wide(*(c[lo:hi] for c in cols))) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
 def _scored(buckets: int, docs_buckets: int, hot: np.ndarray, hot_counts: np.ndarray, total: int, alpha: float):
     """Kind 1: sums; kind 0: counts of a bucket's words; kind 2: seen pairs for the bucket of the word before."""
 
     def whole(held: list[tuple]) -> list[tuple]:
+        """A bucket, a quarter of its words at a time: that bounds the memory."""
+        rows, sums = [], []
+        for quarter in range(4):
+            if (got := share(held, quarter)) is not None:
+                rows += got[0]
+                sums.append(got[1])
+        doc, log, backoff, unseen = (np.concatenate(x) for x in zip(*sums))
+        return rows + _sums(doc, docs_buckets, log, backoff, unseen)
+
+    def share(held: list[tuple], quarter: int) -> tuple | None:
         parts, docs, lens = [], [], []
         for a, b in held:
             cols = _unplaned(a, 6)
-            both = np.frombuffer(b, np.int64).reshape(2, -1)
-            slot = cols[2].astype(np.int64)
+            own = np.flatnonzero((cols[0] >> np.uint64(17)) & np.uint64(3) == quarter)
+            cols = [c[own] for c in cols]
+            both = _unwide(b, 2)
+            slot = cols.pop(2).astype(np.int32)
             docs.append(both[0][slot])
-            lens.append(both[1][slot])
-            parts.append(cols)
-        w, before, _, times, own, prior = (np.concatenate(c) for c in zip(*parts))
-        doc, n = np.concatenate(docs), np.concatenate(lens)
+            lens.append(both[1].astype(np.int32)[slot])
+            parts.append([*cols[:2], *(c.astype(np.int32) for c in cols[2:])])
+        if not sum(map(len, docs)):
+            return None
+        cols = [[p[k] for p in parts] for k in range(5)] + [docs, lens]
         del parts, docs, lens
-        times, own, prior = times.astype(np.int64), own.astype(np.int64), prior.astype(np.int64)
-        order = np.lexsort((before, w))
-        w, before, times, own, prior, doc, n = (x[order] for x in (w, before, times, own, prior, doc, n))
+        for k in range(len(cols)):  # a column at a time bounds the memory
+            cols[k] = np.concatenate(cols[k])
+        order = np.lexsort((cols[1], cols[0]))
+        for k in range(len(cols)):
+            cols[k] = cols[k][order]
+        del order
+        w, before, times, own, prior, doc, n = cols
         cut = _edges(w, before)
-        pair = np.repeat(np.add.reduceat(times, cut[:-1]), np.diff(cut)) - times
+        pair = np.repeat(np.add.reduceat(times, cut[:-1]).astype(np.int32), np.diff(cut)) - times
         pair[before == 0] = 0
         cut = _edges(w)
-        counts = np.add.reduceat(times, cut[:-1])
+        counts = np.add.reduceat(times.astype(np.int64), cut[:-1])
         words = w[cut[:-1]]
         rows = []
         if len(hot):
@@ -194,7 +227,8 @@ def _scored(buckets: int, docs_buckets: int, hot: np.ndarray, hot_counts: np.nda
             log[known] -= times[known] * np.log(np.maximum(hot_counts[at[known]] - prior[known], 1))
         else:
             known = np.zeros(len(w), bool)
-        rows += _sums(doc, docs_buckets, log, times * (~seen & (before > 0)), times * (~seen & (single <= 0)))
+        ids, at = np.unique(doc, return_inverse=True)
+        sums = (ids, np.bincount(at, log, len(ids)), np.bincount(at, times * (~seen & (before > 0)), len(ids)), np.bincount(at, times * (~seen & (single <= 0)), len(ids)))
         go = np.flatnonzero(seen & ~known)
         target = (K.mix(before[go]) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((before[go], target))
@@ -202,8 +236,8 @@ def _scored(buckets: int, docs_buckets: int, hot: np.ndarray, hot_counts: np.nda
         cut = _edges(target)
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
             mine, slot = np.unique(doc[go[lo:hi]], return_inverse=True)
-            rows.append((int(target[lo]), 2, _planes(before[go[lo:hi]], slot, times[go[lo:hi]], prior[go[lo:hi]]), mine.tobytes()))
-        return rows
+            rows.append((int(target[lo]), 2, _planes(before[go[lo:hi]], slot, times[go[lo:hi]].astype(np.int64), prior[go[lo:hi]].astype(np.int64)), _wide(mine)))
+        return rows, sums
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -240,7 +274,7 @@ def _divided(docs_buckets: int):
                         order = np.argsort(w)
                         ready = w[order], c[order]
                     before, slot, times, prior = _unplaned(a, 4)
-                    doc = np.frombuffer(b, np.int64)[slot.astype(np.int64)]
+                    doc = _unwide(b, 1)[0][slot.astype(np.int64)]
                     c = ready[1][np.searchsorted(ready[0], before)] - prior.astype(np.int64)
                     yield _row(_sums(doc, docs_buckets, -np.log(np.maximum(c, 1)) * times.astype(np.int64)))
 
@@ -251,11 +285,12 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For rows sorted by bucket: the total sums of each document."""
 
     def emit(held: list[tuple]) -> pa.RecordBatch:
-        ids = np.concatenate([np.frombuffer(a, np.int64) for a, _ in held])
-        cols = np.concatenate([np.frombuffer(b, np.float64).reshape(3, -1) for _, b in held], 1)
-        doc, at = np.unique(ids, return_inverse=True)
-        log, back, unseen = (np.bincount(at, c, len(doc)) for c in cols)
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(log), pa.array(back.astype(np.int64)), pa.array(unseen.astype(np.int64))], names=["doc_id", "log_sum", "n_backoff", "n_unseen"])
+        ids = np.concatenate([_unwide(a, 1)[0] for a, _ in held])
+        cols = np.concatenate([_unwide(b, 3) for _, b in held], 1)
+        order = np.argsort(ids, kind="stable")
+        cut = _edges(ids[order])[:-1]
+        log, back, unseen = (np.add.reduceat(c[order], cut) for c in cols)
+        return pa.RecordBatch.from_arrays([pa.array(ids[order][cut]), pa.array(log / 1e6), pa.array(back), pa.array(unseen)], names=["doc_id", "log_sum", "n_backoff", "n_unseen"])
 
     now, held = None, []
     for batch in batches:
@@ -282,8 +317,8 @@ def backoff_scores(spark: SparkSession, docs: DataFrame, alpha: float = ALPHA, h
 
     doc_id must be unique: rows of one doc_id would share their sums. A null or empty text, or
     one without words, has a null score and a log_sum of 0; so has a row without doc_id, whose
-    words count for nobody. Further columns are not read; an empty table gives no rows. Sums are
-    rounded to 6 decimals.
+    words count for nobody. Further columns are not read; an empty table gives no rows. log_sum is
+    rounded to 3 decimals, score to 6.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = docs.filter("doc_id is not null and text <> ''")
@@ -294,4 +329,4 @@ def backoff_scores(spark: SparkSession, docs: DataFrame, alpha: float = ALPHA, h
     sums = first.mapInArrow(_divided(n), _ROW).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_added, "doc_id long, log_sum double, n_backoff long, n_unseen long")
     out = docs.mapInArrow(_lengths, "doc_id long, n_words long").join(sums, "doc_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("doc_id", "n_words", zero("n_backoff"), zero("n_unseen"), F.round(F.coalesce("log_sum", F.lit(0.0)), 6).alias("log_sum"), F.round(F.col("log_sum") / F.col("n_words"), 6).alias("score"))
+    return out.select("doc_id", "n_words", zero("n_backoff"), zero("n_unseen"), F.round(F.coalesce("log_sum", F.lit(0.0)), 3).alias("log_sum"), F.round(F.col("log_sum") / F.col("n_words"), 6).alias("score"))
