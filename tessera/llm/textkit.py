@@ -6,6 +6,8 @@ array passes and no Python loop over characters or words. Nulls count as empty t
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -74,6 +76,14 @@ def pieces_of(batch: pa.RecordBatch, name: str, most: int = 1 << 20) -> Iterator
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back: a Python worker lives on and would keep its peak between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def ascii_lower(data: np.ndarray) -> np.ndarray:
@@ -177,12 +187,21 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
     A lost executor costs later stages a re-read of this table, never its recomputation.
     """
+    small_batches(spark)
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of text are long: Spark's default of 10,000 would make Arrow batches of tens of MB each way."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
