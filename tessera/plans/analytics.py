@@ -64,9 +64,14 @@ def node_degree(spark, sf_dir):
     return evidence.node_degree(_trade(spark, sf_dir), "seller", "buyer")
 
 
-def _shared_parts(spark, sf_dir) -> DataFrame:
-    """A sparse graph: suppliers in a row that sold the same part on one day of a quarter."""
-    line = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), "l_partkey", "l_shipdate", "l_returnflag").filter(F.col("l_quantity") >= 49)
+def _shared_parts(spark, sf_dir, least: int | None = None) -> DataFrame:
+    """Suppliers that shipped the same part in the same month, each linked to the next by number.
+
+    The chain through a part and month joins the same suppliers as all their pairs would. With
+    `least`, only line items of at least that quantity count.
+    """
+    line = table(spark, sf_dir, "lineitem")
+    line = (line if least is None else line.filter(F.col("l_quantity") >= least)).select(F.col("l_suppkey").alias("s"), "l_partkey", "l_shipdate", "l_returnflag")
     w = Window.partitionBy("l_partkey", F.date_trunc("month", "l_shipdate")).orderBy("s", "l_returnflag")
     return line.withColumn("t", F.lead("s").over(w)).filter("t is not null and s <> t").select("s", "t", "l_returnflag")
 
@@ -77,12 +82,23 @@ _CLOSED = f"e as ({_SHARED}), u as (select s as a, t as b from e union select t,
 
 @query(f"with recursive {_CLOSED} select node, component from p")
 def components(spark, sf_dir):
+    return evidence.components(_shared_parts(spark, sf_dir, 49), "s", "t")
+
+
+@query()  # beyond the recursive SQL, which spells out every pair of a component
+def components_whole(spark, sf_dir):
     return evidence.components(_shared_parts(spark, sf_dir), "s", "t")
 
 
 @query(f"""with recursive {_CLOSED}, n as (select component, l_returnflag, count(*) as n from e join p on s = node group by all)
  select c.component, c.members, coalesce(d.links, 0) as links, d.dominant from (select component, count(*) as members from p group by 1) c left join (select component, cast(sum(n) as bigint) as links, arg_min(l_returnflag, (-n, l_returnflag)) as dominant from n group by 1) d using (component)""")
 def cluster_summary(spark, sf_dir):
+    e = _shared_parts(spark, sf_dir, 49)
+    return evidence.cluster_summary(evidence.components(e, "s", "t"), e, "s", "t", "l_returnflag")
+
+
+@query()
+def cluster_summary_whole(spark, sf_dir):
     e = _shared_parts(spark, sf_dir)
     return evidence.cluster_summary(evidence.components(e, "s", "t"), e, "s", "t", "l_returnflag")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 import math
+import random
 from collections import defaultdict
 
 import pytest
@@ -107,6 +109,41 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100}
 
 
+def test_components_of_all_line_items(spark, tmp_path):
+    """Against a union-find over all pairs; half of the links hang on small quantities."""
+    from tessera.plans import catalog
+
+    rng = random.Random(5)
+    rows = [(rng.randint(1, 60), rng.randint(1, 40), datetime.date(1995, rng.randint(1, 6), rng.randint(1, 28)), rng.choice("ANR"), float(rng.choice([1, 20, 48, 49, 50]))) for _ in range(90)]
+    rows += [(201, 900, datetime.date(1996, 1, 1), "R", 1.0), (202, 900, datetime.date(1996, 1, 31), "A", 2.0), (203, 900, datetime.date(1996, 2, 1), "A", 50.0)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_shipdate date, l_returnflag string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    meet = {}
+    for s, p, d, f, _ in rows:
+        meet.setdefault((p, d.year, d.month), []).append((s, f))
+    links = [(a, b, f) for own in meet.values() for (a, f), (b, _) in zip(sorted(own), sorted(own)[1:]) if a != b]
+    for own in meet.values():
+        for a in own:
+            for b in own:
+                if a[0] != b[0]:
+                    x, y = sorted((find(a[0]), find(b[0])))
+                    root[y] = x
+    want = {n: find(n) for n in {n for a, b, _ in links for n in (a, b)}}
+    got = {r["node"]: r["component"] for r in catalog.QUERIES["components_whole"](spark, str(tmp_path)).collect()}
+    assert got == want and got[202] == 201 and 203 not in got
+    summary = {r["component"]: (r["members"], r["links"], r["dominant"]) for r in catalog.QUERIES["cluster_summary_whole"](spark, str(tmp_path)).collect()}
+    for c in set(want.values()):
+        flags = [f for a, _, f in links if want[a] == c]
+        assert summary.pop(c) == (sum(x == c for x in want.values()), len(flags), min(set(flags), key=lambda f: (-flags.count(f), f)))
+    assert not summary
+
+
 def test_spread_needs_groups(spark):
     rows = [(g, k < h) for g, h in ((0, 5), (1, 2), (2, 0)) for k in range(5)]
     df = spark.createDataFrame(rows, "g int, t boolean")
