@@ -1,19 +1,22 @@
 """Stupid-backoff language-model scores of all documents, each under the counts of all others.
 
-A word's score given the word before it is c(before, word) / c(before) if that pair stands in
-another document, else ALPHA * c(word) / N; a word that stands in no other document counts as
-ALPHA / N, and a first word has no word before. All counts leave the document's own out. The
-document's score is the mean of the logarithms.
-
-The relation of exploded pairs (document, before, word, times) is dealt by a hash of the word,
-in packed columns rather than rows: a bucket then holds the counts c(before, word) and c(word)
-and every pair to be scored with them, so the count tables are built and joined in one shuffle.
-Pairs that are seen go on to the bucket of the word before for c(before); sums per document
-meet in buckets of documents. Words that make up more than a share HOT of all words (so at
-most 1 / HOT of them) are counted beforehand and known everywhere; their pairs are dealt by
-both words, so that no bucket holds a very common word as a whole.
-
-Words are told apart by 40-bit hashes.
+At order k a word's score given the words before it is c(b_j..b_1, word) / c(b_j..b_1) for the
+longest context b_j..b_1 of at most k - 1 words with which it stands in another document, times
+ALPHA for each word of the context that had to be dropped; without context it is c(word) / N. A
+word that stands in no other document counts as ALPHA / N. The first words of a document have less
+context or none. All counts leave the document's own out. The document's score is the mean of the
+logarithms.
+
+The relation of exploded k-grams (document, words, times) is dealt by a hash of the last word, in
+packed columns rather than rows: a bucket then holds the counts of all shorter grams that end in
+the word and every gram to be scored with them, so the count tables are built and joined in one
+shuffle. Seen grams go on to the bucket of the word before for the count of their context, which
+is passed on only if it stands in two documents; sums per document meet in buckets of documents.
+Words that make up more than a share HOT of all words (so at most 1 / HOT of them) are counted
+beforehand and known everywhere; their grams are dealt by the last two words, so that no bucket
+holds a very common word as a whole.
+
+Words are told apart by 40-bit hashes, contexts of several words by 40 bits within their bucket.
 """
 
 from __future__ import annotations
@@ -115,8 +118,25 @@ def frequent(docs: DataFrame, hot: float = HOT) -> tuple[np.ndarray, np.ndarray,
     return words, np.array([exact.get(i, 0) for i in range(len(words))], np.int64), total
 
 
-def _exploded(buckets: int, hot: np.ndarray):
-    """Pairs of a slice by bucket. a: word, before, slot, times, own count of word and of before; b: documents, their lengths."""
+def _home(word: np.ndarray, before: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of the grams that end in (before, word)."""
+    if len(hot):
+        spot = np.minimum(np.searchsorted(hot, word), len(hot) - 1)
+        word = np.where(hot[spot] == word, word ^ before * np.uint64(31), word)
+    return (K.mix(word) % np.uint64(buckets)).astype(np.int64)
+
+
+def _key(*words: np.ndarray) -> np.ndarray:
+    """40 bits for a gram, its last word first; a single word stands for itself."""
+    return words[0] if len(words) == 1 else K.combine([*words]) >> np.uint64(24)
+
+
+def _exploded(buckets: int, hot: np.ndarray, order: int):
+    """Grams of a slice by bucket. b: documents, their lengths.
+
+    a: the word, the words before it (nearest first), slot, times, the document's own counts of the
+    gram's shorter ends (shortest first) and of its contexts (shortest first).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,26 +146,32 @@ def _exploded(buckets: int, hot: np.ndarray):
                     continue
                 ids = np.asarray(part.column("doc_id"))
                 n = np.bincount(row, minlength=len(ids))
-                before = np.concatenate(([_NONE], w[:-1]))
-                before[np.searchsorted(row, np.flatnonzero(n))] = _NONE
-                order = np.lexsort((w, row))
-                cut = _edges(row[order], w[order])
-                own = np.empty(len(w), np.int64)  # times that the word stands in its document
-                own[order] = np.repeat(np.diff(cut), np.diff(cut))
-                prior = np.concatenate(([0], own[:-1]))
-                order = np.lexsort((before, w, row))
-                cut = _edges(row[order], w[order], before[order])
-                at, times = order[cut[:-1]], np.diff(cut)
-                row, w, before, own, prior = row[at], w[at], before[at], own[at], prior[at]
-                spot = np.minimum(np.searchsorted(hot, w), len(hot) - 1)
-                key = np.where(hot[spot] == w, w ^ before * np.uint64(31), w) if len(hot) else w
-                bucket = (K.mix(key) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((before, w, bucket))
-                row, w, before, own, prior, times, bucket = (x[order] for x in (row, w, before, own, prior, times, bucket))
+                since = np.arange(len(w)) - np.searchsorted(row, row)
+                gram = [w]
+                for j in range(1, order):
+                    b = np.zeros(len(w), np.uint64)
+                    b[j:] = w[:-j]
+                    b[since < j] = _NONE
+                    gram.append(b)
+                by = np.lexsort((*gram[::-1], row))
+                sorted_, own = [row[by]], []  # own: times that the gram's ends stand in its document
+                for g in gram:
+                    sorted_.append(g[by])
+                    cut = _edges(*sorted_)
+                    own.append(np.empty(len(w), np.int64))
+                    own[-1][by] = np.repeat(np.diff(cut), np.diff(cut))
+                del sorted_
+                prior = [np.where(gram[j] > 0, np.concatenate(([0], own[j - 1][:-1])), 0) for j in range(1, order)]
+                at, times = by[cut[:-1]], np.diff(cut)
+                row, gram, own, prior = row[at], [x[at] for x in gram], [x[at] for x in own[:-1]], [x[at] for x in prior]
+                bucket = _home(gram[0], gram[1], hot, buckets)
+                by = np.lexsort((*gram[::-1], bucket))
+                row, times, bucket = row[by], times[by], bucket[by]
+                gram, rest = [x[by] for x in gram], [x[by] for x in own + prior]
                 cut, rows = _edges(bucket), []
                 for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
                     mine, slot = np.unique(row[lo:hi], return_inverse=True)
-                    a = _planes(w[lo:hi], before[lo:hi], slot, times[lo:hi], own[lo:hi], np.where(before[lo:hi] > 0, prior[lo:hi], 0))
+                    a = _planes(*(x[lo:hi] for x in gram), slot, times[lo:hi], *(x[lo:hi] for x in rest))
                     rows.append((int(bucket[lo]), 0, a, _wide(ids[mine], n[mine])))
                 yield _row(rows)
 
@@ -166,77 +192,91 @@ def _sums(doc: np.ndarray, docs_buckets: int, log: np.ndarray, backoff: np.ndarr
     return [(int(bucket[lo]), 1, _wide(ids[lo:hi]), _wide(*(c[lo:hi] for c in cols))) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
-def _scored(buckets: int, docs_buckets: int, hot: np.ndarray, hot_counts: np.ndarray, total: int, alpha: float):
-    """Kind 1: sums; kind 0: counts of a bucket's words; kind 2: seen pairs for the bucket of the word before."""
+def _scored(buckets: int, docs_buckets: int, hot: np.ndarray, hot_counts: np.ndarray, total: int, alpha: float, order: int):
+    """Kind 1: sums; kind 0: counts of a bucket's words and contexts; kind 2: seen grams for the bucket of the word before."""
+    shares = 4 if order == 2 else 3 * order - 3
 
-    def whole(held: list[tuple]) -> list[tuple]:
-        """A bucket, a quarter of its words at a time: that bounds the memory."""
+    def whole(held: list[tuple], bucket: int) -> list[tuple]:
+        """A bucket, a share of its words at a time: that bounds the memory."""
         rows, sums = [], []
-        for quarter in range(4):
-            if (got := share(held, quarter)) is not None:
+        for one in range(shares):
+            if (got := share(held, bucket, one)) is not None:
                 rows += got[0]
                 sums.append(got[1])
         doc, log, backoff, unseen = (np.concatenate(x) for x in zip(*sums))
         return rows + _sums(doc, docs_buckets, log, backoff, unseen)
 
-    def share(held: list[tuple], quarter: int) -> tuple | None:
+    def share(held: list[tuple], bucket: int, one: int) -> tuple | None:
         parts, docs, lens = [], [], []
         for a, b in held:
-            cols = _unplaned(a, 6)
-            own = np.flatnonzero((cols[0] >> np.uint64(17)) & np.uint64(3) == quarter)
-            cols = [c[own] for c in cols]
+            cols = _unplaned(a, 3 * order)
+            mine = np.flatnonzero((cols[0] >> np.uint64(17)) % np.uint64(shares) == one)
+            cols = [c[mine] for c in cols]
             both = _unwide(b, 2)
-            slot = cols.pop(2).astype(np.int32)
+            slot = cols.pop(order).astype(np.int32)
             docs.append(both[0][slot])
             lens.append(both[1].astype(np.int32)[slot])
-            parts.append([*cols[:2], *(c.astype(np.int32) for c in cols[2:])])
+            parts.append([*cols[:order], *(c.astype(np.int32) for c in cols[order:])])
         if not sum(map(len, docs)):
             return None
-        cols = [[p[k] for p in parts] for k in range(5)] + [docs, lens]
+        cols = [[p[k] for p in parts] for k in range(3 * order - 1)] + [docs, lens]
         del parts, docs, lens
         for k in range(len(cols)):  # a column at a time bounds the memory
             cols[k] = np.concatenate(cols[k])
-        order = np.lexsort((cols[1], cols[0]))
+        by = np.lexsort(cols[:order][::-1])
         for k in range(len(cols)):
-            cols[k] = cols[k][order]
-        del order
-        w, before, times, own, prior, doc, n = cols
-        cut = _edges(w, before)
-        pair = np.repeat(np.add.reduceat(times, cut[:-1]).astype(np.int32), np.diff(cut)) - times
-        pair[before == 0] = 0
-        cut = _edges(w)
+            cols[k] = cols[k][by]
+        del by
+        gram, times, (doc, n) = cols[:order], cols[order], cols[-2:]
+        own, prior = [*cols[order + 1 : 2 * order], times], cols[2 * order : -2]
+        del cols
+        context = np.zeros(len(doc), np.int8)
+        for b in gram[1:]:
+            context += b > 0
+        cut = _edges(gram[0])
         counts = np.add.reduceat(times.astype(np.int64), cut[:-1])
-        words = w[cut[:-1]]
-        rows = []
+        keys = gram[0][cut[:-1]]
         if len(hot):
-            at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
-            common = hot[at] == words
+            at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+            common = hot[at] == keys
             counts = np.where(common, hot_counts[at], counts)
-            words_, counts_ = words[~common], counts[~common]
+            known_keys, known_counts = [keys[~common]], [counts[~common]]
         else:
-            words_, counts_ = words, counts
-        rows.append((int(K.mix(words_[:1])[0] % np.uint64(buckets)) if len(words_) else 0, 0, words_.tobytes(), counts_.astype(np.int64).tobytes()))
-        single = np.repeat(counts, np.diff(cut)) - own
-        seen = pair > 0
-        others = np.maximum(total - n, 1)
-        back = np.where(before == 0, 1.0, alpha)
-        log = np.where(seen, np.log(np.maximum(pair, 1)), np.log(back * np.where(single > 0, np.maximum(single, 1), alpha) / others)) * times
+            known_keys, known_counts = [keys], [counts]
+        single = np.repeat(counts, np.diff(cut)) - own[0]
+        level = np.zeros(len(doc), np.int8)  # words of context with which the word is seen
+        log = np.log(np.where(single > 0, np.maximum(single, 1), alpha) / np.maximum(total - n, 1))
+        for j in range(1, order):
+            cut = _edges(*gram[: j + 1])
+            counts = np.add.reduceat(times, cut[:-1])
+            free = np.repeat(counts.astype(np.int32), np.diff(cut)) - own[j]
+            seen = (gram[j] > 0) & (free > 0)
+            level[seen] = j
+            log[seen] = np.log(free[seen])
+            if j < order - 1:
+                some = np.logical_or.reduceat(seen, cut[:-1])
+                known_keys.append(_key(*(g[cut[:-1][some]] for g in gram[: j + 1])))
+                known_counts.append(counts[some])
+        rows = [(bucket, 0, _planes(np.concatenate(known_keys), np.concatenate(known_counts).astype(np.int64)), b"")]
+        log = (log + (context - level) * np.log(alpha)) * times
         if len(hot):
-            at = np.minimum(np.searchsorted(hot, before), len(hot) - 1)
-            known = seen & (hot[at] == before)
-            log[known] -= times[known] * np.log(np.maximum(hot_counts[at[known]] - prior[known], 1))
+            at = np.minimum(np.searchsorted(hot, gram[1]), len(hot) - 1)
+            known = (level == 1) & (hot[at] == gram[1])
+            log[known] -= times[known] * np.log(np.maximum(hot_counts[at[known]] - prior[0][known], 1))
         else:
-            known = np.zeros(len(w), bool)
+            known = np.zeros(len(doc), bool)
         ids, at = np.unique(doc, return_inverse=True)
-        sums = (ids, np.bincount(at, log, len(ids)), np.bincount(at, times * (~seen & (before > 0)), len(ids)), np.bincount(at, times * (~seen & (single <= 0)), len(ids)))
-        go = np.flatnonzero(seen & ~known)
-        target = (K.mix(before[go]) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((before[go], target))
-        go, target = go[order], target[order]
-        cut = _edges(target)
-        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            mine, slot = np.unique(doc[go[lo:hi]], return_inverse=True)
-            rows.append((int(target[lo]), 2, _planes(before[go[lo:hi]], slot, times[go[lo:hi]].astype(np.int64), prior[go[lo:hi]].astype(np.int64)), _wide(mine)))
+        sums = (ids, np.bincount(at, log, len(ids)), np.bincount(at, times * (level < context), len(ids)), np.bincount(at, times * ((level == 0) & (single <= 0)), len(ids)))
+        for j in range(1, order):
+            go = np.flatnonzero((level == j) & ~known)
+            key = _key(*(g[go] for g in gram[1 : j + 1]))
+            target = _home(gram[1][go], gram[2][go] if j > 1 else np.zeros(len(go), np.uint64), hot, buckets)
+            by = np.lexsort((key, target))
+            go, key, target = go[by], key[by], target[by]
+            cut = _edges(target)
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                mine, slot = np.unique(doc[go[lo:hi]], return_inverse=True)
+                rows.append((int(target[lo]), 2, _planes(key[lo:hi], slot, times[go[lo:hi]].astype(np.int64), prior[j - 1][go[lo:hi]].astype(np.int64)), _wide(mine)))
         return rows, sums
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,39 +284,55 @@ def _scored(buckets: int, docs_buckets: int, hot: np.ndarray, hot_counts: np.nda
         for batch in batches:
             for bucket, _, a, b in zip(*(x.to_pylist() for x in batch.columns)):
                 if bucket != now and held:
-                    yield _row(whole(held))
+                    yield _row(whole(held, now))
                     held = []
                 now = bucket
                 held.append((a, b))
         if held:
-            yield _row(whole(held))
+            yield _row(whole(held, now))
 
     return run
 
 
-def _divided(docs_buckets: int):
-    """For rows sorted by bucket, counts before pairs: the sums of -ln c(before) of seen pairs; sums pass."""
+def _divided(docs_buckets: int, most: int = 1 << 21):
+    """For rows sorted by bucket, counts before grams: the sums of -ln c(context) of seen grams; sums pass.
+
+    What a bucket's grams add to a document is added up first, up to `most` numbers at a time.
+    """
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        doc, log = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        return _row(_sums(doc, docs_buckets, log))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, words, counts, ready = None, [], [], None
+        now, words, counts, ready, held, size = None, [], [], None, [], 0
         for batch in batches:
             for bucket, kind, a, b in zip(*(x.to_pylist() for x in batch.columns)):
                 if bucket != now:
                     now, words, counts, ready = bucket, [], [], None
                 if kind == 0:
-                    words.append(np.frombuffer(a, np.uint64))
-                    counts.append(np.frombuffer(b, np.int64))
+                    key, c = _unplaned(a, 2)
+                    words.append(key)
+                    counts.append(c.astype(np.int64))
                 elif kind == 1:
                     yield _row([(bucket, 1, a, b)])
                 else:
                     if ready is None:
                         w, c = np.concatenate(words), np.concatenate(counts)
-                        order = np.argsort(w)
-                        ready = w[order], c[order]
-                    before, slot, times, prior = _unplaned(a, 4)
-                    doc = _unwide(b, 1)[0][slot.astype(np.int64)]
-                    c = ready[1][np.searchsorted(ready[0], before)] - prior.astype(np.int64)
-                    yield _row(_sums(doc, docs_buckets, -np.log(np.maximum(c, 1)) * times.astype(np.int64)))
+                        by = np.argsort(w)
+                        ready = w[by], c[by]
+                    key, slot, times, prior = _unplaned(a, 4)
+                    doc = _unwide(b, 1)[0]
+                    c = ready[1][np.searchsorted(ready[0], key)] - prior.astype(np.int64)
+                    log = -np.log(np.maximum(c, 1)) * times.astype(np.int64)
+                    held.append((doc, np.rint(np.bincount(slot.astype(np.int64), log, len(doc)) * 1e6) / 1e6))
+                    size += len(doc)
+                    if size > most:
+                        yield flush(held)
+                        size = 0
+        if held:
+            yield flush(held)
 
     return run
 
@@ -312,20 +368,25 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.bincount(row, minlength=part.num_rows))], names=["doc_id", "n_words"])
 
 
-def backoff_scores(spark: SparkSession, docs: DataFrame, alpha: float = ALPHA, hot: float = HOT) -> DataFrame:
+def backoff_scores(spark: SparkSession, docs: DataFrame, alpha: float = ALPHA, hot: float = HOT, order: int = 2) -> DataFrame:
     """doc_id, n_words, n_backoff, n_unseen, log_sum and score (mean log) for every document.
 
+    order, 2 or more, is the length of the longest grams; n_backoff counts the words that drop a
+    word of their context of order - 1 words (or of fewer, where the document begins).
+
     doc_id must be unique: rows of one doc_id would share their sums. A null or empty text, or
     one without words, has a null score and a log_sum of 0; so has a row without doc_id, whose
     words count for nobody. Further columns are not read; an empty table gives no rows. log_sum is
     rounded to 3 decimals, score to 6.
     """
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = docs.filter("doc_id is not null and text <> ''")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     words, counts, total = frequent(table, hot)
-    pairs = table.mapInArrow(_exploded(n, words), _ROW).repartition(n, "bucket").sortWithinPartitions("bucket")
-    first = pairs.mapInArrow(_scored(n, n, words, counts, total, alpha), _ROW).repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+    grams = table.mapInArrow(_exploded(n, words, order), _ROW).repartition(n, "bucket").sortWithinPartitions("bucket")
+    first = grams.mapInArrow(_scored(n, n, words, counts, total, alpha, order), _ROW).repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
     sums = first.mapInArrow(_divided(n), _ROW).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_added, "doc_id long, log_sum double, n_backoff long, n_unseen long")
     out = docs.mapInArrow(_lengths, "doc_id long, n_words long").join(sums, "doc_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

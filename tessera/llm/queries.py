@@ -47,7 +47,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.backoff_scores(spark, K.documents(spark, sf_dir))
+    return lm.backoff_scores(spark, K.documents(spark, sf_dir), order=3)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,35 @@ def test_backoff_scores(spark, docs, rows, hot):
         assert (r["score"] is None) == (not w)
 
 
+@pytest.mark.parametrize("order,hot", [(3, lm.HOT), (3, 0.01), (3, 2.0), (4, 0.01)])
+def test_longer_contexts(spark, docs, rows, order, hot):
+    """Three words and more, against the recursive definition."""
+    words = {r[0]: re.findall(r"[^\x20\x09-\x0D]+", (r[1] or "").translate(LOW)) for r in rows}
+    grams = lambda w: Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    counts = Counter()
+    for w in words.values():
+        counts.update(grams(w))
+    total, deep = sum(map(len, words.values())), 0
+    got = {r["doc_id"]: r for r in lm.backoff_scores(spark, docs, hot=hot, order=order).collect()}
+    assert len(got) == len(rows)
+    for doc_id, w in words.items():
+        own = grams(w)
+        c = lambda g: counts[g] - own[g]  # noqa: B023,E731
+        s, back, unseen = 0.0, 0, 0
+        for i in range(len(w)):
+            g, dropped = tuple(w[max(0, i - order + 1) : i + 1]), 0
+            while len(g) > 1 and c(g) <= 0:
+                g, dropped = g[1:], dropped + 1
+            deep += len(g) == order
+            back += dropped > 0
+            unseen += len(g) == 1 and c(g) <= 0
+            s += dropped * math.log(lm.ALPHA) + math.log(c(g) / c(g[:-1]) if len(g) > 1 else max(c(g), lm.ALPHA) / max(1, total - len(w)))
+        r = got[doc_id]
+        assert (r["n_words"], r["n_backoff"], r["n_unseen"]) == (len(w), back, unseen)
+        assert abs(r["log_sum"] - s) < 2e-3
+    assert deep > 100
+
+
 def test_scores_of_odd_rows(spark, odd, empty):
     got = lm.backoff_scores(spark, odd.dropDuplicates(["doc_id", "text"])).collect()
     assert len(got) == 5
