@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join: a line goes if an earlier one lies within one edit.
 
 Lines are compared without outer white space and with A-Z lower-cased; lines of fewer than
-LEAST characters then are always kept. Documents stand in the order of doc_id, lines in that of
+LEAST characters then are compared for equality only, and only down to the length `shortest`
+that the caller names (none without it; blank lines never). Documents stand in the order of doc_id, lines in that of
 the text. A line is removed if an equal line, or one at edit distance 1 (a character inserted,
 deleted or substituted), stands earlier in the corpus; what comes earlier is judged on the
 input, not on what is left.
@@ -57,15 +58,15 @@ def split(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 class Lines:
-    """The comparable lines of a batch with their hashes."""
+    """The lines of a batch of `shortest` characters or more with their hashes."""
 
-    def __init__(self, col: pa.Array, least: int):
+    def __init__(self, col: pa.Array, shortest: int):
         data, off = K.buffers(col)
         self.low = K.ascii_lower(data)
         row, number, _, _, a, b = split(data, off)
         lead = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
         ca, cb = np.searchsorted(lead, a), np.searchsorted(lead, b)  # in characters
-        use = cb - ca >= least
+        use = cb - ca >= max(1, shortest)
         self.row, self.number, self.a, self.b, ca, cb = (x[use] for x in (row, number, a, b, ca, cb))
         self.n = cb - ca
         self.h = K.prefix(self.low)
@@ -78,20 +79,22 @@ class Lines:
         self.keys = np.stack(keys, 1) if len(self.n) else np.zeros((0, 4), np.uint64)
 
 
-def described(docs: DataFrame, least: int) -> DataFrame:
-    """A row for each comparable line: doc_id, line, h1, h2 and keys (of its halves)."""
+def described(docs: DataFrame, least: int, shortest: int) -> DataFrame:
+    """A row for each comparable line: doc_id, line, h1, h2 and keys (of its halves; none under `least` characters)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.pieces_of(batch, "text"):
-                own = Lines(K.column(part, "text"), least)
+                own = Lines(K.column(part, "text"), shortest)
                 ids = part.column(0).take(pa.array(own.row))
                 odd = own.n % 2 == 1  # both halves have the same length
                 flat = own.keys.view(np.int64).reshape(-1)
-                count = np.where(odd, 2, 4)
+                near = own.n >= least
+                count = np.where(near, np.where(odd, 2, 4), 0)
                 off = np.concatenate(([0], np.cumsum(count)))
                 pick = np.ones((len(odd), 4), bool)
                 pick[odd, 2:] = False
+                pick[~near] = False
                 keys = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat[pick.reshape(-1)]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(own.number, pa.int32()), pa.array(own.h1.view(np.int64)), pa.array(own.h2.view(np.int64)), keys], names=["doc_id", "line", "h1", "h2", "keys"])
 
@@ -192,9 +195,9 @@ def _by_shuffle(common: DataFrame) -> DataFrame:
     return pairs.select("doc_id", "line", F.col("by.doc_id").alias("by_doc"), F.col("by.line").alias("by_line"), "text", F.col("by.text").alias("by_text")).mapInArrow(_verified, "doc_id long, line int, by_doc long, by_line int")
 
 
-def dropped(spark: SparkSession, docs: DataFrame, least: int = LEAST, group: int = GROUP) -> DataFrame:
+def dropped(spark: SparkSession, docs: DataFrame, least: int = LEAST, group: int = GROUP, shortest: int | None = None) -> DataFrame:
     """(doc_id, lines): for each document that loses lines, their numbers in order."""
-    table = K.stored(spark, described(docs, least), "lines")
+    table = K.stored(spark, described(docs, least, least if shortest is None else min(least, shortest)), "lines")
     place = F.struct("doc_id", "line")
     classes = table.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("keys").alias("keys"))
     classes = K.stored(spark, classes, "line_classes")
@@ -233,14 +236,14 @@ def dropped(spark: SparkSession, docs: DataFrame, least: int = LEAST, group: int
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, least: int = LEAST, group: int = GROUP) -> DataFrame:
+def deduplicated(spark: SparkSession, docs: DataFrame, least: int = LEAST, group: int = GROUP, shortest: int | None = None) -> DataFrame:
     """docs, all rows and columns, with text rid of its repeated lines and lines_removed_ (int).
 
     A null text stays null, an empty one empty; rows without doc_id are left as they are and not
     compared. Repeated rows of one doc_id count as one document: its lines are compared as places
     (doc_id, line), so equal rows keep equal texts. docs must have no column named lines_removed_.
     """
-    lost = K.stored(spark, dropped(spark, docs, least, group), "dropped")
+    lost = K.stored(spark, dropped(spark, docs, least, group, shortest), "dropped")
     maybe = K.sieve(lost, "doc_id")
     names = docs.columns
     out = [F.col(c) for c in names]
@@ -262,10 +265,10 @@ def deduplicated(spark: SparkSession, docs: DataFrame, least: int = LEAST, group
     return joined.select(*out, "lines_removed_").union(rest.select(*out, F.lit(0).alias("lines_removed_")))
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> DataFrame:
+def line_dedup(spark: SparkSession, docs: DataFrame, least: int = LEAST, shortest: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 (of the remaining text, UTF-8) for every document."""
     slim = docs.select("doc_id", "text", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"))
-    out = deduplicated(spark, slim, least)
+    out = deduplicated(spark, slim, least, shortest=shortest)
     return out.select("doc_id", "n_lines", F.col("lines_removed_").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -74,6 +74,27 @@ def test_fixture(spark, docs, rows):
     assert lines.line_dedup(spark, docs).count() == len(rows)
 
 
+@pytest.mark.parametrize("shortest", [1, 5])
+def test_short_lines(spark, shortest):
+    """Short lines go if an equal one stands earlier, and only then; one edit is not enough."""
+    rng = random.Random(9)
+    short = ["a", "é", "Yes.", " yes. ", "yes!", "Chapter", "chapter", "chapters", "", "  ", "nineteen characters", "twenty characters ok", "twenty characters o"]
+    rows = [(d, "\n".join(rng.choice(short) for _ in range(rng.randint(1, 4))), "en", "s", 1) for d in range(30)]
+    seen, far, want = set(), [], {}
+    for d, text, *_ in rows:
+        kept = []
+        for line in text.split("\n"):
+            key = line.strip(" \t").translate(LOW)
+            near = len(key) >= 20 and any(distance(key, s) <= 1 for s in far)
+            if not near and (key not in seen or len(key) < shortest or not key):
+                kept.append(line)
+            seen.add(key)
+            far += [key] * (len(key) >= 20)
+        want[d] = "\n".join(kept)
+    got = lines.deduplicated(spark, spark.createDataFrame(rows, SCHEMA), shortest=shortest).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want
+
+
 def test_within_one():
     rng = random.Random(2)
     for _ in range(3000):
