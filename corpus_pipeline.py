@@ -21,15 +21,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines within one edit of an earlier line go.
+    """Lines within one edit of an earlier line go, short ones if they equal an earlier line.
 
-    A document goes with them if no word is left, or if what is left is less than half of it and
-    has no line long enough to be compared: then all that it had to say stands elsewhere.
+    A document goes with them only if no word is left.
     """
-    out = lines.deduplicated(spark, docs.withColumn("chars_", F.length("text")))
+    out = lines.deduplicated(spark, docs, shortest=1)
     touched = F.col("lines_removed_") > 0
-    comparable = F.exists(F.split("text", "\n", -1), lambda x: F.length(F.trim(x)) >= lines.LEAST)
-    stays = F.col("text").rlike(r"[^\x20\x09-\x0D]") & (comparable | (2 * F.length("text") >= F.col("chars_")))
+    stays = F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.filter(~touched | stays).withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

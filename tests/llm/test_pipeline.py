@@ -62,3 +62,14 @@ def test_run(spark, sf_dir):
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert got.count() > 250
     assert got.groupBy("sequence_id").sum("length").filter("`sum(length)` > 2048").count() == 0
+
+
+def test_line_stage_keeps_words(spark):
+    """Under a long line that many share, a short line that stands nowhere earlier keeps its document."""
+    import corpus_pipeline
+
+    licence = "This licence stands at the head of very many documents. " * 3
+    texts = [licence + "\nfirst line", licence + "\nred\nblue", licence + "\nRED\n blue ", licence + "\nred\ngreen", licence, "red", "pink"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    assert got == {0: (texts[0], len(texts[0])), 1: ("red\nblue", 8), 3: ("green", 5), 6: ("pink", 4)}
