@@ -1,8 +1,9 @@
 """Benchmark decontamination: q-gram lemma filtering in overlapping diagonal bands, then banded alignment.
 
 Texts and items are compared lower-cased (Latin letters), with each run of white space as one space. An item
-longer than WINDOW bytes is sought as overlapping windows of that length (every half window,
-and the last one), a shorter one as a whole, so that part of an item counts as well. A window
+longer than WINDOW bytes is sought as overlapping windows of that length (every quarter window,
+and the last one), a shorter one as a whole, so that part of an item counts as well: a verbatim
+excerpt of WINDOW + WINDOW / 4 - 1 bytes holds a window wherever it begins. A window
 of w bytes may differ in k = floor(share * w) edits; by the q-gram lemma a passage within that
 budget shares at least w + 1 - q * (k + 1) of its q-grams with the window, all of them within k
 diagonals. Hits are counted in bands of 2k diagonals that overlap by k; what reaches the bound
@@ -72,7 +73,7 @@ def indexed(items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, shar
             continue
         first = len(ids)
         w = min(n, window)
-        for a in sorted({*range(0, n - w + 1, max(1, window // 2)), n - w}):
+        for a in sorted({*range(0, n - w + 1, max(1, window // 4)), n - w}):
             k = max(0, min(int(share * w), (w - q) // q))
             ids.append(item)
             starts.append(a)

@@ -162,6 +162,16 @@ def test_contamination(spark):
     assert {r["doc_id"] for r in decontamination.clean(spark, docs, bench).collect()} == {k for k, w in enumerate(want) if not w}
 
 
+def test_excerpts_of_an_item(spark):
+    """124 bytes of a longer item are found wherever they begin."""
+    rng = random.Random(12)
+    item = re.sub(r"\s+", " ", prose(rng, 80)).lower().replace("ß", "s").replace("é", "e")[:300]
+    texts = [prose(rng, 30) + " " + item[a : a + 124] + " " + prose(rng, 30) for a in range(0, 176, 5)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], SCHEMA)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert decontamination.contamination(spark, docs, bench).filter("not contaminated").count() == 0
+
+
 def test_blocks_of_the_benchmark(spark, monkeypatch):
     rng = random.Random(1)
     items = [(i, prose(rng, 40)) for i in range(9)]
