@@ -1,9 +1,9 @@
-"""Text quality by a factorisation machine over hashed words, structure statistics and metadata.
+"""Text quality by a factorisation machine over hashed words and structure statistics.
 
 A text's features are its words (hashed into BUCKETS; each occurrence weighs 1/n of n words)
 and its statistics: shares of kinds of characters, lengths, repetition, lines, each cut at the
-quantiles of the training sample into BINS one-hot features. Metadata columns that the caller
-names (the query names none but the text's own length) are cut in the same way.
+quantiles of the training sample into BINS one-hot features. Metadata columns are left out: no
+column but the text is read.
 
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)): all
 pairwise interactions at a cost linear in the number of features.
