@@ -24,8 +24,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +33,8 @@ from tessera.llm import textkit as K
 from tessera.llm.neardup import _runs
 
 LEAST = 20
-#: Lines with a common half that one task compares; more go by a shuffle of their variants.
-GROUP = 20_000
+#: Characters of lines with a common half that one task compares; more go by a shuffle of their variants.
+GROUP = 2_000_000
 
 
 def split(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -80,7 +80,7 @@ class Lines:
 
 
 def described(docs: DataFrame, least: int, shortest: int) -> DataFrame:
-    """A row for each comparable line: doc_id, line, h1, h2 and keys (of its halves; none under `least` characters)."""
+    """A row for each comparable line: doc_id, line, size (characters), h1, h2 and keys (of its halves; none under `least` characters)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,9 +96,9 @@ def described(docs: DataFrame, least: int, shortest: int) -> DataFrame:
                 pick[odd, 2:] = False
                 pick[~near] = False
                 keys = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat[pick.reshape(-1)]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(own.number, pa.int32()), pa.array(own.h1.view(np.int64)), pa.array(own.h2.view(np.int64)), keys], names=["doc_id", "line", "h1", "h2", "keys"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(own.number, pa.int32()), pa.array(own.n, pa.int32()), pa.array(own.h1.view(np.int64)), pa.array(own.h2.view(np.int64)), keys], names=["doc_id", "line", "size", "h1", "h2", "keys"])
 
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, h1 long, h2 long, keys array<long>")
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, size int, h1 long, h2 long, keys array<long>")
 
 
 def within_one(x: str, y: str) -> bool:
@@ -155,29 +155,36 @@ def _joined(texts: list[str], heads: np.ndarray, doc: np.ndarray, line: np.ndarr
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (key, head, doc_id, line, text) sorted by key: each line's earliest neighbour in its group."""
+    """For rows (key, head, doc_id, line, text) sorted by key: each line's earliest neighbour in its group.
+
+    Groups are compared together until they hold GROUP characters, the bound of a single one.
+    """
     for table in _runs(batches, ["key"], 2048):
-        doc, line = np.asarray(table["doc_id"].combine_chunks()), np.asarray(table["line"].combine_chunks()).astype(np.int64)
         key = np.asarray(table["key"].combine_chunks()).view(np.uint64)
-        heads = np.asarray(table["head"].combine_chunks().cast(pa.int8())).astype(bool)
-        a, b = _joined(table["text"].to_pylist(), heads, doc, line, key)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(line[a], pa.int32()), pa.array(doc[b]), pa.array(line[b], pa.int32())], names=["doc_id", "line", "by_doc", "by_line"])
+        whole = np.flatnonzero(np.concatenate((key[1:] != key[:-1], [True]))) + 1
+        size = np.cumsum(pc.utf8_length(table["text"].combine_chunks()).to_numpy(zero_copy_only=False))[whole - 1]
+        lo = 0
+        while lo < len(key):
+            base = size[np.searchsorted(whole, lo)] if lo else 0
+            hi = int(whole[max(np.searchsorted(whole, lo, "right"), int(np.searchsorted(size, base + GROUP, "right")) - 1)])
+            part = table.slice(lo, hi - lo)
+            doc, line = np.asarray(part["doc_id"].combine_chunks()), np.asarray(part["line"].combine_chunks()).astype(np.int64)
+            heads = np.asarray(part["head"].combine_chunks().cast(pa.int8())).astype(bool)
+            a, b = _joined(part["text"].to_pylist(), heads, doc, line, key[lo:hi])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(line[a], pa.int32()), pa.array(doc[b]), pa.array(line[b], pa.int32())], names=["doc_id", "line", "by_doc", "by_line"])
+            lo = hi
 
 
 def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The variants of lines of very common halves as rows: code (the hashed key), kind, doc_id, line, text."""
+    """The variants of lines of very common halves as rows: code (the hashed key), kind, doc_id, line."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 64):
-            part = batch.slice(lo, 64)
-            codes, kinds, own = [], [], []
-            for k, (text, head, key) in enumerate(zip(part.column("text").to_pylist(), part.column("head").to_pylist(), part.column("key").to_pylist())):
-                swap, cut, whole = variants(text, head)
-                salt = np.array([key]).view(np.uint64)[0]
-                codes += [swap ^ salt, cut + salt, np.array([whole]) + salt]
-                kinds.append(np.repeat(np.array([0, 1, 2], np.int32), [len(swap), len(cut), 1]))
-                own.append(np.full(len(swap) + len(cut) + 1, k))
-            at = pa.array(np.concatenate(own))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes).view(np.int64)), pa.array(np.concatenate(kinds)), *(part.column(c).take(at) for c in ("doc_id", "line", "text"))], names=["code", "kind", "doc_id", "line", "text"])
+        for k, (text, head, key) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "head", "key")))):
+            swap, cut, whole = variants(text, head)
+            salt = np.array([key]).view(np.uint64)[0]
+            codes = np.concatenate((swap ^ salt, cut + salt, np.array([whole]) + salt))
+            kinds = np.repeat(np.array([0, 1, 2], np.int32), [len(swap), len(cut), 1])
+            at = pa.array(np.full(len(codes), k))
+            yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(kinds), *(batch.column(c).take(at) for c in ("doc_id", "line"))], names=["code", "kind", "doc_id", "line"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,24 +194,31 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_shuffle(common: DataFrame) -> DataFrame:
-    """The same join on rows, for halves shared by more lines than one task takes."""
-    rows = common.mapInArrow(_emitted, "code long, kind int, doc_id long, line int, text string")
-    first = rows.groupBy("code", "kind").agg(F.min(F.struct("doc_id", "line", "text")).alias("by"))
+    """The same join on rows of hashes, for halves shared by more text than one task takes; the texts follow for what is left."""
+    rows = common.mapInArrow(_emitted, "code long, kind int, doc_id long, line int")
+    first = rows.groupBy("code", "kind").agg(F.min(F.struct("doc_id", "line")).alias("by"))
     meets = F.when(F.col("kind") == 0, 0).otherwise(3 - F.col("kind"))
-    pairs = rows.join(first.select("code", meets.alias("kind"), "by"), ["code", "kind"]).filter("struct(by.doc_id, by.line) < struct(doc_id, line)")
-    return pairs.select("doc_id", "line", F.col("by.doc_id").alias("by_doc"), F.col("by.line").alias("by_line"), "text", F.col("by.text").alias("by_text")).mapInArrow(_verified, "doc_id long, line int, by_doc long, by_line int")
+    pairs = rows.join(first.select("code", meets.alias("kind"), "by"), ["code", "kind"]).filter("by < struct(doc_id, line)")
+    pairs = pairs.select("doc_id", "line", F.col("by.doc_id").alias("by_doc"), F.col("by.line").alias("by_line")).distinct()
+    texts = common.groupBy("doc_id", "line").agg(F.first("text").alias("text"))
+    by = texts.select(F.col("doc_id").alias("by_doc"), F.col("line").alias("by_line"), F.col("text").alias("by_text"))
+    return pairs.join(texts, ["doc_id", "line"]).join(by, ["by_doc", "by_line"]).select("doc_id", "line", "by_doc", "by_line", "text", "by_text").mapInArrow(_verified, "doc_id long, line int, by_doc long, by_line int")
 
 
 def dropped(spark: SparkSession, docs: DataFrame, least: int = LEAST, group: int = GROUP, shortest: int | None = None) -> DataFrame:
-    """(doc_id, lines): for each document that loses lines, their numbers in order."""
+    """(doc_id, lines): for each document that loses lines, their numbers in order.
+
+    Joins are sort-merge ones at every size, so that small corpora cost what large ones do.
+    """
     table = K.stored(spark, described(docs, least, least if shortest is None else min(least, shortest)), "lines")
     place = F.struct("doc_id", "line")
-    classes = table.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("keys").alias("keys"))
+    classes = table.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     classes = K.stored(spark, classes, "line_classes")
-    halves = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), F.explode("keys").alias("key"))
-    shared = K.stored(spark, halves.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "shared_halves")
+    halves = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "size", F.explode("keys").alias("key"))
+    shared = halves.groupBy("key").agg(F.count("*").alias("many"), F.sum("size").alias("total")).filter("many > 1").select("key", (F.col("total") > group).alias("common"))
+    shared = K.stored(spark, shared, "shared_halves")
     halves = halves.filter(K.sieve(shared, "key")("key"))
-    wanted = K.stored(spark, halves.join(shared, "key").groupBy("doc_id").agg(F.collect_list(F.struct("line", "key", (F.col("many") > group).alias("common"))).alias("wanted")), "wanted")
+    wanted = K.stored(spark, halves.join(shared.hint("merge"), "key").groupBy("doc_id").agg(F.collect_list(F.struct("line", "key", "common")).alias("wanted")), "wanted")
     maybe = K.sieve(wanted, "doc_id")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +236,7 @@ def dropped(spark: SparkSession, docs: DataFrame, least: int = LEAST, group: int
                 cols = [*zip(*rows)] or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.string(), pa.bool_()))], names=["key", "head", "doc_id", "line", "text", "common"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(maybe("doc_id")).join(wanted, "doc_id")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(maybe("doc_id")).join(wanted.hint("merge"), "doc_id")
     meeting = source.mapInArrow(texts, "key long, head boolean, doc_id long, line int, text string, common boolean").dropDuplicates(["key", "doc_id", "line"])
     meeting = K.stored(spark, meeting, "meeting")
     local = meeting.filter("not common").repartition("key").sortWithinPartitions("key").mapInArrow(_neighbours, "doc_id long, line int, by_doc long, by_line int")
@@ -230,39 +244,29 @@ def dropped(spark: SparkSession, docs: DataFrame, least: int = LEAST, group: int
     earliest = near.groupBy("doc_id", "line").agg(F.min(F.struct(F.col("by_doc").alias("doc_id"), F.col("by_line").alias("line"))).alias("by"))
     earliest = K.stored(spark, earliest, "earliest")
     some = classes.filter((F.col("last") > F.col("first")) | K.sieve(earliest, "doc_id")("first.doc_id"))
-    bounds = some.select("h1", "h2", "first", "last", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")).join(earliest, ["doc_id", "line"], "left")
+    bounds = some.select("h1", "h2", "first", "last", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")).join(earliest.hint("merge"), ["doc_id", "line"], "left")
     bounds = K.stored(spark, bounds.filter("last > first or by is not null").select("h1", "h2", F.coalesce(F.least("first", "by"), "first").alias("from")), "bounds")
-    gone = table.select("doc_id", "line", "h1", "h2").filter(K.sieve(bounds, "h1")("h1")).join(bounds, ["h1", "h2"]).filter("struct(doc_id, line) > from")
+    gone = table.select("doc_id", "line", "h1", "h2").filter(K.sieve(bounds, "h1")("h1")).join(bounds.hint("merge"), ["h1", "h2"]).filter("struct(doc_id, line) > from")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, least: int = LEAST, group: int = GROUP, shortest: int | None = None) -> DataFrame:
-    """docs, all rows and columns, with text rid of its repeated lines and lines_removed_ (int).
+def deduplicated(spark: SparkSession, docs: DataFrame, least: int = LEAST, group: int = GROUP, shortest: int | None = None, removed: str = "lines_removed_") -> DataFrame:
+    """docs, all rows and columns, with text rid of its repeated lines and the column `removed` (int).
 
     A null text stays null, an empty one empty; rows without doc_id are left as they are and not
     compared. Repeated rows of one doc_id count as one document: its lines are compared as places
-    (doc_id, line), so equal rows keep equal texts. docs must have no column named lines_removed_.
+    (doc_id, line), so equal rows keep equal texts. A column of docs named as `removed` is
+    replaced; any other name may occur.
     """
-    lost = K.stored(spark, dropped(spark, docs, least, group, shortest), "dropped")
-    maybe = K.sieve(lost, "doc_id")
-    names = docs.columns
-    out = [F.col(c) for c in names]
-
-    @F.pandas_udf("string")
-    def left(text: pd.Series, lines: pd.Series) -> pd.Series:
-        def cut(t, drop):
-            if t is None or drop is None:
-                return t
-            gone = {int(x) for x in drop}
-            return "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
-
-        return pd.Series([cut(t, d) for t, d in zip(text, lines)], dtype=object)
-
-    touched = docs.filter(F.coalesce(maybe(F.col("doc_id").cast("long")), F.lit(False)))
-    rest = docs.filter(~F.coalesce(maybe(F.col("doc_id").cast("long")), F.lit(False)))
-    joined = touched.join(lost.withColumnsRenamed({"doc_id": "lost_doc_", "lines": "lost_lines_"}), F.col("doc_id").cast("long") == F.col("lost_doc_"), "left")
-    joined = joined.withColumn("lines_removed_", F.coalesce(F.size("lost_lines_"), F.lit(0))).withColumn("lines_removed_", F.greatest("lines_removed_", F.lit(0))).withColumn("text", left("text", "lost_lines_"))
-    return joined.select(*out, "lines_removed_").union(rest.select(*out, F.lit(0).alias("lines_removed_")))
+    lost = K.settled(spark, lambda: dropped(spark, docs, least, group, shortest), "dropped")
+    maybe = F.coalesce(K.sieve(lost, "doc_id")(F.col("doc_id").cast("long")), F.lit(False))
+    names = [c for c in docs.columns if c.lower() != removed.lower()]
+    doc, gone = K.unused("lost_doc_", docs.columns), K.unused("lost_lines_", docs.columns)
+    joined = docs.filter(maybe).join(lost.select(F.col("doc_id").alias(doc), F.col("lines").alias(gone)).hint("merge"), F.col("doc_id").cast("long") == F.col(doc), "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, k: ~F.array_contains(F.col(gone), k.cast("int"))), "\n")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)
+    touched = joined.select(*(text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in names), F.coalesce(F.size(gone), F.lit(0)).alias(removed))
+    return touched.withColumn(removed, F.greatest(removed, F.lit(0))).union(docs.filter(~maybe).select(*(f"`{c}`" for c in names), F.lit(0).alias(removed)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, least: int = LEAST, shortest: int | None = None) -> DataFrame:

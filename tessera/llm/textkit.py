@@ -7,10 +7,11 @@ array passes and no Python loop over characters or words. Nulls count as empty t
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +183,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that stored() wrote within the innermost settled(), if there is one.
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df written once as a table in the shared folder and read back: lineage ends here.
 
@@ -190,14 +195,46 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     small_batches(spark)
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """build() as a stored table; the tables that it stored on the way go once it is written."""
+    own: list[str] = []
+    outer = _made.set(own)
+    try:
+        out = stored(spark, build(), name)
+    finally:
+        _made.reset(outer)
+    if (made := _made.get()) is not None:
+        made.append(own[-1])
+    for path in own[:-1]:
+        deleted(spark, path)
+    return out
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a table of stored() that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, with as many underscores as keep it from clashing with a column (case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
     """Rows of text are long: Spark's default of 10,000 would make Arrow batches of tens of MB each way."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, str(rows))
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(name).rstrip("bB")  # sizes in other units are the caller's own
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -205,25 +242,30 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Bits of a sieve: its size never depends on the number of ids.
-SIEVE = 1 << 23
+#: Bits of a sieve for each id (about 1 in 16 other ids passes), and the ids beyond which there is none.
+SIEVE, SIEVE_IDS = 16, 1 << 24
 
 
-def sieve(df: DataFrame, name: str):
+def sieve(df: DataFrame, name: str) -> Callable[[str | Column], Column]:
     """A predicate on ids (long) that holds for all ids in df's column, and for few others.
 
-    The ids set bits of a map of fixed size (1 MB) in a distributed aggregate; where the ids
-    outgrow the map it lets more pass, and stays correct. Use it to keep rows that cannot match
-    out of a shuffle.
+    The ids are counted, then set bits of a map of that size in a distributed aggregate; the map
+    reaches all tasks, 32 MB of it at most. More than SIEVE_IDS ids have no map: the predicate
+    then holds always, and the join behind it sorts out every row. Use it to keep rows that
+    cannot match out of a shuffle.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
+    count = df.count()
+    if count > SIEVE_IDS:
+        return lambda c: F.lit(True)
+    size = 1 << max(16, (SIEVE * count - 1).bit_length())
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
     bits = df.select(slot(F.col(name).cast("long")).alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b"))
-    words_ = np.zeros(SIEVE // 64, np.uint64)
+    words_ = np.zeros(size // 64, np.uint64)
     got = bits.toArrow()
     words_[np.asarray(got["w"], np.int64)] = np.asarray(got["b"], np.int64).view(np.uint64)
     table = df.sparkSession.createDataFrame([(bytearray(words_.tobytes()),)], "bits binary")
 
-    def holds(c) -> Column:
+    def holds(c: str | Column) -> Column:
         s = slot((F.col(c) if isinstance(c, str) else c).cast("long"))
         byte = F.conv(F.hex(F.substring(table.scalar(), (F.floor(s / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
         return F.floor(byte / F.pow(F.lit(2), s % 8)) % 2 == 1

@@ -102,6 +102,17 @@ def test_within_one():
         assert lines.within_one(x, y) == (distance(x, y) <= 1)
 
 
+def test_clashing_names_and_long_lines(spark):
+    """Columns with the operator's own names stay; a very long line among groups of short ones."""
+    long = "abcdefghij klm" * 40_000
+    rows = [(1, long, 7, "x"), (2, long + "!", 8, "y"), (3, "z" * 30 + "\n" + long[:-1], 9, "z"), (4, "z" * 31, 1, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lost_doc_ int, Lost_Lines_ string")
+    got = {r["doc_id"]: r for r in lines.deduplicated(spark, docs, removed="gone").collect()}
+    assert {d: (r["gone"], len(r["text"]), r["lost_doc_"], r["Lost_Lines_"]) for d, r in got.items()} == {1: (0, len(long), 7, "x"), 2: (1, 0, 8, "y"), 3: (1, 30, 9, "z"), 4: (1, 0, 1, "w")}
+    again = lines.deduplicated(spark, docs.withColumnRenamed("lost_doc_", "lines_removed_"))
+    assert again.columns == ["doc_id", "text", "Lost_Lines_", "lines_removed_"]
+
+
 def test_odd_rows(spark, odd, empty):
     out = lines.deduplicated(spark, odd)
     assert out.columns == [*odd.columns, "lines_removed_"]
