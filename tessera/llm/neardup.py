@@ -8,7 +8,7 @@ chunks, two such signatures have a chunk with at most ERRORS // CHUNKS = 1 diffe
 so one key for each way to leave a symbol of a chunk out meets them in some key.
 
 1. Equal sets are one class, named by its least doc_id; from here on only classes are searched.
-2. Keys with the same members are kept once (their counts, bounds and checksums agree). In each
+2. Keys with the same members are kept once (their counts, least members and checksums agree). In each
    key a forest of the pairs within ERRORS is kept, never all pairs. Very large keys are kept as
    a star, which can only widen the search.
 3. Connected candidates are a cluster. Only clusters read their texts again; in each, pairs are
@@ -258,28 +258,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     with_set = table.filter("n > 0 and doc_id is not null")
     classes = with_set.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
     classes = K.stored(spark, classes.withColumn("cls", F.xxhash64("h1", "h2")), "classes")
+    links = K.settled(spark, lambda: _links(spark, docs, classes, width, percent), "links")
+    parts = K.settled(spark, lambda: components(spark, links), "parts")
+    linked = parts.join(classes.select(F.col("cls").alias("node"), "h1", "h2", "doc_id"), "node")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = linked.join(least, "component").select("h1", "h2", "least")
+    own = classes.select("h1", "h2", F.col("doc_id").alias("own")).join(named, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("least", "own").alias("component_id"))
+    full = with_set.select("doc_id", "n", "h1", "h2").join(own, ["h1", "h2"]).select("doc_id", "n", "component_id")
+    rest = table.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = full.union(rest).withColumnRenamed("n", "n_shingles")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _links(spark: SparkSession, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v): confirmed links that join each component of classes (cls, doc_id, h1, h2, sig).
+
+    Joins that grow with the corpus are sort-merge ones at every size.
+    """
     keys = classes.select("cls", "sig").mapInArrow(_keys, "key long, cls long")
-    groups = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.sum(F.shiftright("cls", 8)).alias("s")).filter("c > 1")
-    groups = K.stored(spark, groups.groupBy("c", "lo", "hi", "s").agg(F.min("key").alias("key")), "groups")
-    member = keys.join(groups.select("key", "c", "lo"), "key")
+    groups = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("cls").alias("lo"), F.sum(F.shiftright("cls", 8)).alias("s")).filter("c > 1")
+    groups = K.stored(spark, groups.groupBy("c", "lo", "s").agg(F.min("key").alias("key")), "groups")
+    maybe = K.sieve(groups, "key")
+    member = keys.filter(maybe("key")).join(groups.select("key", "c", "lo").hint("merge"), "key")
     star = member.filter(F.col("c") > 2 * BLOCK).filter("cls <> lo").select(F.col("cls").alias("u"), F.col("lo").alias("v"))
-    small = member.filter(F.col("c") <= 2 * BLOCK).select("key", "cls").join(classes.select("cls", "sig"), "cls").select("key", "cls", "sig")
+    small = member.filter(F.col("c") <= 2 * BLOCK).select("key", "cls").join(classes.select("cls", "sig").hint("merge"), "cls").select("key", "cls", "sig")
     forest = small.repartition("key").sortWithinPartitions("key").mapInArrow(_forest, "u long, v long")
     clusters = components(spark, star.union(forest)).withColumnRenamed("component", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    found = clusters.withColumnRenamed("node", "cls").join(classes, "cls").join(sizes, "cluster")
-    texts = docs.select("doc_id", "text").join(found, "doc_id").select("cls", "cluster", "size", "h1", "h2", "sig", "text")
+    found = K.stored(spark, clusters.withColumnRenamed("node", "cls").join(classes, "cls").join(sizes, "cluster"), "clustered")
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.coalesce(K.sieve(found, "doc_id")(F.col("doc_id").cast("long")), F.lit(False)))
+    texts = asked.join(found.hint("merge"), "doc_id").select("cls", "cluster", "size", "h1", "h2", "sig", "text")
     dealt = texts.mapInArrow(_sets(width), "cls long, cluster long, size long, sig binary, set binary")
     dealt = dealt.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "sig", "set")
-    links = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_confirm(percent), "u long, v long")
-    parts = components(spark, links)
-    linked = parts.join(classes.select(F.col("cls").alias("node"), "h1", "h2", "doc_id"), "node")
-    least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
-    named = linked.join(least, "component").select("h1", "h2", "least")
-    own = classes.select("h1", "h2", F.col("doc_id").alias("own")).join(named, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("least", "own").alias("component_id"))
-    full = with_set.select("doc_id", "n", "h1", "h2").join(own, ["h1", "h2"]).select("doc_id", "n", "component_id")
-    rest = table.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    out = full.union(rest).withColumnRenamed("n", "n_shingles")
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_confirm(percent), "u long, v long")
