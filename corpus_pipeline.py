@@ -23,19 +23,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines within one edit of an earlier line go, short ones if they equal an earlier line.
 
-    A document goes with them only if no word is left.
+    A document goes with them only if no word is left. Nulls, repeated rows and ties: as in
+    lines.deduplicated. n_chars follows the text; it must be there.
     """
-    out = lines.deduplicated(spark, docs, shortest=1)
-    touched = F.col("lines_removed_") > 0
+    count = K.unused("lines_removed_", docs.columns)
+    out = lines.deduplicated(spark, docs, shortest=1, removed=count)
+    touched = F.col(count) > 0
     stays = F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.filter(~touched | stays).withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the least doc_id."""
-    gone = K.stored(spark, neardup.near_duplicates(spark, docs, width=5, percent=75).filter("not kept").select("doc_id"), "near_gone")
+    """One document of each group of near duplicates stays, the one with the least doc_id.
+
+    Rows of one doc_id stay or go together; rows without doc_id, and texts without words, stay.
+    """
+    gone = K.settled(spark, lambda: neardup.near_duplicates(spark, docs, width=5, percent=75).filter("not kept").select("doc_id").distinct(), "near_gone")
     maybe = F.coalesce(K.sieve(gone, "doc_id")(F.col("doc_id").cast("long")), F.lit(False))
-    return docs.filter(~maybe).union(docs.filter(maybe).join(gone, "doc_id", "left_anti").select(*docs.columns))
+    return docs.filter(~maybe).union(docs.filter(maybe).join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +68,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = K.documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = K.stored(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = K.settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
