@@ -48,8 +48,26 @@ def valid_until(anchor: Column, relation: Column, as_of: str) -> Column:
 
 
 def is_expired(until: Column, as_of: str) -> Column:
-    """A date counts until the end of its day; blank never expires."""
-    return F.coalesce(F.try_to_date(until, "yyyy-MM-dd") < F.lit(as_of).cast("date"), F.lit(False))
+    """Whether a date, or a moment, has passed at as_of (either as well). A date counts until the end of its day; blank or unreadable never expires."""
+    text = F.trim(until)
+    day = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd").cast("timestamp") + F.expr("INTERVAL 1 DAY"))
+    now = F.lit(as_of).cast("timestamp")
+    return F.coalesce(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), day <= now).otherwise(F.try_to_timestamp(text) < now), F.lit(False))
+
+
+def latest_past_date(text: Column, as_of: str, first_year: int = 1990) -> Column:
+    """The latest date in the text that is not after as_of; a year and month alone count as their first day.
+
+    Days that a month does not have run on into the next one. Null without a date.
+    """
+    found = []
+    for pattern, day in ((r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日", True), (r"(\d{4})\s*年\s*(\d{1,2})\s*月(?!\s*\d{1,2}\s*日)", False), (r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})", True)):
+        parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in ((1, 2, 3) if day else (1, 2, 1))]
+        rows = F.arrays_zip(*(p.alias(n) for p, n in zip(parts, "ymd")))
+        number = lambda x: x.try_cast("int")
+        ok = F.filter(rows, lambda s: number(s["m"]).between(1, 12) & (F.lit(True) if not day else number(s["d"]).between(1, 31)) & (number(s["y"]) >= first_year))  # noqa: B023
+        found.append(F.transform(ok, lambda s: F.date_add(F.make_date(number(s["y"]), number(s["m"]), F.lit(1)), number(s["d"]) - 1 if day else F.lit(0))))  # noqa: B023
+    return F.array_max(F.filter(F.concat(*found), lambda d: d <= F.lit(as_of).cast("date")))
 
 
 def monday_of(ts: Column, hours: int = 8) -> Column:

@@ -6,7 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Corrections (word, its right form), noise before an entity, clause markers, suffixes and stop words.
-TERM_RULES = (("opc", "OCP"), ("octp", "OCTC"), ("baidci?", "AIDC"), ("ai ?dc", "AIDC"), ("openbmc", "OpenBMC"), ("hpos", "HPoS"))
+TERM_RULES = (
+    ("(?i)(?<![A-Za-z0-9_])opc(?![A-Za-z0-9_])", "OCP", "Open Compute Project（开放计算项目）"),
+    ("(?i)(?<![A-Za-z0-9_])octp(?![A-Za-z0-9_])", "OCTC", "开放数据中心标准推进委员会"),
+    ("(?i)(?<![A-Za-z0-9_])baidci?(?![A-Za-z0-9_])", "AIDC", "AI Data Center（人工智能数据中心）"),
+    ("(?i)(?<![A-Za-z0-9_])ai ?dc(?![A-Za-z0-9_])", "AIDC", "AI Data Center（人工智能数据中心）"),
+    ("(?i)(?<![A-Za-z0-9_])openbmc(?![A-Za-z0-9_])", "OpenBMC", "开放基板管理控制器固件项目"),
+    ("(?i)(?<![A-Za-z0-9_])hpos(?![A-Za-z0-9_])", "HPoS", "High Power over Silicon（高功率供电架构）"),
+    ("(?i)(?<![A-Za-z0-9_])fde工程师(?=[A-Za-z0-9_])", "前置部署工程师", "Forward Deployed Engineer 的中文说法"),
+    ("广联达控股(?=[A-Za-z0-9_])", "广联达科技股份有限公司", "全称；上市主体是广联达科技，不是广联达控股"),
+)
 LEAD_NOISE = r"^(我)?(刚才?|昨天|今天|前几天|之前)?(听说|听到|看到|据说|据传|传闻|好像|似乎|了解到)?[，,、：:\s]*"
 CLAUSE_MARKERS = (
     "最近|近期|目前|正在|已经|刚刚|日前|今年|去年|上个?月|本周",
@@ -20,19 +29,22 @@ ENTITY_LIMIT, PROBE, TASKS = 24, 4, 4
 
 
 def correct_terms(text: Column, rules=TERM_RULES) -> Column:
-    """Every rule in order. The edges are ASCII ones, so that a term next to CJK is found as well."""
-    for word, right in rules:
-        text = F.regexp_replace(text, rf"(?i)(?<![A-Za-z0-9_]){word}(?![A-Za-z0-9_])", right)
+    """Every rule in order. The edges of words are ASCII ones, so that a term next to CJK is found as well.
+
+    A term that itself ends in CJK has its edge where a letter or digit follows.
+    """
+    for pattern, right, _ in rules:
+        text = F.regexp_replace(text, pattern, right)
     return text
 
 
 def term_corrections(text: Column, rules=TERM_RULES) -> Column:
-    """array<struct<original, corrected>>: the first hit of each rule that applies."""
+    """array<struct<original, corrected, note>>: the first hit of each rule that applies."""
     out = []
-    for word, right in rules:
-        hit = F.regexp_extract(text, rf"(?i)(?<![A-Za-z0-9_])({word})(?![A-Za-z0-9_])", 1)
-        out.append(F.when(hit != "", F.struct(hit.alias("original"), F.lit(right).alias("corrected"))))
-        text = F.regexp_replace(text, rf"(?i)(?<![A-Za-z0-9_]){word}(?![A-Za-z0-9_])", right)
+    for pattern, right, note in rules:
+        hit = F.regexp_extract(text, f"({pattern})", 1)
+        out.append(F.when(hit != "", F.struct(hit.alias("original"), F.lit(right).alias("corrected"), F.lit(note).alias("note"))))
+        text = F.regexp_replace(text, pattern, right)
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
@@ -76,7 +88,9 @@ def degraded_batches(hits: DataFrame, batch: str, name: str, text: str) -> DataF
 
 
 def salient_terms(text: Column, entity: Column, most: int = 3) -> Column:
-    found = F.concat(F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Z0-9]{1,7})\b"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"\b([A-Z]{1,3}\d{2,4})\b"), F.lit(1)))
+    """Acronyms and model numbers of the text that the entity's name does not hold; ASCII word edges."""
+    patterns = (r"(?<![A-Za-z0-9_])([A-Z][A-Z0-9]{1,7})(?![A-Za-z0-9_])", r"(?<![A-Za-z0-9_])([A-Z]{1,3}\d{2,4})(?![A-Za-z0-9_])")
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns))
     kept = F.filter(F.array_distinct(found), lambda t: ~t.isin(*SALIENT_STOPS) & ~F.contains(F.upper(entity), t))
     return F.slice(kept, 1, most)
 

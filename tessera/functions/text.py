@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters of no width, white space beyond ASCII, and the CJK ranges next to which a space says nothing.
@@ -18,7 +18,9 @@ STRIPPED_TAGS = ("script", "style", "noscript", "head", "nav", "footer", "header
 BOILERPLATE = ("上一页", "下一页", "返回", "分享", "责编", "编辑", "来源")
 BLOCK_TAGS = ("p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "table", "ul", "ol")
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
-LEGAL_WORDS = ("inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "llc", "plc", "gmbh", "ag", "sa", "holdings", "group")
+SCALE_WORDS = ("规模", "市场", "份额", "营收", "收入", "盘子", "预估", "客单", "总量", "产值", "出货", "存量", "空间")
+SCALE_NUMBER = r"(?:人民币|约|超过|逾|近|已达|达)?\s*\d[\d,.]*\s*(?:亿美元|万美元|亿元|万元|亿|万|千万|百万|美元|元)"
+LEGAL_WORDS = ("inc", "corp", "corporation", "co", "ltd", "limited", "llc", "lp", "plc", "holding", "holdings", "technologies", "technology", "group", "acquisition", "sa", "se", "nv", "ag", "holdco")
 
 
 def normalize_corpus(text: Column) -> Column:
@@ -55,12 +57,18 @@ def claim_text(text: Column, limit: int = 260) -> Column:
     return F.substring(F.regexp_replace(F.lower(text), rf"[\s\p{{P}}\p{{S}}]+", ""), 1, limit)
 
 
+def clean_company_name(name: Column) -> Column:
+    """Without brackets, what stands in parentheses, addresses of pages and closing punctuation."""
+    t = F.regexp_replace(F.regexp_replace(name, r"[\[\]]", ""), r"\([^)]*\)", " ")
+    t = F.regexp_replace(F.regexp_replace(t, rf"https?://[^{WHITE}]+", " "), f"[{WHITE}]+", " ")
+    return F.trim(F.regexp_replace(t, r"[-–—,.;:|]+$", ""))
+
+
 def company_key(name: Column) -> Column:
-    """A company's name without legal words and punctuation."""
-    low = F.regexp_replace(F.lower(F.trim(name)), "&", " and ")
-    words = F.regexp_replace(low, r"[^a-z0-9\x{4E00}-\x{9FFF}]+", " ")
-    kept = F.filter(F.split(F.trim(words), " +"), lambda w: ~w.isin(*LEGAL_WORDS))
-    return F.array_join(kept, "")
+    """A cleaned company name as a key: no legal words, no punctuation, & as a word."""
+    low = F.replace(F.lower(clean_company_name(name)), F.lit("&"), F.lit(" and "))
+    low = F.regexp_replace(low, rf"(?<![a-z0-9_])({'|'.join(LEGAL_WORDS)})(?![a-z0-9_])", " ")
+    return F.regexp_replace(low, r"[^a-z0-9\x{4E00}-\x{9FFF}]+", "")
 
 
 def is_placeholder(value: Column) -> Column:
@@ -79,6 +87,47 @@ def entity_key(name: Column) -> Column:
     return key(name)
 
 
+def coverage_text(text: Column) -> Column:
+    """NFKC, lower-cased, without white space: the form in which terms are looked for in a reference."""
+
+    @F.pandas_udf("string")
+    def form(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda s: None if s is None else "".join(unicodedata.normalize("NFKC", s).lower().split()))
+
+    return form(text)
+
+
+def hanzi_count(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[\x{3400}-\x{9FFF}]"))
+
+
+def truncated_hanzi(text: Column, most: int) -> Column:
+    """The text up to its first `most` Chinese characters, with an ellipsis if one more follows."""
+    kept = F.regexp_extract(text, rf"(?s)^((?:[^\x{{3400}}-\x{{9FFF}}]*[\x{{3400}}-\x{{9FFF}}]){{0,{most}}}[^\x{{3400}}-\x{{9FFF}}]*)", 1)
+    return F.when(F.length(kept) < F.length(text), F.concat(kept, F.lit("…"))).otherwise(text)
+
+
+def sentence_count(text: Column) -> Column:
+    """Parts between full stops, question and exclamation marks that are not blank."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[。！？!?]+"), lambda x: F.trim(x) != ""))
+
+
+def limit_breaches(rows: DataFrame, limits: dict[str, tuple[str, int]]) -> DataFrame:
+    """(all columns of rows, field, kind, found, most): limits name for a column "characters" or "sentences" and the most of them."""
+    cells = [F.struct(F.lit(c).alias("field"), F.lit(kind).alias("kind"), (hanzi_count if kind == "characters" else sentence_count)(F.col(c)).alias("found"), F.lit(most).alias("most")) for c, (kind, most) in limits.items()]
+    return rows.select("*", F.explode(F.array(*cells)).alias("l_")).filter("l_.found > l_.most").select(*rows.columns, "l_.*")
+
+
+def bracketed_label(value: Column, limit: int = 16) -> Column:
+    """What stands before the first bracket, `limit` characters at most."""
+    return F.substring(F.trim(F.regexp_extract(value, "^([^（(]*)", 1)), 1, limit)
+
+
+def mentioned_years(text: Column, first: int = 2000, last: int = 2030) -> Column:
+    """The distinct years 20dd in a text, wherever they stand."""
+    return F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(r"20\d{2}"), F.lit(0))), lambda y: (y >= str(first)) & (y <= str(last)))
+
+
 def decode_entities(text: Column) -> Column:
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
@@ -132,3 +181,9 @@ def keyword_hits(text: Column, words) -> Column:
 def round_half_up(x: Column) -> Column:
     """floor(x + 0.5): halves go up, also below zero."""
     return F.floor(x + 0.5)
+
+
+def scale_numbers(text: Column, words=SCALE_WORDS, number: str = SCALE_NUMBER) -> Column:
+    """The numbers with units of a text that speaks of scale at all, verbatim, each once; an empty array for others."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(number), F.lit(0)), lambda x: F.trim(x)))
+    return F.when(text.rlike("|".join(words)), found).otherwise(F.expr("cast(array() as array<string>)"))

@@ -7,21 +7,29 @@ from pyspark.sql import functions as F
 
 # Parameters that only track, and hosts by the kind of source.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid")
+DISCLOSURE_HOSTS = ("cninfo.com.cn", "sse.com.cn", "szse.cn", "bse.cn", "neeq.com.cn", "csrc.gov.cn", "sasac.gov.cn", "gsxt.gov.cn", "hkexnews.hk", "sec.gov")
 STATUTORY_HOSTS = ("cninfo.com.cn", "sse.com.cn", "szse.cn", "bse.cn", "neeq.com.cn", "csrc.gov.cn", "sasac.gov.cn", "gsxt.gov.cn", "hkexnews.hk", "sec.gov", "beian.cac.gov.cn")
 SELF_PARTS = ("pitchhub.36kr.com", "36kr.com", "weixin.", "shaqiu.cn", "chinapp.net.cn", "zhihu.", "baidu.", "sohu.", "163.com", "qq.com", "toutiao.", "eastmoney.", "10jqka.")
 INDEPENDENT_PARTS = ("xinhuanet.", "people.com.cn", "shobserver.")
 AGGREGATOR_PARTS = ("baidu.", "sina.", "sohu.", "163.com", "qq.com", "toutiao.", "eastmoney.", "10jqka.", "wallstreetcn.", "36kr.", "zhihu.", "weixin.", "bing.", "google.")
 OPAQUE_HOSTS = ("mp.weixin.qq.com", "zhuanlan.zhihu.com", "zhihu.com")
-SEARCH_PARTS = ("bing.com", "baidu.com", "google.com", "sogou.com", "so.com")
+SEARCH_HOSTS = ("baidu.com", "bing.com", "google.com", "google.com.hk", "so.com", "sogou.com")
 GRADE_RANK = {"statutory": 3, "independent": 2, "self": 1, "unverified": 0}
 
 
 def canonical_url(url: Column) -> Column:
-    """Without fragment and tracking parameters; the other parameters keep their order."""
-    bare = F.regexp_extract(url, r"^([^#]*)", 1)
+    """Without fragment and tracking parameters; the other parameters keep their order.
+
+    Scheme and host are lower-cased, a missing path is /, a scheme's own port goes. Escapes stay
+    as they are.
+    """
+    bare = F.regexp_extract(F.trim(url), r"^([^#]*)", 1)
     query = F.filter(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&"), lambda p: (F.length(p) > 0) & ~F.regexp_extract(p, "^([^=]*)", 1).isin(*TRACKING))
-    path = F.regexp_extract(bare, r"^([^?]*)", 1)
-    return F.when(F.size(query) > 0, F.concat(path, F.lit("?"), F.array_join(query, "&"))).otherwise(path)
+    base = F.regexp_extract(bare, r"^([^?]*)", 1)
+    origin = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)", 1)), "^(http://.*):80$", "$1"), "^(https://.*):443$", "$1")
+    path = F.regexp_extract(base, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*(.*)$", 1)
+    whole = F.when(origin == "", base).otherwise(F.concat(origin, F.when(path == "", "/").otherwise(path)))
+    return F.when(F.size(query) > 0, F.concat(whole, F.lit("?"), F.array_join(query, "&"))).otherwise(whole)
 
 
 def host_of(url: Column) -> Column:
@@ -90,10 +98,61 @@ def audit_grade(url: Column, typed: dict[str, tuple[str, ...]], opaque=OPAQUE_HO
 
 
 def is_weak_source(url: Column) -> Column:
-    """Not http, a search engine, or a page of search results."""
-    return ~url.rlike(r"(?i)^https?://") | under(host_of(url), SEARCH_PARTS) | F.contains(url, F.lit("/search?q="))
+    """No address on the web, a search engine, or a page of search results: a path part "search" with a term q."""
+    host = host_of(url)
+    results = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")).rlike(r"(?i)(^|/)search(/|$)") & (F.coalesce(F.try_parse_url(url, F.lit("QUERY"), F.lit("q")), F.lit("")) != "")
+    return ~F.coalesce(url, F.lit("")).rlike(r"(?i)^https?://") | (host == "") | under(host, SEARCH_HOSTS) | results
 
 
 def source_hint(url: Column) -> Column:
     host = host_of(url)
-    return F.when(host == "", "none").when(under(host, STATUTORY_HOSTS), "disclosure").when(holds(host, AGGREGATOR_PARTS), "aggregator").otherwise("other")
+    return F.when(host == "", "none").when(under(host, DISCLOSURE_HOSTS), "disclosure").when(holds(host, AGGREGATOR_PARTS), "aggregator").otherwise("other")
+
+
+def combined_grade(urls: Column, typed: dict[str, tuple[str, ...]], opaque=OPAQUE_HOSTS) -> Column:
+    """The audit grade of an array of URLs: independent before related before unknown."""
+    grades = F.transform(urls, lambda u: audit_grade(u, typed, opaque))
+    return F.when(F.array_contains(grades, "independent"), "independent").when(F.array_contains(grades, "related"), "related").otherwise("unknown")
+
+
+def sanitized_source_type(told: Column, url: Column, human: Column, current: Column) -> Column:
+    """The kind of source as told, if it may stand: independent only for disclosure hosts, internal only with a person named."""
+    kind, host = F.lower(F.trim(F.coalesce(told, F.lit("")))), host_of(url)
+    fallback = F.coalesce(F.nullif(F.trim(current), F.lit("")), F.lit("related"))
+    return (
+        F.when((kind == "independent") & under(host, DISCLOSURE_HOSTS), "independent")
+        .when(kind == "independent", "related")
+        .when((kind == "internal") & (F.trim(F.coalesce(human, F.lit(""))) == ""), fallback)
+        .when(kind.isin("related", "unknown", "internal"), kind)
+        .otherwise(fallback)
+    )
+
+
+def is_private_address(address: Column) -> Column:
+    """Whether an IP address, as text, is one that must not be fetched; text that is none counts as one."""
+    v4 = F.regexp_replace(F.lower(address), "^::ffff:", "")
+    part = lambda k: F.regexp_extract(v4, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", k).try_cast("int")
+    a, b = part(1), part(2)
+    is4 = a.isNotNull() & (F.greatest(a, b, part(3), part(4)) <= 255)
+    inside = (
+        a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 198) & b.isin(18, 19))
+    )
+    is6 = F.contains(address, F.lit(":")) & address.rlike(r"^[0-9A-Fa-f:.]+$")
+    return F.when(is4, inside).when(is6, address.rlike("(?i)^(::1$|::$|fc|fd|fe8|fe9|fea|feb)")).otherwise(True)
+
+
+def fetch_refusal(url: Column) -> Column:
+    """Why an address must not be fetched: unreadable, protocol, credentials or internal; null if it may.
+
+    Names are not resolved: what they resolve to goes through is_private_address.
+    """
+    host, user = host_of(url), F.try_parse_url(url, F.lit("USERINFO"))
+    bare = F.regexp_replace(host, r"^\[|\]$", "")
+    literal = bare.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | F.contains(bare, F.lit(":"))
+    return (
+        F.when(~F.coalesce(url, F.lit("")).rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), "unreadable")
+        .when(~url.rlike("(?i)^https?:"), "protocol")
+        .when(host == "", "unreadable")
+        .when(F.coalesce(user, F.lit("")) != "", "credentials")
+        .when((bare == "localhost") | (literal & is_private_address(bare)), "internal")
+    )

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import MATERIAL_LIMIT, normalize_corpus, scale_numbers
+
 
 def repeat_verdict(sightings: DataFrame, fingerprint: str, seen_at: str, key: str, source: str) -> DataFrame:
     """For each sighting: how often its text was seen before, and whether first elsewhere.
@@ -32,19 +36,42 @@ def corroboration(rows: DataFrame, claim: str, domain: str, content: str, indepe
     return agg.withColumn("status", status)
 
 
+def material(text: Column, limit: int = MATERIAL_LIMIT) -> Column:
+    """The fingerprint of a text as material: the beginning of its normal form."""
+    return F.substring(normalize_corpus(text), 1, limit)
+
+
+def market_mentions(edges: DataFrame, people: DataFrame, relations: list[str]) -> DataFrame:
+    """(seq, signal, org, display, relation) for each end of a signal's edges that may be a row of the map.
+
+    edges: (seq, signal, kind, from_node, to_node, relation); people: (name). An edge between
+    people is none, of one between a person and an organisation only the latter counts; unknown
+    relations and the people of the roster are left out. org is the normal form of the name.
+    """
+    own = edges.filter((F.coalesce("kind", F.lit("")) != "person-person") & F.col("relation").isin(*relations))
+    ends = F.when(F.coalesce("kind", F.lit("")) == "person-org", F.array("to_node")).otherwise(F.array("from_node", "to_node"))
+    rows = own.select("seq", "signal", "relation", F.posexplode(ends).alias("side", "name")).select(F.struct("seq", "side").alias("seq"), "signal", "relation", F.trim(F.coalesce("name", F.lit(""))).alias("display"))
+    rows = rows.withColumn("org", normalize_corpus(F.col("display"))).filter("display <> ''")
+    return rows.join(people.select(normalize_corpus(F.col("name")).alias("org")).filter("org <> ''").distinct(), "org", "left_anti")
+
+
+def off_map(signals: DataFrame, mentions: DataFrame) -> DataFrame:
+    """The signals (signal) that stand nowhere on the map."""
+    return signals.join(mentions.select("signal").distinct(), "signal", "left_anti")
+
+
 def market_map(mentions: DataFrame, org: str, relation: str, signal: str, material: str, independent: Column, admitted: Column, relations: list[str]) -> DataFrame:
     """A cell for each org and each relation: signals, admitted, materials, heat, reprints, state.
 
     A signal counts once for each org and relation; heat counts distinct independent materials.
+    Signals and materials are counted apart, each first made distinct and then added up, so that
+    no shuffle carries a row several times.
     """
-    own = mentions.filter(F.col(relation).isin(*relations)).select(F.col(org).alias("org"), F.col(relation).alias("relation"), signal, material, F.coalesce(independent, F.lit(False)).alias("own_"), F.coalesce(admitted, F.lit(False)).alias("in_"))
-    cells = own.groupBy("org", "relation").agg(
-        F.countDistinct(signal).alias("signals"),
-        F.countDistinct(F.when(F.col("in_"), F.col(signal))).alias("admitted"),
-        F.countDistinct(material).alias("materials"),
-        F.countDistinct(F.when(F.col("own_"), F.col(material))).alias("heat"),
-    )
-    grid = own.select("org").distinct().withColumn("relation", F.explode(F.array(*map(F.lit, relations))))
+    own = mentions.filter(F.col(relation).isin(*relations)).select(F.col(org).alias("org"), F.col(relation).alias("relation"), F.col(signal).alias("s_"), F.col(material).alias("m_"), F.coalesce(independent, F.lit(False)).alias("own_"), F.coalesce(admitted, F.lit(False)).alias("in_"))
+    told = own.groupBy("org", "relation", "s_").agg(F.bool_or("in_").alias("in_")).groupBy("org", "relation").agg(F.count("s_").alias("signals"), F.count_if(F.col("in_") & F.col("s_").isNotNull()).alias("admitted"))
+    made = own.groupBy("org", "relation", "m_").agg(F.bool_or("own_").alias("own_")).groupBy("org", "relation").agg(F.count("m_").alias("materials"), F.count_if(F.col("own_") & F.col("m_").isNotNull()).alias("heat"))
+    cells = told.join(made, ["org", "relation"])
+    grid = told.select("org").distinct().withColumn("relation", F.explode(F.array(*map(F.lit, relations))))
     out = grid.join(cells, ["org", "relation"], "left").na.fill(0)
     state = F.when(F.col("signals") == 0, "unchecked").when(F.col("heat") == 0, "no-independent").otherwise("backed")
     return out.withColumn("reprints", F.col("signals") - F.col("materials")).withColumn("state", state)
@@ -55,45 +82,103 @@ def market_rows(cells: DataFrame) -> DataFrame:
     return cells.groupBy("org").agg(F.sum("heat").alias("heat"), F.sum("signals").alias("signals"), F.count_if(F.col("state") != "unchecked").alias("checked"))
 
 
+def ordered_rows(rows: DataFrame) -> DataFrame:
+    """The rows of the map: most independent material first, then most cells checked, then by name."""
+    return rows.orderBy(F.desc("heat"), F.desc("checked"), "org")
+
+
+def market_totals(cells: DataFrame) -> DataFrame:
+    """One row: orgs, total_heat, cells and how many of them are unchecked."""
+    return cells.agg(F.countDistinct("org").alias("orgs"), F.coalesce(F.sum("heat"), F.lit(0)).alias("total_heat"), F.count("*").alias("cells"), F.count_if(F.col("state") == "unchecked").alias("unchecked"))
+
+
+def scale_claims(signals: DataFrame, title: str, evidence: str, basis: str) -> DataFrame:
+    """All columns of the signals that speak of scale, with numbers (array, verbatim) and the trimmed basis."""
+    found = scale_numbers(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(evidence, F.lit(""))))
+    return signals.withColumn("numbers", found).filter(F.size("numbers") > 0).withColumn(basis, F.trim(F.coalesce(basis, F.lit(""))))
+
+
+def claims_by_basis(claims: DataFrame, basis: str, key: str) -> DataFrame:
+    """(basis, n, keys) by basis, those without one last. There is no sum: amounts of different bases do not add up."""
+    return claims.groupBy(F.col(basis).alias("basis")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(key)).alias("keys")).orderBy(F.col("basis") == "", "basis")
+
+
 def edge_aggregate(edges: DataFrame, src: str, dst: str, relation: str, signal: str, gate: str, executable: str) -> DataFrame:
-    """One row for each from, to and relation: mentions, signals, best gate, whether any is executable."""
+    """One row for each from, to and relation: mentions, signals, signal_ids (as often as they name the edge), best gate, whether any is executable."""
     own = edges.select(F.trim(src).alias("from_node"), F.trim(dst).alias("to_node"), F.col(relation).alias("relation"), signal, gate, executable).filter("from_node <> '' and to_node <> ''")
-    return own.groupBy("from_node", "to_node", "relation").agg(F.count("*").alias("mentions"), F.countDistinct(signal).alias("signals"), F.max(gate).alias("best_gate"), F.bool_or(executable).alias("executable"))
+    ids = F.array_sort(F.collect_list(signal)).alias("signal_ids")
+    return own.groupBy("from_node", "to_node", "relation").agg(F.count("*").alias("mentions"), F.countDistinct(signal).alias("signals"), ids, F.max(gate).alias("best_gate"), F.bool_or(executable).alias("executable"))
 
 
 def node_degree(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """Degrees count every mention; best connected first by degree_rank, ties by name."""
+    """(node, degree): degrees count every mention; the best connected first, ties by name."""
     ends = edges.select(F.trim(src).alias("node")).union(edges.select(F.trim(dst).alias("node"))).filter("node <> ''")
-    # window over one row for each node
-    return ends.groupBy("node").agg(F.count("*").alias("degree"))
+    return ends.groupBy("node").agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "node")
+
+
+def valid_links(links: DataFrame, nodes: DataFrame, src: str = "source", dst: str = "target", key: str = "id") -> DataFrame:
+    """The links both of whose ends are nodes."""
+    ids = nodes.select(key).distinct()
+    return links.join(ids.withColumnRenamed(key, src), src, "left_semi").join(ids.withColumnRenamed(key, dst), dst, "left_semi")
+
+
+def hubs(nodes: DataFrame, links: DataFrame, least: int = 2, top: int = 8) -> DataFrame:
+    """(hub, degree, companies): the `top` best connected nodes that are no companies, with the companies they tie together.
+
+    nodes: (id, type), links: (source, target). Degrees count links between known nodes.
+    """
+    own = valid_links(links, nodes)
+    ends = own.select(F.col("source").alias("hub"), F.col("target").alias("other")).union(own.select(F.col("target").alias("hub"), F.col("source").alias("other")))
+    kinds = nodes.select(F.col("id").alias("hub"), "type")
+    n = ends.groupBy("hub").agg(F.count("*").alias("degree")).join(kinds, "hub").filter((F.col("type") != "company") & (F.col("degree") >= least))
+    best = n.orderBy(F.desc("degree"), "hub").limit(top).select("hub", "degree")
+    near = ends.join(F.broadcast(best), "hub").join(nodes.filter("type = 'company'").select(F.col("id").alias("other")), "other")  # `top` hubs
+    return best.join(near.groupBy("hub").agg(F.array_sort(F.collect_set("other")).alias("companies")), "hub", "left")
 
 
 def components(edges: DataFrame, src: str, dst: str, rounds: int = 100) -> DataFrame:
     """(node, component): the least node reachable, by pointer jumping on hashed joins.
 
-    Every round halves the distance to the least node; lineage is cut by a checkpoint where the
-    session names a folder for it. Stops when a round changes nothing; only that flag is collected.
+    Every round halves the distance to the least node and cuts lineage with checkpoint(), in the
+    folder that the session names (on a local master without one, a temporary folder). Stops when
+    a round changes nothing; only a sum of each round reaches the driver.
     """
     spark = edges.sparkSession
-    both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).union(edges.select(F.col(dst).alias("a"), F.col(src).alias("b"))).filter("a is not null and b is not null").distinct().cache()
-    label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).withColumnRenamed("a", "node")
-    durable = spark.sparkContext.getConf().get("spark.checkpoint.dir") is not None
+    _checkpoint_dir(spark)
+    both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).union(edges.select(F.col(dst).alias("a"), F.col(src).alias("b"))).filter("a is not null and b is not null").distinct().checkpoint()
+    label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).withColumnRenamed("a", "node").checkpoint()
+    mark = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("node", "c").cast("decimal(38,0)")).alias("s")).first()
+    before = mark(label)
     for _ in range(rounds):
         near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("c").alias("n"))
         step = label.join(near, label["node"] == near["a"], "left").select("node", F.least("c", F.coalesce("n", "c")).alias("c"))
         up = step.select(F.col("node").alias("c"), F.col("c").alias("cc"))
-        new = step.join(up, "c", "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("c"))
-        new = new.checkpoint() if durable else new.persist()
-        changed = new.join(label.withColumnRenamed("c", "old"), "node").filter("c <> old").limit(1).count()
-        label = new
-        if not changed:
+        label = step.join(up, "c", "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("c")).checkpoint()
+        after = mark(label)
+        if after == before:
             break
+        before = after
     return label.select("node", F.col("c").alias("component"))
 
 
-def cluster_summary(parts: DataFrame, edges: DataFrame, src: str, dst: str, relation: str) -> DataFrame:
-    """(component, members, links, dominant): the commonest relation, ties by name."""
+def _checkpoint_dir(spark: SparkSession) -> None:
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def cluster_summary(parts: DataFrame, edges: DataFrame, src: str, dst: str, relation: str, places: DataFrame | None = None) -> DataFrame:
+    """(component, members, links, dominant): the commonest relation, ties by name.
+
+    With places (node, x, y) also the box around the members: left, right, top and bottom.
+    """
     members = parts.groupBy("component").agg(F.count("*").alias("members"))
+    if places is not None:
+        box = parts.join(places, "node").groupBy("component").agg(F.min("x").alias("left"), F.max("x").alias("right"), F.min("y").alias("top"), F.max("y").alias("bottom"))
+        members = members.join(box, "component", "left")
     inner = edges.join(parts, edges[src] == parts["node"]).groupBy("component", relation).agg(F.count("*").alias("n"))
     top = inner.groupBy("component").agg(F.sum("n").alias("links"), F.min_by(relation, F.struct(-F.col("n"), F.col(relation))).alias("dominant"))
     return members.join(top, "component", "left").na.fill(0, ["links"])
@@ -113,28 +198,26 @@ def run_overlap(pairs: DataFrame, run: str, item: str, one: int, last: int = 80)
     return pairs.join(before, run).join(mine, item).groupBy(run).agg(F.countDistinct(item).alias("shared"))
 
 
-def query_links(runs: DataFrame, run: str, dims: str, sources: str, claims: str, one: int, last: int = 80, cut: int = 20) -> DataFrame:
-    """Strength of the links from run `one` to the `last` before: 42 + 9 by dimension, 14 by source, 20 by claim shared; 100 at most, from `cut` on, only if anything is shared."""
-    mine = runs.filter(F.col(run) == one).select(*(F.col(c).alias(f"own_{i}") for i, c in enumerate((dims, sources, claims))))
-    before = runs.filter(F.col(run) < one).orderBy(F.desc(run)).limit(last)
-    n = [F.size(F.array_intersect(c, f"own_{i}")) for i, c in enumerate((dims, sources, claims))]
-    rows = before.join(F.broadcast(mine), F.lit(True)).select(run, n[0].alias("n_dims"), n[1].alias("n_sources"), n[2].alias("n_claims"))  # one row against `last`
-    any_shared = F.col("n_dims") + F.col("n_sources") + F.col("n_claims") > 0
-    return rows.withColumn("strength", F.when(any_shared, F.least(F.lit(100), 42 + 9 * F.col("n_dims") + 14 * F.col("n_sources") + 20 * F.col("n_claims"))).otherwise(0)).filter(F.col("strength") >= cut)
-
-
 def entity_match(left: DataFrame, right: DataFrame, least: float = 0.3, top: int = 5) -> DataFrame:
-    """(left_name, right_name, score): Jaccard similarity of bigrams from `least` on, the best `top` of each.
+    """(left_name, right_name, score, place): Jaccard similarity of bigrams from `least` on, the best `top` of each.
 
-    left and right have the columns name and grams (distinct bigrams). Pairs are counted over an
-    inverted index, so only names with a common bigram meet.
+    left and right have the columns name and grams (distinct bigrams); several rows of a name are
+    its spellings, of which the best counts. Names whose similarity reaches `least` share one of
+    their n - ceil(least * n) + 1 rarest bigrams, so only these are joined, and a bigram that very
+    many names hold brings hardly any of them together; the ratio itself is taken over all bigrams.
     """
-    a = left.select(F.col("name").alias("left_name"), F.size("grams").alias("n_left"), F.explode("grams").alias("g"))
-    b = right.select(F.col("name").alias("right_name"), F.size("grams").alias("n_right"), F.explode("grams").alias("g"))
-    # a Jaccard of `least` bounds the ratio of the sizes
-    both = a.join(b, "g").filter((F.col("n_left") >= least * F.col("n_right")) & (F.col("n_right") >= least * F.col("n_left")))
-    pairs = both.groupBy("left_name", "right_name", "n_left", "n_right").agg(F.count("*").alias("n"))
-    scored = pairs.withColumn("score", F.round(F.col("n") / (F.col("n_left") + F.col("n_right") - F.col("n")), 4)).filter(F.col("n") >= least * (F.col("n_left") + F.col("n_right") - F.col("n")))
+    both = left.select("name", "grams").union(right.select("name", "grams"))
+    often = both.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+
+    def rare(names: DataFrame, name: str) -> DataFrame:
+        own = names.select("name", "grams").distinct().select(F.col("name").alias(name), F.col("grams").alias(f"{name}_grams"), F.explode("grams").alias("g")).join(often, "g")
+        own = own.groupBy(name, f"{name}_grams").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("r"))
+        keep = F.size("r") - F.ceil(F.size("r") * F.lit(least)).cast("int") + 1
+        return own.select(name, f"{name}_grams", F.explode(F.slice("r", F.lit(1), keep)).alias("x")).select(name, f"{name}_grams", "x.g")
+
+    met = rare(left, "left_name").join(rare(right, "right_name"), "g").drop("g").distinct()
+    n, total = F.size(F.array_intersect("left_name_grams", "right_name_grams")), F.size(F.array_union("left_name_grams", "right_name_grams"))
+    scored = met.withColumns({"n": n, "t": total}).filter(F.col("n") >= least * F.col("t")).groupBy("left_name", "right_name").agg(F.round(F.max(F.col("n") / F.col("t")), 4).alias("score"))
     w = Window.partitionBy("left_name").orderBy(F.desc("score"), "right_name")
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top).select("left_name", "right_name", "score", "place")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,34 +24,32 @@ def spread(rows: DataFrame, group: str, target: Column, least_group: int = 5, le
     return out.select("groups", "high_group", F.round("high", 6).alias("high"), "low_group", F.round("low", 6).alias("low"), "spread")
 
 
-def sweep(rows: DataFrame, axes: list[str], least_group: int = 8, least_groups: int = 3, least_column: int = 8, lift: float = 0.35, least: float = 0.45) -> DataFrame:
+def sweep(rows: DataFrame, axes: list[str], least_group: int = 8, least_groups: int = 3, least_column: int = 8, lift: float = 0.35, least: float = 0.45, seen: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """All ordered pairs of axes: the column with the largest spread of shares over row groups.
 
-    (row_axis, col_axis, col_label, groups, baseline, high, low, lift, spread). A pair that is
-    emitted suppresses its transpose; pairs come in the order of axes.
+    (row_axis, col_axis, col_label, groups, baseline, high, low, lift, spread), the largest spread
+    first. A pair that is emitted suppresses its transpose; pairs come in the order of axes, those
+    of `seen` not at all. rows are read once: each gives its labels for all pairs.
     """
-    place = {a: i for i, a in enumerate(axes)}
-    out = []
-    for r in axes:
-        for c in axes:
-            if r == c:
-                continue
-            cells = rows.filter(F.col(r).isNotNull() & F.col(c).isNotNull()).groupBy(F.col(r).cast("string").alias("r"), F.col(c).cast("string").alias("c")).agg(F.count("*").alias("n"))
-            kept = cells.withColumn("rn", F.sum("n").over(Window.partitionBy("r"))).filter(F.col("rn") >= least_group)
-            groups = kept.groupBy("r").agg(F.first("rn").alias("rn"))
-            total = groups.agg(F.count("*").alias("groups"), F.sum("rn").alias("total"))
-            by_col = kept.groupBy("c").agg(F.sum("n").alias("cn"), F.max(F.col("n") / F.col("rn")).alias("high"), F.min(F.col("n") / F.col("rn")).alias("low_"), F.count("*").alias("k"))
-            full = by_col.join(F.broadcast(total), F.lit(True))  # one row of totals
-            full = full.withColumn("low", F.when(F.col("k") < F.col("groups"), 0.0).otherwise(F.col("low_"))).withColumn("baseline", F.col("cn") / F.col("total"))
-            full = full.filter((F.col("groups") >= least_groups) & (F.col("cn") >= least_column) & (F.col("high") - F.col("baseline") >= lift) & (F.col("high") - F.col("low") >= least))
-            best = full.agg(F.min_by(F.struct("c", "groups", "baseline", "high", "low"), F.struct(-(F.col("high") - F.col("low")), F.col("c"))).alias("b")).filter("b is not null")
-            out.append(best.select(F.lit(r).alias("row_axis"), F.lit(c).alias("col_axis"), F.lit(place[r] * len(axes) + place[c]).alias("at"), F.lit(place[c] * len(axes) + place[r]).alias("back"), "b.*"))
-    found = reduce(DataFrame.unionByName, out)
-    # in order, a pair stands unless its transpose came before it; of two transposes the earlier one does
-    earlier = found.select(F.col("at").alias("back"), F.lit(True).alias("taken"))
-    kept = found.join(F.broadcast(earlier), "back", "left").filter("taken is null or at < back")  # a row for each pair of axes at most
+    pairs = [(i, j) for i in range(len(axes)) for j in range(len(axes)) if i != j and (axes[i], axes[j]) not in seen]
+    labels = [F.col(a).cast("string") for a in axes]
+    cells = F.array(*(F.struct(F.lit(i * len(axes) + j).alias("at"), labels[i].alias("r"), labels[j].alias("c")) for i, j in pairs))
+    n = rows.select(F.explode(cells).alias("x")).select("x.*").filter("r is not null and c is not null").groupBy("at", "r", "c").agg(F.count("*").alias("n"))
+    kept = n.withColumn("rn", F.sum("n").over(Window.partitionBy("at", "r"))).filter(F.col("rn") >= least_group)
+    total = kept.groupBy("at", "r").agg(F.first("rn").alias("rn")).groupBy("at").agg(F.count("*").alias("groups"), F.sum("rn").alias("total"))
+    share = F.col("n") / F.col("rn")
+    full = kept.groupBy("at", "c").agg(F.sum("n").alias("cn"), F.max(share).alias("high"), F.min(share).alias("low_"), F.count("*").alias("k")).join(total, "at")
+    full = full.withColumn("low", F.when(F.col("k") < F.col("groups"), 0.0).otherwise(F.col("low_"))).withColumn("baseline", F.col("cn") / F.col("total")).withColumn("spread", F.col("high") - F.col("low"))
+    full = full.filter((F.col("groups") >= least_groups) & (F.col("cn") >= least_column) & (F.col("high") - F.col("baseline") >= lift) & (F.col("spread") >= least))
+    best = full.groupBy("at").agg(F.min_by(F.struct("c", "groups", "baseline", "high", "low", "spread"), F.struct(-F.col("spread"), F.col("c"))).alias("b"))
+    # a pair stands unless its transpose came before it; of two transposes the earlier one does
+    i, j = F.floor(F.col("at") / len(axes)).cast("int"), (F.col("at") % len(axes)).cast("int")
+    first = Window.partitionBy(F.least(i, j), F.greatest(i, j)).orderBy("at")
+    name = F.array(*map(F.lit, axes))
+    out = best.withColumn("k_", F.row_number().over(first)).filter("k_ = 1").select(F.get(name, i).alias("row_axis"), F.get(name, j).alias("col_axis"), "b.*")
     r6 = lambda c: F.round(c, 6)
-    return kept.select("row_axis", "col_axis", F.col("c").alias("col_label"), "groups", r6("baseline").alias("baseline"), r6("high").alias("high"), r6("low").alias("low"), r6(F.col("high") - F.col("baseline")).alias("lift"), r6(F.col("high") - F.col("low")).alias("spread"))
+    out = out.select("row_axis", "col_axis", F.col("c").alias("col_label"), "groups", r6("baseline").alias("baseline"), r6("high").alias("high"), r6("low").alias("low"), r6(F.col("high") - F.col("baseline")).alias("lift"), r6("spread").alias("spread"))
+    return out.orderBy(F.desc("spread"), "row_axis", "col_axis")
 
 
 def concentration(rows: DataFrame, value: str, least: float = 0.5, sample: int = 8) -> DataFrame:
@@ -99,6 +95,18 @@ def all_or_null_sum(value: Column, digits: int = 4) -> Column:
     return F.when(F.count(value) == F.count("*"), F.round(F.sum(value), digits))
 
 
+def holder_concentration(rows: DataFrame, key: str, rank: str, ratio: str, top: int = 10, digits: int = 4) -> DataFrame:
+    """(key, n, top1, top_sum): the first holder's ratio and the sum of the first `top`; keys of which one of these is missing are left out.
+
+    rows: those of a key's latest period.
+    """
+    w = Window.partitionBy(key).orderBy(F.col(rank).asc_nulls_last())
+    first = rows.withColumn("k_", F.row_number().over(w))
+    near = F.col("k_") <= top
+    out = first.groupBy(key).agg(F.count("*").alias("n"), F.max(F.when(F.col("k_") == 1, F.col(ratio))).alias("top1"), F.count_if(near & F.col(ratio).isNull()).alias("gaps_"), F.round(F.sum(F.when(near, F.col(ratio))), digits).alias("top_sum"))
+    return out.filter("gaps_ = 0 and top1 is not null").drop("gaps_")
+
+
 def week_counts(rows: DataFrame, key: str, ts: str, hours: int = 8) -> DataFrame:
     from tessera.functions.dates import monday_of
 

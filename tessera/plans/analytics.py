@@ -54,9 +54,10 @@ def _trade(spark, sf_dir) -> DataFrame:
 _TRADE = "select s.n_name as seller, b.n_name as buyer, l_returnflag, l_orderkey, cast(l_quantity as bigint) as gate, l_linestatus = 'F' as executable from lineitem join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey join nation s on s_nationkey = s.n_nationkey join customer on o_custkey = c_custkey join nation b on c_nationkey = b.n_nationkey"
 
 
-@query(f"with t as ({_TRADE}) select seller as from_node, buyer as to_node, l_returnflag as relation, count(*) as mentions, count(distinct l_orderkey) as signals, max(gate) as best_gate, bool_or(executable) as executable from t group by all")
+@query(f"with t as ({_TRADE}) select seller as from_node, buyer as to_node, l_returnflag as relation, count(*) as mentions, count(distinct l_orderkey) as signals, list_sum(list(l_orderkey)) as id_sum, max(gate) as best_gate, bool_or(executable) as executable from t group by all")
 def edge_aggregate(spark, sf_dir):
-    return evidence.edge_aggregate(_trade(spark, sf_dir), "seller", "buyer", "l_returnflag", "l_orderkey", "gate", "executable")
+    out = evidence.edge_aggregate(_trade(spark, sf_dir), "seller", "buyer", "l_returnflag", "l_orderkey", "gate", "executable")
+    return out.withColumn("id_sum", F.aggregate("signal_ids", F.lit(0).cast("long"), lambda a, x: a + x)).drop("signal_ids")
 
 
 @query(f"with t as ({_TRADE}) select node, count(*) as degree from (select seller as node from t union all select buyer from t) group by node")
@@ -64,41 +65,24 @@ def node_degree(spark, sf_dir):
     return evidence.node_degree(_trade(spark, sf_dir), "seller", "buyer")
 
 
-def _shared_parts(spark, sf_dir, least: int | None = None) -> DataFrame:
+def _shared_parts(spark, sf_dir) -> DataFrame:
     """Suppliers that shipped the same part in the same month, each linked to the next by number.
 
-    The chain through a part and month joins the same suppliers as all their pairs would. With
-    `least`, only line items of at least that quantity count.
+    The chain through a part and month joins the same suppliers as all their pairs would.
     """
-    line = table(spark, sf_dir, "lineitem")
-    line = (line if least is None else line.filter(F.col("l_quantity") >= least)).select(F.col("l_suppkey").alias("s"), "l_partkey", "l_shipdate", "l_returnflag")
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), "l_partkey", "l_shipdate", "l_returnflag")
     w = Window.partitionBy("l_partkey", F.date_trunc("month", "l_shipdate")).orderBy("s", "l_returnflag")
     return line.withColumn("t", F.lead("s").over(w)).filter("t is not null and s <> t").select("s", "t", "l_returnflag")
 
 
-_SHARED = "select s, t, l_returnflag from (select l_suppkey as s, l_returnflag, lead(l_suppkey) over (partition by l_partkey, date_trunc('month', l_shipdate) order by l_suppkey, l_returnflag) as t from lineitem where l_quantity >= 49) where t is not null and s <> t"
-_CLOSED = f"e as ({_SHARED}), u as (select s as a, t as b from e union select t, s from e), r(a, b) as (select a, b from u union select r.a, u.b from r join u on r.b = u.a), p as (select a as node, least(a, min(b)) as component from r group by a)"
-
-
-@query(f"with recursive {_CLOSED} select node, component from p")
+# A closure in SQL spells out every pair of a component; tests hold the queries against a union-find.
+@query()
 def components(spark, sf_dir):
-    return evidence.components(_shared_parts(spark, sf_dir, 49), "s", "t")
-
-
-@query()  # beyond the recursive SQL, which spells out every pair of a component
-def components_whole(spark, sf_dir):
     return evidence.components(_shared_parts(spark, sf_dir), "s", "t")
 
 
-@query(f"""with recursive {_CLOSED}, n as (select component, l_returnflag, count(*) as n from e join p on s = node group by all)
- select c.component, c.members, coalesce(d.links, 0) as links, d.dominant from (select component, count(*) as members from p group by 1) c left join (select component, cast(sum(n) as bigint) as links, arg_min(l_returnflag, (-n, l_returnflag)) as dominant from n group by 1) d using (component)""")
-def cluster_summary(spark, sf_dir):
-    e = _shared_parts(spark, sf_dir, 49)
-    return evidence.cluster_summary(evidence.components(e, "s", "t"), e, "s", "t", "l_returnflag")
-
-
 @query()
-def cluster_summary_whole(spark, sf_dir):
+def cluster_summary(spark, sf_dir):
     e = _shared_parts(spark, sf_dir)
     return evidence.cluster_summary(evidence.components(e, "s", "t"), e, "s", "t", "l_returnflag")
 
@@ -116,48 +100,19 @@ def run_overlap(spark, sf_dir):
     return evidence.run_overlap(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey", "l_suppkey", _ONE)
 
 
-@query(f"""with r as (select l_orderkey, list(distinct l_returnflag) as d, list(distinct l_suppkey) as s, list(distinct l_partkey) as c from lineitem group by 1), o as (select * from r where l_orderkey = {_ONE}), b as (select * from r where l_orderkey < {_ONE} order by 1 desc limit 80),
- n as (select b.l_orderkey, len(list_intersect(b.d, o.d)) as n_dims, len(list_intersect(b.s, o.s)) as n_sources, len(list_intersect(b.c, o.c)) as n_claims from b, o)
- select l_orderkey, cast(n_dims as bigint) as n_dims, cast(n_sources as bigint) as n_sources, cast(n_claims as bigint) as n_claims, cast(least(100, 42 + 9 * n_dims + 14 * n_sources + 20 * n_claims) as bigint) as strength from n where n_dims + n_sources + n_claims > 0""")
-def query_links(spark, sf_dir):
-    runs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("d"), F.collect_set("l_suppkey").alias("s"), F.collect_set("l_partkey").alias("c"))
-    out = evidence.query_links(runs, "l_orderkey", "d", "s", "c", _ONE)
-    return out.select("l_orderkey", *(F.col(c).cast("long").alias(c) for c in ("n_dims", "n_sources", "n_claims", "strength")))
-
-
 _GRAMS = r"list_distinct(list_transform(range(1, length(n)), lambda i: substr(n, i, 2)))"
 
 
-@query(rf"""with p as (select distinct p_name as name, lower(regexp_replace(p_name, '[\s\-_]', '', 'g')) as n from part), g as (select name, {_GRAMS} as grams from p),
+@query(rf"""with p as (select distinct p_name || ' ' || right(p_brand, 1) as name, lower(regexp_replace(p_name || ' ' || right(p_brand, 1), '[\s\-_]', '', 'g')) as n from part), g as (select name, {_GRAMS} as grams from p),
  s as (select a.name as left_name, b.name as right_name, len(list_intersect(a.grams, b.grams)) as n, len(a.grams) as x, len(b.grams) as y from g a, g b),
  k as (select left_name, right_name, round(n / (x + y - n), 4) as score from s where n > 0 and n >= 0.3 * (x + y - n))
  select * from (select *, row_number() over (partition by left_name order by score desc, right_name) as place from k) where place <= 5""")
 def entity_match(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("grams", text.bigrams(F.col("name")))
+    names = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" "), F.right("p_brand", F.lit(1))).alias("name")).distinct().withColumn("grams", text.bigrams(F.col("name")))
     out = evidence.entity_match(names, names)
     return out.withColumn("place", F.col("place").cast("long"))
 
 
-def _found(spark, sf_dir) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("Acme & "), F.col("s_nationkey").cast("string"), F.when(F.col("s_suppkey") % 2 == 0, " Inc.").otherwise(", Ltd")).alias("name"), F.when(F.col("s_nationkey") % 5 == 0, F.concat(F.lit("T"), (F.col("s_nationkey") % 10).cast("string"))).alias("ticker"), F.element_at(F.array(F.lit("job"), F.lit("blog"), F.lit("filing")), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("signal"), (F.col("s_suppkey") % 3).alias("rank"), (F.col("s_suppkey") % 7).alias("evidence"))
-    return s.withColumn("key", text.company_key(F.col("name")))
-
-
-@query("""with s as (select 'Acme & ' || s_nationkey || case when s_suppkey % 2 = 0 then ' Inc.' else ', Ltd' end as name, 'acmeand' || s_nationkey as key, case when s_nationkey % 5 = 0 then 'T' || s_nationkey % 10 end as ticker, ['job', 'blog', 'filing'][s_suppkey % 3 + 1] as signal, s_suppkey % 3 as rank, s_suppkey % 7 as evidence from supplier),
- f as (select key, min(ticker) as t from s group by 1), h as (select key, case when t is null then key else min(key) over (partition by t) end as head from f)
- select head as merged_key, arg_min(name, (key, name)) as name, min(ticker) as ticker, arg_max(signal, (rank, signal)) as strongest, count(distinct evidence) as n_evidence from s join h using (key) group by 1""")
-def company_merge(spark, sf_dir):
-    found = _found(spark, sf_dir)
-    # the least name of a key must survive the removal of repeats
-    return evidence.company_merge(found.withColumn("ev", F.struct("evidence", "name")), "key", "name", "ticker", "signal", "rank", "ev").drop("n_evidence").join(_evidence_counts(found), "merged_key")
-
-
-def _evidence_counts(found: DataFrame) -> DataFrame:
-    first = found.groupBy("key").agg(F.min("ticker").alias("t_"))
-    head = first.withColumn("merged_key", F.when(F.col("t_").isNotNull(), F.min("key").over(Window.partitionBy("t_"))).otherwise(F.col("key")))
-    return found.join(head, "key").groupBy("merged_key").agg(F.countDistinct("evidence").alias("n_evidence"))
-
-
 def _profiles(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice", "o_orderdate")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import analytics, changes, texts  # noqa: F401  they register their queries
+from tessera.plans import analytics, changes, companies, dossiers, filings, texts  # noqa: F401  they register their queries
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "market_map"

@@ -7,34 +7,52 @@ from pyspark.sql import functions as F
 
 from tessera.functions import dates, gates, text, urls
 from tessera.functions import queries as asks
-from tessera.operators import evidence
+from tessera.operators import evidence, signals
 from tessera.plans.registry import query
 from tessera.sources.tables import looks_like_pdf, paged, table
 
 AS_OF = "2024-06-30"
 _W = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-_CORPUS = f"lower(trim(regexp_replace(text, '{_W}', ' ', 'g')))"
-_FP = f"substr(sha256(substr({_CORPUS}, 1, 50000)), 1, 32)"
+#: Texts of the table in several layouts: full-width letters, ideographic and zero-width spaces, blanks next to CJK. Both dialects read it.
+_LAYOUT = "case doc_id % 5 when 1 then concat('公司， 2025　年 ​ＡＢ（c） ', substring(text, 1, 30)) when 2 then concat('公司，2025 年 AB (c) ', substring(text, 1, 30)) when 3 then concat('A­cme 数据  中心　', substring(text, 1, 200), ' 。 ') else text end"
+_CJK = text.CJK
+_ZERO = f"translate({{}}, '{text.ZERO_WIDTH}', '')"
+_FULL, _HALF = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+
+
+def _sql_corpus(x: str) -> str:
+    """The normal form in SQL: RE2 has no look-around, so the character next to a blank is put back."""
+    t = f"regexp_replace({_ZERO.format(x)}, '{_W}', ' ', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '([{_CJK}]) ', '\\1', 'g'), ' ([{_CJK}])', '\\1', 'g')"
+    return f"lower(trim(translate({t}, '{_FULL}', '{_HALF}')))"
+
+
+_FP = f"substr(sha256(substr({_sql_corpus('text')}, 1, 50000)), 1, 32)"
+_LAID = f"(select * replace ({_LAYOUT} as text) from documents)"
+
+
+def _laid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").withColumn("text", F.expr(_LAYOUT))
 
 
 def _sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").withColumn("fingerprint", text.corpus_fingerprint(F.col("text")))
+    return _laid(spark, sf_dir).withColumn("fingerprint", text.corpus_fingerprint(F.col("text")))
 
 
-@query(f"select doc_id, {_FP} as fingerprint, sha256(trim(regexp_replace(text, '{_W}', ' ', 'g'))) as content_hash from documents")
+@query(f"select doc_id, {_FP} as fingerprint, sha256(trim(regexp_replace(text, '{_W}', ' ', 'g'))) as content_hash from {_LAID}")
 def corpus_fingerprint(spark, sf_dir):
     return _sightings(spark, sf_dir).select("doc_id", "fingerprint", text.content_fingerprint(F.col("text")).alias("content_hash"))
 
 
 @query(f"""select doc_id, fingerprint, count(*) over p as times_seen, first_value(doc_id) over p as first_key, first_value(source) over p as first_source,
-  trim(first_value(source) over p) <> trim(source) as differs from (select *, {_FP} as fingerprint from documents)
+  trim(first_value(source) over p) <> trim(source) as differs from (select *, {_FP} as fingerprint from {_LAID})
   window p as (partition by fingerprint order by doc_id rows between unbounded preceding and 1 preceding)""")
 def repeat_verdict(spark, sf_dir):
     out = evidence.repeat_verdict(_sightings(spark, sf_dir), "fingerprint", "doc_id", "doc_id", "source")
     return out.select("doc_id", "fingerprint", "times_seen", "first_key", "first_source", "differs")
 
 
-@query(f"""with own as (select d.*, {_FP} as claim, coalesce(l.quality = 1, false) as ind from documents d left join labels l using (doc_id)),
+@query(f"""with own as (select d.*, {_FP} as claim, coalesce(l.quality = 1, false) as ind from {_LAID} d left join labels l using (doc_id)),
  agg as (select claim, count(*) as n_rows, count(distinct lang) as n_contents, count(distinct case when ind then source || chr(31) || lang end) as n_pairs, count(distinct case when ind then lang end) as n_independent from own group by claim)
  select *, case when n_pairs >= 2 and n_independent >= 2 then 'corroborated' when n_rows >= 2 and n_contents = 1 then 'repeated-copy' else 'single-source' end as status from agg""")
 def claim_corroboration(spark, sf_dir):
@@ -91,13 +109,22 @@ def html_lines(spark, sf_dir):
 
 _HOST = r"lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
 _TRACK = ", ".join(f"'{t}'" for t in urls.TRACKING)
+#: Addresses of the table, some with capitals, a bare host, a scheme's own port, or pages of search results.
+_ADDRESS = "case page_id % 8 when 1 then concat('HTTPS://WWW.Example.com?utm_source=', cast(page_id as string)) when 2 then replace(url, '://', '://User.') when 3 then concat('http://news.example.org:80/a', cast(page_id as string), '?b=2&gclid=3#x') when 4 then concat('https://www.google.com.hk/search?hl=en&q=', cast(page_id as string)) when 5 then concat(url, '&u=/search?q=1') when 6 then concat('https://disclosure.cninfo.com.cn/a.PDF?id=', cast(page_id as string)) else url end"
+_ADDRESSES = f"(select page_id, {_ADDRESS} as url from pages)"
+
+
+def _addresses(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.expr(_ADDRESS).alias("url"))
 
 
-@query(rf"""with q as (select page_id, url, regexp_extract(url, '^([^#]*)', 1) as bare from pages),
- k as (select page_id, url, regexp_extract(bare, '^([^?]*)', 1) as path, list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: length(p) > 0 and not list_contains([{_TRACK}], regexp_extract(p, '^([^=]*)', 1))) as ps from q)
- select page_id, case when len(ps) > 0 then path || '?' || array_to_string(ps, '&') else path end as canonical, {_HOST} as host from k""")
+@query(rf"""with q as (select page_id, url, regexp_extract(url, '^([^#]*)', 1) as bare from {_ADDRESSES}),
+ k as (select page_id, url, regexp_extract(bare, '^([^?]*)', 1) as base, list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: length(p) > 0 and not list_contains([{_TRACK}], regexp_extract(p, '^([^=]*)', 1))) as ps from q),
+ o as (select *, regexp_replace(regexp_replace(lower(regexp_extract(base, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)', 1)), '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1') as origin, regexp_extract(base, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*(.*)$', 1) as path from k),
+ w as (select *, case when origin = '' then base when path = '' then origin || '/' else origin || path end as whole from o)
+ select page_id, case when len(ps) > 0 then whole || '?' || array_to_string(ps, '&') else whole end as canonical, {_HOST} as host from w""")
 def canonical_urls(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical"), urls.host_of(F.col("url")).alias("host"))
+    return _addresses(spark, sf_dir).select("page_id", urls.canonical_url(F.col("url")).alias("canonical"), urls.host_of(F.col("url")).alias("host"))
 
 
 #: Rules for the test hosts, which none of the production hosts meets.
@@ -121,10 +148,17 @@ def url_audit_grades(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.audit_grade(F.col("url"), _TYPED).alias("audit_grade"))
 
 
-@query(rf"select page_id, not regexp_matches(url, '(?i)^https?://') or contains(url, '/search?q=') as weak, case when {_HOST} = '' then 'none' else 'other' end as hint, regexp_matches(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), '(?i)\.pdf$') as pdf from pages")
+_UNDER = lambda names: " or ".join(f"h = '{n}' or ends_with(h, '.{n}')" for n in names)
+_HAS = lambda parts: " or ".join(f"contains(h, '{p}')" for p in parts)
+
+
+@query(rf"""with u as (select page_id, url, {_HOST} as h, regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '\?([^#]*)', 1) as qs from {_ADDRESSES})
+ select page_id, not regexp_matches(url, '(?i)^https?://') or h = '' or {_UNDER(urls.SEARCH_HOSTS)} or (regexp_matches(path, '(?i)(^|/)search(/|$)') and regexp_extract(qs, '(?:^|&)q=([^&]*)', 1) <> '') as weak,
+ case when h = '' then 'none' when {_UNDER(urls.DISCLOSURE_HOSTS)} then 'disclosure' when {_HAS(urls.AGGREGATOR_PARTS)} then 'aggregator' else 'other' end as hint, regexp_matches(path, '(?i)\.pdf$') as pdf,
+ case when h = '' then 'unverified' when {_UNDER(urls.STATUTORY_HOSTS)} then 'statutory' when {_HAS(urls.SELF_PARTS)} then 'self' when ends_with(h, '.gov.cn') or {_HAS(urls.INDEPENDENT_PARTS)} then 'independent' else 'self' end as grade from u""")
 def url_flags(spark, sf_dir):
     u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", urls.is_weak_source(u).alias("weak"), urls.source_hint(u).alias("hint"), looks_like_pdf(u).alias("pdf"))
+    return _addresses(spark, sf_dir).select("page_id", urls.is_weak_source(u).alias("weak"), urls.source_hint(u).alias("hint"), looks_like_pdf(u).alias("pdf"), urls.source_grade(u).alias("grade"))
 
 
 def _dated(spark, sf_dir) -> DataFrame:
@@ -144,11 +178,15 @@ def latest_dates(spark, sf_dir):
     return rows.select("o_orderkey", "latest", dates.valid_until(F.col("latest"), relation, AS_OF).alias("valid_until"))
 
 
-@query("""select extract(year from o_orderdate) as year, count(*) as n from orders group by 1""")
+#: A priority's orders mention years in all ways: next to CJK, twice, outside the range, within longer numbers.
+_STORY = "concat('filed 20', lpad(cast(o_orderkey % 45 as string), 2, '0'), '年, page ', cast(o_custkey as string), '; 20', lpad(cast(o_custkey % 33 as string), 2, '0'), '-20', lpad(cast(o_custkey % 33 as string), 2, '0'), ', 1999')"
+
+
+@query(rf"""with y as (select o_orderpriority as dimension, unnest(list_distinct(regexp_extract_all({_STORY}, '20\d{{2}}'))) as year from orders)
+ select dimension, cast(year as bigint) as year, count(*) as n from y where year between '2000' and '2030' group by 1, 2""")
 def timeline_years(spark, sf_dir):
-    years = F.array_distinct(F.regexp_extract_all("t", F.lit(r"\b(19[5-9]\d|20[0-2]\d)\b"), F.lit(1)))
-    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("page 1234, "), F.date_format("o_orderdate", "yyyy"), F.lit(" and "), F.date_format("o_orderdate", "yyyy")).alias("t"))
-    return rows.select(F.explode(years).alias("year")).groupBy(F.col("year").cast("long").alias("year")).agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("dimension"), F.expr(_STORY).alias("value"))
+    return signals.timeline(rows).withColumn("year", F.col("year").cast("long"))
 
 
 def _gate_rows(spark, sf_dir) -> DataFrame:
@@ -178,12 +216,25 @@ def gate_rates(spark, sf_dir):
     return _gate_rows(spark, sf_dir).groupBy("o_orderstatus", gates.passed(s).cast("long").alias("passed")).agg(F.count("*").alias("n"), F.round(F.avg(gates.executable(s).cast("double")), 6).alias("rate"))
 
 
-@query(f"""with g as ({_GATES}), t as (select unnest(range(0, 6)) as tier) select tier, count(*) as n, count(*) filter (where (g1 or tier >= 1) and (g2 or tier >= 2) and (g3 or tier >= 3) and (g4 or tier >= 4) and (g5 or tier >= 5) and g6) as executable from g, t group by tier""")
+_EVIDENCE = "concat('order of ', cast(o_orderkey as string), ' for ', cast(cast(floor(o_totalprice) as bigint) as string))"
+_CARDS = f"select {_EVIDENCE} as evidence, o_orderstatus as source, case o_orderstatus when 'F' then 'N/A。' else o_orderpriority end as basis, o_orderstatus as state, case when o_totalprice > 100000 then 'counter' end as counter, strftime(o_orderdate, '%Y-%m-%d') as until, o_custkey % 3 > 0 as signed from orders"
+_TIER = lambda basis, until, counter, signed: f"length(evidence) >= 20 as a, {basis} <> 'N/A。' as b, true as c, {counter} is not null as d, {until} >= '2023-01-01' as e, {signed} as f"
+_TIERS = [("as it is", "basis", "until", "counter", "signed"), ("+ basis", "'told'", "until", "counter", "signed"), ("+ until", "'told'", "'2026-10-29'", "counter", "signed"), ("+ counter", "'told'", "'2026-10-29'", "'told'", "signed"), ("+ signature", "'told'", "'2026-10-29'", "'told'", "true")]
+
+
+@query(f"""with c as ({_CARDS}), g as ({" union all ".join(f"select {i} as place, '{n}' as tier, {_TIER(b, u, k, s)} from c" for i, (n, b, u, k, s) in enumerate(_TIERS))})
+ select place, tier, count(*) as n, count(*) filter (where a and b and c and d and e and f) as executable, {", ".join(f"count(*) filter (where {x}) as gate_{i}" for i, x in enumerate("abcdef", 1))} from g group by 1, 2""")
 def gate_tiers(spark, sf_dir):
-    """What would pass if ever more gates were repaired: tier k takes the first k for granted."""
-    rows = _gate_rows(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5))))  # six tiers, whatever the data
-    ok = F.forall(F.transform("states", lambda x, i: x | (i < F.col("k"))), lambda x: x)
-    return rows.groupBy(F.col("k").cast("long").alias("tier")).agg(F.count("*").alias("n"), F.count_if(ok).alias("executable"))
+    """What would pass if ever more fields were filled: the cards are patched and judged anew."""
+    o = table(spark, sf_dir, "orders")
+    cards = o.select(F.expr(_EVIDENCE).alias("evidence"), F.col("o_orderstatus").alias("source"), F.when(F.col("o_orderstatus") == "F", F.lit("N/A。")).otherwise(F.col("o_orderpriority")).alias("basis"), F.when(F.col("o_totalprice") > 100_000, "counter").alias("counter"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("until"), (F.col("o_custkey") % 3 > 0).alias("signed"))
+
+    def states(value):
+        return gates.gate_states(value("evidence"), value("source"), [value("basis")], value("source"), F.lit("told"), value("counter"), F.lit("independent"), value("until"), dates.is_expired(value("until"), "2023-01-01"), F.lit(None).cast("string"), value("signed"))
+
+    patches: list[dict] = [{}, {"basis": F.lit("told")}, {"until": F.lit("2026-10-29")}, {"counter": F.lit("told")}, {"signed": F.lit(True)}]
+    tiers = [(_TIERS[i][0], {k: v for p in patches[: i + 1] for k, v in p.items()}) for i in range(5)]
+    return signals.gate_tiers(cards, tiers, states).withColumn("place", F.col("place").cast("long"))
 
 
 _WORDS = {"a": ("the", "of", "tion"), "b": ("und", "der", "schein"), "c": ("les", "que"), "d": ("los", "ción", "para")}
@@ -219,24 +270,54 @@ def term_audit(spark, sf_dir):
     return rows.select("doc_id", "term", n.alias("n"), (n == 0).alias("absent"))
 
 
-@query(r"""with s as (select l_orderkey, l_linenumber, 'about ' || cast(l_quantity as bigint) || ' units, 3 million users and ' || cast(l_quantity as bigint) || ' units in market size' as t from lineitem)
- select l_orderkey, l_linenumber, array_to_string(list_distinct_ordered, '|') as claims from (select *, [cast(regexp_extract(t, '(\d+ units)', 1) as varchar), '3 million users'] as list_distinct_ordered from s)""")
+#: What a line item claims: numbers with and without units, repeated, with a word of scale or without.
+_CLAIM = "concat(case l_linenumber % 3 when 0 then '市场规模约 ' when 1 then '编号 ' else '营收超过' end, cast(l_orderkey as string), case l_suppkey % 4 when 0 then ' 亿元，' when 1 then '万，' when 2 then '元；' else '台，' end, cast(l_partkey as string), '.5 千万, 2024 年，', cast(l_partkey as string), '.5 千万')"
+
+
+@query(rf"""with s as (select l_orderkey, l_linenumber, {_CLAIM} as t from lineitem), x as (select *, list_transform(regexp_extract_all(t, '{text.SCALE_NUMBER}'), lambda v: trim(v)) as vs from s where regexp_matches(t, '{"|".join(text.SCALE_WORDS)}'))
+ select l_orderkey, l_linenumber, array_to_string(list_filter(vs, lambda v, i: list_position(vs, v) = i), '|') as claims from x where len(vs) > 0""")
 def scale_numbers(spark, sf_dir):
     """Verbatim numbers with units, once each, where the text speaks of scale at all."""
-    q = F.col("l_quantity").cast("long").cast("string")
-    t = F.concat(F.lit("about "), q, F.lit(" units, 3 million users and "), q, F.lit(" units in market size"))
-    found = F.when(t.rlike("(?i)market size|scale|revenue"), F.array_distinct(F.regexp_extract_all(t, F.lit(r"\d+(?:\.\d+)?\s*(?:million|billion)?\s*(?:units|users)"), F.lit(0))))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(found, "|").alias("claims"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_CLAIM).alias("t"), F.lit("").alias("b"))
+    return evidence.scale_claims(rows, "t", "b", "b").select("l_orderkey", "l_linenumber", F.array_join("numbers", "|").alias("claims"))
+
 
+@query(rf"""with s as (select l_orderkey * 10 + l_linenumber as key, {_CLAIM} as t, case when l_tax < 0.03 then '' else l_returnflag || ' ' end as b from lineitem),
+ x as (select key, trim(b) as basis from s where regexp_matches(t, '{"|".join(text.SCALE_WORDS)}') and len(regexp_extract_all(t, '{text.SCALE_NUMBER}')) > 0) select basis, count(*) as n, min(key) as first_key, max(key) as last_key from x group by 1""")
+def scale_by_basis(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), F.expr(_CLAIM).alias("t"), F.lit("").alias("e"), F.when(F.col("l_tax") < 0.03, "").otherwise(F.concat("l_returnflag", F.lit(" "))).alias("b"))
+    out = evidence.claims_by_basis(evidence.scale_claims(rows, "t", "e", "b"), "b", "key")
+    return out.select("basis", "n", F.get("keys", F.lit(0)).alias("first_key"), F.element_at("keys", -1).alias("last_key"))
 
-@query("""with t as (select o_orderkey, case o_orderkey % 3 when 0 then '听说某某科技最近启动了' || 'OPC' || '设计' when 1 then 'Acme opc and HPOS rack H100' else 'baidc plan, CEO said OCP' end as t from orders)
- select o_orderkey, case o_orderkey % 3 when 0 then '听说某某科技最近启动了OCP设计' when 1 then 'Acme OCP and HPoS rack H100' else 'AIDC plan, CEO said OCP' end as fixed,
- case o_orderkey % 3 when 0 then '某某科技' when 1 then 'Acme opc and HPOS rack H' else 'baidc plan' end as entity, case o_orderkey % 3 when 0 then '某某' when 1 then 'Acme' else 'baid' end as probe from t""")
+
+#: Requests in CJK and Latin, with terms next to CJK, in words and at clause ends.
+_ASK = "concat(case o_custkey % 4 when 0 then '听说' when 1 then '昨天看到，' when 2 then '' else '据说' end, case o_orderkey % 3 when 0 then concat('上海星河', cast(o_custkey as string), '科技有限公司') when 1 then concat('Acme', cast(o_custkey as string)) else '世纪互联' end, case o_orderkey % 5 when 0 then '最近启动了opc设计，GPU' when 1 then '宣布 baidc and hpos rack H100' when 2 then '，octp、OPENBMC and shopc' when 3 then '的ai dc建设fde工程师ok' else '。CEO said OCP AIDC' end)"
+_FIX = lambda x: rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(?i)\bopc\b', 'OCP', 'g'), '(?i)\boctp\b', 'OCTC', 'g'), '(?i)\bbaidci?\b', 'AIDC', 'g'), '(?i)\bai ?dc\b', 'AIDC', 'g'), '(?i)\bopenbmc\b', 'OpenBMC', 'g'), '(?i)\bhpos\b', 'HPoS', 'g'), '(?i)\bfde工程师\b', '前置部署工程师', 'g'), '广联达控股\b', '广联达科技股份有限公司', 'g')"""
+
+
+@query(rf"""with t as (select o_orderkey, {_ASK} as t from orders), b as (select *, trim(regexp_replace(trim(t), '{asks.LEAD_NOISE}', '')) as bare from t), c as (select *, trim(string_split_regex(bare, '[，,。！？!?；;\n]')[1]) as clause from b),
+ h as (select *, trim(case when regexp_matches(clause, '^.+?(?:{"|".join(asks.CLAUSE_MARKERS)})') then regexp_extract(clause, '^(.+?)(?:{"|".join(asks.CLAUSE_MARKERS)})', 1) else clause end) as head from c),
+ e as (select *, substr(case when length(head) >= 2 then head else clause end, 1, 24) as entity from h),
+ s as (select *, list_concat(regexp_extract_all(t, '\b([A-Z][A-Z0-9]{{1,7}})\b', 1), regexp_extract_all(t, '\b([A-Z]{{1,3}}\d{{2,4}})\b', 1)) as ts from e),
+ k as (select *, list_filter(ts, lambda x, i: list_position(ts, x) = i and not list_contains([{", ".join(f"'{w}'" for w in asks.SALIENT_STOPS)}], x) and not contains(upper(entity), x)) as kept from s)
+ select o_orderkey, {_FIX("t")} as fixed, entity, array_to_string(kept[1:3], ' ') as terms, len(regexp_extract_all(entity, '[A-Z]')) = 0 as plain from k""")
 def request_parse(spark, sf_dir):
-    t = F.expr("case pmod(o_orderkey, 3) when 0 then '听说某某科技最近启动了OPC设计' when 1 then 'Acme opc and HPOS rack H100' else 'baidc plan, CEO said OCP' end")
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", t.alias("t"))
-    name = asks.entity_name(F.col("t"))
-    return rows.select("o_orderkey", asks.correct_terms(F.col("t")).alias("fixed"), name.alias("entity"), asks.relevance_probe(name).alias("probe"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_ASK).alias("t"))
+    rows = rows.withColumn("entity", asks.entity_name(F.col("t")))
+    return rows.select("o_orderkey", asks.correct_terms(F.col("t")).alias("fixed"), "entity", F.array_join(asks.salient_terms(F.col("t"), F.col("entity")), " ").alias("terms"), (~F.col("entity").rlike("[A-Z]")).alias("plain"))
+
+
+_LEGAL = asks.LEGAL_SUFFIX
+_PEEL = lambda x: f"case when length(regexp_replace({x}, '{_LEGAL}', '')) < 2 then {x} else regexp_replace({x}, '{_LEGAL}', '') end"
+_NAMED = "concat(case c_nationkey % 3 when 0 then '北京' when 1 then '中国' else '' end, case c_custkey % 4 when 0 then '星河' when 1 then 'Orion ' else '数据港湾' end, cast(c_custkey % 100 as string), case c_nationkey % 5 when 0 then '科技集团股份有限公司' when 1 then '控股有限公司' when 2 then '科技' else '' end)"
+
+
+@query(rf"""with n as (select c_custkey, {_NAMED} as name from customer), c as (select *, regexp_replace(regexp_replace(name, '[\s　（）()]', '', 'g'), '{asks.GEO_PREFIX}', '') as p0, regexp_replace(name, '[\s　（）()]', '', 'g') as clean from n),
+ p1 as (select *, {_PEEL("p0")} as q1 from c), p2 as (select *, {_PEEL("q1")} as q2 from p1), p3 as (select *, {_PEEL("q2")} as q3 from p2), p4 as (select *, {_PEEL("q3")} as q4 from p3)
+ select c_custkey, substr(case when length(q4) >= 2 then q4 else clean end, 1, 4) as probe, length(substr(q4, 1, 4)) < 2 or not regexp_matches(substr(q4, 1, 4), '[\x{{4E00}}-\x{{9FA5}}]') or contains('星河数据港湾 1', substr(q4, 1, 4)) as relevant from p4""")
+def relevance_probes(spark, sf_dir):
+    name = F.expr(_NAMED)
+    return table(spark, sf_dir, "customer").select("c_custkey", asks.relevance_probe(name).alias("probe"), asks.is_relevant(name, F.lit("星河数据港湾 1")).alias("relevant"))
 
 
 _ROUTES = [("team", "(?i)clerk|manager", ("(?i)hiring", "(?i)team"), ()), ("money", "(?i)urgent|price", (), ("P",)), ("scope", "(?i)never", ("(?i)high", "(?i)2"), ("O",))]
@@ -251,19 +332,27 @@ def dimension_routing(spark, sf_dir):
     return rows.select("o_orderkey", F.col("place").cast("long").alias("place"), "dimension", "confidence")
 
 
-@query("""with e as (select distinct user_id, 'user ' || user_id as entity from events), h(dimension, n, hint) as (values ('money', 1, 'prices'), ('money', 2, 'funding'), ('money', 3, 'never'))
- , q as (select user_id, 0 as a, 0 as b, 'anchor' as kind, entity as query from e union all select user_id, 1, 0, 'salient', entity || ' OCP' from e union all select user_id, 2, n, 'dimension', entity || ' ' || hint from e, h where n <= 2)
- select user_id, place, kind, query from (select *, row_number() over (partition by user_id order by a, b) as place from q) where place <= 3""")
+_PLAN = "concat('user ', cast(user_id as string), case user_id % 4 when 0 then ' asks the CEO of OCP' when 1 then ' H100 and GPU, OCP' when 2 then '要AIDC的' else ' nothing' end)"
+
+
+@query(rf"""with e as (select distinct user_id, 'user ' || user_id as entity, {_PLAN} as t from events), h(dimension, n, hint) as (values ('money', 1, 'prices'), ('money', 2, 'funding'), ('money', 3, 'never'))
+ , s as (select user_id, entity, list_filter(list_distinct(list_concat(regexp_extract_all(t, '\b([A-Z][A-Z0-9]{{1,7}})\b', 1), regexp_extract_all(t, '\b([A-Z]{{1,3}}\d{{2,4}})\b', 1))), lambda x: x <> 'CEO') as ts, t from e)
+ , w as (select user_id, entity, list_sort(list_transform(ts, lambda x: lpad(cast(instr(t, x) as varchar), 4, '0') || '|' || x)) as o from s)
+ , q as (select user_id, 0 as a, 0 as b, 'anchor' as kind, entity as query from e union all select user_id, 1, unnest(range(0, len(o))), 'salient', entity || ' ' || string_split(unnest(o), '|')[2] from w union all select user_id, 2, n, 'dimension', entity || ' ' || hint from e, h where n <= 2)
+ select user_id, place, kind, query from (select *, row_number() over (partition by user_id order by a, b) as place from q) where place <= 4""")
 def search_plan(spark, sf_dir):
     hints = spark.createDataFrame([("money", 1, "prices"), ("money", 2, "funding"), ("money", 3, "never")], "dimension string, n int, hint string")
-    rows = table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("entity"), F.lit("the CEO of OCP").alias("t"))
+    rows = table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("entity"), F.expr(_PLAN).alias("t"))
     rows = rows.withColumns({"terms": asks.salient_terms(F.col("t"), F.col("entity")), "dimension": F.lit("money"), "place": F.lit(1)})
-    return asks.search_tasks(rows, "user_id", "entity", "terms", hints, most=3).select("user_id", F.col("place").cast("long").alias("place"), "kind", "query")
+    return asks.search_tasks(rows, "user_id", "entity", "terms", hints).select("user_id", F.col("place").cast("long").alias("place"), "kind", "query")
+
+
+_PAGED = "concat(url, chr(10), case page_id % 3 when 0 then cast(page_id % 90 as string) else 'no number' end, chr(12), case page_id % 4 when 1 then '  ' else concat('second ', cast(page_id as string)) end, chr(12), 'last', chr(10), ' 12 ')"
 
 
-@query("""select page_id, page_no, text from (select page_id, unnest([3, 2]) as page_no, unnest(['first of ' || page_id || chr(10) || '3', 'second']) as text from pages)""")
+@query(rf"""with p as (select page_id, string_split({_PAGED}, chr(12)) as ps from pages), x as (select page_id, unnest(list_filter(list_transform(ps, lambda v: regexp_replace(v, '^ +| +$', '', 'g')), lambda v: v <> '')) as text from p),
+ n as (select page_id, text, row_number() over (partition by page_id) as k from x) select page_id, cast(coalesce(nullif(regexp_extract(text, '(?:^|\n)\s*(\d{{1,4}})\s*$', 1), ''), cast(k as varchar)) as bigint) as page_no, text from n""")
 def paged_text(spark, sf_dir):
     """Pages split at form feeds; a printed number counts, else the place."""
-    t = F.concat(F.lit("first of "), F.col("page_id").cast("string"), F.lit("\n3\fsecond"))
-    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(paged(t)).alias("p"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(paged(F.expr(_PAGED))).alias("p"))
     return rows.select("page_id", F.col("p.page_no").cast("long").alias("page_no"), "p.text")

@@ -135,9 +135,9 @@ def test_components_of_all_line_items(spark, tmp_path):
                     x, y = sorted((find(a[0]), find(b[0])))
                     root[y] = x
     want = {n: find(n) for n in {n for a, b, _ in links for n in (a, b)}}
-    got = {r["node"]: r["component"] for r in catalog.QUERIES["components_whole"](spark, str(tmp_path)).collect()}
+    got = {r["node"]: r["component"] for r in catalog.QUERIES["components"](spark, str(tmp_path)).collect()}
     assert got == want and got[202] == 201 and 203 not in got
-    summary = {r["component"]: (r["members"], r["links"], r["dominant"]) for r in catalog.QUERIES["cluster_summary_whole"](spark, str(tmp_path)).collect()}
+    summary = {r["component"]: (r["members"], r["links"], r["dominant"]) for r in catalog.QUERIES["cluster_summary"](spark, str(tmp_path)).collect()}
     for c in set(want.values()):
         flags = [f for a, _, f in links if want[a] == c]
         assert summary.pop(c) == (sum(x == c for x in want.values()), len(flags), min(set(flags), key=lambda f: (-flags.count(f), f)))
