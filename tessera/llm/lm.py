@@ -7,16 +7,19 @@ word that stands in no other document counts as ALPHA / N. The first words of a
 context or none. All counts leave the document's own out. The document's score is the mean of the
 logarithms.
 
-The relation of exploded k-grams (document, words, times) is dealt by a hash of the last word, in
-packed columns rather than rows: a bucket then holds the counts of all shorter grams that end in
-the word and every gram to be scored with them, so the count tables are built and joined in one
-shuffle. Seen grams go on to the bucket of the word before for the count of their context, which
-is passed on only if it stands in two documents; sums per document meet in buckets of documents.
-Words that make up more than a share HOT of all words (so at most 1 / HOT of them) are counted
-beforehand and known everywhere; their grams are dealt by the last two words, so that no bucket
-holds a very common word as a whole.
-
-Words are told apart by 40-bit hashes, contexts of several words by 40 bits within their bucket.
+1. Documents are gathered into slices of about SLICE bytes, stored as one row each.
+2. A slice's n-grams of all orders are counted before anything is shuffled. Its (n-gram, count)
+   rows go to the count tables, which are partitioned by ranges of the n-gram's 64-bit hash. They
+   travel in columns, a row for each slice and range: as single rows they would be several times
+   the text.
+3. Each range adds up its counts and answers every slice, for each n-gram that it named, with the
+   count in all other slices. An n-gram comes once from a slice at most, however common it is, so
+   no range is hot.
+4. A slice joins the answers to its exploded n-grams and sums the logarithms per document.
+
+The rows of step 2 are as many as slices times ranges; on machines with more memory take larger
+ones (parameters of backoff_scores). Of a hash, as many bits count as leave an n-gram a chance of
+2**-CLEAR at most to share them with any other one; they grow with the number of words.
 """
 
 from __future__ import annotations
@@ -25,341 +28,189 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit as K
-from tessera.llm.substrings import spread
+from tessera.llm.textkit import U64
 
-ALPHA, HOT = 0.4, 5e-4
-_ROW = "bucket int, kind int, a binary, b binary"
-_NONE = np.uint64(0)
+ALPHA = 0.4
+#: Bits of an n-gram's hash beyond those that number all n-grams.
+CLEAR = 24
+#: Bytes of text in a slice, and bytes of text whose n-grams meet in a range of hashes.
+SLICE, RANGE = 6 << 20, 8 << 20
+_ROW = "slice long, part int, a binary, b binary"
 
 
-def _row(rows: list[tuple]) -> pa.RecordBatch:
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
     cols = [*zip(*rows)] or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "kind", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["slice", "part", "a", "b"])
 
 
-def _planes(*cols: np.ndarray) -> bytes:
-    """Columns of unsigned numbers under 2**40 as planes of 32 and 8 bits, which compress where they repeat."""
-    n = len(cols[0])
-    return K.packed(np.array([n], np.int64).tobytes() + b"".join(p for c in cols for p in ((c & 0xFFFFFFFF).astype(np.uint32).view(np.uint8).reshape(n, 4).T.tobytes(), (c >> 32).astype(np.uint8).tobytes())))
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """Whole numbers of `width` bytes as planes of their bytes, which compress where the high ones repeat."""
+    return K.packed(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), width).T.tobytes())
 
 
-def _unplaned(blob: bytes, k: int) -> list[np.ndarray]:
-    blob = K.unpacked(blob)
-    n = int(np.frombuffer(blob, np.int64, 1)[0])
-    flat, out = np.frombuffer(blob, np.uint8, -1, 8) if n else np.zeros(0, np.uint8), []
-    for i in range(k):
-        low = np.ascontiguousarray(flat[5 * n * i : 5 * n * i + 4 * n].reshape(4, n).T).view(np.uint32).reshape(n) if n else np.zeros(0, np.uint32)
-        out.append(low.astype(np.uint64) | flat[5 * n * i + 4 * n : 5 * n * (i + 1)].astype(np.uint64) << np.uint64(32))
-    return out
+def _unplaned(blob: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    flat = np.frombuffer(K.unpacked(blob), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(flat.T).view(kind).reshape(-1)
 
 
-def _wide(*cols: np.ndarray) -> bytes:
-    """int64 columns of one length as planes of bytes."""
-    return K.packed(b"".join(np.ascontiguousarray(c, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for c in cols))
+def _sliced(size: int):
+    """Slices of a task's documents. a: their ids and the ends of their texts; b: the texts. part: -1, before all answers."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, held, number = [], [], 0, TaskContext.get().partitionId() << 32
 
-def _unwide(blob: bytes, k: int) -> np.ndarray:
-    blob = K.unpacked(blob)
-    n = len(blob) // (8 * k)
-    flat = np.frombuffer(blob, np.uint8).reshape(k, 8, n)
-    return np.stack([np.ascontiguousarray(x.T).view(np.int64).reshape(n) for x in flat])
-
-
-def hashed(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, 40-bit hash) of every word, in order; 0 stands for no word."""
-    data, off = K.buffers(col)
-    data = K.ascii_lower(data)
-    starts, ends, row = K.words(data, off)
-    h = K.substring_hash(K.prefix(data), starts, ends) >> np.uint64(24)
-    return row, np.maximum(h, np.uint64(1))
-
-
-def _edges(*cols: np.ndarray) -> np.ndarray:
-    n = len(cols[0])
-    return np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in cols]), [True]))) if n else np.zeros(1, np.int64)
-
-
-def frequent(docs: DataFrame, hot: float = HOT) -> tuple[np.ndarray, np.ndarray, int]:
-    """(words, counts, N): the words above about a share `hot`, with their exact counts, and the number of words.
-
-    A word above the share hot overall stands out in some slice; slices report what has a tenth
-    of that share, and what is reported often enough is then counted exactly.
-    """
+        def row() -> pa.RecordBatch:
+            ends = np.cumsum([len(t) for t in texts])
+            return _rows([(number, -1, np.stack((np.array(ids, np.int64), ends)).tobytes(), K.packed(b"".join(texts), 6))])
 
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.pieces_of(batch, "text"):
-                _, h = hashed(K.column(part, "text"))
-                word, count = np.unique(h, return_counts=True)
-                keep = count >= max(2, 0.1 * hot * len(h))
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(word[keep], _NONE).view(np.int64)), pa.array(np.append(count[keep], len(h)))], names=["w", "n"])
-
-    seen = docs.mapInArrow(report, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    total = seen.filter("w = 0").first()
-    total = int(total["n"]) if total else 0
-    words = np.array(sorted(r["w"] for r in seen.filter((F.col("w") != 0) & (F.col("n") >= 0.5 * hot * total)).collect()), np.int64).view(np.uint64)
-    if not len(words):
-        return words, np.zeros(0, np.int64), total
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(len(words), np.int64)
-        for batch in batches:
-            for part in K.pieces_of(batch, "text"):
-                _, h = hashed(K.column(part, "text"))
-                at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-                out += np.bincount(at[words[at] == h], minlength=len(words))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(words))), pa.array(out)], names=["i", "n"])
-
-    exact = {r["i"]: r["n"] for r in docs.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    return words, np.array([exact.get(i, 0) for i in range(len(words))], np.int64), total
-
-
-def _home(word: np.ndarray, before: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of the grams that end in (before, word)."""
-    if len(hot):
-        spot = np.minimum(np.searchsorted(hot, word), len(hot) - 1)
-        word = np.where(hot[spot] == word, word ^ before * np.uint64(31), word)
-    return (K.mix(word) % np.uint64(buckets)).astype(np.int64)
-
-
-def _key(*words: np.ndarray) -> np.ndarray:
-    """40 bits for a gram, its last word first; a single word stands for itself."""
-    return words[0] if len(words) == 1 else K.combine([*words]) >> np.uint64(24)
+            for doc, text in zip(batch.column("doc_id").to_pylist(), K.column(batch, "text").to_pylist()):
+                raw = text.encode("utf-8", "surrogatepass")
+                if texts and held + len(raw) > size:
+                    yield row()
+                    ids, texts, held, number = [], [], 0, number + 1
+                ids.append(doc)
+                texts.append(raw)
+                held += len(raw)
+        if texts:
+            yield row()
+        K.trim()
 
+    return run
 
-def _exploded(buckets: int, hot: np.ndarray, order: int):
-    """Grams of a slice by bucket. b: documents, their lengths.
 
-    a: the word, the words before it (nearest first), slot, times, the document's own counts of the
-    gram's shorter ends (shortest first) and of its contexts (shortest first).
-    """
+class Grams:
+    """The words of a slice and its n-grams: of each word those that end in it, by order; `bits` of their hashes count."""
+
+    def __init__(self, a: bytes, b: bytes, order: int, bits: int):
+        self.ids, ends = np.frombuffer(a, np.int64).reshape(2, -1)
+        data = K.ascii_lower(np.frombuffer(K.unpacked(b), np.uint8))
+        starts, stops, self.row = K.words(data, np.concatenate(([0], ends)))
+        word = K.substring_hash(K.prefix(data), starts, stops)
+        self.n = np.bincount(self.row, minlength=len(self.ids))
+        self.since = np.arange(len(word)) - np.searchsorted(self.row, self.row)  # words before it in its text
+        del data, starts, stops
+        mask, grams = U64((1 << 64) - (1 << 64 - bits)), [K.mix(word + U64(1))]
+        for j in range(1, order):  # the longer n-gram: the shorter one a word before, then the word
+            g = np.zeros(len(word), U64)
+            g[1:] = K.mix(grams[-1][:-1] * U64(0xD6E8FEB86659FD93) + word[1:] + U64(j))
+            grams.append(g)
+        self.known, at, self.count = np.unique(np.concatenate([g[self.since >= j] & mask for j, g in enumerate(grams)]), return_inverse=True, return_counts=True)
+        del grams
+        self.at, lo = [], 0  # of each order and word: which n-gram; -1 where the text begins
+        for j in range(order):
+            whole = self.since >= j
+            own = np.full(len(word), -1, np.int32)
+            own[whole] = at[lo : lo + int(whole.sum())]
+            lo += int(whole.sum())
+            self.at.append(own)
+
+    def own(self, j: int) -> np.ndarray:
+        """How often each word's n-gram stands in its own document."""
+        out = np.ones(len(self.row), np.int64)
+        some = np.flatnonzero((self.at[j] >= 0) & (self.count[self.at[j]] > 1))
+        if len(some):
+            order = some[np.lexsort((self.at[j][some], self.row[some]))]
+            g, r = self.at[j][order], self.row[order]
+            cut = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (r[1:] != r[:-1]), [True])))
+            out[order] = np.repeat(np.diff(cut), np.diff(cut))
+        return out
+
+
+def _part(gram: np.ndarray, parts: int) -> np.ndarray:
+    """The range that a hash falls into; ranges ascend with the hashes."""
+    return ((gram >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
+
+
+def _exploded(parts: int, order: int, bits: int):
+    """The n-grams of slices and how often they stand there. a: hashes, as differences; b: counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.pieces_of(batch, "text", 2 << 20):
-                row, w = hashed(K.column(part, "text"))
-                if not len(w):
-                    continue
-                ids = np.asarray(part.column("doc_id"))
-                n = np.bincount(row, minlength=len(ids))
-                since = np.arange(len(w)) - np.searchsorted(row, row)
-                gram = [w]
-                for j in range(1, order):
-                    b = np.zeros(len(w), np.uint64)
-                    b[j:] = w[:-j]
-                    b[since < j] = _NONE
-                    gram.append(b)
-                by = np.lexsort((*gram[::-1], row))
-                sorted_, own = [row[by]], []  # own: times that the gram's ends stand in its document
-                for g in gram:
-                    sorted_.append(g[by])
-                    cut = _edges(*sorted_)
-                    own.append(np.empty(len(w), np.int64))
-                    own[-1][by] = np.repeat(np.diff(cut), np.diff(cut))
-                del sorted_
-                prior = [np.where(gram[j] > 0, np.concatenate(([0], own[j - 1][:-1])), 0) for j in range(1, order)]
-                at, times = by[cut[:-1]], np.diff(cut)
-                row, gram, own, prior = row[at], [x[at] for x in gram], [x[at] for x in own[:-1]], [x[at] for x in prior]
-                bucket = _home(gram[0], gram[1], hot, buckets)
-                by = np.lexsort((*gram[::-1], bucket))
-                row, times, bucket = row[by], times[by], bucket[by]
-                gram, rest = [x[by] for x in gram], [x[by] for x in own + prior]
-                cut, rows = _edges(bucket), []
-                for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                    mine, slot = np.unique(row[lo:hi], return_inverse=True)
-                    a = _planes(*(x[lo:hi] for x in gram), slot, times[lo:hi], *(x[lo:hi] for x in rest))
-                    rows.append((int(bucket[lo]), 0, a, _wide(ids[mine], n[mine])))
-                yield _row(rows)
+            for number, a, b in zip(*(batch.column(c).to_pylist() for c in ("slice", "a", "b"))):
+                own = Grams(a, b, order, bits)
+                cut = np.searchsorted(_part(own.known, parts), np.arange(parts + 1))
+                for k in np.flatnonzero(np.diff(cut)).tolist():
+                    gram, count = own.known[cut[k] : cut[k + 1]], own.count[cut[k] : cut[k + 1]]
+                    yield _rows([(number, k, _planes(np.diff(gram, prepend=U64(0)), 8), _planes(count.astype(np.int32), 4))])
+                del own
+        K.trim()
 
     return run
 
 
-def _sums(doc: np.ndarray, docs_buckets: int, log: np.ndarray, backoff: np.ndarray | None = None, unseen: np.ndarray | None = None) -> list[tuple]:
-    """Sums per document, by bucket of documents. Kind 1: a: documents; b: log sums and the two counts.
-
-    Log sums are in whole millionths, so that their total does not depend on the order of adding.
-    """
-    ids, at = np.unique(doc, return_inverse=True)
-    cols = [np.rint(np.bincount(at, x, len(ids)) * scale).astype(np.int64) if x is not None else np.zeros(len(ids), np.int64) for x, scale in ((log, 1e6), (backoff, 1), (unseen, 1))]
-    bucket = spread(ids, docs_buckets)
-    order = np.argsort(bucket, kind="stable")
-    ids, bucket, cols = ids[order], bucket[order], [c[order] for c in cols]
-    cut = _edges(bucket)
-    return [(int(bucket[lo]), 1, _wide(ids[lo:hi]), _wide(*(c[lo:hi] for c in cols))) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist())]
-
-
-def _scored(buckets: int, docs_buckets: int, hot: np.ndarray, hot_counts: np.ndarray, total: int, alpha: float, order: int):
-    """Kind 1: sums; kind 0: counts of a bucket's words and contexts; kind 2: seen grams for the bucket of the word before."""
-    shares = 4 if order == 2 else 3 * order - 3
-
-    def whole(held: list[tuple], bucket: int) -> list[tuple]:
-        """A bucket, a share of its words at a time: that bounds the memory."""
-        rows, sums = [], []
-        for one in range(shares):
-            if (got := share(held, bucket, one)) is not None:
-                rows += got[0]
-                sums.append(got[1])
-        doc, log, backoff, unseen = (np.concatenate(x) for x in zip(*sums))
-        return rows + _sums(doc, docs_buckets, log, backoff, unseen)
-
-    def share(held: list[tuple], bucket: int, one: int) -> tuple | None:
-        parts, docs, lens = [], [], []
-        for a, b in held:
-            cols = _unplaned(a, 3 * order)
-            mine = np.flatnonzero((cols[0] >> np.uint64(17)) % np.uint64(shares) == one)
-            cols = [c[mine] for c in cols]
-            both = _unwide(b, 2)
-            slot = cols.pop(order).astype(np.int32)
-            docs.append(both[0][slot])
-            lens.append(both[1].astype(np.int32)[slot])
-            parts.append([*cols[:order], *(c.astype(np.int32) for c in cols[order:])])
-        if not sum(map(len, docs)):
-            return None
-        cols = [[p[k] for p in parts] for k in range(3 * order - 1)] + [docs, lens]
-        del parts, docs, lens
-        for k in range(len(cols)):  # a column at a time bounds the memory
-            cols[k] = np.concatenate(cols[k])
-        by = np.lexsort(cols[:order][::-1])
-        for k in range(len(cols)):
-            cols[k] = cols[k][by]
-        del by
-        gram, times, (doc, n) = cols[:order], cols[order], cols[-2:]
-        own, prior = [*cols[order + 1 : 2 * order], times], cols[2 * order : -2]
-        del cols
-        context = np.zeros(len(doc), np.int8)
-        for b in gram[1:]:
-            context += b > 0
-        cut = _edges(gram[0])
-        counts = np.add.reduceat(times.astype(np.int64), cut[:-1])
-        keys = gram[0][cut[:-1]]
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
-            common = hot[at] == keys
-            counts = np.where(common, hot_counts[at], counts)
-            known_keys, known_counts = [keys[~common]], [counts[~common]]
-        else:
-            known_keys, known_counts = [keys], [counts]
-        single = np.repeat(counts, np.diff(cut)) - own[0]
-        level = np.zeros(len(doc), np.int8)  # words of context with which the word is seen
-        log = np.log(np.where(single > 0, np.maximum(single, 1), alpha) / np.maximum(total - n, 1))
-        for j in range(1, order):
-            cut = _edges(*gram[: j + 1])
-            counts = np.add.reduceat(times, cut[:-1])
-            free = np.repeat(counts.astype(np.int32), np.diff(cut)) - own[j]
-            seen = (gram[j] > 0) & (free > 0)
-            level[seen] = j
-            log[seen] = np.log(free[seen])
-            if j < order - 1:
-                some = np.logical_or.reduceat(seen, cut[:-1])
-                known_keys.append(_key(*(g[cut[:-1][some]] for g in gram[: j + 1])))
-                known_counts.append(counts[some])
-        rows = [(bucket, 0, _planes(np.concatenate(known_keys), np.concatenate(known_counts).astype(np.int64)), b"")]
-        log = (log + (context - level) * np.log(alpha)) * times
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, gram[1]), len(hot) - 1)
-            known = (level == 1) & (hot[at] == gram[1])
-            log[known] -= times[known] * np.log(np.maximum(hot_counts[at[known]] - prior[0][known], 1))
-        else:
-            known = np.zeros(len(doc), bool)
-        ids, at = np.unique(doc, return_inverse=True)
-        sums = (ids, np.bincount(at, log, len(ids)), np.bincount(at, times * (level < context), len(ids)), np.bincount(at, times * ((level == 0) & (single <= 0)), len(ids)))
-        for j in range(1, order):
-            go = np.flatnonzero((level == j) & ~known)
-            key = _key(*(g[go] for g in gram[1 : j + 1]))
-            target = _home(gram[1][go], gram[2][go] if j > 1 else np.zeros(len(go), np.uint64), hot, buckets)
-            by = np.lexsort((key, target))
-            go, key, target = go[by], key[by], target[by]
-            cut = _edges(target)
-            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                mine, slot = np.unique(doc[go[lo:hi]], return_inverse=True)
-                rows.append((int(target[lo]), 2, _planes(key[lo:hi], slot, times[go[lo:hi]].astype(np.int64), prior[j - 1][go[lo:hi]].astype(np.int64)), _wide(mine)))
-        return rows, sums
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for bucket, _, a, b in zip(*(x.to_pylist() for x in batch.columns)):
-                if bucket != now and held:
-                    yield _row(whole(held, now))
-                    held = []
-                now = bucket
-                held.append((a, b))
-        if held:
-            yield _row(whole(held, now))
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows sorted by part: the count of each n-gram in all slices but the one that asks. a: these, in its order."""
 
-    return run
+    def whole(part: int, held: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        gram = [np.cumsum(_unplaned(a, np.uint64)) for _, a, _ in held]
+        count = [_unplaned(b, np.int32) for _, _, b in held]
+        known, at = np.unique(np.concatenate(gram), return_inverse=True)
+        total = np.bincount(at, np.concatenate(count), len(known)).astype(np.int64)
+        lo = 0
+        for (number, _, _), own in zip(held, count):
+            yield _rows([(number, part, _planes(total[at[lo : lo + len(own)]] - own, 8), b"")])
+            lo += len(own)
 
+    now, held = None, []
+    for batch in batches:
+        for number, part, a, b in zip(*(batch.column(c).to_pylist() for c in ("slice", "part", "a", "b"))):
+            if part != now and held:
+                yield from whole(now, held)
+                held = []
+            now = part
+            held.append((number, a, b))
+    if held:
+        yield from whole(now, held)
+    K.trim()
 
-def _divided(docs_buckets: int, most: int = 1 << 21):
-    """For rows sorted by bucket, counts before grams: the sums of -ln c(context) of seen grams; sums pass.
 
-    What a bucket's grams add to a document is added up first, up to `most` numbers at a time.
-    """
+def _scored(order: int, alpha: float, total: int, bits: int):
+    """For rows sorted by slice, the slice before its answers: the sums of each document, logarithms in whole millionths."""
 
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        doc, log = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        return _row(_sums(doc, docs_buckets, log))
+    def whole(a: bytes, b: bytes, answers: list[bytes]) -> pa.RecordBatch:
+        own = Grams(a, b, order, bits)
+        rows, words = len(own.ids), len(own.row)
+        others = np.concatenate([_unplaned(x, np.int64) for x in answers]) + own.count if answers else own.count
+        n = np.maximum(total - own.n, 1)[own.row]
+        free = np.where(words > 0, others[own.at[0]] - own.own(0), 0) if words else np.zeros(0, np.int64)
+        unseen, level = free <= 0, np.zeros(words, np.int64)
+        log = np.log(np.where(unseen, alpha, free) / n)
+        for j in range(1, order):
+            before = free  # of the n-grams a word shorter
+            free = np.where(own.at[j] >= 0, others[own.at[j]] - own.own(j), 0)
+            seen = np.flatnonzero(free > 0)
+            level[seen] = j
+            log[seen] = np.log(free[seen] / before[seen - 1])
+        context = np.minimum(own.since, order - 1)
+        log += (context - level) * np.log(alpha)
+        add = lambda x: np.bincount(own.row, x, rows).astype(np.int64)
+        cols = (own.ids, own.n, add(level < context), add(unseen & (level == 0)), add(np.rint(log * 1e6)))
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["doc_id", "n_words", "n_backoff", "n_unseen", "log"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, words, counts, ready, held, size = None, [], [], None, [], 0
+        now, held = None, []
         for batch in batches:
-            for bucket, kind, a, b in zip(*(x.to_pylist() for x in batch.columns)):
-                if bucket != now:
-                    now, words, counts, ready = bucket, [], [], None
-                if kind == 0:
-                    key, c = _unplaned(a, 2)
-                    words.append(key)
-                    counts.append(c.astype(np.int64))
-                elif kind == 1:
-                    yield _row([(bucket, 1, a, b)])
+            for part, a, b in zip(*(batch.column(c).to_pylist() for c in ("part", "a", "b"))):
+                if part < 0:
+                    if now:
+                        yield whole(*now, held)
+                    now, held = (a, b), []
                 else:
-                    if ready is None:
-                        w, c = np.concatenate(words), np.concatenate(counts)
-                        by = np.argsort(w)
-                        ready = w[by], c[by]
-                    key, slot, times, prior = _unplaned(a, 4)
-                    doc = _unwide(b, 1)[0]
-                    c = ready[1][np.searchsorted(ready[0], key)] - prior.astype(np.int64)
-                    log = -np.log(np.maximum(c, 1)) * times.astype(np.int64)
-                    held.append((doc, np.rint(np.bincount(slot.astype(np.int64), log, len(doc)) * 1e6) / 1e6))
-                    size += len(doc)
-                    if size > most:
-                        yield flush(held)
-                        size = 0
-        if held:
-            yield flush(held)
+                    held.append(a)
+        if now:
+            yield whole(*now, held)
+        K.trim()
 
     return run
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows sorted by bucket: the total sums of each document."""
-
-    def emit(held: list[tuple]) -> pa.RecordBatch:
-        ids = np.concatenate([_unwide(a, 1)[0] for a, _ in held])
-        cols = np.concatenate([_unwide(b, 3) for _, b in held], 1)
-        order = np.argsort(ids, kind="stable")
-        cut = _edges(ids[order])[:-1]
-        log, back, unseen = (np.add.reduceat(c[order], cut) for c in cols)
-        return pa.RecordBatch.from_arrays([pa.array(ids[order][cut]), pa.array(log / 1e6), pa.array(back), pa.array(unseen)], names=["doc_id", "log_sum", "n_backoff", "n_unseen"])
-
-    now, held = None, []
-    for batch in batches:
-        for bucket, _, a, b in zip(*(x.to_pylist() for x in batch.columns)):
-            if bucket != now and held:
-                yield emit(held)
-                held = []
-            now = bucket
-            held.append((a, b))
-    if held:
-        yield emit(held)
-
-
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in K.pieces_of(batch, "text"):
@@ -368,26 +219,69 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.bincount(row, minlength=part.num_rows))], names=["doc_id", "n_words"])
 
 
-def backoff_scores(spark: SparkSession, docs: DataFrame, alpha: float = ALPHA, hot: float = HOT, order: int = 2) -> DataFrame:
+def backoff_scores(spark: SparkSession, docs: DataFrame, alpha: float = ALPHA, order: int = 3, slice_bytes: int = SLICE, range_bytes: int = RANGE) -> DataFrame:
     """doc_id, n_words, n_backoff, n_unseen, log_sum and score (mean log) for every document.
 
     order, 2 or more, is the length of the longest grams; n_backoff counts the words that drop a
     word of their context of order - 1 words (or of fewer, where the document begins).
 
-    doc_id must be unique: rows of one doc_id would share their sums. A null or empty text, or
-    one without words, has a null score and a log_sum of 0; so has a row without doc_id, whose
-    words count for nobody. Further columns are not read; an empty table gives no rows. log_sum is
-    rounded to 3 decimals, score to 6.
+    Every row is a document of its own: rows of one doc_id, repeated ones too, count for each
+    other. A null or empty text, or one without words, has a null score and a log_sum of 0; so
+    has a row without doc_id, whose words count for nobody. Further columns are not read; an
+    empty table gives no rows. A text longer than a slice is a slice of its own. Each logarithm is rounded to
+    millionths, log_sum to 3 decimals, score to 6.
     """
     if order < 2:
         raise ValueError("order must be 2 or more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = docs.filter("doc_id is not null and text <> ''")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words, counts, total = frequent(table, hot)
-    grams = table.mapInArrow(_exploded(n, words, order), _ROW).repartition(n, "bucket").sortWithinPartitions("bucket")
-    first = grams.mapInArrow(_scored(n, n, words, counts, total, alpha, order), _ROW).repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
-    sums = first.mapInArrow(_divided(n), _ROW).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_added, "doc_id long, log_sum double, n_backoff long, n_unseen long")
-    out = docs.mapInArrow(_lengths, "doc_id long, n_words long").join(sums, "doc_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("doc_id", "n_words", zero("n_backoff"), zero("n_unseen"), F.round(F.coalesce("log_sum", F.lit(0.0)), 3).alias("log_sum"), F.round(F.col("log_sum") / F.col("n_words"), 6).alias("score"))
+    scored = F.col("doc_id").isNotNull() & (F.coalesce("text", F.lit("")) != "")
+    sums = K.settled(spark, lambda: _sums(spark, docs.filter(scored), alpha, order, slice_bytes, range_bytes), "scores")
+    rest = docs.filter(~scored).mapInArrow(_lengths, "doc_id long, n_words long").select("doc_id", "n_words", F.lit(0).alias("n_backoff"), F.lit(0).alias("n_unseen"), F.lit(None).cast("long").alias("log"))
+    log = F.col("log") / F.lit(1e6)
+    return sums.union(rest).select("doc_id", "n_words", F.col("n_backoff").cast("long").alias("n_backoff"), F.col("n_unseen").cast("long").alias("n_unseen"), F.round(F.coalesce(log, F.lit(0.0)), 3).alias("log_sum"), F.when(F.col("n_words") > 0, F.round(log / F.col("n_words"), 6)).alias("score"))
+
+
+def _sums(spark: SparkSession, table: DataFrame, alpha: float, order: int, slice_bytes: int, range_bytes: int) -> DataFrame:
+    size = table.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-size // range_bytes))
+    slices = K.stored(spark, table.mapInArrow(_sliced(slice_bytes), _ROW), "slices")
+    total = slices.select("a", "b").mapInArrow(_words, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(64, (total * order).bit_length() + CLEAR)
+    asked = slices.mapInArrow(_exploded(parts, order, bits), _ROW)
+    answers = asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answered, _ROW)
+    both = slices.union(answers).repartition(max(least, -(-size // (4 * slice_bytes))), "slice").sortWithinPartitions("slice", "part")
+    return both.mapInArrow(_scored(order, alpha, total, bits), "doc_id long, n_words long, n_backoff long, n_unseen long, log long")
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            ends = np.frombuffer(a, np.int64).reshape(2, -1)[1]
+            starts, _, _ = K.words(np.frombuffer(K.unpacked(b), np.uint8), np.concatenate(([0], ends)))
+            yield pa.RecordBatch.from_arrays([pa.array([len(starts)])], names=["n"])
+
+
+def sql(order: int = 3, alpha: float = ALPHA) -> str:
+    """The same scores in DuckDB SQL: counts of n-grams joined to the exploded n-grams of each document."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    ctes = [rf"d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') as ws from documents)"]
+    ctes.append("w as (select doc_id, unnest(ws) as g1, unnest(range(1, len(ws) + 1)) as spot, len(ws) as n from d)")
+    ctes.append("t as (select count(*) as total from w)")
+    grams = ["g1", *(f"case when spot > {j} then lag(g{j}) over (partition by doc_id order by spot) || ' ' || g1 end as g{j + 1}" for j in range(1, order))]
+    for j in range(1, order):
+        ctes.append(f"w{j + 1} as (select *, {grams[j]} from {'w' if j == 1 else f'w{j}'})")
+    last = f"w{order}"
+    for j in range(1, order + 1):
+        ctes.append(f"c{j} as (select g{j}, count(*) as c from {last} where g{j} is not null group by 1)")
+        ctes.append(f"o{j} as (select doc_id, g{j}, count(*) as c from {last} where g{j} is not null group by 1, 2)")
+        ctes.append(f"f{j} as (select o.doc_id, o.g{j}, c.c - o.c as f{j} from o{j} o join c{j} c using (g{j}))")
+    joins = " ".join(f"left join f{j} using (doc_id, g{j})" for j in range(1, order + 1))
+    ctes.append(f"s as (select doc_id, spot, n, {', '.join(f'coalesce(f{j}, 0) as f{j}' for j in range(1, order + 1))} from {last} {joins})")
+    before = ", ".join(f"lag(f{j}) over (partition by doc_id order by spot) as b{j}" for j in range(1, order))
+    ctes.append(f"b as (select *, {before}, greatest(total - n, 1) as others, least(spot, {order}) as whole from s, t)")
+    level = "case " + " ".join(f"when f{j} > 0 then {j}" for j in range(order, 1, -1)) + " else 1 end"
+    value = "case " + " ".join(f"when f{j} > 0 then ln(f{j} / b{j - 1})" for j in range(order, 1, -1)) + f" when f1 > 0 then ln(f1 / others) else ln({alpha} / others) end"
+    ctes.append(f"l as (select *, {level} as level, {value} as v from b)")
+    ctes.append(f"x as (select doc_id, cast(sum(case when level < whole then 1 else 0 end) as bigint) as n_backoff, cast(sum(case when level = 1 and f1 <= 0 then 1 else 0 end) as bigint) as n_unseen, cast(sum(cast(round_even((v + (whole - level) * ln({alpha})) * 1e6, 0) as bigint)) as bigint) as log from l group by doc_id)")
+    return f"with {', '.join(ctes)} select doc_id, len(ws) as n_words, coalesce(n_backoff, 0) as n_backoff, coalesce(n_unseen, 0) as n_unseen, round(coalesce(log / 1e6, 0), 3) as log_sum, round(log / 1e6 / len(ws), 6) as score from d left join x using (doc_id)"

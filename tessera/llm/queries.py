@@ -68,4 +68,5 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_url_filter": urls.sql(),
+    "op9_lm_scoring": lm.sql(order=3),
 }

@@ -155,9 +155,9 @@ def binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
-def packed(blob: bytes) -> bytes:
+def packed(blob: bytes, level: int = 1) -> bytes:
     """Compressed for the way through the JVM and the shuffle."""
-    return zstandard.ZstdCompressor(level=1).compress(blob)
+    return zstandard.ZstdCompressor(level=level).compress(blob)
 
 
 def unpacked(blob: bytes) -> bytes:

@@ -60,44 +60,16 @@ def test_fingerprints_of_odd_rows(spark, odd, empty):
     assert fingerprints.document_fingerprints(spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [lm.HOT, 0.01, 2.0])
-def test_backoff_scores(spark, docs, rows, hot):
-    """Whatever words count as common, the scores are those of the plain definition."""
-    words = {r[0]: re.findall(r"[^\x20\x09-\x0D]+", (r[1] or "").translate(LOW)) for r in rows}
-    single, pair = Counter(), Counter()
-    for w in words.values():
-        single.update(w)
-        pair.update(zip(w, w[1:]))
-    total = sum(single.values())
-    got = {r["doc_id"]: r for r in lm.backoff_scores(spark, docs, hot=hot).collect()}
-    assert len(got) == len(rows)
-    for doc_id, w in words.items():
-        own, both = Counter(w), Counter(zip(w, w[1:]))
-        s, back, unseen, others = 0.0, 0, 0, max(1, total - len(w))
-        for i, x in enumerate(w):
-            if i and pair[w[i - 1], x] > both[w[i - 1], x]:
-                s += math.log((pair[w[i - 1], x] - both[w[i - 1], x]) / (single[w[i - 1]] - own[w[i - 1]]))
-                continue
-            back += i > 0
-            c = single[x] - own[x]
-            unseen += c <= 0
-            s += math.log((lm.ALPHA if i else 1) * (c if c > 0 else lm.ALPHA) / others)
-        r = got[doc_id]
-        assert (r["n_words"], r["n_backoff"], r["n_unseen"]) == (len(w), back, unseen)
-        assert abs(r["log_sum"] - s) < 2e-3
-        assert (r["score"] is None) == (not w)
-
-
-@pytest.mark.parametrize("order,hot", [(3, lm.HOT), (3, 0.01), (3, 2.0), (4, 0.01)])
-def test_longer_contexts(spark, docs, rows, order, hot):
-    """Three words and more, against the recursive definition."""
+@pytest.mark.parametrize("order,size", [(2, lm.SLICE), (3, lm.SLICE), (3, 3000), (4, 3000)])
+def test_backoff_scores(spark, docs, rows, order, size):
+    """Against the recursive definition, in few slices and in many."""
     words = {r[0]: re.findall(r"[^\x20\x09-\x0D]+", (r[1] or "").translate(LOW)) for r in rows}
     grams = lambda w: Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
     counts = Counter()
     for w in words.values():
         counts.update(grams(w))
     total, deep = sum(map(len, words.values())), 0
-    got = {r["doc_id"]: r for r in lm.backoff_scores(spark, docs, hot=hot, order=order).collect()}
+    got = {r["doc_id"]: r for r in lm.backoff_scores(spark, docs, order=order, slice_bytes=size, range_bytes=size).collect()}
     assert len(got) == len(rows)
     for doc_id, w in words.items():
         own = grams(w)
@@ -117,10 +89,20 @@ def test_longer_contexts(spark, docs, rows, order, hot):
     assert deep > 100
 
 
+def test_backoff_sql(spark, docs):
+    duckdb = pytest.importorskip("duckdb")
+    documents = docs.toArrow()  # noqa: F841  read by name
+    want = {r[0]: r[1:] for r in duckdb.sql(lm.sql(order=3)).fetchall()}
+    got = {r[0]: tuple(r[1:]) for r in lm.backoff_scores(spark, docs, order=3).collect()}
+    assert got == want
+
+
 def test_scores_of_odd_rows(spark, odd, empty):
-    got = lm.backoff_scores(spark, odd.dropDuplicates(["doc_id", "text"])).collect()
-    assert len(got) == 5
-    assert all(r["score"] is None for r in got if not r["n_words"] or r["doc_id"] is None)
+    """Repeated rows count for each other; without doc_id or words there is no score."""
+    got = sorted(((r["doc_id"] or 0, r["n_words"], r["n_backoff"], r["log_sum"], r["score"]) for r in lm.backoff_scores(spark, odd).collect()), key=str)
+    same = "same text here, and quite some more of it".split()
+    s = math.log(1 / len(same))
+    assert got == [(0, 0, 0, 0.0, None), (0, 9, 0, 0.0, None), *[(5, 9, 0, round(s, 3), round(s / 9, 6))] * 2, (7, 0, 0, 0.0, None), (9, 0, 0, 0.0, None)]
     assert lm.backoff_scores(spark, empty).count() == 0
 
 
