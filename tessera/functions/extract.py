@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import keyword_hits
+from tessera.functions.text import keyword_hits, stable_id
 
 # Words that sort a founder's past, in order of what weighs more, and signs of delivery on site.
 FOUNDER_BUCKETS = (
@@ -15,6 +15,8 @@ FOUNDER_BUCKETS = (
     ("consulting", "咨询"),
     ("finance", "金融机构"),
 )
+SYSTEMS = [("数据平台", "数据平台|数据资源|数据治理|数据仓库|大数据"), ("ERP", "(?i)ERP"), ("CRM", "(?i)CRM"), ("BI", "(?i)BI|商业智能"), ("OA", "(?i)OA|协同办公"), ("MES", "(?i)MES")]
+PROJECT, BUYER = ("项目名称", "采购项目名称"), ("采购单位", "采购人名称", "采购人")
 ON_SITE = "驻场|派驻|现场交付|交付中心|驻厂"
 
 
@@ -42,10 +44,27 @@ def first_iso_date(text: Column) -> Column:
 
 
 def label_value(lines: Column, labels) -> Column:
-    """The value after the first label on the first line that has one of them; null without one."""
-    pattern = rf"^\s*(?:{'|'.join(labels)})\s*[：:]\s*(.+?)\s*$"
-    found = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, pattern, 1)), lambda v: v != "")
-    return F.get(found, F.lit(0))
+    """The value behind the first label on the first line that has one of them, wherever it stands; null without one."""
+    behind = lambda x: F.coalesce(*(F.nullif(F.trim(F.regexp_extract(x, rf"{n}\s*[：:]?\s*(.+)$", 1)), F.lit("")) for n in labels))
+    return F.get(F.filter(F.transform(lines, behind), lambda v: v.isNotNull()), F.lit(0))
+
+
+def vendors(lines: Column) -> Column:
+    """The suppliers that won, each once; lines that go on with an address name none."""
+    found = F.transform(lines, lambda x: F.trim(F.regexp_extract(x, r"中标(?:成交)?供应商名称\s*[：:]\s*(.+)$", 1)))
+    return F.array_distinct(F.filter(found, lambda v: (v != "") & ~v.rlike("[、，]地址")))
+
+
+def procurements(notices: DataFrame) -> DataFrame:
+    """(company_id, system_id, org_id, category, product, buyer, vendors, requirements, published_at) of notices (company_id, lines).
+
+    Notices without a project, a buyer or a date give none.
+    """
+    need = F.array_join(F.slice(F.filter("lines", lambda x: x.rlike("采购需求|用途|简要技术|服务要求")), 1, 5), "；")
+    rows = notices.withColumns({"product": label_value(F.col("lines"), PROJECT), "buyer": label_value(F.col("lines"), BUYER), "requirements": need, "published_at": first_iso_date(F.array_join("lines", "\n"))})
+    rows = rows.filter("product is not null and buyer is not null and published_at is not null").withColumn("category", first_category(F.concat_ws("\n", "product", "requirements"), SYSTEMS, "其他"))
+    ids = {"system_id": stable_id("sys", F.col("company_id"), F.col("category"), F.col("product")), "org_id": stable_id("org", F.col("company_id"), F.col("buyer"))}
+    return rows.withColumns(ids).select("company_id", "system_id", "org_id", "category", "product", "buyer", F.array_join(vendors(F.col("lines")), "、").alias("vendors"), "requirements", "published_at")
 
 
 def keyword_tags(text: Column, words) -> Column:

@@ -25,6 +25,16 @@ CLAUSE_MARKERS = (
 GEO_PREFIX = "^(北京|上海|深圳|广州|杭州|成都|天津|重庆|南京|武汉|西安|苏州|中国)"
 LEGAL_SUFFIX = "(股份有限公司|有限责任公司|有限公司|集团股份|集团|控股|股份|科技)$"
 SALIENT_STOPS = ("CEO", "CTO", "CFO", "COO", "IPO", "VC", "PE", "AI", "IT", "CN", "US", "PDF", "URL")
+# Fixed values: (dimension, strong words, weak words, kinds it is the default of), and what is asked where nothing fits.
+ROUTES = [
+    ("shareholders", "股东|持股|股权|控股|实际控制人|大股东|股份|出资|注册资本|(?i:shareholder|ownership|equity stake|controller)", ("上市|融资|投资人", "(?i)IPO|listing"), ()),
+    ("team", "创始人|CEO|CTO|CFO|高管|管理层|负责人|总裁|董事|联创|(?i:founder|executive|leadership|headcount)", ("团队|人员|招聘", "(?i)team|hiring"), ()),
+    ("funding", "融资|估值|投资方|VC|PE|轮次|A轮|B轮|C轮|上市|IPO|并购|收购|(?i:funding|valuation|investor|series [a-z]|acquisition|M&A)", ("资金|财务", "(?i)revenue|ARR"), ()),
+    ("business", "产品|方案|服务|卖|收入|客户|商业模式|营收|主营|(?i:product|solution|customer|revenue|business model)", ("做什么|干什么|是什么", "(?i)what.*do|how.*work"), ("brand", "unknown")),
+    ("fde", "(?i:前置部署|驻场|交付|FDE|forward deploy|OCP|OCTC|开放计算|数据中心|AIDC|算力|GPU集群)|工程师组织|交付工程|解决方案工程", ("部署|实施|现场", "(?i)deploy|on-?site"), ()),
+    ("background", "成立|创办|历史|背景|诉讼|合规|监管|处罚|IPO招股书|(?i:founded|history|litigation|compliance|regulatory)", ("公司|企业", "(?i)company|corp"), ("legal",)),
+]
+FALLBACK = ("business", "fde")
 ENTITY_LIMIT, PROBE, TASKS = 24, 4, 4
 
 
@@ -95,7 +105,7 @@ def salient_terms(text: Column, entity: Column, most: int = 3) -> Column:
     return F.slice(kept, 1, most)
 
 
-def route(requests: DataFrame, text: str, kind: str, rules: list[tuple[str, str, tuple[str, ...], tuple[str, ...]]], fallback: tuple[str, ...]) -> DataFrame:
+def route(requests: DataFrame, text: str, kind: str, rules: list[tuple[str, str, tuple[str, ...], tuple[str, ...]]] = ROUTES, fallback: tuple[str, ...] = FALLBACK) -> DataFrame:
     """Rows (all columns of requests, dimension, confidence, place), best first by place.
 
     rules: (dimension, pattern of strong words, patterns of weak words, kinds it is the default

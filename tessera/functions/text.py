@@ -31,10 +31,11 @@ def normalize_corpus(text: Column) -> Column:
     """
     full = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
     half = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+    plain = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))  # ASCII needs no more than that
     t = F.translate(text, ZERO_WIDTH, "")
     t = F.regexp_replace(t, f"[{WHITE}]+", " ")
     t = F.regexp_replace(t, f"(?<=[{CJK}]) | (?=[{CJK}])", "")
-    return F.lower(F.trim(F.translate(t, full, half)))
+    return F.when(F.octet_length(text) == F.length(text), plain).otherwise(F.lower(F.trim(F.translate(t, full, half))))
 
 
 def corpus_fingerprint(text: Column, limit: int = FINGERPRINT_LIMIT, size: int = FINGERPRINT_SIZE) -> Column:

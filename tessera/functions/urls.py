@@ -14,6 +14,30 @@ INDEPENDENT_PARTS = ("xinhuanet.", "people.com.cn", "shobserver.")
 AGGREGATOR_PARTS = ("baidu.", "sina.", "sohu.", "163.com", "qq.com", "toutiao.", "eastmoney.", "10jqka.", "wallstreetcn.", "36kr.", "zhihu.", "weixin.", "bing.", "google.")
 OPAQUE_HOSTS = ("mp.weixin.qq.com", "zhuanlan.zhihu.com", "zhihu.com")
 SEARCH_HOSTS = ("baidu.com", "bing.com", "google.com", "google.com.hk", "so.com", "sogou.com")
+TYPED_HOSTS = {
+    "independent": (
+        # disclosure and its reprints
+        "pdf.dfcfw.com", "notice.10jqka.com.cn", "xinsanban.eastmoney.com", "stock.finance.sina.com.cn", "cninfo.com.cn", "sse.com.cn", "szse.cn",
+        # tender notices
+        "ggzy.gov.cn", "zgggzy.com", "ccgp-ningxia.gov.cn", "qianlima.com", "bidcenter.com.cn", "jianyu360.cn", "gc-zb.com", "jrzb.cn", "xjygcg.com", "hbbidcloud.cn",
+        # media
+        "36kr.com", "sohu.com", "163.com", "qq.com", "sina.com.cn", "sina.cn", "shobserver.com", "jfdaily.com", "thepaper.cn", "cb.com.cn", "xinhuanet.com", "news.cn", "stdaily.com", "eastmoney.com", "jrj.com.cn", "pedaily.cn",
+        "iyiou.com", "donews.com", "ebrun.com", "oeeee.com", "nfnews.com", "xhby.net", "chinadaily.com.cn", "china.com", "chinapp.net.cn", "people.com.cn", "cctv.com", "cri.cn", "rednet.cn", "zhiding.cn", "mpaypass.com.cn", "foodmate.com.cn",
+        "investorscn.com", "icloudnews.net", "shaqiu.cn", "pop136.com", "chinapost.com.cn", "jcaizz.com", "gssk.cn", "microbell.com", "zhiliaobiaoxun.com", "jiemian.com", "tidenews.com.cn", "iheima.com", "vcbeat.top", "xueqiu.com", "leiphone.com",
+    ),
+    "related": (
+        # registers with fields that companies fill in
+        "qcc.com", "tianyancha.com", "aiqicha.baidu.com", "qixin.com", "qizhidao.com", "chacewang.com", "baike.baidu.com", "leshanvc.com",
+        # projects' own pages
+        "pitchhub.36kr.com", "data.iyiou.com",
+        # job boards
+        "zhipin.com", "liepin.com", "zhaopin.com", "jobui.com",
+        # marketplaces
+        "marketplace.huaweicloud.com", "startup.aliyun.com", "cloud.tencent.com", "ow.dingtalk.com", "1688.com",
+        # members of associations
+        "aii-alliance.org", "zhinengxiehui.com", "czaiia.com", "saiia.org.cn", "ahnpo.cn", "szaicx.com", "smartcity.team",
+    ),
+}
 GRADE_RANK = {"statutory": 3, "independent": 2, "self": 1, "unverified": 0}
 
 
@@ -77,7 +101,7 @@ def grade_rank(grade: Column) -> Column:
     return out
 
 
-def audit_grade(url: Column, typed: dict[str, tuple[str, ...]], opaque=OPAQUE_HOSTS) -> Column:
+def audit_grade(url: Column, typed: dict[str, tuple[str, ...]] = TYPED_HOSTS, opaque=OPAQUE_HOSTS) -> Column:
     """independent, related or unknown: structure first, then opaque platforms, then the longest host rule, then root paths."""
     text = F.trim(F.coalesce(url, F.lit("")))
     full = host_of(text)
@@ -109,7 +133,7 @@ def source_hint(url: Column) -> Column:
     return F.when(host == "", "none").when(under(host, DISCLOSURE_HOSTS), "disclosure").when(holds(host, AGGREGATOR_PARTS), "aggregator").otherwise("other")
 
 
-def combined_grade(urls: Column, typed: dict[str, tuple[str, ...]], opaque=OPAQUE_HOSTS) -> Column:
+def combined_grade(urls: Column, typed: dict[str, tuple[str, ...]] = TYPED_HOSTS, opaque=OPAQUE_HOSTS) -> Column:
     """The audit grade of an array of URLs: independent before related before unknown."""
     grades = F.transform(urls, lambda u: audit_grade(u, typed, opaque))
     return F.when(F.array_contains(grades, "independent"), "independent").when(F.array_contains(grades, "related"), "related").otherwise("unknown")

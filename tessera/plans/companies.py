@@ -236,6 +236,24 @@ def peer_and_vendor_cases(spark, sf_dir):
     return collectors.peer_cases(pages).select("company_id", "products", "approach").join(sold, "company_id", "left").na.fill(False, ["vendor"]).withColumnRenamed("company_id", "s_suppkey")
 
 
+_NOTICE = "concat('发布日期 2025年', cast(s_suppkey % 12 + 1 as string), '月', cast(s_suppkey % 28 + 1 as string), '日', chr(10), '采购项目名称：', case s_suppkey % 4 when 0 then '大数据中心' when 1 then 'erp 二期' when 2 then 'OA' else '道路' end, cast(s_suppkey as string), chr(10), case when s_suppkey % 5 = 0 then '' else '一、采购人: 某局' end, chr(10), '中标供应商名称：甲公司', chr(10), '中标成交供应商名称：乙公司，地址 x', chr(10), '中标成交供应商名称：丙', cast(s_nationkey as string), chr(10), '用途 CRM')"
+
+
+@query("""select s_suppkey, case s_suppkey % 4 when 0 then '数据平台' when 1 then 'ERP' when 2 then 'CRM' else 'CRM' end as category, case s_suppkey % 4 when 0 then '大数据中心' when 1 then 'erp 二期' when 2 then 'OA' else '道路' end || s_suppkey as product, '某局' as buyer, '甲公司、丙' || s_nationkey as vendors, '2025-' || lpad(cast(s_suppkey % 12 + 1 as varchar), 2, '0') || '-' || lpad(cast(s_suppkey % 28 + 1 as varchar), 2, '0') as published_at from supplier where s_suppkey % 5 > 0""")
+def procurements(spark, sf_dir):
+    """Systems and buyers of procurement notices."""
+    notices = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("company_id"), F.split(F.expr(_NOTICE), "\n").alias("lines"))
+    return extract.procurements(notices).select(F.col("company_id").alias("s_suppkey"), "category", "product", "buyer", "vendors", "published_at")
+
+
+@query("""select c_custkey, case when c_nationkey % 4 = 0 then 'institute' when c_nationkey % 4 = 1 then 'platform' when c_nationkey % 4 = 2 then 'foreign' end as bucket, case when c_custkey % 3 = 0 then 'adjacent' when c_custkey % 3 = 1 then 'unclear' else 'vendor' end as relevance from customer""")
+def founder_cards(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    tags = F.array(F.element_at(F.array(*map(F.lit, ("央国企", "华为", "外企", "其他"))), (F.col("c_nationkey") % 4 + 1).cast("int")), F.when(F.col("c_nationkey") % 4 == 0, "百度").otherwise("x"))
+    told = F.when(F.col("c_custkey") % 3 == 2, "text")
+    return c.select("c_custkey", extract.founder_bucket(tags).alias("bucket"), extract.initial_relevance(told, told, F.when(F.col("c_custkey") % 3 == 0, "驻场")).alias("relevance"))
+
+
 _HELD = "case s_suppkey % 5 when 0 then concat('截至 2026-04-06：1. 甲方（基金）', cast(s_nationkey as string), '.5%；2. 乙公司 3%（H股）。股份类别：A。口径：x。') when 1 then concat('甲方 5%；乙，丙 ', cast(s_nationkey as string), '%') when 2 then '一句话' when 3 then concat('Foo LP ', cast(s_nationkey + 5 as string), '.25%；Bar Inc 1% 数据来源：y') else '甲 5%' end"
 
 

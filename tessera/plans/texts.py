@@ -137,6 +137,18 @@ def url_grades(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.source_grade(F.col("url"), _STAT, _SELF, _IND).alias("grade"))
 
 
+_HOSTED = "case page_id % 9 when 0 then 'http://www.pitchhub.36kr.com/a' when 1 then 'https://m.36kr.com/p' when 2 then concat('https://x', cast(page_id as string), '.edu.cn/') when 3 then 'https://mp.weixin.qq.com/s' when 4 then concat('https://acme', cast(page_id as string), '.io/index.html') when 5 then 'https://acme.io/deep/' when 6 then 'https://baike.baidu.com/item' when 7 then 'not a url' else url end"
+_LISTED = lambda names: " or ".join(f"(host = '{n}' or ends_with(host, '.{n}'))" for n in names)
+_BEST = lambda kind: "greatest(0, " + ", ".join(f"case when host = '{n}' or ends_with(host, '.{n}') then {len(n)} else 0 end" for n in urls.TYPED_HOSTS[kind]) + ")"
+
+
+@query(rf"""with u as (select page_id, {_HOSTED} as url from pages), h as (select page_id, url, {_HOST} as full_host, regexp_replace(regexp_replace({_HOST}, '^www\.', ''), '^m\.', '') as host, regexp_replace(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), '/+$', '') as path from u)
+ select page_id, case when full_host = '' then 'unknown' when regexp_matches(full_host, '\.gov\.cn$|\.gov$|\.edu\.cn$') then 'independent' when {_LISTED(urls.OPAQUE_HOSTS)} then 'unknown' when {_BEST("independent")} > {_BEST("related")} then 'independent' when {_BEST("related")} > 0 then 'related' when path in ('', '/index.html') then 'related' else 'unknown' end as grade from h""")
+def host_grades(spark, sf_dir):
+    """The grades of a card's sources under the full host table; with one source that is the source's."""
+    return table(spark, sf_dir, "pages").select("page_id", urls.combined_grade(F.array(F.expr(_HOSTED))).alias("grade"))
+
+
 _TYPED = {"independent": ("example.com", "blog.tionsh.example.net"), "related": ("example.net", "www.ththhe.example.com")}
 
 
@@ -320,16 +332,17 @@ def relevance_probes(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", asks.relevance_probe(name).alias("probe"), asks.is_relevant(name, F.lit("星河数据港湾 1")).alias("relevant"))
 
 
-_ROUTES = [("team", "(?i)clerk|manager", ("(?i)hiring", "(?i)team"), ()), ("money", "(?i)urgent|price", (), ("P",)), ("scope", "(?i)never", ("(?i)high", "(?i)2"), ("O",))]
+_ROUTED = "concat(case o_orderkey % 5 when 0 then '大股东持股' when 1 then 'our team, 招聘' when 2 then 'IPO 与 财务 revenue' when 3 then 'what do they do, 是什么' else 'nothing' end, case o_custkey % 4 when 0 then ' OCP' when 1 then ' 公司 corp' else '' end)"
+_KINDS = "case o_orderstatus when 'F' then 'legal' when 'O' then 'brand' else 'site' end"
 
 
-@query("""with r as (select o_orderkey, o_orderstatus, o_orderpriority, [case when regexp_matches(o_orderpriority, '(?i)urgent|price') then 0 when o_orderstatus = 'P' then 2 end, case when o_orderpriority = '2-HIGH' then 1 when o_orderstatus = 'O' then 2 end] as g from orders),
- h as (select o_orderkey, 'money' as dimension, g[1] as grade, 1 as spot from r where g[1] is not null union all select o_orderkey, 'scope', g[2], 2 from r where g[2] is not null
-  union all select o_orderkey, 'team', 2, 3 from r where g[1] is null and g[2] is null union all select o_orderkey, 'money', 2, 4 from r where g[1] is null and g[2] is null)
+@query(rf"""with r as (select o_orderkey, {_ROUTED} as t, {_KINDS} as kind from orders), g as (select o_orderkey, unnest([{", ".join(f"'{d}'" for d, *_ in asks.ROUTES)}]) as dimension, unnest([{", ".join(str(i) for i in range(6))}]) as spot,
+  unnest([{", ".join("case when regexp_matches(t, '" + strong + "') then 0 when " + " + ".join(f"cast(regexp_matches(t, '{w}') as int)" for w in weak) + " >= 2 then 1 when kind in (" + (", ".join(f"'{k}'" for k in kinds) or "''") + ") then 2 end" for _, strong, weak, kinds in asks.ROUTES)}]) as grade from r),
+ h as (select * from g where grade is not null union all select o_orderkey, unnest(['business', 'fde']), unnest([6, 7]), 2 from r where o_orderkey not in (select o_orderkey from g where grade is not null))
  select o_orderkey, row_number() over (partition by o_orderkey order by grade, spot) as place, dimension, ['high', 'medium', 'default'][grade + 1] as confidence from h""")
 def dimension_routing(spark, sf_dir):
-    rows = asks.route(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderpriority", "o_orderstatus", _ROUTES, ("team", "money"))
-    return rows.select("o_orderkey", F.col("place").cast("long").alias("place"), "dimension", "confidence")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_ROUTED).alias("t"), F.expr(_KINDS).alias("kind"))
+    return asks.route(rows, "t", "kind").select("o_orderkey", F.col("place").cast("long").alias("place"), "dimension", "confidence")
 
 
 _PLAN = "concat('user ', cast(user_id as string), case user_id % 4 when 0 then ' asks the CEO of OCP' when 1 then ' H100 and GPU, OCP' when 2 then '要AIDC的' else ' nothing' end)"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import stable_id
+
 FEED = "date string, kind string, companyId string, title string, summary string, url string, sourceType string"
 FEED_KINDS = ("policy", "market", "technology", "company", "procurement")
 
@@ -18,6 +20,20 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
 
 
+def registered(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, name, controller, listing, representative, person_id, position_id) of the companies (id, name) that a registry (read_registry) holds."""
+    own = rows.select(F.col("企业名称").alias("name"), *(F.coalesce(c, F.lit("")).alias(a) for c, a in (("实际控制人", "controller"), ("法定代表人", "representative"))), F.trim(F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in ("上市地", "股票代码")))).alias("listing"))
+    person = F.when(F.col("representative") != "", stable_id("person", F.col("id"), F.col("representative")))
+    out = names.join(own.dropDuplicates(["name"]), "name").withColumn("person_id", person)
+    return out.withColumn("position_id", F.when(F.col("person_id").isNotNull(), stable_id("position", F.col("id"), F.col("person_id"), F.lit("法定代表人")))).select("id", "name", "controller", "listing", "representative", "person_id", "position_id")
+
+
+def read_search(spark: SparkSession, path: str) -> DataFrame:
+    """(path, title, url, snippet, publishedAt): the http(s) results of files of search answers."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return files.select("path", F.explode(search_hits(F.col("value"))).alias("r")).select("path", "r.*")
+
+
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """A JSON feed {"items": [...]} with its invalid items dropped."""
     items = spark.read.schema(f"items array<struct<{FEED.replace(' ', ':').replace(',:', ',')}>>").json(path, multiLine=True)

@@ -161,3 +161,16 @@ def test_proposals(spark):
     assert one(spark, proposals.entity_kind(t, F.lit("odd")), t="x") == "unknown"
     assert one(spark, proposals.data_basis(t), t="净利润与营收") == "营收 / 净利润（口径以原文为准）"
     assert one(spark, proposals.market_region(t), t="none") == ""
+
+
+def test_registry_and_search(spark, tmp_path):
+    from tessera.sources import tables
+
+    (tmp_path / "r.csv").write_text('企业名称,法定代表人,上市地,股票代码,实际控制人\n"甲, 公司",王一,深交所,002410,李二\n乙,,,,\n')
+    names = spark.createDataFrame([("c1", "甲, 公司"), ("c2", "乙"), ("c3", "丙")], "id string, name string")
+    got = {r["id"]: r for r in tables.registered(tables.read_registry(spark, str(tmp_path / "r.csv")), names).collect()}
+    assert set(got) == {"c1", "c2"} and got["c2"]["person_id"] is None
+    assert (got["c1"]["listing"], got["c1"]["controller"], got["c1"]["representative"]) == ("深交所 002410", "李二", "王一") and got["c1"]["position_id"].startswith("position_")
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.json").write_text('{"query": "q", "results": [{"url": "ftp://a", "title": "x"}, {"url": "https://b", "title": "y"}]}')
+    assert [(r["title"], r["url"]) for r in tables.read_search(spark, str(tmp_path / "s")).collect()] == [("y", "https://b")]

@@ -24,10 +24,7 @@ def test_admission_against_a_loop(spark):
                 edges.append((key, at, f"F{rng.randrange(6)}", rng.choice(["G1", "G2", "", "f1"]), rng.choice(["equity", "supply", "compete", "odd", ""]), "license", rng.choice(["mutual", "forward", None])))
     c = spark.createDataFrame(rows, "grp int, key int, title string, evidence string, url string, grade string, duplicate boolean, dated date")
     e = spark.createDataFrame(edges, "key int, at int, from_node string, to_node string, relation string, suggested string, direction string")
-    known_keys = [(0, "equity|f1|g1"), (1, "compete|f1|f2")]
-    got = {r["key"]: r for r in research.admitted(research.screened(c, e, "2024-06-30"), spark.createDataFrame([(2, " https://a.org/1 ")], "grp int, url string"), spark.createDataFrame(known_keys, "grp int, edge_key string"), spark.createDataFrame([(3, 46)], "grp int, n_edges int")).collect()}
     age = {"equity": 730, "license": 730, "supply": 548, "personnel": 548, "compete": 365}
-    rank = {"statutory": 4, "independent": 3, "self": 2, "related": 2}
     own: dict = {}
     for key, _, a, b, rel, sug, way in edges:
         rel = rel or sug
@@ -36,6 +33,9 @@ def test_admission_against_a_loop(spark):
             if rel == "compete" or way == "mutual":
                 x, y = sorted((x, y))
             own.setdefault(key, []).append((rel, f"{rel}|{x}|{y}"))
+    known_keys = [(0, "equity|f1|g1"), (1, "compete|f1|f2"), *((4, k) for key in range(400, 430) for _, k in own.get(key, []))]
+    got = {r["key"]: r for r in research.admitted(research.screened(c, e, "2024-06-30"), spark.createDataFrame([(2, " https://a.org/1 ")], "grp int, url string"), spark.createDataFrame(known_keys, "grp int, edge_key string"), spark.createDataFrame([(3, 46)], "grp int, n_edges int")).collect()}
+    rank = {"statutory": 4, "independent": 3, "self": 2, "related": 2}
     for g in range(6):
         urls, keys = ({"https://a.org/1"} if g == 2 else set()), {k for h, k in known_keys if h == g}
         room, taken, used = 48 - (46 if g == 3 else 0), 0, 0
