@@ -284,17 +284,27 @@ def grouping_sets(spark, sf_dir):
     return out.select(F.coalesce("o_orderstatus", F.lit("*")).alias("s"), F.coalesce("o_orderpriority", F.lit("*")).alias("p"), "n")
 
 
-@query()
+@query("""with recursive e as (select user_id, event_id, json_extract_string(props, '$.k') as edge, row_number() over (partition by user_id order by -value, event_id) as k from events),
+ r as (select user_id, cast(0 as bigint) as k, cast(null as bigint) as event_id, '' as verdict, 0 as taken, 0 as used, cast([] as varchar[]) as known from (select distinct user_id from events) union all
+  select user_id, k, event_id, verdict, taken + cast(verdict = 'accepted' as int), used + cast(verdict = 'accepted' as int), case when verdict = 'accepted' then list_append(known, edge) else known end
+  from (select e.user_id, e.k, e.event_id, e.edge, r.taken, r.used, r.known, case when e.edge is null or list_contains(r.known, e.edge) then 'no-novel-edge' when r.taken + 1 > 4 or r.used + 1 > 6 then 'capacity' else 'accepted' end as verdict from r join e on e.user_id = r.user_id and e.k = r.k + 1))
+ select user_id, event_id, verdict from r where k > 0""")
 def greedy_admission(spark, sf_dir):
-    """Order-dependent: tested against a plain loop."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").alias("edge"), (-F.col("value")).alias("rank"))
     return folds.greedy_admission(rows, "user_id", "event_id", "edge", ["rank", "event_id"])
 
 
-@query()
+_HELD = "greatest(12, least(40, r.w{0} + e.way * (e.s{0} - (e.s1 + e.s2 + e.s3 + e.s4) / 4) * 0.08))"
+_NEXT = ", ".join(f"case when e.way = 0 then r.w{k} else floor({_HELD.format(k)} / ({' + '.join(_HELD.format(j) for j in range(1, 5))}) * 100 + 0.5) end" for k in range(1, 5))
+
+
+@query(f"""with recursive e as (select user_id, row_number() over (partition by user_id order by event_id) as k, case when event_id % 100 < 60 then 0 when event_type = 'purchase' then 1 when event_type = 'error' then -1 else 0 end as way, {", ".join(f"cast(event_id * {k} % 60 + 35 as double) as s{k}" for k in range(1, 5))} from events),
+ r as (select user_id, cast(0 as bigint) as k, cast(30 as double) as w1, cast(25 as double) as w2, cast(25 as double) as w3, cast(20 as double) as w4 from (select distinct user_id from events) union all select r.user_id, r.k + 1, {_NEXT} from r join e on e.user_id = r.user_id and e.k = r.k + 1)
+ select user_id, max(k) as n, {", ".join(f"arg_max(w{k}, k) as w{k}" for k in range(1, 5))} from r group by 1""")
 def weight_replay(spark, sf_dir):
-    """A fold over each user's outcomes: tested against a plain loop."""
+    """A fold over each user's outcomes."""
     e = table(spark, sf_dir, "events")
     scores = F.array(*(F.pmod(F.col("event_id") * (k + 1), F.lit(60)).cast("double") + 35 for k in range(4)))
     rows = e.select("user_id", "event_id", F.expr("case event_type when 'purchase' then 'confirmed' when 'error' then 'counter' else 'watching' end").alias("verdict"), (F.col("event_id") % 100).alias("quality"), scores.alias("scores"))
-    return folds.weight_replay(rows, "user_id", "event_id", "verdict", "quality", "scores", [30, 25, 25, 20])
+    out = folds.weight_replay(rows, "user_id", "event_id", "verdict", "quality", "scores", [30, 25, 25, 20])
+    return out.select("user_id", "n", *(F.get("weights", F.lit(k)).alias(f"w{k + 1}") for k in range(4)))

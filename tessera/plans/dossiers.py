@@ -353,7 +353,7 @@ def scheduler_rejections(spark, sf_dir):
     return research.rejections(_admitted(spark, sf_dir))
 
 
-_CAND = "select o_orderkey as doc, l_linenumber as place, l_quantity as q, l_partkey as p, l_suppkey as s from lineitem join orders on l_orderkey = o_orderkey"
+_CAND = "select o_orderkey as doc, cast(l_linenumber as bigint) * 1000000000 + l_partkey * 10000 + l_suppkey as place, l_quantity as q, l_partkey as p, l_suppkey as s from lineitem join orders on l_orderkey = o_orderkey"
 
 
 @query(f"""with c as ({_CAND}), k as (select *, row_number() over (partition by doc order by place) as r from c) select doc, cast(place as bigint) as place, case p % 4 when 0 then 'supply' when 1 then 'equity' else 'unclustered' end as relation, case when p % 7 = s % 7 then 1 else 2 end as n_edges from k where r <= 12 and q > 10 and not (p % 7 = s % 7 and s % 5 = 0)""")
@@ -364,7 +364,7 @@ def extracted_candidates(spark, sf_dir):
     none = F.lit(None).cast("string")
     edge = lambda x, y: F.struct(x.alias("src"), y.alias("dst"), none.alias("relation"), F.lit("mutual").alias("direction"), F.lit("q").alias("quote"), none.alias("src_kind"), none.alias("dst_kind"))
     edges = F.array(edge(a, b), F.when(F.col("l_suppkey") % 5 == 0, edge(a, F.lit(" "))).otherwise(edge(a, F.lit("x"))), edge(F.lit("y"), F.when((F.col("l_suppkey") % 5 == 0) & (F.col("l_partkey") % 7 != F.col("l_suppkey") % 7), F.lit("z")).otherwise(F.lit("y"))))
-    rows = line.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("place"), F.lit("t").alias("title"), F.when(F.col("l_quantity") > 10, "evidence of twenty characters").otherwise("thin").alias("evidence"), F.when(F.col("l_partkey") % 4 == 0, "supply").when(F.col("l_partkey") % 4 == 1, "equity").otherwise("odd").alias("relation"), edges.alias("edges"))
+    rows = line.select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") * F.lit(1_000_000_000).cast("long") + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("place"), F.lit("t").alias("title"), F.when(F.col("l_quantity") > 10, "evidence of twenty characters").otherwise("thin").alias("evidence"), F.when(F.col("l_partkey") % 4 == 0, "supply").when(F.col("l_partkey") % 4 == 1, "equity").otherwise("odd").alias("relation"), edges.alias("edges"))
     return signals.extracted(rows).select("doc", F.col("place").cast("long").alias("place"), "relation", F.size("edges").alias("n_edges"))
 
 

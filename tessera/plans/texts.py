@@ -363,8 +363,8 @@ def search_plan(spark, sf_dir):
 _PAGED = "concat(url, chr(10), case page_id % 3 when 0 then cast(page_id % 90 as string) else 'no number' end, chr(12), case page_id % 4 when 1 then '  ' else concat('second ', cast(page_id as string)) end, chr(12), 'last', chr(10), ' 12 ')"
 
 
-@query(rf"""with p as (select page_id, string_split({_PAGED}, chr(12)) as ps from pages), x as (select page_id, unnest(list_filter(list_transform(ps, lambda v: regexp_replace(v, '^ +| +$', '', 'g')), lambda v: v <> '')) as text from p),
- n as (select page_id, text, row_number() over (partition by page_id) as k from x) select page_id, cast(coalesce(nullif(regexp_extract(text, '(?:^|\n)\s*(\d{{1,4}})\s*$', 1), ''), cast(k as varchar)) as bigint) as page_no, text from n""")
+@query(rf"""with p as (select page_id, string_split({_PAGED}, chr(12)) as ps from pages), x as (select page_id, list_filter(list_transform(ps, lambda v: regexp_replace(v, '^ +| +$', '', 'g')), lambda v: v <> '') as xs from p),
+ n as (select page_id, unnest(xs) as text, unnest(range(1, len(xs) + 1)) as k from x) select page_id, cast(coalesce(nullif(regexp_extract(text, '(?:^|\n)\s*(\d{{1,4}})\s*$', 1), ''), cast(k as varchar)) as bigint) as page_no, text from n""")
 def paged_text(spark, sf_dir):
     """Pages split at form feeds; a printed number counts, else the place."""
     rows = table(spark, sf_dir, "pages").select("page_id", F.explode(paged(F.expr(_PAGED))).alias("p"))
