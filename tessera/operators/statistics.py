@@ -107,6 +107,18 @@ def holder_concentration(rows: DataFrame, key: str, rank: str, ratio: str, top:
     return out.filter("gaps_ = 0 and top1 is not null").drop("gaps_")
 
 
+def pivot_table(rows: DataFrame, row: str, col: str, columns: list[str]) -> DataFrame:
+    """(row, total, and a count for each of the columns): rows with both labels, the largest first; name the columns in the order of their totals."""
+    own = rows.filter(F.trim(F.coalesce(row, F.lit(""))) != "").filter(F.trim(F.coalesce(col, F.lit(""))) != "")
+    counts = [F.count_if(F.col(col) == c).alias(c) for c in columns]
+    return own.groupBy(row).agg(F.count("*").alias("total"), *counts).orderBy(F.desc("total"), row)
+
+
+def column_order(rows: DataFrame, col: str) -> list[str]:
+    """The labels of a column, the commonest first: a table's headings, few by nature."""
+    return [r[0] for r in rows.filter(F.trim(F.coalesce(col, F.lit(""))) != "").groupBy(col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), col).collect()]
+
+
 def week_counts(rows: DataFrame, key: str, ts: str, hours: int = 8) -> DataFrame:
     from tessera.functions.dates import monday_of
 

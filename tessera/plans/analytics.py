@@ -272,9 +272,12 @@ def relation_confidence(spark, sf_dir):
     return m.select("l_returnflag", "n", gates.relation_confidence(F.col("mean"), F.col("n") % 7, F.col("n") % 3).cast("long").alias("confidence"))
 
 
-@query("select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as f, count(*) filter (where o_orderstatus = 'O') as o, count(*) filter (where o_orderstatus = 'P') as p from orders group by 1")
+@query("select o_orderpriority, count(*) as total, count(*) filter (where o_orderstatus = 'F') as f, count(*) filter (where o_orderstatus = 'O') as o, count(*) filter (where o_orderstatus = 'P') as p from orders group by 1")
 def pivot_status(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().select("o_orderpriority", *(F.coalesce(c, F.lit(0)).alias(c.lower()) for c in "FOP"))
+    """Counts by two labels, rows and columns in the order of their totals."""
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus")
+    out = statistics.pivot_table(o, "o_orderpriority", "o_orderstatus", statistics.column_order(o, "o_orderstatus"))
+    return out.select("o_orderpriority", "total", *(F.col(c).alias(c.lower()) for c in "FOP"))
 
 
 @query("with g as (select coalesce(o_orderstatus, '*') as s, coalesce(o_orderpriority, '*') as p, count(*) as n from orders group by grouping sets ((o_orderstatus), (o_orderpriority), (o_orderstatus, o_orderpriority))) select * from g")

@@ -175,6 +175,19 @@ def field_hit_rate(spark, sf_dir):
     return dossier.hit_rate(dossier.field_hits(rows, F.col("text")), "lang").drop("rate")
 
 
+@query("with r as (select 'business_line' as part, o_custkey as company, o_orderpriority as a, cast(o_orderkey as varchar) as b from orders) select part, company, min(a) as first_name, count(*) as n from r group by 1, 2")
+def dossier_sections(spark, sf_dir):
+    """A section's rows in their order: each company's first row is the one that comes first."""
+    rows = dossier.section(_lines(spark, sf_dir), "business_line").select("company_id", "name", F.monotonically_increasing_id().alias("at"))
+    return rows.groupBy(F.lit("business_line").alias("part"), F.col("company_id").alias("company")).agg(F.min_by("name", "at").alias("first_name"), F.count("*").alias("n"))
+
+
+@query("select case l_suppkey % 4 when 0 then 'statutory' when 1 then 'independent' when 2 then 'self' else 'unverified' end as grade, count(*) as n from lineitem group by 1")
+def graded_facts(spark, sf_dir):
+    g = F.element_at(F.array(*map(F.lit, ("statutory", "independent", "self", "unverified"))), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    return signals.count_by_grade(table(spark, sf_dir, "lineitem").select(g.alias("grade")))
+
+
 _WEEK_N = "select user_id, cast(date_trunc('week', ts + interval 8 hours) as date) as week, count(*) as n from events group by all"
 
 

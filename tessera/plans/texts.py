@@ -127,6 +127,18 @@ def canonical_urls(spark, sf_dir):
     return _addresses(spark, sf_dir).select("page_id", urls.canonical_url(F.col("url")).alias("canonical"), urls.host_of(F.col("url")).alias("host"))
 
 
+_GRADED = lambda h: f"case when {h} = '' then 0 when {_UNDER2(h, urls.STATUTORY_HOSTS)} then 3 when {_HAS2(h, urls.SELF_PARTS)} then 1 when ends_with({h}, '.gov.cn') or {_HAS2(h, urls.INDEPENDENT_PARTS)} then 2 else 1 end"
+_UNDER2 = lambda h, names: " or ".join(f"{h} = '{n}' or ends_with({h}, '.{n}')" for n in names)
+_HAS2 = lambda h, parts: " or ".join(f"contains({h}, '{p}')" for p in parts)
+
+
+@query(rf"""with h as (select page_id % 7 as grp, {_HOST} as h from {_ADDRESSES}), g as (select grp, {_GRADED("h")} as r from h) select grp, ['unverified', 'self', 'independent'][least(max(r), 2) + 1] as grade from g group by 1""")
+def ceiling_grades(spark, sf_dir):
+    """The best grade that a company's addresses can give it."""
+    rows = _addresses(spark, sf_dir).groupBy((F.col("page_id") % 7).alias("grp")).agg(F.collect_list("url").alias("urls"))
+    return rows.select("grp", urls.ceiling_grade(F.col("urls")).alias("grade"))
+
+
 #: Rules for the test hosts, which none of the production hosts meets.
 _STAT, _SELF, _IND = ("example.org",), ("spam-farm.", "casino"), ("blog.",)
 
@@ -319,6 +331,27 @@ def request_parse(spark, sf_dir):
     return rows.select("o_orderkey", asks.correct_terms(F.col("t")).alias("fixed"), "entity", F.array_join(asks.salient_terms(F.col("t"), F.col("entity")), " ").alias("terms"), (~F.col("entity").rlike("[A-Z]")).alias("plain"))
 
 
+_RULED = [("(?i)\\bopc\\b", "OCP"), ("(?i)\\boctp\\b", "OCTC"), ("(?i)\\bbaidci?\\b", "AIDC"), ("(?i)\\bai ?dc\\b", "AIDC"), ("(?i)\\bopenbmc\\b", "OpenBMC"), ("(?i)\\bhpos\\b", "HPoS"), ("(?i)\\bfde工程师\\b", "前置部署工程师"), ("广联达控股\\b", "广联达科技股份有限公司")]
+_STEPS = ", ".join(f"s{i + 1} as (select *, regexp_replace(t{i}, '{p}', '{r}', 'g') as t{i + 1}, regexp_extract(t{i}, '({p})', 1) as h{i} from s{i})" for i, (p, r) in enumerate(_RULED))
+
+
+@query(rf"""with s0 as (select o_orderkey, {_ASK} as t0 from orders), {_STEPS} select o_orderkey, concat_ws(' ', {", ".join(f"case when h{i} <> '' then h{i} || '>{r}' end" for i, (_, r) in enumerate(_RULED))}) as fixes from s8""")
+def term_corrections(spark, sf_dir):
+    """What was corrected in a request, once for each rule."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", asks.term_corrections(F.expr(_ASK)).alias("c"))
+    return rows.select("o_orderkey", F.array_join(F.transform("c", lambda x: F.concat(x["original"], F.lit(">"), x["corrected"])), " ").alias("fixes"))
+
+
+@query(r"""with h as (select o_custkey, case when o_custkey % 3 = 0 then '星河科技' when o_custkey % 3 = 1 then 'Acme' else '北京大地' end as name, case when o_orderkey % 7 = 0 then '星河 news' when o_orderkey % 7 = 1 then '关于大地' else 'other' end as t from orders)
+ select o_custkey, count(*) filter (where (name = '星河科技' and contains(t, '星河')) or name = 'Acme' or (name = '北京大地' and contains(t, '大地'))) = 0 as degraded from h group by 1""")
+def degraded_batches(spark, sf_dir):
+    """Batches of hits none of which mentions its entity; names without CJK are not judged."""
+    o = table(spark, sf_dir, "orders")
+    name = F.when(F.col("o_custkey") % 3 == 0, "星河科技").when(F.col("o_custkey") % 3 == 1, "Acme").otherwise("北京大地")
+    t = F.when(F.col("o_orderkey") % 7 == 0, "星河 news").when(F.col("o_orderkey") % 7 == 1, "关于大地").otherwise("other")
+    return asks.degraded_batches(o.select("o_custkey", name.alias("name"), t.alias("t")), "o_custkey", "name", "t")
+
+
 _LEGAL = asks.LEGAL_SUFFIX
 _PEEL = lambda x: f"case when length(regexp_replace({x}, '{_LEGAL}', '')) < 2 then {x} else regexp_replace({x}, '{_LEGAL}', '') end"
 _NAMED = "concat(case c_nationkey % 3 when 0 then '北京' when 1 then '中国' else '' end, case c_custkey % 4 when 0 then '星河' when 1 then 'Orion ' else '数据港湾' end, cast(c_custkey % 100 as string), case c_nationkey % 5 when 0 then '科技集团股份有限公司' when 1 then '控股有限公司' when 2 then '科技' else '' end)"

@@ -23,15 +23,23 @@ def weekly(events: DataFrame, ts: str, kind: str, late: str = "14 days") -> Data
     return events.withWatermark(ts, late).groupBy(weeks.alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("week_start"), kind, "n")
 
 
-def upsert_into(path: str, keys: list[str]):
-    """A foreachBatch sink: rows whose keys the Parquet table at path has already are left out, so a replayed batch inserts nothing."""
+def upsert_into(path: str, keys: list[str], by: str | None = None):
+    """A foreachBatch sink: rows whose keys the Parquet table at path has already are left out, so a replayed batch inserts nothing.
+
+    by: a column that keys determine, such as a week. The table is then partitioned by it, and only
+    the partitions that a batch touches are read (their values, a few for each batch, are collected).
+    """
 
     def put(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates(keys)
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            new = new.join(spark.read.schema(batch.schema).parquet(path).select(*keys), keys, "left_anti")
-        new.write.mode("append").parquet(path)
+            old = spark.read.schema(batch.schema).parquet(path)
+            if by:
+                old = old.filter(F.col(by).isin([r[0] for r in new.select(by).distinct().collect()]))
+            new = new.join(old.select(*keys), keys, "left_anti")
+        out = new.write.mode("append")
+        (out.partitionBy(by) if by else out).parquet(path)
 
     return put
