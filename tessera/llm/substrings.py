@@ -3,8 +3,8 @@
 A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller
 doc_id. Documents are judged as they are in the input; matches never cross documents.
 
-0. Copies. Of documents with equal texts all but the least lose everything, and only that one
-   goes on, so a text that very many documents have as a whole costs what one costs.
+0. Copies. Of documents with equal texts (by SHA-256) all but the least lose everything, and only
+   that one goes on, so a text that very many documents have as a whole costs what one costs.
 1. Anchors. Each window of LENGTH bytes has as its anchor the least hash among its GRAM-byte
    grams, so equal windows have equal anchors, and neighbouring windows mostly share theirs.
    Anchors are counted over documents in hash buckets; those of two documents or more are
@@ -14,14 +14,14 @@ doc_id. Documents are judged as they are in the input; matches never cross docum
    anchor is a piece of text; pieces go to shards by anchor, so equal windows meet. With a
    common anchor each window is a piece of its own and goes by its own hash, which spreads the
    edges of a passage that very many documents hold. Within a task, a piece that a smaller
-   document holds as a whole is settled at once and not sent, so that a passage costs a shard one
-   copy for each task, not for each document.
+   document holds as a whole, byte by byte, is settled at once and not sent, so that a passage
+   costs a shard one copy for each task, not for each document.
 3. Shards. A shard's suffix array over its distinct pieces (suffixes.py: classified, induced,
    leftmost-S substrings sorted recursively) and the permuted common prefixes give the classes
    of equal windows; the least document of each class decides.
 4. The removed runs meet their documents; documents that lose nothing pass without a shuffle.
 
-Grams and pieces are found by 64-bit hashes, but windows are equal only by the suffix array.
+Grams and pieces are found by 64-bit hashes, but bytes are removed only where bytes agree.
 """
 
 from __future__ import annotations
@@ -40,7 +40,9 @@ from tessera.llm.suffixes import permuted_common_prefixes, suffix_array
 LENGTH, GRAM, COMMON = 50, 24, 0.001
 #: Bytes of pieces that a shard gets about, before those settled in their tasks are left out. An
 #: array takes some sixty times as much memory as its text, so shards are small and many.
-SHARD = 3 << 20
+SHARD = 2 << 20
+#: Bytes of text whose anchors meet in a bucket: some 75 bytes of memory for each 13 bytes of text.
+BUCKET = 16 << 20
 _M48 = np.uint64(0xFFFFFFFFFFFF)
 _ROW = "bucket int, kind int, a binary, b binary, c binary"
 
@@ -211,8 +213,11 @@ def _pieces(length: int, gram: int, shards: int, common: np.ndarray, docs_bucket
         order = np.lexsort((doc, content))
         row, lo, end, anchor, content, doc = (x[order] for x in (row, lo, end, anchor, content, doc))
         first = np.flatnonzero(np.concatenate(([True], content[1:] != content[:-1])))
-        least = np.repeat(doc[first], np.diff(np.append(first, len(doc))))
-        gone = doc > least
+        kin = np.diff(np.append(first, len(doc)))
+        raw, least, gone = data.tobytes(), np.repeat(first, kin), np.zeros(len(doc), bool)
+        for k in np.flatnonzero(doc > doc[least]).tolist():
+            f = least[k]
+            gone[k] = raw[lo[k] : end[k]] == raw[lo[f] : end[f]]
         rows = settled(doc[gone], (lo - off[row])[gone], (end - off[row])[gone])
         row, lo, end, anchor, doc = (x[~gone] for x in (row, lo, end, anchor, doc))
         shard = (K.mix(anchor) % np.uint64(shards)).astype(np.int64)
@@ -256,37 +261,55 @@ def _pieces(length: int, gram: int, shards: int, common: np.ndarray, docs_bucket
     return run
 
 
-def repeats(doc: np.ndarray, at: np.ndarray, size: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, begin, end) of the runs that smaller documents hold, for pieces (doc, place, size) of `data`."""
+def repeats(doc: np.ndarray, at: np.ndarray, size: np.ndarray, data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, begin, end) of the runs that smaller documents hold, for pieces (doc, place, size) of `data`.
+
+    A piece whose anchor no other piece of the shard has repeats as a whole or not at all; the
+    suffix array is over the distinct pieces of all other anchors.
+    """
     start = np.cumsum(size) - size
-    h = K.prefix(data)
-    name = K.substring_hash(h, start, start + size)
-    order = np.lexsort((doc, name))
-    first = order[np.flatnonzero(np.concatenate(([True], name[order][1:] != name[order][:-1])))]
+    raw, known = data.tobytes(), {}
+    order = np.argsort(doc, kind="stable")
     kind = np.empty(len(doc), np.int64)  # of each piece: which distinct piece
-    kind[order] = np.cumsum(np.concatenate(([True], name[order][1:] != name[order][:-1]))) - 1
+    for k in order.tolist():
+        kind[k] = known.setdefault(raw[start[k] : start[k] + size[k]], len(known))
+    first = np.empty(len(known), np.int64)  # of each distinct piece: the least document's
+    first[kind[order[::-1]]] = order[::-1]
+    del raw, known, order
     n = size[first]
     begin = np.cumsum(n) - n
     text = data[np.repeat(start[first] - begin, n) + np.arange(int(n.sum()))]
-    sa = suffix_array(text, length)
-    plcp = permuted_common_prefixes(text, sa, length)
-    piece = np.repeat(np.arange(len(first)), n)
-    window = np.arange(len(text)) + length <= (begin + n)[piece]  # windows inside a piece
-    suffix = sa[1:]
-    suffix_class = np.cumsum(plcp[suffix] < length)  # equal in their first `length` bytes
-    suffix, suffix_class = suffix[window[suffix]], suffix_class[window[suffix]]
-    least = doc[first][piece[suffix]]
-    cut = np.flatnonzero(np.concatenate(([True], suffix_class[1:] != suffix_class[:-1])))
-    who = np.full(len(text), np.iinfo(np.int64).max)
-    who[suffix] = np.repeat(np.minimum.reduceat(least, cut), np.diff(np.append(cut, len(suffix))))
+    row, _, _, anchor, _ = anchored(text, np.append(begin, len(text)), length, gram)
+    own = anchor[np.searchsorted(row, np.arange(len(first)))]
+    _, place, many = np.unique(own, return_inverse=True, return_counts=True)
+    shared = many[place] > 1
+    least = doc[first]  # of each distinct piece; of its windows where it is alone with its anchor
     m = size - length + 1
     base = np.cumsum(m) - m
-    own = np.repeat(np.arange(len(doc)), m)
-    place = np.arange(int(m.sum())) - base[own]
-    flags = who[begin[kind[own]] + place] < doc[own]
+    flags = np.repeat(least[kind] < doc, m)
+    if shared.any():
+        slot = np.cumsum(shared) - 1
+        n = n[shared]
+        begin, kept = np.cumsum(n) - n, begin[shared]
+        text = text[np.repeat(kept - begin, n) + np.arange(int(n.sum()))]
+        sa = suffix_array(text, length)
+        plcp = permuted_common_prefixes(text, sa, length)
+        piece = np.repeat(np.arange(len(n)), n)
+        window = np.arange(len(text)) + length <= (begin + n)[piece]  # windows inside a piece
+        suffix = sa[1:]
+        suffix_class = np.cumsum(plcp[suffix] < length)  # equal in their first `length` bytes
+        suffix, suffix_class = suffix[window[suffix]], suffix_class[window[suffix]]
+        holder = least[shared][piece[suffix]]
+        cut = np.flatnonzero(np.concatenate(([True], suffix_class[1:] != suffix_class[:-1])))
+        who = np.full(len(text), np.iinfo(np.int64).max)
+        who[suffix] = np.repeat(np.minimum.reduceat(holder, cut), np.diff(np.append(cut, len(suffix))))
+        some = np.flatnonzero(shared[kind])
+        owner = np.repeat(some, m[some])
+        at_ = np.repeat(base[some] - np.cumsum(m[some]) + m[some], m[some]) + np.arange(int(m[some].sum()))
+        flags[at_] = who[begin[slot[kind[owner]]] + at_ - base[owner]] < doc[owner]
     a, b = _runs_of(flags, np.append(base, len(flags)))
-    k = own[a]
-    return doc[k], at[k] + place[a], at[k] + place[b - 1] + length
+    k = np.searchsorted(base, a, "right") - 1
+    return doc[k], at[k] + a - base[k], at[k] + b - 1 - base[k] + length
 
 
 def _shards(length: int):
@@ -321,11 +344,14 @@ def _shards(length: int):
 
 
 def removed(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, common: float = COMMON) -> DataFrame:
-    """(doc_id, begins, ends): for documents that lose bytes, runs to remove, packed int64; runs may overlap."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """(doc_id, begins, ends): for documents that lose bytes, runs to remove, packed int64; runs may overlap.
+
+    Buckets and shards are as many as the bytes of text ask for. Joins are sort-merge ones at every size.
+    """
     table = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") >= length)
     table, copies = _without_copies(spark, table)
-    total = table.count()
+    total, size = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
     found = table.mapInArrow(_anchors(length, gram, n), _ROW)
     marks = found.repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_shared(n, max(64, int(common * total))), _ROW)
     marks = K.stored(spark, marks, "marks")
@@ -333,7 +359,7 @@ def removed(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: in
     often = np.unique(np.concatenate(often)) if often else np.zeros(0, np.uint64)
     shared = marks.filter("kind = 1").agg(F.sum(F.octet_length("a"))).first()[0] or 0
     shards = max(n, int(shared / 8 * 1.4 * length / SHARD))
-    maybe = K.sieve(marks.filter("kind = 1").mapInArrow(_ids, "doc_id long"), "doc_id")
+    maybe = K.sieve(marks.filter("kind = 1").mapInArrow(_ids, "doc_id long").distinct(), "doc_id")
     texts = table.filter(maybe("doc_id")).select(spread(F.col("doc_id"), n).alias("bucket"), F.lit(0).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"))
     both = marks.filter("kind = 1").select("bucket", "kind", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "a", "b").union(texts)
     pieces = both.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("kind").desc()).mapInArrow(_pieces(length, gram, shards, often, n), _ROW)
@@ -343,12 +369,12 @@ def removed(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: in
 
 def _without_copies(spark: SparkSession, table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of table (doc_id, text) but for copies of a smaller document; and those: (doc_id, m, n)."""
-    named = table.select("doc_id", F.md5("text").alias("m"), F.octet_length("text").cast("long").alias("n"))
+    named = table.select("doc_id", F.unhex(F.sha2("text", 256)).alias("m"), F.octet_length("text").cast("long").alias("n"))
     least = named.groupBy("m").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("most > least").select("m", "least")
-    copies = K.stored(spark, named.join(least, "m").filter("doc_id > least").select("doc_id", "m", "n").distinct(), "copies")
+    copies = K.stored(spark, named.join(least.hint("merge"), "m").filter("doc_id > least").select("doc_id", "m", "n").distinct(), "copies")
     maybe = K.sieve(copies, "doc_id")("doc_id")
-    known = copies.select(F.col("doc_id").alias("d_"), F.col("m").alias("m_"))
-    some = table.filter(maybe).join(known, (F.col("doc_id") == F.col("d_")) & (F.md5("text") == F.col("m_")), "left_anti")
+    known = copies.select(F.col("doc_id").alias("d_"), F.col("m").alias("m_")).hint("merge")
+    some = table.filter(maybe).join(known, (F.col("doc_id") == F.col("d_")) & (F.unhex(F.sha2("text", 256)) == F.col("m_")), "left_anti")
     return table.filter(~maybe).union(some), copies
 
 
@@ -384,8 +410,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, length: int = LENGTH) ->
     Further columns are not read; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lost = removed(spark, docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("begins", "ends")).alias("runs"))
-    lost = K.stored(spark, lost, "removed")
+    lost = K.settled(spark, lambda: removed(spark, docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("begins", "ends")).alias("runs")), "removed")
     maybe = F.coalesce(K.sieve(lost, "doc_id")("doc_id"), F.lit(False))
 
     @F.pandas_udf("struct<spans: array<struct<begin: bigint, end: bigint>>, kept: binary>")
@@ -399,7 +424,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, length: int = LENGTH) ->
             kept.append(b"".join(raw[a:b] for a, b in zip(at[::2], at[1::2])))
         return pd.DataFrame({"spans": spans, "kept": kept})
 
-    joined = docs.filter(maybe).join(lost, "doc_id", "left").withColumn("x", cut("text", "runs")).select("doc_id", "text", "x.spans", "x.kept")
+    joined = docs.filter(maybe).join(lost.hint("merge"), "doc_id", "left").withColumn("x", cut("text", "runs")).select("doc_id", "text", "x.spans", "x.kept")
     rest = docs.filter(~maybe).select("doc_id", "text", F.expr("cast(array() as array<struct<begin: bigint, end: bigint>>)").alias("spans"), F.encode("text", "utf-8").alias("kept"))
     return joined.union(rest)
 

@@ -1,4 +1,7 @@
-"""Suffix arrays by induced sorting, a bucket at a time with numpy, and permuted common prefixes."""
+"""Suffix arrays by induced sorting and permuted common prefixes.
+
+A text of bytes is induced a bucket at a time with numpy, a string of names in all buckets at once.
+"""
 
 from __future__ import annotations
 
@@ -103,40 +106,122 @@ def _named(t: np.ndarray, order: np.ndarray, end: np.ndarray) -> np.ndarray:
     return differs
 
 
-def suffix_array(data: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """The suffix array of data (unsigned bytes) followed by an end that is less than all.
+def _refined(rank: np.ndarray, size: int, look, rounds: int | None = None) -> np.ndarray:
+    """Ranks with ties broken by look(round, tied places), round by round until none is left or all say the same.
 
-    The leftmost-S substrings are sorted by induction and named; where names repeat, the string
-    of names is sorted recursively by naming pairs of names, pairs of pairs and so on, which
-    numpy does in whole passes. With `depth`, suffixes that agree in their first `depth` bytes
-    may stand in any order. Place 0 of the result is the end itself.
+    A rank is the number of lesser places, so breaking a tie changes no other rank. look gives None at the end.
+    """
+    tied = np.flatnonzero(np.bincount(rank, minlength=size)[rank] > 1)
+    k = 0
+    while len(tied) and (more := look(k, tied)) is not None:
+        order = np.argsort(rank[tied] * (int(more.max()) + 1) + more)  # both are under twice the number of places
+        tied, more = tied[order], more[order]
+        old = rank[tied]
+        group = np.concatenate(([True], old[1:] != old[:-1]))
+        new = group | np.concatenate(([True], more[1:] != more[:-1]))
+        at = np.arange(len(tied))
+        start = np.maximum.accumulate(np.where(group, at, 0))
+        first = np.maximum.accumulate(np.where(new, at, 0))
+        rank[tied] = old + first - start
+        alone = new & np.append(new[1:], True)
+        tied = tied[~alone]
+        k += 1
+    return rank
+
+
+def _ranked(key: np.ndarray) -> np.ndarray:
+    order = np.argsort(key)
+    found = key[order]
+    cut = np.concatenate(([True], found[1:] != found[:-1]))
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.maximum.accumulate(np.where(cut, np.arange(len(key)), 0))
+    return rank
+
+
+def _chained(key: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Ranks of places by the keys from each on, up to the first place of `end`; keys of ends differ from all others."""
+    n = len(key)
+    rank = _ranked(key)
+    jump = np.where(end, np.arange(n), np.minimum(np.arange(n) + 1, n - 1))
+
+    def look(k: int, tied: np.ndarray) -> np.ndarray | None:
+        nonlocal jump
+        if k:
+            jump = jump[jump]
+        to = rank[jump[tied]]
+        return to if k < 64 and not (end[tied].all()) else None
+
+    return _refined(rank, n, look)
+
+
+def _induced(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """As _induce, for alphabets so large that most buckets are tiny: all buckets at once.
+
+    An L-type suffix is told by its symbols down to the leftmost-S suffix that they end in, an
+    S-type one by its symbols up to an L-type suffix; both are ranked by doubling their chains.
     """
-    t = np.append(data.astype(np.uint16) + np.uint16(1), np.uint16(0))  # small symbols sort by radix
     n = len(t)
-    if n == 1:
-        return np.zeros(1, np.int64)
+    place = np.zeros(n, np.int64)
+    place[lms] = np.arange(1, len(lms) + 1)  # ends: after the L-type suffixes of their symbol, in their order
+    base = t.astype(np.int64) * (2 * n + 2)
+    large = np.flatnonzero(~s | (place > 0))
+    inside = np.full(n, -1)
+    inside[large] = np.arange(len(large))
+    rank = np.full(n, -1)
+    rank[large] = _chained(base[large] + place[large], s[large])
+    follows = np.concatenate(([False], s[:-1])) & ~s
+    small = np.flatnonzero(s | follows)
+    key = base[small] + np.where(s[small], n + 1, rank[small])
+    rank[small] = np.where(s[small], _chained(key, ~s[small] | (small == n - 1)), rank[small])
+    return np.argsort((t.astype(np.int64) * 2 + s) * n + rank)
+
+
+def _names(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The names of the leftmost-S substrings, in text order, from 0 on."""
+    u = np.append(t.astype(np.int64) * 2 + s, 0)
+    longest = int(np.diff(lms, append=len(t)).max())
+
+    def look(k: int, tied: np.ndarray) -> np.ndarray | None:
+        return u[np.minimum(lms[tied] + k + 2, len(t))] if k < longest else None
+
+    rank = _refined(_ranked(u[lms] * (2 * int(t.max()) + 2) + u[lms + 1]), len(lms), look)
+    return np.unique(rank, return_inverse=True)[1].astype(np.int32)
+
+
+def _sorted(t: np.ndarray, depth: int | None) -> np.ndarray:
+    """The suffix array of t, symbols from 0 on of which the last is the only 0."""
+    n, k = len(t), int(t.max()) + 1
+    if n == 1 or depth is not None and depth <= 1:
+        return np.argsort(t, kind="stable")
     s = _types(t)
-    heads = np.concatenate(([0], np.cumsum(np.bincount(t, minlength=257))))
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-    sa = _induce(t, s, heads, lms)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    order = sa[is_lms[sa]]
-    end = np.zeros(n, np.int32)
-    end[lms] = np.append(lms[1:], n - 1)
-    differs = _named(t, order, end)
-    name = np.zeros(n, np.int32)
-    name[order] = np.cumsum(differs)
-    rank = name[lms].astype(np.int64)  # in text order
-    del name, end, is_lms, order, sa
-    reach, m = 1, len(lms)
-    while m > 1 and rank.max() < m and (depth is None or 2 * reach < depth + 2):
-        key = rank * (m + 1) + np.append(rank[reach:], np.zeros(min(reach, m), np.int64))[:m]
-        by = np.argsort(key)  # equal keys get equal ranks in any order
-        rank = np.empty(m, np.int64)
-        rank[by] = np.cumsum(np.concatenate(([True], key[by][1:] != key[by][:-1])))
-        reach *= 2
-    return _induce(t, s, heads, lms[np.argsort(rank)])
+    small = k <= 1 << 10
+    if small:
+        heads = np.concatenate(([0], np.cumsum(np.bincount(t, minlength=k))))
+        sa = _induce(t, s, heads, lms)
+        is_lms, end, name = np.zeros(n, bool), np.zeros(n, np.int32), np.zeros(n, np.int32)
+        is_lms[lms] = True
+        order = sa[is_lms[sa]]
+        end[lms] = np.append(lms[1:], n - 1)
+        name[order] = np.cumsum(_named(t, order, end)) - 1
+        names = name[lms]  # in text order; the end is the only 0
+        del name, end, is_lms, sa, order
+    else:
+        names = _names(t, s, lms)
+    order = np.argsort(names) if names.max() + 1 == len(lms) else _sorted(names, None if depth is None else depth // 2 + 1)
+    lms = lms[order]  # a leftmost-S substring takes two symbols at least
+    return _induce(t, s, heads, lms) if small else _induced(t, s, lms)
+
+
+def suffix_array(data: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """The suffix array of data (unsigned bytes) followed by an end that is less than all.
+
+    The leftmost-S substrings are sorted by induction and named; where names repeat, the string
+    of names is sorted in the same way, recursively, and its array puts the leftmost-S suffixes
+    in order, which then induce all others. With `depth`, suffixes that agree in their first
+    `depth` bytes may stand in any order. Place 0 of the result is the end itself.
+    """
+    return _sorted(np.append(data.astype(np.uint16) + np.uint16(1), np.uint16(0)), depth)  # small symbols sort by radix
 
 
 def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
