@@ -37,7 +37,7 @@ from tessera.llm.textkit import U64
 
 ALPHA = 0.4
 #: Bits of an n-gram's hash beyond those that number all n-grams.
-CLEAR = 24
+CLEAR = 22
 #: Bytes of text in a slice, and bytes of text whose n-grams meet in a range of hashes.
 SLICE, RANGE = 6 << 20, 8 << 20
 _ROW = "slice long, part int, a binary, b binary"

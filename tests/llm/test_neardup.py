@@ -61,6 +61,23 @@ def test_blocks_and_stars(spark, monkeypatch):
     check(spark, [(i, changed(rng, base, 0.02), "en", "s", 1) for i in range(60)])
 
 
+def test_recall_of_the_signatures():
+    """Of pairs at the threshold at least 99 in 100 lie within ERRORS, and of all these each shares a key."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, size = 4000, 70
+    values = rng.integers(1, 2**63, (n, size), dtype=np.uint64)
+    own = rng.integers(1, 2**63, (n, 10), dtype=np.uint64)
+    a, b = values, np.concatenate((values[:, :60], own), 1)  # 60 of 80: similarity 0.75
+    sig = [neardup.signatures(np.arange(n + 1) * size, np.sort(x, 1).reshape(-1)) for x in (a, b)]
+    apart = sig[0] != sig[1]
+    within = apart.sum(1) <= neardup.ERRORS
+    assert within.mean() >= 0.99
+    chunks = apart.reshape(n, neardup.CHUNKS, -1).sum(2)
+    assert (chunks[within].min(1) <= 1).all()
+
+
 def test_odd_rows(spark, odd, empty):
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1, r["kept"]) for r in neardup.near_duplicates(spark, odd).collect())
     assert got == [(-1, 0, -1, True), (-1, 5, -1, True), (5, 5, 5, True), (5, 5, 5, True), (7, 0, 7, True), (9, 0, 9, True)]

@@ -48,6 +48,29 @@ def test_suffix_array():
             assert plcp[i] == m
 
 
+@pytest.mark.parametrize("made", ["periodic", "random", "words", "runs"])
+def test_suffix_array_recursion(monkeypatch, made):
+    """Long strings whose names repeat: sorted by levels of names, with and without a depth."""
+    rng = np.random.default_rng(4)
+    d = {
+        "periodic": np.tile(rng.integers(97, 100, 37), 120),
+        "random": rng.integers(0, 256, 30_000),
+        "words": np.frombuffer(prose(random.Random(1), 4000).encode(), np.uint8),
+        "runs": np.repeat(rng.integers(97, 99, 900), rng.integers(1, 9, 900)),
+    }[made].astype(np.uint8)
+    levels = []
+    real = suffixes._sorted
+    monkeypatch.setattr(suffixes, "_sorted", lambda t, depth: levels.append((len(t), int(t.max()))) or real(t, depth))
+    b, sa = d.tobytes(), suffixes.suffix_array(d)
+    assert all(b[i:] < b[j:] for i, j in zip(sa[:-1].tolist(), sa[1:].tolist()))
+    assert sorted(sa.tolist()) == list(range(len(b) + 1))
+    assert len(levels) > 1 and all(2 * n <= m + 1 for (m, _), (n, _) in zip(levels, levels[1:]))
+    assert made == "periodic" or made == "runs" or max(k for _, k in levels) > 1 << 10  # both ways to induce
+    sa = suffixes.suffix_array(d, 50)
+    cut = [b[i : i + 50] for i in sa.tolist()]
+    assert all(x <= y for x, y in zip(cut, cut[1:]))
+
+
 def test_fixture(spark, rows):
     check(spark, rows)
 
