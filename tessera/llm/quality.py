@@ -2,8 +2,8 @@
 
 A text's features are its words (hashed into BUCKETS; each occurrence weighs 1/n of n words)
 and its statistics: shares of kinds of characters, lengths, repetition, lines, each cut at the
-quantiles of the training sample into BINS one-hot features. Metadata columns are left out: no
-column but the text is read.
+quantiles of the training sample into BINS one-hot features. Metadata columns that the caller
+names are cut in the same way: numbers as they are, anything else by a hash.
 
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)): all
 pairwise interactions at a cost linear in the number of features.
@@ -18,11 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit as K
-from tessera.llm.toxicity import sampled, scored
+from tessera.llm.toxicity import sampled
 
 BUCKETS, BINS, RANK = 1 << 13, 10, 6
 STATS = ("bytes", "words", "lines", "upper", "digit", "punctuation", "symbol", "space", "non_ascii", "word_length", "long_words", "distinct", "repeated", "short_lines", "stops", "spread")
@@ -61,9 +61,21 @@ def described(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, (h >> np.uint64(51)).astype(np.int64), np.stack(table, 1) if n else np.zeros((0, len(STATS)))
 
 
+def _side(metadata: tuple[str, ...], docs: DataFrame) -> dict[str, Column]:
+    """Metadata columns as numbers, by names that docs does not have; null is -1."""
+    base = "side_"
+    while any(c.lower().startswith(base) for c in docs.columns):
+        base += "_"
+    kinds = dict(docs.dtypes)
+    numeric = lambda c: kinds[c].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean")
+    hashed = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(1 << 20)) / (1 << 20)
+    value = lambda c: F.coalesce(F.col(c).cast("double") if numeric(c) else F.when(F.col(c).isNotNull(), hashed(c)), F.lit(-1.0))
+    return {f"{base}{k}": value(c) for k, c in enumerate(metadata)}
+
+
 @dataclass(frozen=True)
 class Model:
-    """cuts: a row of bin edges for each statistic; w0, w (linear) and v (factors) by feature."""
+    """cuts: a row of bin edges for each statistic and metadata column; w0, w (linear) and v (factors) by feature."""
 
     cuts: np.ndarray
     w0: float
@@ -77,8 +89,9 @@ class Model:
             out[:, k] = BUCKETS + k * BINS + np.searchsorted(self.cuts[k], stats[:, k], "right")
         return out
 
-    def __call__(self, col: pa.Array) -> np.ndarray:
+    def __call__(self, col: pa.Array, side: np.ndarray | None = None) -> np.ndarray:
         row, bucket, stats = described(col)
+        stats = stats if side is None else np.concatenate((stats, side), 1)
         z, _ = self.parts(row, bucket, self.features(stats), len(col))
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
@@ -104,12 +117,13 @@ def _sample(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row.astype(np.int32), bucket.astype(np.int32), stats
 
 
-def train(texts: pa.Array, y: np.ndarray, weight: np.ndarray, epochs: int = 30, batch: int = 256, rate: float = 0.03, ridge: float = 2e-4, seed: int = 5) -> Model:
+def train(texts: pa.Array, y: np.ndarray, weight: np.ndarray, side: np.ndarray | None = None, epochs: int = 30, batch: int = 256, rate: float = 0.03, ridge: float = 2e-4, seed: int = 5) -> Model:
     """Adagrad over shuffled mini-batches of the sample; the factors' gradients use the same sums as the score."""
     rng = np.random.default_rng(seed)
     row, bucket, stats = _sample(texts)
-    n, d = len(texts), BUCKETS + BINS * len(STATS)
-    cuts = np.stack([np.quantile(stats[:, k], np.arange(1, BINS) / BINS) if n else np.zeros(BINS - 1) for k in range(len(STATS))])
+    stats = stats if side is None else np.concatenate((stats, side), 1)
+    n, d = len(texts), BUCKETS + BINS * stats.shape[1]
+    cuts = np.stack([np.quantile(stats[:, k], np.arange(1, BINS) / BINS) if n else np.zeros(BINS - 1) for k in range(stats.shape[1])])
     prior = np.clip((weight @ y / weight.sum()) if n else 0.5, 0.01, 0.99)
     model = Model(cuts, float(np.log(prior / (1 - prior))), np.zeros(d), rng.normal(0, 0.05, (d, RANK)))
     bins, bounds = model.features(stats), np.searchsorted(row, np.arange(n + 1))
@@ -145,34 +159,48 @@ def train(texts: pa.Array, y: np.ndarray, weight: np.ndarray, epochs: int = 30,
     return Model(cuts, float(w0), model.w, model.v)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 2000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 2000, metadata: tuple[str, ...] = ()) -> Model:
     """Learns from at most `rows` texts of each class; labels holds the rows to learn from only."""
-    return train(*sampled(docs, labels, label, rows))
+    more = _side(metadata, docs)
+    return train(*sampled(docs.select("doc_id", "text", *(c.alias(n) for n, c in more.items())), labels, label, rows, tuple(more)))
+
 
+def _scores(model: Model, part: pa.RecordBatch, more: tuple[str, ...]) -> np.ndarray:
+    side = np.stack([np.asarray(part.column(part.schema.get_field_index(n)), float) for n in more], 1) if more else None
+    return model(K.column(part, "text"), side)
 
-def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cut: float = 0.3, rows: int = 2000) -> DataFrame:
+
+def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cut: float = 0.3, rows: int = 2000, metadata: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score and predicted for every document.
 
     Labels are read only for rows whose crc32(doc_id as text) mod `folds` is not `held`; of each
     class at most `rows` of them train the model. Null and empty texts get the score of a text
-    without words; a null doc_id is not held out; repeated rows are scored each; without labels
-    every score is near one half; an empty table gives no rows.
+    without words; null metadata is a value of its own; a null doc_id is not held out; repeated
+    rows are scored each; without labels every score is near one half; an empty table gives no
+    rows.
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
-    model = fit(docs, labels.filter(fold != held), "quality", rows)
-    return scored(docs, model).select("doc_id", F.coalesce(fold == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    model, more = fit(docs, labels.filter(fold != held), "quality", rows, metadata), _side(metadata, docs)
+    names = tuple(more)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.pieces_of(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_scores(model, part, names), pa.float64())], names=["doc_id", "score"])
 
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c.alias(n) for n, c in more.items())).mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", F.coalesce(fold == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
-def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, whose texts are not rejected; rows are judged by text alone."""
-    fold = F.crc32(F.col("doc_id").cast("string")) % options.get("folds", 5)
-    model = fit(docs, labels.filter(fold != options.get("held", 0)), "quality", options.get("rows", 2000))
-    cut = options.get("cut", 0.3)
-    names = docs.columns
+
+def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cut: float = 0.3, rows: int = 2000, metadata: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of docs, all columns, that are not rejected; each row is judged by itself."""
+    fold = F.crc32(F.col("doc_id").cast("string")) % folds
+    model, more = fit(docs, labels.filter(fold != held), "quality", rows, metadata), _side(metadata, docs)
+    columns, names = docs.columns, tuple(more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.pieces_of(batch, "text"):
-                yield part.filter(pa.array(model(K.column(part, "text")) >= cut))
+                yield part.select(columns).filter(pa.array(_scores(model, part, names) >= cut))
 
-    return docs.mapInArrow(run, docs.schema).select(*names)
+    return docs.select("*", *(c.alias(n) for n, c in more.items())).mapInArrow(run, docs.schema)

@@ -35,7 +35,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(spark, K.documents(spark, sf_dir), K.documents(spark, sf_dir, "labels"), folds=5, held=0, cut=0.3)
+    return quality.quality(spark, K.documents(spark, sf_dir), K.documents(spark, sf_dir, "labels"), folds=5, held=0, cut=0.3, metadata=("n_chars",))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,26 +170,30 @@ def _logistic(chosen: np.ndarray, r: np.ndarray, c: np.ndarray, v: np.ndarray, w
     return Model(chosen, w[:d], w[d] / scale, float(w[d + 1]) if n else -3.0)
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(texts, labels, weights) of at most `rows` labelled texts of each class, drawn by a hash of doc_id.
+def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int, more: tuple[str, ...] = ()) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts, labels, weights, more) of at most `rows` labelled texts of each class, drawn by a hash of doc_id.
 
-    The drawn ids (at most 2 * rows) are broadcast to the scan of docs; weights restore the classes' shares.
+    The drawn ids (at most 2 * rows, each once) are broadcast to the scan of docs, of whose rows
+    with one doc_id the one with the least text counts, so that no repeats bring more to the
+    driver: 2 * rows texts, and of these `more` columns (numbers). Weights restore the classes' shares.
     """
-    known = labels.filter(f"{label} in (0, 1) and doc_id is not null").select("doc_id", F.col(label).cast("int").alias("label"))
+    known = labels.filter(f"{label} in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     total = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     drawn = [known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(rows) for y in (0, 1)]
-    got = docs.select("doc_id", "text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label", "doc_id").toArrow()
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more).join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")
+    got = own.groupBy("doc_id").agg(F.min(F.struct("text", *more, "label")).alias("b")).select("doc_id", "b.*").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
     y = np.asarray(got["label"].combine_chunks(), np.int64) if got.num_rows else np.zeros(0, np.int64)
     seen = np.bincount(y, minlength=2)
     weight = np.array([total.get(k, 0) / max(1, seen[k]) for k in (0, 1)])[y]
     text = got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string())
-    return (text.chunk(0) if isinstance(text, pa.ChunkedArray) and text.num_chunks else text if isinstance(text, pa.Array) else pa.array([], pa.string())), y, weight
+    side = np.stack([np.asarray(got[c].combine_chunks(), float) for c in more], 1) if more and got.num_rows else np.zeros((got.num_rows, len(more)))
+    return (text.chunk(0) if isinstance(text, pa.ChunkedArray) and text.num_chunks else text if isinstance(text, pa.Array) else pa.array([], pa.string())), y, weight, side
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 2000) -> Model:
     """Learns from at most `rows` texts of each class; labels (doc_id, <label>) holds the rows to learn from only."""
-    return train(*sampled(docs, labels, label, rows))
+    return train(*sampled(docs, labels, label, rows)[:3])
 
 
 def scored(docs: DataFrame, model) -> DataFrame:

@@ -73,6 +73,40 @@ def test_sum_of_squares_identity():
         assert abs(1 / (1 + np.exp(-z)) - model(texts)[i]) < 1e-9
 
 
+def test_metadata_counts(spark):
+    """Texts that say nothing: only a number, or a word, beside them tells the classes apart."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 30), rng.random() < 0.5) for i in range(600)]
+    docs = spark.createDataFrame([(i, t, float(rng.gauss(3 if g else -3, 1)), "a" if g else "b", None) for i, t, g in rows], "doc_id long, text string, m0_ double, kind string, gap int")
+    labels = spark.createDataFrame([(i, int(g), 0) for i, _, g in rows], "doc_id long, quality int, toxic int")
+    truth = {i: g for i, _, g in rows}
+    for names in (("m0_",), ("kind", "gap")):
+        got = [r for r in quality.quality(spark, docs, labels, cut=0.5, metadata=names).collect() if r["held_out"]]
+        assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in got]) > 0.9
+    kept = quality.accepted(spark, docs, labels, cut=0.5, metadata=("kind",))
+    assert kept.columns == docs.columns and np.mean([truth[r["doc_id"]] for r in kept.collect()]) > 0.9
+
+
+def test_toxicity_score_against_brute_force():
+    """A score is the logistic of the summed weights of the patterns that a text holds, each as often as it does."""
+    docs, labels = labelled(n=300)
+    texts = [t for _, t, *_ in docs]
+    model = toxicity.train(pa.array(texts), np.array([t for _, _, t in labels]), np.ones(len(labels)))
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    for t in [*texts[:40], "", "idiot", "é ß", "a" * 5000]:
+        found = toxicity.patterns(*(lambda d, o: (d, o))(*toxicity.K.buffers(pa.array([t]))))
+        z = model.bias + model.per_word * len(t.split()) + sum(weight.get(h, 0.0) for _, hs in found for h in hs.tolist())
+        assert abs(1 / (1 + np.exp(-z)) - model(pa.array([t]))[0]) < 1e-9
+
+
+def test_sample_is_bounded(spark):
+    """Repeated rows of a document, and repeated labels, bring it to the driver once; ties are drawn by hash."""
+    docs = spark.createDataFrame([(i % 20, f"text {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 20, int(i % 20 < 10), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    texts, y, weight, _ = toxicity.sampled(docs, labels, "quality", 4)
+    assert len(texts) == len(y) == 8 and y.sum() == 4 and weight.tolist() == [2.5] * 8
+
+
 def test_label_model_outvotes_wrong_labels():
     rng = np.random.default_rng(0)
     truth = rng.random(2000) < 0.2
