@@ -94,33 +94,37 @@ def indexed(items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, shar
     return Index(np.array(ids), np.array(starts), texts, np.array(budgets), np.array(bounds), g[order], o[order], p[order], np.array(firsts))
 
 
-def aligned(window: bytes, text: bytes, budget: int) -> tuple[int, int] | None:
+def aligned(window: bytes, text: bytes, budget: int, first: int | None = None, width: int = 0) -> tuple[int, int] | None:
     """(begin, end) of a part of text within `budget` edits of the whole window, the leftmost best, or None.
 
-    Begin and end of the part are free; cells off the band of the lowest costs are cut at the budget.
+    Begin and end of the part are free. Only the diagonals (place in text less place in window)
+    from `first` to `first` + `width` are filled, all of them without `first`.
     """
     at = text.find(window)
     if at >= 0:
         return at, at + len(window)
-    t = np.frombuffer(text, np.uint8)
-    m = len(t)
-    cost, begin = np.zeros(m + 1, np.int64), np.arange(m + 1)
-    steps = np.arange(m + 1)
+    n, m = len(window), len(text)
+    if first is None:
+        first, width = -n, n + m
+    far = np.int64(1 << 40)
+    steps = np.arange(width + 1)
+    d = first + steps
+    t = np.frombuffer(text + b"\0", np.uint8)
+    cost, begin = np.where((d >= 0) & (d <= m), 0, far), np.clip(d, 0, m)
     for i, c in enumerate(window, 1):
-        up, slant = cost + 1, np.append(np.iinfo(np.int32).max, cost[:-1] + (t != c))
+        j = d + i
+        up, slant = np.append(cost[1:], far) + 1, np.where(j >= 1, cost + (t[np.clip(j - 1, 0, m)] != c), far)
         take = slant <= up
-        best = np.where(take, slant, up)
-        from_ = np.where(take, np.append(0, begin[:-1]), begin)
-        best[0], from_[0] = i, 0
-        lead = np.minimum.accumulate((best - steps) * (m + 2) + steps)  # the cheapest cell to the left
-        source = lead % (m + 2)
-        better = best[source] + steps - source < best
-        source = np.where(better, source, steps)
-        cost, begin = best[source] + steps - source, from_[source]
+        best, from_ = np.where(take, slant, up), np.where(take, begin, np.append(begin[1:], 0))
+        best = np.where((j >= 0) & (j <= m), np.minimum(best, far), far)
+        lead = np.minimum.accumulate((best - steps) * (width + 2) + steps)  # the cheapest cell to the left
+        source = lead % (width + 2)
+        source = np.where(best[source] + steps - source < best, source, steps)
+        cost, begin = np.where((j >= 0) & (j <= m), best[source] + steps - source, far), from_[source]
         if cost.min() > budget:
             return None
     end = int(cost.argmin())
-    return (int(begin[end]), end) if cost[end] <= budget else None
+    return (int(begin[end]), int(d[end] + n)) if cost[end] <= budget else None
 
 
 def found(col: pa.Array, index: Index, q: int = Q, window: int = WINDOW) -> list[dict[int, tuple[int, int]]]:
@@ -183,9 +187,10 @@ def found(col: pa.Array, index: Index, q: int = Q, window: int = WINDOW) -> list
         if item in out[d]:
             continue
         base, size = int(off[d]), len(index.text[x])
-        a = max(0, low + int(index.start[x]) - k)
+        lead = low + int(index.start[x]) - k  # where the lowest diagonal of the band begins
+        a = max(0, lead)
         b = min(int(off[d + 1]) - base, low + int(index.start[x]) + size + 3 * max(k, 1) + 1)
-        part = aligned(index.text[x], data[base + a : base + b].tobytes(), k)
+        part = aligned(index.text[x], data[base + a : base + b].tobytes(), k, min(0, lead), 4 * max(k, 1))
         if part:
             i, j = int(places[base + a + part[0]]), int(places[base + a + part[1] - 1]) + 1
             text = raw[roff[d] :]
@@ -208,21 +213,24 @@ def blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[int,
         yield sorted((r["item_id"], r["text"]) for r in own)
 
 
-def marked(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs, all rows and columns, with leaks_: an array of (item_id, begin, end) in characters.
+def marked(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, into: str = "leaks_") -> DataFrame:
+    """docs, all rows and columns, with the column `into`: an array of (item_id, begin, end) in characters.
 
     A null or empty text has none. Items that are null, or shorter than LEAST normalised bytes,
-    are not sought; items of one id count as one. docs must have no column named leaks_.
+    are not sought; items of one id count as one. Repeated rows are each marked; a column of docs
+    named as `into` is replaced. A benchmark of several blocks is sought block by block, each
+    result stored, so that a task holds one block's index.
     """
-    out = docs.withColumn("leaks_", F.expr("cast(array() as array<struct<item_id: bigint, begin: bigint, end: bigint>>)"))
-    for items in blocks(benchmark):
+    names = [c for c in docs.columns if c.lower() != into.lower()]
+    out = docs.select(*(f"`{c}`" for c in names), F.expr("cast(array() as array<struct<item_id: bigint, begin: bigint, end: bigint>>)").alias(into))
+    for n, items in enumerate(blocks(benchmark)):
         index = indexed(items)
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in K.pieces_of(batch, "text"):
                     hits = found(K.column(part, "text"), index)
-                    k = part.schema.get_field_index("leaks_")
+                    k = part.schema.get_field_index(into)
                     if any(hits):
                         old = part.column(k).to_pylist()
                         new = [sorted([*map(tuple, (x.values() for x in o)), *((i, *span) for i, span in h.items())]) for o, h in zip(old, hits)]
@@ -230,7 +238,7 @@ def marked(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFr
                         part = part.set_column(k, part.schema.field(k), col)
                     yield part
 
-        out = out.mapInArrow(run, out.schema)
+        out = (K.stored(spark, out, "marked") if n else out).mapInArrow(run, out.schema)
     return out
 
 
@@ -242,4 +250,5 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, in which no benchmark item was found."""
-    return marked(spark, docs, benchmark).filter(F.size("leaks_") == 0).drop("leaks_")
+    into = K.unused("leaks_", docs.columns)
+    return marked(spark, docs, benchmark, into).filter(F.size(into) == 0).drop(into)

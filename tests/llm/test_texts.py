@@ -176,7 +176,22 @@ def test_aligned():
             for j, b in enumerate(t, 1):
                 new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (a != b)))
             row = new
-        assert (decontamination.aligned(w.encode(), t.encode(), 3) is not None) == (min(row) <= 3)
+        whole = decontamination.aligned(w.encode(), t.encode(), 3)
+        assert (whole is not None) == (min(row) <= 3)
+        if whole:  # the band that holds the alignment finds it, one beside it does not
+            assert decontamination.aligned(w.encode(), t.encode(), 3, whole[0] - 3, 6) == whole
+            if w not in t:
+                assert decontamination.aligned(w.encode(), t.encode(), 0, len(t) + 1, 2) is None
+
+
+def test_clean_keeps_clashing_columns(spark):
+    """A caller's own columns with the operator's names stay as they are."""
+    item = "the quick brown fox jumps over the lazy dog again and again"
+    docs = spark.createDataFrame([(1, "x " + item, 7, "a"), (2, "nothing here", 8, "b"), (2, "nothing here", 8, "b"), (None, None, None, None)], "doc_id long, text string, leaks_ int, LEAKS__ string")
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    got = decontamination.clean(spark, docs, bench)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.filter("doc_id is not null").collect()) == [(2, "nothing here", 8, "b")] * 2 and got.count() == 3
 
 
 def test_contamination_of_odd_rows(spark, odd, empty):
