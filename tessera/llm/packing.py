@@ -47,6 +47,7 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _fits(spec)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         decode = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t.get("special")}
@@ -125,6 +126,23 @@ class Encoder:
         return [np.frombuffer(self.plain(texts[i].as_py()), np.uint16) if strange[i] else np.concatenate((np.frombuffer(self.first[c], np.uint16), tokens[bound[i] : bound[i + 1]])) for i, c in enumerate(heads)]
 
 
+def _fits(spec: dict) -> None:
+    """Refuses a tokenizer whose ids the encoder could not give: it must be a plain byte-level BPE with ids in the order of its merges."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    ids = [model["vocab"].get(a + b, -1) for a, b in merges]
+    ok = {
+        "model": model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "normalizer": spec.get("normalizer") is None,
+        "pre_tokenizer": before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True),
+        "merges": all(i < j for i, j in zip(ids, ids[1:])) and -1 not in ids,
+        "vocab": max([*model["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))], default=0) < 1 << 16,
+        "added_tokens": all(t.get("special") and not any(t.get(k) for k in ("lstrip", "rstrip", "single_word")) for t in spec.get("added_tokens", [])),
+    }
+    if bad := [k for k, v in ok.items() if not v]:
+        raise ValueError(f"the tokenizer's {', '.join(bad)} is not of the kind that can be read")
+
+
 _encoders: dict[str, Encoder] = {}
 
 

@@ -79,6 +79,21 @@ def test_cost_does_not_grow_with_the_counts():
     assert len(many) < 4 * len(few)
 
 
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": "unigram"}, {"model": "turned"}])
+def test_other_tokenizers_are_refused(tmp_path, change):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    if change.get("model") == "unigram":
+        change = {"model": spec["model"] | {"type": "Unigram"}}
+    elif change.get("model") == "turned":
+        change = {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}}
+    (tmp_path / "t.json").write_text(json.dumps(spec | change), encoding="utf-8")
+    with pytest.raises(ValueError, match=next(iter(change)) if "model" not in change else "model|merges"):
+        packing.Encoder(str(tmp_path / "t.json"))
+
+
 def test_odd_rows(spark, odd, empty):
     got = packing.pack(spark, odd, PATH).collect()
     assert sorted((r["doc_id"] or -1, r["length"] > 1) for r in got) == [(-1, False), (-1, True), (5, True), (5, True), (7, False), (9, False)]
