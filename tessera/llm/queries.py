@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, fingerprints, lines, lm, neardup, packing, quality, substrings, toxicity, urls
+from tessera.llm import decontamination, fingerprints, lines, lm, neardup, packing, pages, quality, substrings, toxicity, urls
 from tessera.llm import textkit as K
 
 
@@ -54,6 +54,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, K.documents(spark, sf_dir), tokenizer_path(), capacity=2048, end_id=0)
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extracted(K.documents(spark, sf_dir, "pages").select("page_id", "url", "html"), "html")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_packing": op10_packing,
+    "op11_html_extraction": op11_html_extraction,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_url_filter": urls.sql(),
