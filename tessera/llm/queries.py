@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, fingerprints, lines, lm, neardup, packing, pages, quality, substrings, toxicity, urls
+from tessera.llm import conversations, decontamination, fingerprints, lines, lm, neardup, packing, pages, quality, substrings, toxicity, urls
 from tessera.llm import textkit as K
 
 
@@ -58,6 +58,10 @@ def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extracted(K.documents(spark, sf_dir, "pages").select("page_id", "url", "html"), "html")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(K.documents(spark, sf_dir, "conversations"))).drop("roles")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -70,8 +74,10 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_packing": op10_packing,
     "op11_html_extraction": op11_html_extraction,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_url_filter": urls.sql(),
     "op9_lm_scoring": lm.sql(order=3),
+    "op12_conversation_repair": conversations.sql(),
 }
