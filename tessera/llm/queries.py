@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import conversations, decontamination, fingerprints, lines, lm, neardup, packing, pages, quality, substrings, toxicity, urls
+from tessera.llm import conversations, decontamination, fingerprints, lines, lm, neardup, packing, pages, quality, substrings, toxicity, urls, whitening
 from tessera.llm import textkit as K
 
 
@@ -62,6 +62,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired(conversations.damaged(K.documents(spark, sf_dir, "conversations"))).drop("roles")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark, K.documents(spark, sf_dir, "embeddings"), components=16)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -75,6 +79,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_html_extraction": op11_html_extraction,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_url_filter": urls.sql(),

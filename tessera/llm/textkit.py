@@ -215,6 +215,19 @@ def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> D
     return out
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that stored() writes within go at the end."""
+    own: list[str] = []
+    outer = _made.set(own)
+    try:
+        yield
+    finally:
+        _made.reset(outer)
+        for path in own:
+            deleted(spark, path)
+
+
 def deleted(spark: SparkSession, path: str) -> None:
     """Deletes a table of stored() that nothing reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
