@@ -10,17 +10,37 @@ from pyspark.sql import functions as F
 from tessera.functions.text import MATERIAL_LIMIT, normalize_corpus, scale_numbers
 
 
-def repeat_verdict(sightings: DataFrame, fingerprint: str, seen_at: str, key: str, source: str) -> DataFrame:
+def with_ranges(rows: DataFrame, name: str, *order: str, ranges: int | None = None) -> DataFrame:
+    """rows with `name`, the number of the range of the columns' order that a row falls into.
+
+    Ranges hold about equally many rows. The bounds come from the 20 rows for each range whose order
+    has the least hashes: a bounded sample that needs no count. Rows of equal order share a range.
+    """
+    order = tuple(dict.fromkeys(order))
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample = rows.select(*order).distinct().orderBy(F.xxhash64(*order)).limit(20 * ranges)
+    bounds = sample.agg(F.array_sort(F.collect_list(F.struct(*order))).alias("k")).select(F.filter("k", lambda _, i: i % 20 == 19))
+    own = rows.withColumn("bounds_", bounds.scalar())
+    return own.withColumn(name, F.size(F.filter("bounds_", lambda b: b <= F.struct(*order)))).drop("bounds_")
+
+
+def repeat_verdict(sightings: DataFrame, fingerprint: str, seen_at: str, key: str, source: str, ranges: int | None = None) -> DataFrame:
     """For each sighting: how often its text was seen before, and whether first elsewhere.
 
     Ties of seen_at go by key. first_key, first_source and differs are null without a prior
-    sighting; sources are compared trimmed, and with the first one only.
+    sighting; sources are compared trimmed, and with the first one only. A fingerprint's sightings
+    are ranked range by range of (seen_at, key), and the counts of earlier ranges are added, so a
+    text that stands in a third of all rows is spread over all tasks.
     """
-    w = Window.partitionBy(fingerprint).orderBy(seen_at, key)
-    prior = w.rowsBetween(Window.unboundedPreceding, -1)
-    out = sightings.withColumn("times_seen", F.count("*").over(prior))
-    out = out.withColumns({"first_key": F.first(key).over(prior), "first_source": F.first(source).over(prior)})
-    return out.withColumn("differs", F.trim("first_source") != F.trim(source))
+    own = with_ranges(sightings, "range_", seen_at, key, ranges=ranges).repartition(F.col(fingerprint), F.col("range_"))
+    ranked = own.withColumn("rank_", F.row_number().over(Window.partitionBy(fingerprint, "range_").orderBy(seen_at, key)))
+    parts = own.groupBy(F.col(fingerprint).alias("f_"), F.col("range_").alias("g_")).agg(F.count("*").alias("n_"), F.min(F.struct(F.col(seen_at).alias("t"), F.col(key).alias("k"), F.col(source).alias("s"))).alias("first_"))
+    earlier = Window.partitionBy("f_").orderBy("g_").rowsBetween(Window.unboundedPreceding, -1)
+    known = parts.select("f_", "g_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("prior_"), F.min("first_").over(Window.partitionBy("f_")).alias("first_"))
+    out = ranked.join(known, F.col(fingerprint).eqNullSafe(F.col("f_")) & (F.col("range_") == F.col("g_"))).withColumn("times_seen", F.col("prior_") + F.col("rank_") - 1)
+    first = lambda c: F.when(F.col("times_seen") > 0, F.col(f"first_.{c}"))
+    out = out.withColumns({"first_key": first("k"), "first_source": first("s")}).withColumn("differs", F.trim("first_source") != F.trim(source))
+    return out.drop("range_", "rank_", "f_", "g_", "prior_", "first_")
 
 
 def corroboration(rows: DataFrame, claim: str, domain: str, content: str, independent: Column) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Chinese characters, and those after which a name of two characters has ended.
 HANZI = r"\x{4E00}-\x{9FA5}"
 PARTICLES = "在是的和与对给由从把被为向就也都还将已曾说表示主导负责分管兼任出任担任牵头拍"
+#: Bytes of names that an automaton holds; a larger dictionary goes out in blocks, one pass over the texts each.
+DICTIONARY = 1 << 20
 
 
 def norm(text: Column) -> Column:
@@ -31,32 +36,83 @@ def stands_alone(text: Column, name: Column) -> Column:
     return F.regexp_like(text, loose) | F.regexp_like(text, led)
 
 
-def mentions(signals: DataFrame, people: DataFrame, signal: str, text: str, person: str, name: str, head: int = 2) -> DataFrame:
-    """(signal, person): who is mentioned where, under any of his or her names.
+def alias_hits(texts: DataFrame, names: DataFrame, block: int = DICTIONARY) -> DataFrame:
+    """(signal, alias): each of the names (alias, distinct) that stands alone in a text of (signal, text), once a text.
 
-    Names are found through their first characters: each place of a text is looked up once, so
-    texts are never paired with all people.
+    The names are an Aho-Corasick automaton: a text is read once, whatever their number, and rows
+    come of matches only. Names go to the tasks in blocks of about `block` bytes, dealt by hash;
+    texts do not move. Boundaries are looked at once for each place where a name ends.
+    """
+    told = names.select("alias").filter("alias <> ''")
+    blocks = -(-(told.agg(F.sum(F.octet_length("alias"))).first()[0] or 0) // block)
+    schema = texts.select("signal", F.lit("").alias("alias")).schema
+
+    def within(words: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            known = ahocorasick.Automaton()
+            for w in words:
+                known.add_word(w, w)
+            known.make_automaton()
+            hanzi = lambda c: "\u4e00" <= c <= "\u9fa5"
+            for batch in batches:
+                rows, found = [], []
+                for k, text in enumerate(batch.column(1).to_pylist()):
+                    seen = set()
+                    for last, w in known.iter(text) if text else ():
+                        first, after = last + 1 - len(w), last + 1
+                        if w in seen or (first and hanzi(text[first - 1])):
+                            continue
+                        if len(w) > 2 or after == len(text) or not hanzi(text[after]) or text[after] in PARTICLES:
+                            seen.add(w)
+                            rows.append(k)
+                            found.append(w)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=["signal", "alias"])
+
+        return run
+
+    out = None
+    for b in range(blocks):
+        words = [r["alias"] for r in told.filter(F.pmod(F.xxhash64("alias"), F.lit(blocks)) == b).collect()]  # `block` bytes or so
+        part = texts.select("signal", "text").mapInArrow(within(words), schema) if words else None
+        out = part if out is None or part is None else out.union(part)
+    return out if out is not None else texts.sparkSession.createDataFrame([], schema)
+
+
+def mentioned_names(signals: DataFrame, people: DataFrame, signal: str, text: str, name: str, block: int = DICTIONARY) -> DataFrame:
+    """(signal, name): the distinct names of people under any of whose aliases a text mentions somebody.
+
+    People who share a name are mentioned together: count by name first, and join people after that.
     """
-    known = people.select(F.col(person).alias("person"), F.explode(aliases(F.col(name))).alias("alias")).withColumn("head", F.substring("alias", 1, head))
-    rows = signals.select(F.col(signal).alias("signal"), F.col(text).alias("text"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - head + 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(head))))
-    wanted = known.select("head").distinct()
-    places = rows.select("signal", F.explode(grams).alias("head")).join(wanted, "head", "left_semi")
-    hits = places.join(known, "head").select("signal", "person", "alias").distinct().join(rows, "signal")
-    return hits.filter(stands_alone(F.col("text"), F.col("alias"))).select("signal", "person").distinct()
+    names = people.select(F.col(name).alias("name")).distinct().select("name", F.explode(F.array_distinct(aliases(F.col("name")))).alias("alias"))
+    hits = alias_hits(signals.select(F.col(signal).alias("signal"), F.col(text).alias("text")), names.select("alias").distinct(), block)
+    return hits.join(names, "alias").select("signal", "name").distinct()
+
+
+def mentions(signals: DataFrame, people: DataFrame, signal: str, text: str, person: str, name: str) -> DataFrame:
+    """(signal, person): who is mentioned where, under any of his or her names."""
+    found = mentioned_names(signals, people, signal, text, name)
+    return found.join(people.select(F.col(person).alias("person"), F.col(name).alias("name")), "name").select("signal", "person").distinct()
+
+
+def mention_counts(people: DataFrame, found: DataFrame, person: str, name: str) -> DataFrame:
+    """(person, n, signals): how many signals mention a person, and the sum of their numbers; found: mentioned_names()."""
+    n = found.groupBy("name").agg(F.count("*").alias("n"), F.sum("signal").alias("signals"))
+    return people.select(F.col(person).alias("person"), F.col(name).alias("name")).join(n, "name").select("person", "n", "signals")
 
 
 def entry_points(people: DataFrame, found: DataFrame, signals: DataFrame, person: str, name: str, path: str) -> DataFrame:
     """(person, name, signed, open, has_path, priority, place) of people: whom to talk to first.
 
-    found: mentions(); signals: (signal, executable). 10 for each signed judgement, 4 for a path
-    of our own, 1 for each open one, 5 at most; ties by name.
+    found: mentioned_names(); signals: (signal, executable). 10 for each signed judgement, 4 for a
+    path of our own, 1 for each open one, 5 at most; ties by name.
     """
-    n = found.join(signals, "signal").groupBy("person").agg(F.count_if("executable").alias("signed"), F.count_if(~F.col("executable")).alias("open"))
+    n = found.join(signals, "signal").groupBy("name").agg(F.count_if("executable").alias("signed"), F.count_if(~F.col("executable")).alias("open"))
     rows = people.select(F.col(person).alias("person"), F.col(name).alias("name"), (F.trim(F.coalesce(path, F.lit(""))) != "").alias("has_path"))
-    rows = rows.join(n, "person", "left").na.fill(0, ["signed", "open"])
+    rows = rows.join(n, "name", "left").na.fill(0, ["signed", "open"])
     rows = rows.withColumn("priority", F.col("signed") * 10 + F.col("has_path").cast("int") * 4 + F.least("open", F.lit(5)))
-    return rows.orderBy(F.desc("priority"), "name")
+    return rows.select("person", "name", "has_path", "signed", "open", "priority").orderBy(F.desc("priority"), "name")
 
 
 def employed_by(people: DataFrame, employer: str, target: str) -> DataFrame:
@@ -67,14 +123,16 @@ def employed_by(people: DataFrame, employer: str, target: str) -> DataFrame:
 def orgs_of_people(people: DataFrame, found: DataFrame, edges: DataFrame, person: str, name: str, employer: str) -> DataFrame:
     """(person, org, best_gate, signals): the organisations of the signals that mention a person, and the employer as told (gate 0).
 
-    edges: (signal, from_node, to_node, gate). The person's own names are none of them.
+    found: mentioned_names(); edges: (signal, from_node, to_node, gate). Signals are counted by name
+    before people come in. The person's own names are none of them.
     """
     ends = edges.select("signal", "gate", F.explode(F.array("from_node", "to_node")).alias("org"))
-    told = people.select(F.col(person).alias("person"), F.trim(employer).alias("org"), F.lit(0).alias("gate"), F.lit(None).cast(dict(edges.dtypes)["signal"]).alias("signal"))
-    rows = found.join(ends, "signal").select("person", F.trim("org").alias("org"), "gate", "signal").union(told).filter("org <> ''")
-    own = people.select(F.col(person).alias("person"), F.transform(aliases(F.col(name)), norm).alias("own"))
-    rows = rows.join(own, "person").filter(~F.array_contains("own", norm(F.col("org"))))
-    return rows.groupBy("person", "org").agg(F.max("gate").alias("best_gate"), F.count("signal").alias("signals"))
+    by_name = found.join(ends, "signal").select("name", F.trim("org").alias("org"), "gate").filter("org <> ''").groupBy("name", "org").agg(F.max("gate").alias("gate"), F.count("*").alias("signals"))
+    who = people.select(F.col(person).alias("person"), F.col(name).alias("name"), F.trim(employer).alias("org"))
+    told = who.filter("org <> ''").select("person", "name", "org", F.lit(0).alias("gate"), F.lit(0).cast("long").alias("signals"))
+    rows = who.drop("org").join(by_name, "name").select("person", "name", "org", "gate", "signals").union(told)
+    rows = rows.filter(~F.exists(aliases(F.col("name")), lambda a: norm(a) == norm(F.col("org"))))
+    return rows.groupBy("person", "org").agg(F.max("gate").alias("best_gate"), F.sum("signals").alias("signals"))
 
 
 def reporting_tree(people: DataFrame, links: DataFrame, name: str, relation: str = "reports_to") -> DataFrame:

@@ -102,12 +102,17 @@ def board_findings(spark, sf_dir):
     return out.select(F.col("name").alias("company"), F.replace("source_title", F.lit("Forward Deployed AI Engineer "), F.lit("")).alias("title"), F.col("source_url").alias("url"))
 
 
-#: People of 2 and 3 characters, with a second name in parentheses, and texts that mention them alone, within longer names, or before a particle.
-_PERSON = "concat(substring('李王张刘陈杨赵黄', cast(c_custkey % 8 + 1 as int), 1), substring('全德明华伟强芳娜', cast(c_nationkey % 8 + 1 as int), 1), case when c_custkey % 3 = 0 then substring('一二三四五', cast(c_custkey % 5 + 1 as int), 1) else '' end, case when c_custkey % 10 = 0 then concat('（老', substring('甲乙丙丁', cast(c_custkey % 4 + 1 as int), 1), '）') else '' end)"
-_TALK = "concat(case o_orderkey % 3 when 0 then '' when 1 then '小' else '与' end, substring('李王张刘陈杨赵黄', cast(o_custkey % 8 + 1 as int), 1), substring('全德明华伟强芳娜', cast(o_orderkey % 8 + 1 as int), 1), case o_orderkey % 5 when 0 then '在会上' when 1 then ', met' when 2 then '' when 3 then '一说' else '德' end, ' 老甲')"
-_ALONE = lambda x, a: rf"regexp_matches({x}, '(^|[^\x{{4E00}}-\x{{9FA5}}])' || {a} || case when length({a}) <= 2 then '($|[^\x{{4E00}}-\x{{9FA5}}]|[{people.PARTICLES}])' else '' end)"
+#: A number as a name of characters, the first of a family name. Both dialects read it.
+_SPELT = lambda n: "concat(substring('李王张刘陈杨赵黄', cast({0} % 8 + 1 as int), 1), {1})".format(n, ", ".join(f"case when {n} >= {8**k if k > 1 else 0} then substring('全德明华伟强芳娜', cast(floor({n} / {8**k}) % 8 + 1 as int), 1) else '' end" for k in range(1, 8)))
+#: People of two characters and more, no two alike, some with a second name in parentheses; and texts that mention
+#: them alone, within longer names, before a particle, by their second name, or with a character too many.
+_PERSON = f"concat({_SPELT('c_custkey')}, case when c_custkey % 10 = 0 then concat('（老', {_SPELT('c_custkey')}, '）') else '' end)"
+_TALK = f"concat(case o_orderkey % 3 when 0 then '' when 1 then '小' else '与 ' end, {_SPELT('o_custkey')}, case o_orderkey % 5 when 0 then '在会上' when 1 then ', met' when 2 then '' when 3 then '一说' else '德' end, case when o_orderkey % 4 = 0 then concat(' 老', {_SPELT('o_custkey')}) else '' end)"
+_HANZI = rf"[\x{{4E00}}-\x{{9FA5}}]"
 _MENTIONED = rf"""p as (select c_custkey as person, {_PERSON} as name from customer), a as (select person, unnest(list_filter([trim(regexp_replace(name, '（[^）]*）', '')), regexp_extract(name, '（([^）]+)）', 1)], lambda x: length(x) >= 2)) as alias from p),
- d as (select distinct alias from a), t as (select distinct {_TALK} as talk from orders), x as (select talk, alias from t, d where contains(talk, alias) and {_ALONE("talk", "alias")}), m as (select distinct o_orderkey as signal, person from orders o join x on x.talk = {_TALK} join a using (alias))"""
+ d as (select distinct alias from a), t as (select distinct {_TALK} as talk from orders),
+ g as (select talk, substr(talk, i - 1, 1) as before, substr(talk, i, l) as alias, substr(talk, i + l, 1) as after, l, i from t, unnest(range(1, length(talk))) s(i), unnest(range(2, 10)) z(l) where i + l - 1 <= length(talk)),
+ x as (select distinct talk, alias from g join d using (alias) where (i = 1 or not regexp_matches(before, '{_HANZI}')) and (l > 2 or not regexp_matches(after, '{_HANZI}') or regexp_matches(after, '[{people.PARTICLES}]'))), m as (select distinct o_orderkey as signal, person from orders o join x on x.talk = {_TALK} join a using (alias))"""
 
 
 def _people(spark, sf_dir) -> DataFrame:
@@ -116,12 +121,12 @@ def _people(spark, sf_dir) -> DataFrame:
 
 def _mentions(spark, sf_dir) -> DataFrame:
     talk = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("signal"), F.expr(_TALK).alias("text"))
-    return people.mentions(talk, _people(spark, sf_dir), "signal", "text", "person", "name")
+    return people.mentioned_names(talk, _people(spark, sf_dir), "signal", "text", "name")
 
 
 @query(f"with {_MENTIONED} select person, count(*) as n, cast(sum(signal) as bigint) as signals from m group by 1")
 def people_mentions(spark, sf_dir):
-    return _mentions(spark, sf_dir).groupBy("person").agg(F.count("*").alias("n"), F.sum("signal").alias("signals"))
+    return people.mention_counts(_people(spark, sf_dir), _mentions(spark, sf_dir), "person", "name")
 
 
 @query(f"""with {_MENTIONED}, n as (select person, count(*) filter (where o_orderstatus = 'F') as signed, count(*) filter (where o_orderstatus <> 'F') as open from m join orders on signal = o_orderkey group by 1)

@@ -13,8 +13,8 @@ from tessera.sources.tables import looks_like_pdf, paged, table
 
 AS_OF = "2024-06-30"
 _W = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-#: Texts of the table in several layouts: full-width letters, ideographic and zero-width spaces, blanks next to CJK. Both dialects read it.
-_LAYOUT = "case doc_id % 5 when 1 then concat('公司， 2025　年 ​ＡＢ（c） ', substring(text, 1, 30)) when 2 then concat('公司，2025 年 AB (c) ', substring(text, 1, 30)) when 3 then concat('A­cme 数据  中心　', substring(text, 1, 200), ' 。 ') else text end"
+#: The table's whole texts in several layouts, with what is laid out before or around them: full-width letters, ideographic and zero-width spaces, blanks next to CJK. Both dialects read it.
+_LAYOUT = "case doc_id % 5 when 1 then concat('公司， 2025　年 ​ＡＢ（c） ', text) when 2 then concat('公司，2025 年 AB (c) ', text) when 3 then concat('A­cme 数据  中心　', text, ' 。 ') else text end"
 _CJK = text.CJK
 _ZERO = f"translate({{}}, '{text.ZERO_WIDTH}', '')"
 _FULL, _HALF = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
