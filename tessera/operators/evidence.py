@@ -24,6 +24,21 @@ def with_ranges(rows: DataFrame, name: str, *order: str, ranges: int | None = No
     return own.withColumn(name, F.size(F.filter("bounds_", lambda b: b <= F.struct(*order)))).drop("bounds_")
 
 
+def group_ranks(rows: DataFrame, group: str, order: str, name: str, ranges: int | None = None) -> DataFrame:
+    """rows with `name`, their place (from 1) in the order of their group, which no two of its rows share.
+
+    Places count within ranges of the order, and the sizes of earlier ranges are added, so that a
+    group of any size is spread over all tasks.
+    """
+    own = with_ranges(rows, "range_", order, ranges=ranges).repartition(F.col(group), F.col("range_"))
+    ranked = own.withColumn("rank_", F.row_number().over(Window.partitionBy(group, "range_").orderBy(order)))
+    parts = own.groupBy(F.col(group).alias("f_"), F.col("range_").alias("g_")).agg(F.count("*").alias("n_"))
+    earlier = Window.partitionBy("f_").orderBy("g_").rowsBetween(Window.unboundedPreceding, -1)
+    known = parts.select("f_", "g_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("prior_"))
+    out = ranked.join(known, F.col(group).eqNullSafe(F.col("f_")) & (F.col("range_") == F.col("g_")))
+    return out.withColumn(name, F.col("prior_") + F.col("rank_")).drop("range_", "rank_", "f_", "g_", "prior_")
+
+
 def repeat_verdict(sightings: DataFrame, fingerprint: str, seen_at: str, key: str, source: str, ranges: int | None = None) -> DataFrame:
     """For each sighting: how often its text was seen before, and whether first elsewhere.
 
@@ -164,7 +179,7 @@ def components(edges: DataFrame, src: str, dst: str, rounds: int = 100) -> DataF
     a round changes nothing; only a sum of each round reaches the driver.
     """
     spark = edges.sparkSession
-    _checkpoint_dir(spark)
+    checkpoint_dir(spark)
     both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).union(edges.select(F.col(dst).alias("a"), F.col(src).alias("b"))).filter("a is not null and b is not null").distinct().checkpoint()
     label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).withColumnRenamed("a", "node").checkpoint()
     mark = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("node", "c").cast("decimal(38,0)")).alias("s")).first()
@@ -181,7 +196,7 @@ def components(edges: DataFrame, src: str, dst: str, rounds: int = 100) -> DataF
     return label.select("node", F.col("c").alias("component"))
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
+def checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")

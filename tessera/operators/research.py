@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import claim_text, entity_key
 from tessera.functions.urls import is_weak_source
+from tessera.operators.evidence import checkpoint_dir, group_ranks
+from tessera.operators.folds import admissions
 
 # What a scheduler's relations may be, how old their sources, and how grades rank for it.
 MAX_AGE_DAYS = {"equity": 730, "license": 730, "supply": 548, "personnel": 548, "compete": 365}
@@ -157,37 +158,27 @@ def admitted(rows: DataFrame, known_urls: DataFrame, known_keys: DataFrame, grap
 
     The best source first, then the latest, then by title. A candidate whose address, or whose
     relations, are known by then is a duplicate; caps do not stop the scan. Only rows that judged()
-    leaves open go through the fold: one group's candidates meet in a task, so a group is one run
-    of a scheduler. The others are held against the addresses of the few accepted before them.
+    leaves open go through the rounds of admissions() and have a place; the others are held against
+    the addresses of the few accepted before them. What is judged is kept by a checkpoint, so the
+    inputs are read once.
     """
-    schema = f"grp {dict(rows.dtypes)['grp']}, key {dict(rows.dtypes)['key']}, place long, verdict string, novel array<string>"
+    checkpoint_dir(rows.sparkSession)
     had = judged(rows, known_urls, known_keys, graph, room)
     none = F.expr("cast(array() as array<string>)")
-    had = had.withColumn("order_", F.struct(-F.col("rank"), F.coalesce(-F.unix_date("dated"), F.lit(1 << 30)), "title", "key"))
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, used, seen, keys, out = 0, 0, set(), set(), []
-        pdf = pdf.assign(dated=pd.to_datetime(pdf["dated"])).sort_values(["rank", "dated", "title", "key"], ascending=[False, False, True, True])
-        for place, row in enumerate(pdf.itertuples(), 1):
-            novel = [k for k in row.fresh if k not in keys]
-            if row.url in seen:
-                what = "duplicateSource"
-            elif not novel:
-                what = "duplicateRelation"
-            elif taken >= most or used + len(novel) > edges or used + len(novel) > row.room:
-                what = "capacity"
-            else:
-                what, taken, used = "accepted", taken + 1, used + len(novel)
-                seen.add(row.url)
-                keys.update(novel)
-            out.append((row.grp, row.key, place, what, novel if what == "accepted" else []))
-        return pd.DataFrame(out, columns=["grp", "key", "place", "verdict", "novel"])
-
-    open_ = had.filter("verdict is null").select("grp", "key", "rank", "dated", "title", "url", "fresh", "room")
-    folded = open_.groupBy("grp").applyInPandas(scan, schema)
-    taken = folded.filter("verdict = 'accepted'").select("grp", "key").join(had.select("grp", "key", "url", "order_"), ["grp", "key"]).groupBy("grp", "url").agg(F.min("order_").alias("by_"))
-    rest = had.filter("verdict is not null").join(taken, ["grp", "url"], "left")
-    late = F.col("early").isNull() & (F.col("by_") < F.col("order_"))
+    by = F.struct(-F.col("rank"), F.coalesce(-F.unix_date("dated"), F.lit(1 << 30)).alias("days"), "title", "key")
+    had = had.select("grp", "key", "url", "early", "verdict", by.alias("by"), F.col("fresh").alias("items"), "room").checkpoint()
+    open_ = had.filter("verdict is null").select("grp", "key", "by", F.col("url").alias("source"), "items", "room")
+    names = {"known-source": "duplicateSource", "nothing-novel": "duplicateRelation"}
+    taken = admissions(open_, most, edges)
+    verdict = F.col("verdict")
+    for old, new in names.items():
+        verdict = F.when(F.col("verdict") == old, new).otherwise(verdict)
+    placed = group_ranks(open_.select("grp", "key", "by"), "grp", "by", "place").select("grp", "key", "place")
+    told = taken.select("grp", "key", verdict.alias("verdict"), F.when(F.col("verdict") == "accepted", F.col("novel")).otherwise(none).alias("novel"))
+    folded = told.join(placed, ["grp", "key"]).select("grp", "key", "place", "verdict", "novel")
+    first = taken.filter("verdict = 'accepted'").groupBy("grp", F.col("source").alias("url")).agg(F.min("by").alias("by_"))
+    rest = had.filter("verdict is not null").join(first, ["grp", "url"], "left")
+    late = F.col("early").isNull() & F.coalesce(F.col("by_") < F.col("by"), F.lit(False))
     return folded.union(rest.select("grp", "key", F.lit(None).cast("long"), F.when(late, "duplicateSource").otherwise(F.col("verdict")), none))
 
 

@@ -355,13 +355,27 @@ def scheduler_screening(spark, sf_dir):
     return own.groupBy(F.coalesce("verdict", F.lit("open")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query()
+_ORDER = "case g when 0 then 4 when 1 then 3 when 2 then 2 else 0 end desc, dated desc nulls last, title, key"
+#: The scan over what is left open, a turn each, with the addresses and relations known so far; then the rest against the addresses taken.
+_ADMITTED = f"""{_EARLY}, i as (select e.key, list(e.k order by l) as items from (select l_orderkey as key, l_linenumber as l, l_partkey, 'x' as x, case l_partkey % 5 when 0 then 'equity|firm' || (l_suppkey % 9) || '|part' || (l_partkey % 11) when 1 then 'supply|firm' || (l_suppkey % 9) || '|part' || (l_partkey % 11) when 2 then 'compete|firm' || (l_suppkey % 9) || '|part' || (l_partkey % 11) when 4 then 'license|firm' || (l_suppkey % 9) || '|part' || (l_partkey % 11) end as k from lineitem) e join c using (key) where k is not null and (c.grp, e.k) not in (select (grp, k) from kk) group by 1),
+ w as materialized (select *, row_number() over (partition by grp order by {_ORDER}) as rank from v), o as materialized (select w.*, items, row_number() over (partition by grp order by rank) as place from w join i using (key) where verdict = 'open'),
+ rooms as materialized (select grp, greatest(0, 48 - coalesce(n, 0)) as room from (select distinct grp from c) left join (select grp, count(*) as n from e join c using (key) where key % 50 = 1 group by 1) using (grp)),
+ r as (select grp, cast(0 as bigint) as place, cast(null as bigint) as key, '' as verdict, cast([] as varchar[]) as novel, 0 as taken, 0 as used, cast([] as varchar[]) as urls, cast([] as varchar[]) as known from rooms union all
+  select grp, place, key, verdict, novel, taken + cast(verdict = 'accepted' as int), used + case when verdict = 'accepted' then len(novel) else 0 end, case when verdict = 'accepted' then list_append(urls, url) else urls end, case when verdict = 'accepted' then list_concat(known, novel) else known end
+  from (select *, case when list_contains(urls, url) then 'duplicateSource' when len(novel) = 0 then 'duplicateRelation' when taken >= 4 or used + len(novel) > 6 or used + len(novel) > room then 'capacity' else 'accepted' end as verdict
+   from (select o.grp, o.place, o.key, o.url, r.taken, r.used, r.urls, r.known, room, list_filter(o.items, lambda x: not list_contains(r.known, x)) as novel from r join o on o.grp = r.grp and o.place = r.place + 1 join rooms on rooms.grp = o.grp))),
+ taken as (select w.grp, w.url, min(w.rank) as rank from r join w on w.grp = r.grp and w.key = r.key where r.verdict = 'accepted' group by 1, 2),
+ told as (select grp, key, place, verdict, case when verdict = 'accepted' then len(novel) else 0 end as n_novel from r where place > 0 union all
+  select w.grp, key, null, case when w.verdict in ('invalidEdges', 'staleOrUndated', 'duplicateRelation') and t.rank < w.rank then 'duplicateSource' else w.verdict end, 0 from w left join taken t on t.grp = w.grp and t.url = w.url where w.verdict <> 'open')"""
+
+
+@query(f"with recursive {_ADMITTED} select grp, key, place, verdict, n_novel from told")
 def scheduler_admission(spark, sf_dir):
-    """The verdict on each candidate: the fold over those left open is order-dependent and tested against a plain loop."""
+    """The verdict on each candidate, in the order of its run."""
     return _admitted(spark, sf_dir).select("grp", "key", "place", "verdict", F.size("novel").alias("n_novel"))
 
 
-@query()
+@query(f"with recursive {_ADMITTED} select verdict as reason, count(*) as n from told where verdict <> 'accepted' group by 1")
 def scheduler_rejections(spark, sf_dir):
     return research.rejections(_admitted(spark, sf_dir))
 

@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import evidence, people
+from tessera.operators import evidence, folds, people
 
 
 @pytest.mark.parametrize("ranges", [1, 3, 16])
@@ -57,3 +57,43 @@ def test_mentions_are_counted_by_name(spark):
     state = spark.createDataFrame([(1, True), (2, False), (3, False)], "signal long, executable boolean")
     rows = people.entry_points(who.withColumn("w", F.lit("")), found, state, "p", "n", "w").collect()
     assert [(r["person"], r["signed"], r["open"], r["priority"]) for r in rows][:2] == [(1, 1, 1, 11), (2, 1, 1, 11)]
+
+
+@pytest.mark.parametrize("most,edges,n", [(4, 6, 100_000), (9, 20, 3_000), (3, 2, 50)])
+def test_admissions_of_one_large_group(spark, most, edges, n):
+    """A group of very many candidates beside small ones, against the scan in order."""
+    rng = random.Random(n)
+    rows = []
+    for k in range(n):
+        grp = 0 if rng.random() < 0.9 else rng.randrange(1, 6)
+        rows.append((grp, k, (rng.randrange(n // 3 + 1), k), rng.choice([None, f"s{rng.randrange(9)}", f"s{k}"]), [f"e{rng.randrange(40 if k < 50 else 8)}" for _ in range(rng.choice([0, 1, 1, 2, 3, 3]))], rng.choice([6]) if grp else 48))
+    df = spark.createDataFrame(rows, "grp int, key int, by struct<a: int, b: int>, source string, items array<string>, room int").repartition(4)
+    evidence.checkpoint_dir(spark)
+    got = {r["key"]: (r["verdict"], r["novel"] if r["verdict"] == "accepted" else None) for r in folds.admissions(df.checkpoint(), most, edges).select("key", "verdict", "novel").collect()}
+    state, want = {}, {}
+    for grp, key, _, source, items, room in sorted(rows, key=lambda r: r[2]):
+        s = state.setdefault(grp, [0, 0, set(), set()])
+        novel = [x for x in items if x not in s[3]]
+        if source in s[2]:
+            verdict = "known-source"
+        elif not novel:
+            verdict = "nothing-novel"
+        elif s[0] >= most or s[1] + len(novel) > min(edges, room):
+            verdict = "capacity"
+        else:
+            verdict = "accepted"
+            s[0], s[1] = s[0] + 1, s[1] + len(novel)
+            s[2] |= {source} - {None}
+            s[3] |= set(novel)
+        want[key] = (verdict, novel if verdict == "accepted" else None)
+    assert got == want
+
+
+def test_group_ranks(spark):
+    rows = [(None if k % 7 == 0 else k % 2, k * 37 % 1000) for k in range(1000)]
+    got = sorted(tuple(r) for r in evidence.group_ranks(spark.createDataFrame(rows, "g int, o int").repartition(3), "g", "o", "place", 5).select("o", "place").collect())
+    want, n = [], {}
+    for g, o in sorted(rows, key=lambda r: r[1]):
+        n[g] = n.get(g, 0) + 1
+        want.append((o, n[g]))
+    assert got == want
