@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import bigrams
+from tessera.operators.evidence import checkpoint_dir
 
 # What counts as a clue of which kind, how much of the text around it is shown, and how much it weighs.
 CLUES = (
@@ -65,37 +66,99 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.concat(kept, F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0))))
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of bigrams, CONTAINED at least where one name holds the other."""
-    x, y = bigrams(a), bigrams(b)
-    both, total = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
-    ratio = F.when(total > 0, both / total).otherwise(0.0)
-    p, q = (F.regexp_replace(c, r"[\s（）()]", "") for c in (a, b))
+def _bare(name: Column) -> Column:
+    return F.regexp_replace(name, r"[\s（）()]", "")
+
+
+def _alike(x: Column, p: Column, y: Column, q: Column) -> Column:
+    """name_similarity() of two names given by their bigrams (x, y) and bare forms (p, q)."""
+    both = F.size(F.array_intersect(x, y))
+    ratio = F.when(both > 0, both / (F.size(x) + F.size(y) - both)).otherwise(0.0)
     inside = (p != "") & (q != "") & (F.contains(p, q) | F.contains(q, p))
     return F.when(inside, F.greatest(ratio, F.lit(CONTAINED))).otherwise(ratio)
 
 
-def recall(asked: DataFrame, index: DataFrame, least: float = LEAST, top: int = TOP) -> DataFrame:
-    """(ask, id, score, n_clues, place): the companies of an index that fit a name and its clues best.
+def name_similarity(a: Column, b: Column) -> Column:
+    """Jaccard similarity of bigrams, CONTAINED at least where one name holds the other."""
+    return _alike(bigrams(a), _bare(a), bigrams(b), _bare(b))
 
-    asked: (ask, name, clues), index: (id, names array, text). Candidates share a bigram of their
-    name, hold or are held in it, or share a clue's token: both sides are joined by what they
-    share, never paired as such. Ties go by id.
-    """
-    names = index.select("id", F.explode("names").alias("n")).filter("n <> ''")
-    own = asked.select("ask", "name").filter("name <> ''")
-    pairs = own.select("ask", "name", F.explode(bigrams(F.col("name"))).alias("g")).join(names.select("id", "n", F.explode(bigrams(F.col("n"))).alias("g")), "g").select("ask", "name", "id", "n").distinct()
-    by_name = pairs.withColumn("s", name_similarity(F.col("name"), F.col("n"))).groupBy("ask", "id").agg(F.max("s").alias("name_score"))
+
+def _clue_weight() -> Column:
     weight = F.lit(0.0)
     for kind, w in WEIGHTS.items():
         weight = F.when(F.col("c.kind") == kind, w).otherwise(weight)
-    told = asked.select("ask", F.posexplode("clues").alias("k", "c")).filter("c.kind <> 'name'").select("ask", "k", weight.alias("w"), tokens(F.col("c.text")).alias("t"))
-    held = index.select("id", F.explode(tokens(F.col("text"))).alias("g"))
-    hits = told.select("ask", "k", "w", F.size("t").alias("n_t"), F.explode("t").alias("g")).join(held, "g").groupBy("ask", "k", "w", "n_t", "id").agg(F.count("*").alias("hit"))
-    scored = hits.withColumn("s", F.col("w") * (0.35 + 0.65 * F.col("hit") / F.col("n_t"))).groupBy("ask", "id").agg(F.sum("s").alias("clue_sum"), F.count("*").alias("n_clues"))
-    total = told.groupBy("ask").agg(F.count("*").alias("n"))
-    both = by_name.join(scored, ["ask", "id"], "full_outer").join(total, "ask", "left").na.fill(0, ["name_score", "clue_sum", "n_clues"])
-    part = F.when(F.coalesce("n", F.lit(0)) > 0, F.least(F.lit(1.0), F.col("clue_sum") / (F.col("n") * CLUE_SCALE))).otherwise(0.0)
-    both = both.withColumn("raw", F.round(F.col("name_score") * NAME_SHARE + part * CLUE_SHARE, 9)).filter(F.col("raw") >= least).withColumn("score", F.floor(F.col("raw") * 100 + 0.5) / 100)
+    return weight
+
+
+def _scored(pairs: DataFrame, asks: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """(ask, id, raw, score, n_clues) of the pairs (ask, id) that reach `least`; nothing but the pairs is joined."""
+    both = pairs.join(asks, "ask").join(known, "id")
+    likeness = F.transform("names", lambda n: F.when(F.arrays_overlap(n["grams"], F.col("grams")), _alike(F.col("grams"), F.col("bare"), n["grams"], n["bare"])).otherwise(0.0))
+    hit = F.transform("told", lambda c: F.struct(c["w"].alias("w"), F.size(c["t"]).alias("n"), F.size(F.array_intersect(c["t"], F.col("tokens"))).alias("hit")))
+    both = both.select("ask", "id", F.coalesce(F.array_max(likeness), F.lit(0.0)).alias("name_score"), F.filter(hit, lambda h: h["hit"] > 0).alias("hits"), F.size("told").alias("n"))
+    total = F.aggregate("hits", F.lit(0.0), lambda s, h: s + h["w"] * (0.35 + 0.65 * h["hit"] / h["n"]))
+    part = F.when(F.col("n") > 0, F.least(F.lit(1.0), total / (F.col("n") * CLUE_SCALE))).otherwise(0.0)
+    out = both.withColumn("raw", F.round(F.col("name_score") * NAME_SHARE + part * CLUE_SHARE, 9)).filter(F.col("raw") >= least)
+    return out.select("ask", "id", "raw", _shown(F.col("raw")).alias("score"), F.size("hits").cast("long").alias("n_clues"))
+
+
+def _shown(raw: Column) -> Column:
+    return F.floor(raw * 100 + 0.5) / 100
+
+
+def _best(rows: DataFrame, top: int) -> DataFrame:
     w = Window.partitionBy("ask").orderBy(F.desc("score"), "id")
-    return both.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top).select("ask", "id", "score", "n_clues", "place")
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)  # limited before the shuffle
+
+
+def recall(asked: DataFrame, index: DataFrame, least: float = LEAST, top: int = TOP, bound: int = 1000, longest: int = 64) -> DataFrame:
+    """(ask, id, score, n_clues, place): the companies of an index that fit a name and its clues best.
+
+    asked: (ask, name, clues), index: (id, names array, text). A name counts if it shares a bigram
+    with the company's, a clue if it shares a token with its text. Ties go by id.
+
+    Bigrams and tokens are inverted lists. Only lists of at most `bound` companies are joined at
+    first, with names that stand as a whole within the name asked for (up to `longest` characters
+    of it); those pairs are scored in full. A company that shares common bigrams and tokens only
+    scores at most what they could give together: if that is under `least`, or under the score of
+    `top` companies found, the rest need not be looked at. Asks that this leaves open are few, and
+    their common lists are joined after all, so that none is lost.
+    """
+    checkpoint_dir(asked.sparkSession)
+    named = F.coalesce("name", F.lit(""))
+    told = asked.select("ask", F.posexplode("clues").alias("k", "c")).filter("c.kind <> 'name'").select("ask", "k", _clue_weight().alias("w"), tokens(F.col("c.text")).alias("t"))
+    clue_rows = told.groupBy("ask").agg(F.array_sort(F.collect_list(F.struct("k", "w", "t"))).alias("told"))  # an ask's own clues
+    asks = asked.select("ask", _bare(named).alias("bare"), bigrams(named).alias("grams")).join(clue_rows, "ask", "left")
+    asks = asks.withColumn("told", F.coalesce("told", F.expr("cast(array() as array<struct<k: int, w: double, t: array<string>>>)"))).checkpoint()
+    known = index.select("id", F.transform(F.filter("names", lambda n: n != ""), lambda n: F.struct(bigrams(n).alias("grams"), _bare(n).alias("bare"))).alias("names"), tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+
+    of_names = known.select("id", F.explode(F.array_distinct(F.flatten(F.transform("names", lambda n: n["grams"])))).alias("g")).withColumn("kind", F.lit("name"))
+    lists = of_names.union(known.select("id", F.explode("tokens").alias("g"), F.lit("text").alias("kind")))
+    wants = asks.select("ask", F.explode("grams").alias("g"), F.lit("name").alias("kind")).union(asks.select("ask", F.explode(F.array_distinct(F.flatten(F.transform("told", lambda c: c["t"])))).alias("g"), F.lit("text").alias("kind")))
+    asked_for = lists.join(wants.select("kind", "g").distinct(), ["kind", "g"], "left_semi")
+    often = asked_for.groupBy("kind", "g").agg(F.count("*").alias("n")).checkpoint()
+    rare = often.filter(F.col("n") <= bound).drop("n")
+
+    near = wants.join(rare, ["kind", "g"]).join(asked_for, ["kind", "g"]).select("ask", "id")
+    n = F.length("p")
+    parts = asks.select("ask", F.substring("bare", 1, longest).alias("p")).filter(n >= 2)
+    spans = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(F.lit(2), n - i + 1), lambda size: F.substring("p", i, size)))))
+    within = parts.select("ask", F.explode(spans).alias("p")).join(known.select("id", F.explode(F.array_distinct(F.transform("names", lambda n: n["bare"]))).alias("p")), "p").select("ask", "id")
+    first = _best(_scored(near.union(within).distinct(), asks, known, least), top).checkpoint()
+
+    common = often.filter(F.col("n") > bound).select("kind", "g")
+    shared = wants.join(common, ["kind", "g"]).groupBy("ask").agg(F.collect_list(F.when(F.col("kind") == "name", F.col("g"))).alias("common_g"), F.collect_list(F.when(F.col("kind") == "text", F.col("g"))).alias("common_t"))  # an ask's own
+    ceiling = asks.join(shared, "ask")
+    c = F.size("common_g")
+    by_name = F.when(c == 0, 0.0).when(c == F.size("grams"), 1.0).otherwise(c / F.size("grams"))
+    by_name = F.when(F.length("bare") > longest, F.greatest(by_name, F.when(c > 0, CONTAINED).otherwise(0.0))).otherwise(by_name)
+    most = F.aggregate("told", F.lit(0.0), lambda s, x: s + F.when(F.size(F.array_intersect(x["t"], F.col("common_t"))) > 0, x["w"] * (0.35 + 0.65 * F.size(F.array_intersect(x["t"], F.col("common_t"))) / F.size(x["t"]))).otherwise(0.0))
+    part = F.when(F.size("told") > 0, F.least(F.lit(1.0), most / (F.size("told") * CLUE_SCALE))).otherwise(0.0)
+    ceiling = ceiling.select("ask", F.round(by_name * NAME_SHARE + part * CLUE_SHARE, 9).alias("ceiling")).filter(F.col("ceiling") >= least)
+    full = first.filter(F.col("place") == top).select("ask", F.col("score").alias("last"))
+    open_ = ceiling.join(full, "ask", "left").filter(F.col("last").isNull() | (F.col("last") <= _shown(F.col("ceiling")))).select("ask").checkpoint()
+
+    rest = wants.join(open_, "ask").join(asked_for, ["kind", "g"]).select("ask", "id").distinct()
+    late = _best(_scored(rest, asks, known, least), top)
+    done = first.join(open_, "ask", "left_anti").union(late)
+    return done.select("ask", "id", "score", "n_clues", "place")

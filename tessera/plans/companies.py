@@ -279,13 +279,37 @@ def holder_names(spark, sf_dir):
 
 @query()
 def company_recall(spark, sf_dir):
-    """Companies that fit a name and clues best: beyond SQL for the reading of clues; tested on literals."""
+    """Companies that fit a name and the clues read from a text best: beyond SQL for the reading of clues; tested on literals."""
     s = table(spark, sf_dir, "supplier")
     index = s.select(F.col("s_suppkey").alias("id"), F.array(F.expr(_ENDS), "s_name").alias("names"), F.expr(_BOOK).alias("text"))
     asked = s.select(F.col("s_suppkey").alias("ask"), F.expr(_ENDS).alias("name"), resolver.clues(F.expr(_BOOK), F.expr(_ENDS)).alias("clues"))
     return resolver.recall(asked, index)
 
 
+#: Parts as companies of an index, with two names and a text each; suppliers ask by a name and three clues, of which some hold rare and some common tokens only.
+_HELD_NAMES = ("concat('星河', cast(p_partkey % 600 as string), '科技')", "concat('公司 ', p_name)")
+_HELD_TEXT = "concat(p_type, ' ', p_brand, case p_size % 3 when 0 then ' 工业软件与大模型' when 1 then ' 园区' else ' 智能制造基地' end, cast(p_partkey % 90 as string), '号楼')"
+_ASK_NAME = "case s_suppkey % 4 when 0 then '科技' when 1 then concat('星河', cast(s_suppkey % 700 as string), '科技有限') when 2 then concat('part ', cast(s_suppkey as string)) else '' end"
+_ASKED = (("business", "case s_suppkey % 3 when 0 then '工业软件' when 1 then '芯片设计' else concat('大模型 x', cast(s_suppkey as string)) end"), ("address", "concat('园区', cast(s_suppkey % 120 as string), '号楼')"), ("people", "concat('来自', s_name)"))
+_SQL_TOKENS = lambda x: rf"list_distinct(list_concat(list_filter((select case when length(v) >= 2 then list_transform(range(1, length(v)), lambda i: substr(v, i, 2)) when length(v) = 1 then [v] else [] end from (select lower(regexp_replace({x}, '[\s，。！？、：；\x{{22}}''（）()【】《》…—\-_/\\|,.]', '', 'g')) as v)), lambda g: g not in ({', '.join(repr(w) for w in resolver.STOPS)})), regexp_extract_all(lower({x}), '[a-z0-9]{{2,}}')))"
+_SQL_GRAMS = lambda x: rf"(select case when length(v) < 2 then [] else list_distinct(list_transform(range(1, length(v)), lambda i: substr(v, i, 2))) end from (select lower(regexp_replace({x}, '[\s　（）()【】《》「」、，。！？\-_]', '', 'g')) as v))"
+
+
+@query(rf"""with i as (select p_partkey as id, {_SQL_TOKENS(_HELD_TEXT)} as tokens from part), n as (select p_partkey as id, name, {_SQL_GRAMS("name")} as grams, regexp_replace(name, '[\s（）()]', '', 'g') as bare from part, unnest([{", ".join(_HELD_NAMES)}]) u(name)),
+ a as (select s_suppkey as ask, {_ASK_NAME} as name from supplier), g as (select *, {_SQL_GRAMS("name")} as grams, regexp_replace(name, '[\s（）()]', '', 'g') as bare from a),
+ c as ({" union all ".join(f"select s_suppkey as ask, {resolver.WEIGHTS[k]} as w, {_SQL_TOKENS(x)} as t from supplier" for k, x in _ASKED)}),
+ s as (select ask, id, max(case when contains(a.bare, b.bare) or contains(b.bare, a.bare) then greatest(len(list_intersect(a.grams, b.grams)) / len(list_distinct(list_concat(a.grams, b.grams))), {resolver.CONTAINED}) else len(list_intersect(a.grams, b.grams)) / len(list_distinct(list_concat(a.grams, b.grams))) end) as name_score from g a join n b on list_has_any(a.grams, b.grams) group by 1, 2),
+ h as (select ask, id, w, len(t) as n, len(list_intersect(t, tokens)) as hit from c join i on list_has_any(t, tokens)), k as (select ask, id, sum(w * (0.35 + 0.65 * hit / n)) as s, count(*) as n_clues from h group by 1, 2),
+ r as (select ask, id, round(coalesce(name_score, 0) * {resolver.NAME_SHARE} + least(1, coalesce(s, 0) / (3 * {resolver.CLUE_SCALE})) * {resolver.CLUE_SHARE}, 9) as raw, coalesce(n_clues, 0) as n_clues from s full join k using (ask, id)),
+ f as (select ask, id, floor(raw * 100 + 0.5) / 100 as score, n_clues from r where raw >= {resolver.LEAST}) select *, row_number() over (partition by ask order by score desc, id) as place from f qualify place <= {resolver.TOP}""")
+def recalled_companies(spark, sf_dir):
+    """Companies of a large index that fit a name and given clues best."""
+    index = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(*map(F.expr, _HELD_NAMES)).alias("names"), F.expr(_HELD_TEXT).alias("text"))
+    clues = F.array(*(F.struct(F.lit(k).alias("kind"), F.expr(x).alias("text")) for k, x in _ASKED))
+    asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ask"), F.expr(_ASK_NAME).alias("name"), clues.alias("clues"))
+    return resolver.recall(asked, index, bound=200)
+
+
 @query("""with o as (select c_custkey as key, c_name as label from customer union all select c_custkey, c_mktsegment from customer union all select c_custkey, 'x' || c_nationkey from customer) select label, max(key) as key from o group by 1""")
 def profiles_by_name(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("legal"), F.array(F.concat(F.lit("x"), F.col("c_nationkey").cast("string"))).alias("alias"))

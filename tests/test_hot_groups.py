@@ -97,3 +97,15 @@ def test_group_ranks(spark):
         n[g] = n.get(g, 0) + 1
         want.append((o, n[g]))
     assert got == want
+
+
+def test_recall_with_and_without_short_lists(spark):
+    """Pruned by lists of at most 1, 4 or all companies: the same best ones, ties included."""
+    from tessera.functions import resolver
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("星河工业软件大模型") for _ in range(rng.randint(1, 4)))
+    index = spark.createDataFrame([(k, [word() + rng.choice(["", "科技", " (x)"]), rng.choice(["", word()])], rng.choice([None, word() + " " + word() + f" {k % 5}号楼"])) for k in range(60)] + [(60, [], "")], "id int, names array<string>, text string")
+    asked = spark.createDataFrame([(k, rng.choice([None, "", word(), word() + "科技有限", word() * 20]), [(rng.choice(list(resolver.WEIGHTS)), word() + f"{k % 6}号楼"[: rng.randint(0, 4)]) for _ in range(rng.randint(0, 3))]) for k in range(25)], "ask int, name string, clues array<struct<kind: string, text: string>>")
+    full, *pruned = (sorted(tuple(r) for r in resolver.recall(asked, index, top=3, bound=b, longest=9).collect()) for b in (10**9, 1, 4))
+    assert len(full) > 30 and pruned == [full, full]
