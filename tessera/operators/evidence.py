@@ -134,15 +134,42 @@ def scale_claims(signals: DataFrame, title: str, evidence: str, basis: str) -> D
 
 
 def claims_by_basis(claims: DataFrame, basis: str, key: str) -> DataFrame:
-    """(basis, n, keys) by basis, those without one last. There is no sum: amounts of different bases do not add up."""
-    return claims.groupBy(F.col(basis).alias("basis")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(key)).alias("keys")).orderBy(F.col("basis") == "", "basis")
+    """(basis, n, first_key, last_key) by basis, those without one last; the claims themselves are the members.
+
+    There is no sum: amounts of different bases do not add up.
+    """
+    rows = claims.groupBy(F.col(basis).alias("basis")).agg(F.count("*").alias("n"), F.min(key).alias("first_key"), F.max(key).alias("last_key"))
+    return rows.orderBy(F.col("basis") == "", "basis")
+
+
+def edge_members(edges: DataFrame, src: str, dst: str, relation: str, signal: str, gate: str, executable: str) -> DataFrame:
+    """(from_node, to_node, relation, signal, times, best_gate, executable): which signals name an edge, and how often.
+
+    The membership stands in rows, so an edge that every signal names is spread like any other.
+    """
+    own = edges.select(F.trim(src).alias("from_node"), F.trim(dst).alias("to_node"), F.col(relation).alias("relation"), F.col(signal).alias("signal"), F.col(gate).alias("gate"), F.col(executable).alias("executable")).filter("from_node <> '' and to_node <> ''")
+    return own.groupBy("from_node", "to_node", "relation", "signal").agg(F.count("*").alias("times"), F.max("gate").alias("best_gate"), F.bool_or("executable").alias("executable"))
+
+
+def edge_aggregate(members: DataFrame, *more: Column) -> DataFrame:
+    """One row for each from, to and relation of edge_members(): mentions, signals, best gate, whether any is executable, and more aggregates of signal and times."""
+    return members.groupBy("from_node", "to_node", "relation").agg(F.sum("times").alias("mentions"), F.count("signal").alias("signals"), F.max("best_gate").alias("best_gate"), F.bool_or("executable").alias("executable"), *more)
+
+
+def member_bitmaps(members: DataFrame, *group: str, member: str) -> DataFrame:
+    """(group, bucket, bits): a group's distinct members (numbers from 1) as bitmaps of 32,768 numbers each.
+
+    A group of any size takes as many rows of 4 KB as its numbers span; bitmap_or_agg() joins groups,
+    bitmap_count() counts them. Numbers below 1 and nulls are left out.
+    """
+    own = members.filter(F.col(member) > 0)
+    return own.groupBy(*group, F.bitmap_bucket_number(member).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(member)).alias("bits"))
 
 
-def edge_aggregate(edges: DataFrame, src: str, dst: str, relation: str, signal: str, gate: str, executable: str) -> DataFrame:
-    """One row for each from, to and relation: mentions, signals, signal_ids (as often as they name the edge), best gate, whether any is executable."""
-    own = edges.select(F.trim(src).alias("from_node"), F.trim(dst).alias("to_node"), F.col(relation).alias("relation"), signal, gate, executable).filter("from_node <> '' and to_node <> ''")
-    ids = F.array_sort(F.collect_list(signal)).alias("signal_ids")
-    return own.groupBy("from_node", "to_node", "relation").agg(F.count("*").alias("mentions"), F.countDistinct(signal).alias("signals"), ids, F.max(gate).alias("best_gate"), F.bool_or(executable).alias("executable"))
+def bitmap_counts(bitmaps: DataFrame, *group: str) -> DataFrame:
+    """(group, members): distinct members of the groups of member_bitmaps(), or of coarser ones."""
+    whole = bitmaps.groupBy(*group, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return whole.groupBy(*group).agg(F.sum(F.bitmap_count("bits")).alias("members"))
 
 
 def node_degree(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -171,29 +198,58 @@ def hubs(nodes: DataFrame, links: DataFrame, least: int = 2, top: int = 8) -> Da
     return best.join(near.groupBy("hub").agg(F.array_sort(F.collect_set("other")).alias("companies")), "hub", "left")
 
 
-def components(edges: DataFrame, src: str, dst: str, rounds: int = 100) -> DataFrame:
-    """(node, component): the least node reachable, by pointer jumping on hashed joins.
+def components(edges: DataFrame, src: str, dst: str, rounds: int = 100, salts: int | None = None) -> DataFrame:
+    """(node, component): the least node reachable, by alternating large and small stars.
 
-    Every round halves the distance to the least node and cuts lineage with checkpoint(), in the
-    folder that the session names (on a local master without one, a temporary folder). Stops when
-    a round changes nothing; only a sum of each round reaches the driver.
+    A large star links a node's greater neighbours to its least one, a small star its lesser
+    neighbours; the edges end as stars around the least nodes, after a logarithmic number of rounds.
+    A node's least neighbour is a grouped minimum, pre-aggregated before it moves, and goes back to
+    the node's edges by a join that is salted: the edges of a node are dealt to `salts` parts by
+    their other end, and each part gets a copy of the minimum of the nodes that have many edges. So
+    a node that a third of all edges touch is no task's burden. Each round is cut off by
+    checkpoint(), in the folder that the session names (on a local master without one, a temporary
+    folder); only a count and a checksum of it reach the driver.
     """
     spark = edges.sparkSession
     checkpoint_dir(spark)
-    both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).union(edges.select(F.col(dst).alias("a"), F.col(src).alias("b"))).filter("a is not null and b is not null").distinct().checkpoint()
-    label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).withColumnRenamed("a", "node").checkpoint()
-    mark = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("node", "c").cast("decimal(38,0)")).alias("s")).first()
-    before = mark(label)
-    for _ in range(rounds):
-        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("c").alias("n"))
-        step = label.join(near, label["node"] == near["a"], "left").select("node", F.least("c", F.coalesce("n", "c")).alias("c"))
-        up = step.select(F.col("node").alias("c"), F.col("c").alias("cc"))
-        label = step.join(up, "c", "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("c")).checkpoint()
-        after = mark(label)
+    salts = salts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    heavy = 8 * salts  # edges from which a node's part is split
+
+    def met(pairs: DataFrame, own: DataFrame) -> DataFrame:
+        """pairs with m, the least v that u has in `own`."""
+        least = own.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        split = F.when(F.col("n") > heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))
+        dealt = least.withColumn("s", F.explode(split)).drop("n")
+        many = least.filter(F.col("n") > heavy).select("u", F.lit(True).alias("many"))
+        marked = pairs.join(F.broadcast(many) if few(many) else many, "u", "left")
+        salted = marked.withColumn("s", F.when(F.col("many"), F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).otherwise(-1)).drop("many")
+        return salted.join(dealt, ["u", "s"]).drop("s")
+
+    def few(many: DataFrame) -> bool:
+        return many.limit(10_001).count() <= 10_000  # nodes, so a broadcast of 160 KB
+
+    def large(now: DataFrame) -> DataFrame:
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        return met(both.filter("v > u"), both).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct()
+
+    def small(now: DataFrame) -> DataFrame:
+        down = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        moved = met(down, down)
+        return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(moved.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+
+    mark = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+    ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
+    alone = ends.filter("u = v").select(F.col("u").alias("node")).distinct()
+    now = ends.filter("u <> v").distinct().checkpoint()
+    before = mark(now)
+    for _ in range(rounds if before["n"] else 0):
+        now = small(large(now).checkpoint()).checkpoint()
+        after = mark(now)
         if after == before:
             break
         before = after
-    return label.select("node", F.col("c").alias("component"))
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return found.union(alone.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
 
 
 def checkpoint_dir(spark: SparkSession) -> None:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 EARLY = "无公开融资|种子|天使|Pre-A|^A 轮$"
 LATE = "B 轮|C 轮|挂牌|准上市|战略|产业投资"
 PROJECT_BILLING = "项目制"
+GRADES = ("independent", "related", "self", "statutory", "unverified")
 
 
 def confidence(grades: Column) -> Column:
@@ -22,10 +23,12 @@ def confidence(grades: Column) -> Column:
 
 
 def buckets(rows: DataFrame, value: str, grade: str) -> DataFrame:
-    """(value, n, grades) of the values that are not blank, the commonest first."""
+    """(value, n, grades) of the values that are not blank, the commonest first; grades: which of GRADES their rows have."""
     own = rows.filter(F.trim(F.coalesce(value, F.lit(""))) != "")
-    out = own.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(grade)).alias("grades"))
-    return out.orderBy(F.desc("n"), "value")
+    have = [F.bool_or(F.col(grade) == g).alias(f"has_{g}") for g in GRADES]
+    out = own.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"), *have)
+    grades = F.filter(F.array(*(F.when(F.col(f"has_{g}"), g) for g in GRADES)), lambda g: g.isNotNull())
+    return out.select("value", "n", grades.alias("grades")).orderBy(F.desc("n"), "value")
 
 
 def bars(rows: DataFrame, *by: str) -> DataFrame:

@@ -56,8 +56,16 @@ _TRADE = "select s.n_name as seller, b.n_name as buyer, l_returnflag, l_orderkey
 
 @query(f"with t as ({_TRADE}) select seller as from_node, buyer as to_node, l_returnflag as relation, count(*) as mentions, count(distinct l_orderkey) as signals, list_sum(list(l_orderkey)) as id_sum, max(gate) as best_gate, bool_or(executable) as executable from t group by all")
 def edge_aggregate(spark, sf_dir):
-    out = evidence.edge_aggregate(_trade(spark, sf_dir), "seller", "buyer", "l_returnflag", "l_orderkey", "gate", "executable")
-    return out.withColumn("id_sum", F.aggregate("signal_ids", F.lit(0).cast("long"), lambda a, x: a + x)).drop("signal_ids")
+    members = evidence.edge_members(_trade(spark, sf_dir), "seller", "buyer", "l_returnflag", "l_orderkey", "gate", "executable")
+    return evidence.edge_aggregate(members, F.sum(F.col("signal") * F.col("times")).alias("id_sum"))
+
+
+@query(f"with t as ({_TRADE}) select seller as from_node, count(distinct l_orderkey + 1) as members from t group by 1")
+def seller_signals(spark, sf_dir):
+    """Distinct signals of each seller, from the bitmaps of its edges."""
+    members = evidence.edge_members(_trade(spark, sf_dir), "seller", "buyer", "l_returnflag", "l_orderkey", "gate", "executable")
+    bits = evidence.member_bitmaps(members.withColumn("signal", F.col("signal") + 1), "from_node", "to_node", "relation", member="signal")
+    return evidence.bitmap_counts(bits, "from_node")
 
 
 @query(f"with t as ({_TRADE}) select node, count(*) as degree from (select seller as node from t union all select buyer from t) group by node")

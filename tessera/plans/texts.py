@@ -310,8 +310,7 @@ def scale_numbers(spark, sf_dir):
  x as (select key, trim(b) as basis from s where regexp_matches(t, '{"|".join(text.SCALE_WORDS)}') and len(regexp_extract_all(t, '{text.SCALE_NUMBER}')) > 0) select basis, count(*) as n, min(key) as first_key, max(key) as last_key from x group by 1""")
 def scale_by_basis(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), F.expr(_CLAIM).alias("t"), F.lit("").alias("e"), F.when(F.col("l_tax") < 0.03, "").otherwise(F.concat("l_returnflag", F.lit(" "))).alias("b"))
-    out = evidence.claims_by_basis(evidence.scale_claims(rows, "t", "e", "b"), "b", "key")
-    return out.select("basis", "n", F.get("keys", F.lit(0)).alias("first_key"), F.element_at("keys", -1).alias("last_key"))
+    return evidence.claims_by_basis(evidence.scale_claims(rows, "t", "e", "b"), "b", "key")
 
 
 #: Requests in CJK and Latin, with terms next to CJK, in words and at clause ends.

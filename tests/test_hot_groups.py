@@ -109,3 +109,39 @@ def test_recall_with_and_without_short_lists(spark):
     asked = spark.createDataFrame([(k, rng.choice([None, "", word(), word() + "科技有限", word() * 20]), [(rng.choice(list(resolver.WEIGHTS)), word() + f"{k % 6}号楼"[: rng.randint(0, 4)]) for _ in range(rng.randint(0, 3))]) for k in range(25)], "ask int, name string, clues array<struct<kind: string, text: string>>")
     full, *pruned = (sorted(tuple(r) for r in resolver.recall(asked, index, top=3, bound=b, longest=9).collect()) for b in (10**9, 1, 4))
     assert len(full) > 30 and pruned == [full, full]
+
+
+@pytest.mark.parametrize("salts", [1, 4])
+def test_components_of_stars_and_chains(spark, salts):
+    """A hub with very many leaves, chains, rings, loops and repeated links, against union-find."""
+    rng = random.Random(salts)
+    links = [(rng.choice([7, 9]), 1000 + k) for k in range(5000)] + [(50_000 + k, 50_001 + k) for k in range(40)] + [(60_000 + k, 60_000 + (k + 1) % 9) for k in range(9)]
+    links += [(rng.randrange(70_000, 70_300), rng.randrange(70_000, 70_300)) for _ in range(160)] + [(5, 5), (None, 3), (80_000, 80_000), (80_000, 80_001)]
+    links += links[:50]
+    rng.shuffle(links)
+    head = {}
+
+    def find(x):
+        head.setdefault(x, x)
+        while head[x] != x:
+            head[x] = head[head[x]]
+            x = head[x]
+        return x
+
+    for a, b in links:
+        if a is not None:
+            a, b = sorted((find(a), find(b)))
+            head[b] = a
+    df = spark.createDataFrame(links, "a long, b long").repartition(4)
+    got = {r["node"]: r["component"] for r in evidence.components(df, "a", "b", salts=salts).collect()}
+    assert got == {x: find(x) for x in list(head)}
+    assert evidence.components(df.filter("a > 90000"), "a", "b").count() == 0
+
+
+def test_bitmaps(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.choice([None, -5, 0, 1, 32_768, 32_769, rng.randrange(1, 200_000)])) for g in "aab" for _ in range(400)]
+    bits = evidence.member_bitmaps(spark.createDataFrame(rows, "g string, m long"), "g", member="m")
+    want = {g: len({m for h, m in rows if h == g and m and m > 0}) for g in "ab"}
+    assert {r["g"]: r["members"] for r in evidence.bitmap_counts(bits, "g").collect()} == want
+    assert evidence.bitmap_counts(bits).first()["members"] == len({m for _, m in rows if m and m > 0})
