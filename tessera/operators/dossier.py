@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import coverage_text, stable_id
+from tessera.sources import versions
 
 # The order of each section, and the fields that a promoted event takes its sources for.
 SECTION_ORDER = {
@@ -231,9 +232,13 @@ def workspace_rows(rows: DataFrame, caps: dict[str, int], workspace: str, most:
     return cut.withColumn("workspace_id", F.when(ok.isNull(), F.lit(workspace)))
 
 
-def write_workspace(rows: DataFrame, path: str) -> None:
-    """Replaces the workspaces of rows, each as a whole; others stay."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workspace_id").parquet(path)
+def write_workspace(rows: DataFrame, path: str, workspaces: DataFrame) -> None:
+    """Replaces workspaces (workspace_id), each as a whole and all at once; others stay, and one without rows is empty then."""
+    versions.replace(rows, workspaces, path, "workspace_id")
+
+
+def read_workspaces(spark: SparkSession, path: str) -> DataFrame | None:
+    return versions.current(spark, path, "workspace_id")
 
 
 def latest_by_rank(rows: DataFrame, key: str, *order: Column) -> DataFrame:

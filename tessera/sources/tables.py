@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import stable_id
+from tessera.sources import versions
 
 FEED = "date string, kind string, companyId string, title string, summary string, url string, sourceType string"
 FEED_KINDS = ("policy", "market", "technology", "company", "procurement")
@@ -69,5 +70,11 @@ def latest_before(rows: DataFrame, key: str, as_of: str, today: str) -> DataFram
 
 
 def write_snapshot(rows: DataFrame, path: str, as_of: str) -> None:
-    """One partition for each date; a date is replaced as a whole."""
-    rows.withColumn("as_of", F.lit(as_of)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("as_of").parquet(path)
+    """The snapshot of a date, replaced as a whole and at once; no rows leave an empty one."""
+    spark = rows.sparkSession
+    versions.replace(rows.withColumn("as_of", F.lit(as_of)), spark.createDataFrame([(as_of,)], "as_of string"), path, "as_of")
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame | None:
+    """All snapshots with their dates (as_of)."""
+    return versions.current(spark, path, "as_of")

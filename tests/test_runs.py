@@ -117,10 +117,15 @@ def test_layout(spark):
 def test_workspaces(spark, tmp_path):
     rows = spark.createDataFrame([(1, "abcdef"), (2, None)], "id int, t string")
     got = dossier.workspace_rows(rows, {"t": 3}, "w1")
-    dossier.write_workspace(got, str(tmp_path / "w"))
-    dossier.write_workspace(dossier.workspace_rows(rows.limit(1), {"t": 2}, "w2"), str(tmp_path / "w"))
-    dossier.write_workspace(dossier.workspace_rows(rows.filter("id = 2"), {"t": 2}, "w1"), str(tmp_path / "w"))
-    assert {(r["workspace_id"], r["id"], r["t"]) for r in spark.read.parquet(str(tmp_path / "w")).collect()} == {("w1", 2, None), ("w2", 1, "ab")}
+    path, names = str(tmp_path / "w"), lambda *w: spark.createDataFrame([(x,) for x in w], "workspace_id string")
+    held = lambda: {(r["workspace_id"], r["id"], r["t"]) for r in dossier.read_workspaces(spark, path).collect()}
+    assert dossier.read_workspaces(spark, path) is None
+    dossier.write_workspace(got, path, names("w1"))
+    dossier.write_workspace(dossier.workspace_rows(rows.limit(1), {"t": 2}, "w2"), path, names("w2"))
+    dossier.write_workspace(dossier.workspace_rows(rows.filter("id = 2"), {"t": 2}, "w1"), path, names("w1"))
+    assert held() == {("w1", 2, None), ("w2", 1, "ab")}
+    dossier.write_workspace(got.limit(0), path, names("w1"))
+    assert held() == {("w2", 1, "ab")}
     with pytest.raises(Exception, match="more than 1 records"):
         dossier.workspace_rows(rows, {}, "w", most=1).collect()
 
