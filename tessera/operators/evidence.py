@@ -187,15 +187,19 @@ def valid_links(links: DataFrame, nodes: DataFrame, src: str = "source", dst: st
 def hubs(nodes: DataFrame, links: DataFrame, least: int = 2, top: int = 8) -> DataFrame:
     """(hub, degree, companies): the `top` best connected nodes that are no companies, with the companies they tie together.
 
-    nodes: (id, type), links: (source, target). Degrees count links between known nodes.
+    nodes: (id, type), ids once each, links: (source, target). Degrees count links between known
+    nodes. Links meet the types of their ends once; a hub's distinct partners are counted before
+    its degree is, and looked at again for the best ones only.
     """
-    own = valid_links(links, nodes)
-    ends = own.select(F.col("source").alias("hub"), F.col("target").alias("other")).union(own.select(F.col("target").alias("hub"), F.col("source").alias("other")))
-    kinds = nodes.select(F.col("id").alias("hub"), "type")
-    n = ends.groupBy("hub").agg(F.count("*").alias("degree")).join(kinds, "hub").filter((F.col("type") != "company") & (F.col("degree") >= least))
-    best = n.orderBy(F.desc("degree"), "hub").limit(top).select("hub", "degree")
-    near = ends.join(F.broadcast(best), "hub").join(nodes.filter("type = 'company'").select(F.col("id").alias("other")), "other")  # `top` hubs
-    return best.join(near.groupBy("hub").agg(F.array_sort(F.collect_set("other")).alias("companies")), "hub", "left")
+    end = lambda side: nodes.select(F.col("id").alias(side), F.col("type").alias(f"{side}_type"))
+    own = links.join(end("source"), "source").join(end("target"), "target")
+    both = F.array(F.struct(F.col("source").alias("hub"), F.col("source_type").alias("type"), F.col("target").alias("other"), (F.col("target_type") == "company").alias("company")), F.struct(F.col("target").alias("hub"), F.col("target_type").alias("type"), F.col("source").alias("other"), (F.col("source_type") == "company").alias("company")))
+    near = own.select(F.explode(both).alias("e")).select("e.*").filter("type <> 'company'").groupBy("hub", "other", "company").agg(F.count("*").alias("n"))
+    checkpoint_dir(nodes.sparkSession)
+    near = near.checkpoint()
+    best = near.groupBy("hub").agg(F.sum("n").alias("degree")).filter(F.col("degree") >= least).orderBy(F.desc("degree"), "hub").limit(top)
+    tied = near.filter("company").join(F.broadcast(best.select("hub")), "hub").groupBy("hub").agg(F.array_sort(F.collect_list("other")).alias("companies"))  # `top` hubs
+    return best.join(tied, "hub", "left")
 
 
 def components(edges: DataFrame, src: str, dst: str, rounds: int = 100, salts: int | None = None) -> DataFrame:

@@ -11,10 +11,10 @@ from tessera.functions.text import content_fingerprint, stable_id
 
 # Business lines with their turnover and its change, the rows of the table of key figures, and how a career is told.
 LINES = (
-    ("数字成本", r"数字成本业务[\s\S]{0,260}?营业收入\s*([\d,.]+)\s*亿元[\s\S]{0,50}?同比(下降|增长)\s*([\d.]+)%"),
-    ("数字施工", r"数字施工业务[\s\S]{0,260}?营业收入\s*([\d,.]+)\s*亿元[\s\S]{0,50}?同比(下降|增长)\s*([\d.]+)%"),
-    ("数字设计", r"数字设计业务[\s\S]{0,260}?营业收入\s*([\d,.]+)\s*万元[\s\S]{0,50}?同比(下降|增长)\s*([\d.]+)%"),
-    ("海外", r"海外业务[\s\S]{0,180}?营业收入\s*([\d,.]+)\s*亿元[\s\S]{0,50}?同比(下降|增长)\s*([\d.]+)%"),
+    ("数字成本", "数字成本业务", r"[\s\S]{0,260}?营业收入\s*([\d,.]+)\s*亿元[\s\S]{0,50}?同比(下降|增长)\s*([\d.]+)%"),
+    ("数字施工", "数字施工业务", r"[\s\S]{0,260}?营业收入\s*([\d,.]+)\s*亿元[\s\S]{0,50}?同比(下降|增长)\s*([\d.]+)%"),
+    ("数字设计", "数字设计业务", r"[\s\S]{0,260}?营业收入\s*([\d,.]+)\s*万元[\s\S]{0,50}?同比(下降|增长)\s*([\d.]+)%"),
+    ("海外", "海外业务", r"[\s\S]{0,180}?营业收入\s*([\d,.]+)\s*亿元[\s\S]{0,50}?同比(下降|增长)\s*([\d.]+)%"),
 )
 FIGURES = (
     ("revenue", "主要会计数据和财务指标", r"营业收入（元）\s*([\d,.]+)\s+([\d,.]+)\s+[+-]?[\d.]+%\s+([\d,.]+)", 3),
@@ -50,12 +50,17 @@ def _first_page(rows: DataFrame, keys: list[str], *values: str) -> DataFrame:
 
 
 def business_lines(pages: DataFrame, lines: tuple = LINES) -> DataFrame:
-    """(doc_id, name, page_no, revenue, change, excerpt): pages are (doc_id, seq, page_no, text); the first page that tells of a line counts."""
-    found = [F.struct(F.lit(name).alias("name"), *(F.regexp_extract("text", f"({p})", k).alias(n) for k, n in ((1, "whole"), (2, "revenue"), (3, "way"), (4, "by")))) for name, p in lines]
-    rows = pages.select("doc_id", "seq", "page_no", F.explode(F.filter(F.array(*found), lambda x: x["whole"] != "")).alias("x"))
-    change = F.concat(F.when(F.col("x.way") == "下降", "-").otherwise("+"), F.col("x.by"), F.lit("%"))
-    rows = rows.select("doc_id", "seq", "page_no", "x.name", F.col("x.revenue").alias("revenue"), change.alias("change"), flat(F.col("x.whole")).alias("excerpt"))
-    return _first_page(rows, ["name"], "revenue", "change", "excerpt")
+    """(doc_id, name, page_no, revenue, change, excerpt): pages are (doc_id, seq, page_no, text); the first page that tells of a line counts.
+
+    lines: (name, opening, pattern of what follows). A page is searched once for a line, and only if
+    it holds the line's opening; the numbers are then read from the passage found.
+    """
+    found = [F.when(F.contains("text", F.lit(opening)), F.struct(F.lit(name).alias("name"), F.regexp_extract("text", f"({opening}{rest})", 1).alias("whole"), F.lit(k).alias("k"))) for k, (name, opening, rest) in enumerate(lines)]
+    rows = pages.select("doc_id", "seq", "page_no", F.explode(F.filter(F.array(*found), lambda x: x["whole"] != "")).alias("x")).select("doc_id", "seq", "page_no", "x.*")
+    first = _first_page(rows, ["name"], "whole", "k")
+    part = lambda n: F.coalesce(*(F.when(F.col("k") == k, F.regexp_extract("whole", opening + rest, n)) for k, (_, opening, rest) in enumerate(lines)))
+    change = F.concat(F.when(part(2) == "下降", "-").otherwise("+"), part(3), F.lit("%"))
+    return first.select("doc_id", "name", "page_no", part(1).alias("revenue"), change.alias("change"), flat(F.col("whole")).alias("excerpt"))
 
 
 def passages(pages: DataFrame, rules: tuple = PASSAGES) -> DataFrame:

@@ -248,11 +248,11 @@ def all_or_null_sum(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("seats"), statistics.all_or_null_sum(F.nullif("l_tax", F.lit(0.08))).alias("tax_sum"), statistics.all_or_null_sum(F.col("l_discount")).alias("discount_sum"))
 
 
-_WEEKS = "select user_id, cast(date_trunc('week', ts + interval 8 hours) as date) as week, count(*) as n from events where event_type = 'purchase' group by all"
+_WEEKS = "select user_id, cast(date_trunc('week', ts + interval 8 hours) as date) as week, count(*) as n from events group by all"
 
 
 def _weeks(spark, sf_dir) -> DataFrame:
-    return statistics.week_counts(table(spark, sf_dir, "events").filter("event_type = 'purchase'"), "user_id", "ts")
+    return statistics.week_counts(table(spark, sf_dir, "events"), "user_id", "ts")
 
 
 @query(_WEEKS)

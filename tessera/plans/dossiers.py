@@ -207,9 +207,9 @@ def managed_signals(spark, sf_dir):
     return kept.join(line, ["id", "line"], "left").select("id", F.coalesce("l_quantity", F.lit(0.0)).alias("v"))
 
 
-@query("select o_orderkey as signal_id, q as bound, case when q is null then 0 else 30 end as execution_quality, case when q is null then 50 else p % 100 end as predicted_probability, 0 as brier_score from orders left join (select l_orderkey, min(l_quantity) as q, min(l_partkey) as p from lineitem where l_linenumber = 3 group by 1) on l_orderkey = o_orderkey")
+@query("select o_orderkey as signal_id, q as bound, case when q is null then 0 else 30 end as execution_quality, case when q is null then 50 else p % 100 end as predicted_probability, 0 as brier_score from orders left join (select l_orderkey, min(l_quantity) as q, min(l_partkey) as p from lineitem group by 1) on l_orderkey = o_orderkey")
 def joined_workspace(spark, sf_dir):
-    o, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").filter("l_linenumber = 3").groupBy("l_orderkey").agg(F.min("l_quantity").alias("q"), F.min("l_partkey").alias("p"))
+    o, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_quantity").alias("q"), F.min("l_partkey").alias("p"))
     bounds = line.select(F.col("l_orderkey").alias("signal_id"), F.col("q").alias("bound"))
     told = line.select(F.col("l_orderkey").alias("feedback_id"), F.lit(30).alias("execution_quality"), (F.col("p") % 100).alias("predicted_probability"), F.lit(0).alias("brier_score"))
     s, f = dossier.joined_workspace(o.select(F.col("o_orderkey").alias("signal_id")), bounds, o.select(F.col("o_orderkey").alias("feedback_id")), told)
@@ -546,12 +546,12 @@ def assembled_findings(spark, sf_dir):
     return findings.assembled([("buckets", "companies", b), ("progress", "corpus", p)])
 
 
-@query("with e as (select s_suppkey as source, s_nationkey + 100 as target from supplier union all select c_custkey + 10000, c_nationkey + 100 from customer where c_nationkey < 20), d as (select target as hub, count(*) as degree from e group by 1 having count(*) >= 2), t as (select * from d order by degree desc, hub limit 8) select hub, degree, count(distinct case when source >= 10000 then source end) as companies from t join e on target = hub group by 1, 2")
+@query("with e as (select s_suppkey as source, s_nationkey + 100 as target from supplier union all select c_custkey + 10000, c_nationkey + 100 from customer), d as (select target as hub, count(*) as degree from e group by 1 having count(*) >= 2), t as (select * from d order by degree desc, hub limit 8) select hub, degree, count(distinct case when source >= 10000 then source end) as companies from t join e on target = hub group by 1, 2")
 def hub_companies(spark, sf_dir):
     """The eight best connected nodes and the companies they tie together: the number is the feature."""
     s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
     nodes = s.select(F.col("s_suppkey").alias("id"), F.lit("investor").alias("type")).union(c.select((F.col("c_custkey") + 10000).alias("id"), F.lit("company"))).union(table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).cast("long"), F.lit("tag")).filter("n_nationkey + 100 > 0"))
-    links = s.select(F.col("s_suppkey").alias("source"), (F.col("s_nationkey") + 100).cast("long").alias("target")).union(c.filter("c_nationkey < 20").select(F.col("c_custkey") + 10000, (F.col("c_nationkey") + 100).cast("long"))).union(c.select(F.lit(-1).cast("long"), F.lit(-2).cast("long")))
+    links = s.select(F.col("s_suppkey").alias("source"), (F.col("s_nationkey") + 100).cast("long").alias("target")).union(c.select(F.col("c_custkey") + 10000, (F.col("c_nationkey") + 100).cast("long"))).union(c.select(F.lit(-1).cast("long"), F.lit(-2).cast("long")))
     out = evidence.hubs(nodes.filter("not (type = 'investor' and id between 100 and 124)"), links)
     return out.select("hub", "degree", F.coalesce(F.size("companies"), F.lit(0)).cast("long").alias("companies"))
 

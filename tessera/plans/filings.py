@@ -68,6 +68,30 @@ def page_sources(spark, sf_dir):
     return filings.page_sources(cited, pages, origin).select("doc_id", "page_no", "url", "fingerprint")
 
 
+#: Pages that tell of products, steps and systems, some of them in part, and a glossary. Both dialects read them.
+_TOLD = "concat('封面', chr(12), case when c_custkey % 3 = 0 then '见 CDE 数据集成环境、下文 AI 清标、AI 编标、AI 评标' else concat('CDE 数据 集成环境，GDE 与 ECS 数据', repeat(' ', cast(c_custkey % 4 as int)), '转换环境 AECOS 产业业务平台', repeat('文', cast(c_custkey % 300 as int)), '柔性数据标准体系') end, chr(12), 'AecGPT 建筑产业大模型', repeat('述', cast(c_custkey % 210 as int)), '七大领域 AI 算量', repeat('与', cast(c_custkey % 130 as int)), 'AI 评标 STL 组织模式', case when c_custkey % 4 = 0 then '（三级）' else '' end, ' 工程算量、工程计价、工程数据、工程成本等产品', chr(12), '数字施工业务包括企业级管理软件以及项目级管理软件', chr(10), '项目综合决策、物料管理、劳务管理、安全管理、智能塔机 数字设计业务含数维房建设计和数维基建设计', case when c_custkey % 5 = 0 then '' else concat(chr(12), '释义 数字建筑 指 以数字技术改造的建筑', repeat('业', cast(c_custkey % 40 as int)), '，', case when c_custkey % 2 = 0 then ' 数字设计 指 另一词' else '' end, ' BIM 指 建筑信息模型', repeat('的说明', cast(c_custkey % 70 as int)), ' CIM 指 城市 SaaS 指 软件即服务，按需取用的软件交付方式') end)"
+_TOLD_PAGES = rf"p as (select c_custkey as doc_id, unnest(list_filter(list_transform(string_split({_TOLD}, chr(12)), lambda v: trim(v)), lambda v: v <> '')) as text, unnest(range(1, 7)) as seq from customer), n as materialized (select doc_id, seq, text, trim(regexp_replace(text, '\s+', ' ', 'g')) as flat from p where text is not null)"
+
+
+def _told(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.posexplode(paged(F.expr(_TOLD))).alias("seq", "p"))
+    return rows.select("doc_id", "seq", F.col("seq").cast("long").alias("page_no"), "p.text")
+
+
+@query(rf"""with {_TOLD_PAGES}, x as ({" union all ".join(rf"select doc_id, seq, '{kind}' as kind, '{name}' as name, trim(regexp_replace(regexp_extract(text, '{cut}'), '\s+', ' ', 'g')) as excerpt from n where regexp_matches(text, '{must}')" for kind, name, must, cut in filings.PASSAGES)}),
+ f as (select doc_id, kind, name, min(seq) - 1 as page_no, arg_min(excerpt, seq) as excerpt from x group by all) select doc_id, kind, name, page_no, length(excerpt) as n, excerpt from f where excerpt <> ''""")
+def passages(spark, sf_dir):
+    """Terms, process steps and systems by the page that tells of them."""
+    return filings.passages(_told(spark, sf_dir)).select("doc_id", "kind", "name", "page_no", F.length("excerpt").cast("long").alias("n"), "excerpt")
+
+
+@query(rf"""with {_TOLD_PAGES}, g as (select doc_id, min(seq) - 1 as page_no, arg_min(flat, seq) as t from n where regexp_matches(text, '{filings.GLOSSARY_PAGE}') group by 1),
+ x as ({" union all ".join(rf"select doc_id, page_no, '{term}' as name, substr(regexp_replace(trim(regexp_extract(t, '{term}\s+指\s+(.{{12,420}}?)(?:(?:{'|'.join(after)})\s+指|$)', 1)), '[，,]?\s*$', ''), 1, 180) as meaning from g" for term, after in filings.GLOSSARY)}) select doc_id, name, page_no, meaning from x where meaning <> ''""")
+def glossary(spark, sf_dir):
+    """What a report's glossary says of its terms."""
+    return filings.glossary(_told(spark, sf_dir)).select("doc_id", "name", "page_no", "meaning")
+
+
 @query()
 def filing_facts(spark, sf_dir):
     """Facts of annual reports by rules: how far a label reaches is beyond SQL; tested on literals."""
