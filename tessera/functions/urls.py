@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,24 +43,74 @@ TYPED_HOSTS = {
 GRADE_RANK = {"statutory": 3, "independent": 2, "self": 1, "unverified": 0}
 
 
+_SPECIAL = r"(?i)^(https?|ftp|wss?):[/\\]*([^/?#\\]*)([^?#]*)(?:\?([^#]*))?(?:#[\s\S]*)?$"
+
+
+def _ascii_host(host: Column) -> Column:
+    """A host in lower case, escapes read, labels beyond ASCII in Punycode (by java.net.IDN, inside the JVM)."""
+    plain = F.lower(F.when(F.contains(host, F.lit("%")), F.coalesce(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))), host)).otherwise(host))
+    kept = F.replace(plain, F.lit("ß"), F.lit("\u0001"))  # the old rules would make it ss
+    puny = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), plain)
+    return F.when(F.octet_length(plain) == F.length(plain), plain).when(F.contains(kept, F.lit("\u0001")), plain).otherwise(F.coalesce(puny, plain))
+
+
+def _escaped_path(path: Column) -> Column:
+    """A path with blanks, quotes, angle brackets, backquotes, braces and all beyond ASCII as escapes of their UTF-8."""
+    each = F.transform(F.sequence(F.lit(1), F.length(path)), lambda i: F.substring(path, i, F.lit(1)))
+    done = F.array_join(F.transform(each, lambda c: F.when(c.rlike(r"[^!-~]|[\"<>`{}]"), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c)), "")
+    return F.when(path.rlike(r"[^!-~]|[\"<>`{}]"), done).otherwise(path)
+
+
+def _walked(path: Column) -> Column:
+    """A path without dot segments, escaped ones too; backslashes are slashes."""
+    one, two = r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e)(\.|%2e)$"
+    steps = F.split(F.regexp_replace(path, r"^[/\\]", ""), r"[/\\]")
+    made = F.aggregate(steps, F.lit(""), lambda acc, s: F.when(s.rlike(two), F.regexp_replace(acc, "/[^/]*$", "")).when(s.rlike(one), acc).otherwise(F.concat(acc, F.lit("/"), s)))
+    last = F.element_at(steps, -1)
+    whole = F.when(last.rlike(one) | last.rlike(two), F.concat(made, F.lit("/"))).otherwise(made)
+    return F.when(path.rlike(r"(?i)[\\]|(^|/)(\.|%2e)"), whole).when(path == "", "/").otherwise(path)
+
+
+def _query_parts(query: Column) -> Column:
+    """The parameters that do not track, read and written again as forms write them."""
+    read = lambda t: F.try_url_decode(F.regexp_replace(t, "%(?![0-9A-Fa-f]{2})", "%25"))
+    parts = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(read(F.regexp_extract(p, r"^([^=]*)", 1)).alias("n"), read(F.regexp_extract(p, r"^[^=]*=([\s\S]*)$", 1)).alias("v")))
+    return F.transform(F.filter(parts, lambda p: ~p["n"].isin(*TRACKING)), lambda p: F.concat(F.url_encode(p["n"]), F.lit("="), F.url_encode(p["v"])))
+
+
 def canonical_url(url: Column) -> Column:
-    """Without fragment and tracking parameters; the other parameters keep their order.
+    """An address as a URL parser writes it, without fragment and tracking parameters; the others keep their order.
 
-    Scheme and host are lower-cased, a missing path is /, a scheme's own port goes. Escapes stay
-    as they are.
+    Scheme and host are in lower case, hosts beyond ASCII in Punycode, a missing path is /, a
+    scheme's own port goes, dot segments are walked, and paths are escaped where they must be.
+    Parameters are read and written again: an escape that need not be one goes, a blank is +, a
+    name without a value gets its =. Tabs and line breaks within and blanks around the address are
+    dropped. Numbers as hosts are left as they are; so is what is no http, ftp or ws address.
     """
-    bare = F.regexp_extract(F.trim(url), r"^([^#]*)", 1)
-    query = F.filter(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&"), lambda p: (F.length(p) > 0) & ~F.regexp_extract(p, "^([^=]*)", 1).isin(*TRACKING))
-    base = F.regexp_extract(bare, r"^([^?]*)", 1)
-    origin = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)", 1)), "^(http://.*):80$", "$1"), "^(https://.*):443$", "$1")
-    path = F.regexp_extract(base, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*(.*)$", 1)
-    whole = F.when(origin == "", base).otherwise(F.concat(origin, F.when(path == "", "/").otherwise(path)))
-    return F.when(F.size(query) > 0, F.concat(whole, F.lit("?"), F.array_join(query, "&"))).otherwise(whole)
+    bare = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    part = lambda k: F.regexp_extract(bare, _SPECIAL, k)
+    scheme = F.lower(part(1))
+    user, place = F.regexp_extract(part(2), r"^(.*@)", 1), F.regexp_replace(part(2), r"^.*@", "")
+    host, port = _ascii_host(F.regexp_replace(place, r":[0-9]*$", "")), F.regexp_replace(F.regexp_extract(place, r":([0-9]*)$", 1), "^0+(?=[0-9])", "")
+    own = F.when(scheme.isin("http", "ws"), "80").when(scheme.isin("https", "wss"), "443").otherwise("21")
+    port = F.when((port == "") | (port == own), "").otherwise(F.concat(F.lit(":"), port))
+    found = _query_parts(part(4))
+    query = F.when(F.size(found) > 0, F.concat(F.lit("?"), F.array_join(found, "&"))).otherwise("")
+    whole = F.concat(scheme, F.lit("://"), user, host, port, _escaped_path(_walked(part(3))), query)
+    return F.when((scheme == "") | (place == ""), F.regexp_extract(bare, r"^([^#]*)", 1)).otherwise(whole)
+
+
+def with_host(url: Column, rule: Callable[[Column], Column]) -> Column:
+    """rule(host of url), with the host worked out once however often the rule asks for it."""
+    return F.element_at(F.transform(F.array(host_of(url)), rule), 1)
 
 
 def host_of(url: Column) -> Column:
-    """The lower-cased host; empty where there is none."""
-    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))
+    """The lower-cased host, in Punycode where it goes beyond ASCII; empty where there is none."""
+    beyond = F.octet_length(url) > F.length(url)
+    told = F.regexp_replace(F.regexp_replace(F.regexp_extract(F.trim(url), _SPECIAL, 2), r"^.*@", ""), r":[0-9]*$", "")
+    odd = F.when(beyond & ~told.rlike(r"[\s<>^|%]"), _ascii_host(told))
+    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), odd, F.lit(""))
 
 
 def under(host: Column, names) -> Column:
@@ -77,13 +129,15 @@ def holds(host: Column, parts) -> Column:
 
 
 def source_grade(url: Column, statutory=STATUTORY_HOSTS, own=SELF_PARTS, independent=INDEPENDENT_PARTS) -> Column:
-    host = host_of(url)
-    return (
-        F.when(host == "", "unverified")
-        .when(under(host, statutory), "statutory")
-        .when(holds(host, own), "self")
-        .when(F.endswith(host, F.lit(".gov.cn")) | holds(host, independent), "independent")
-        .otherwise("self")
+    return with_host(
+        url,
+        lambda host: (
+            F.when(host == "", "unverified")
+            .when(under(host, statutory), "statutory")
+            .when(holds(host, own), "self")
+            .when(F.endswith(host, F.lit(".gov.cn")) | holds(host, independent), "independent")
+            .otherwise("self")
+        ),
     )
 
 
@@ -104,33 +158,34 @@ def grade_rank(grade: Column) -> Column:
 def audit_grade(url: Column, typed: dict[str, tuple[str, ...]] = TYPED_HOSTS, opaque=OPAQUE_HOSTS) -> Column:
     """independent, related or unknown: structure first, then opaque platforms, then the longest host rule, then root paths."""
     text = F.trim(F.coalesce(url, F.lit("")))
-    full = host_of(text)
-    host = F.regexp_replace(F.regexp_replace(full, r"^www\.", ""), r"^m\.", "")
-    rules = sorted(((name, kind) for kind, names in typed.items() for name in names), key=lambda r: len(r[0]))
-    hit = F.lit(None).cast("string")
-    for name, kind in rules:
-        hit = F.when(under(host, (name,)), kind).otherwise(hit)
     path = F.regexp_replace(F.coalesce(F.try_parse_url(text, F.lit("PATH")), F.lit("")), "/+$", "")
-    return (
-        F.when(~text.rlike(r"^https?://[^\s（）\"']+$") | (full == ""), "unknown")
-        .when(full.rlike(r"\.gov\.cn$|\.gov$|\.edu\.cn$"), "independent")
-        .when(under(host, opaque), "unknown")
-        .when(hit.isNotNull(), hit)
-        .when(path.isin("", "/index.html"), "related")
-        .otherwise("unknown")
-    )
+    rules = sorted(((name, kind) for kind, names in typed.items() for name in names), key=lambda r: len(r[0]))
+
+    def by_rule(host: Column) -> Column:
+        hit = F.lit(None).cast("string")
+        for name, kind in rules:
+            hit = F.when(under(host, (name,)), kind).otherwise(hit)
+        return F.when(under(host, opaque), "unknown").otherwise(hit)
+
+    def graded(full: Column) -> Column:
+        host = F.regexp_replace(F.regexp_replace(full, r"^www\.", ""), r"^m\.", "")
+        return (
+            F.when(~text.rlike(r"^https?://[^\s（）\"']+$") | (full == ""), "unknown")
+            .when(full.rlike(r"\.gov\.cn$|\.gov$|\.edu\.cn$"), "independent")
+            .otherwise(F.coalesce(F.element_at(F.transform(F.array(host), by_rule), 1), F.when(path.isin("", "/index.html"), "related").otherwise("unknown")))
+        )
+
+    return with_host(text, graded)
 
 
 def is_weak_source(url: Column) -> Column:
     """No address on the web, a search engine, or a page of search results: a path part "search" with a term q."""
-    host = host_of(url)
     results = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")).rlike(r"(?i)(^|/)search(/|$)") & (F.coalesce(F.try_parse_url(url, F.lit("QUERY"), F.lit("q")), F.lit("")) != "")
-    return ~F.coalesce(url, F.lit("")).rlike(r"(?i)^https?://") | (host == "") | under(host, SEARCH_HOSTS) | results
+    return ~F.coalesce(url, F.lit("")).rlike(r"(?i)^https?://") | with_host(url, lambda host: (host == "") | under(host, SEARCH_HOSTS)) | results
 
 
 def source_hint(url: Column) -> Column:
-    host = host_of(url)
-    return F.when(host == "", "none").when(under(host, DISCLOSURE_HOSTS), "disclosure").when(holds(host, AGGREGATOR_PARTS), "aggregator").otherwise("other")
+    return with_host(url, lambda host: F.when(host == "", "none").when(under(host, DISCLOSURE_HOSTS), "disclosure").when(holds(host, AGGREGATOR_PARTS), "aggregator").otherwise("other"))
 
 
 def combined_grade(urls: Column, typed: dict[str, tuple[str, ...]] = TYPED_HOSTS, opaque=OPAQUE_HOSTS) -> Column:

@@ -270,7 +270,7 @@ def holder_lists(spark, sf_dir):
     return rows.select("s_suppkey", shown.alias("rows"), "t.preamble", "t.notes", "t.basis")
 
 
-@query("select s_suppkey, case s_suppkey % 5 when 0 then '甲方（基金）' when 1 then '甲方' when 3 then 'Foo LP' else '' end as names from supplier")
+@query("select s_suppkey, case s_suppkey % 5 when 0 then case when s_nationkey >= 5 then '甲方（基金）' else '' end when 1 then '甲方' when 3 then 'Foo LP' else '' end as names from supplier")
 def holder_names(spark, sf_dir):
     """The holders of five per cent and more that a text names."""
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", signals.holder_names(F.expr(_HELD)).alias("n"))

@@ -110,7 +110,7 @@ def html_lines(spark, sf_dir):
 _HOST = r"lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
 _TRACK = ", ".join(f"'{t}'" for t in urls.TRACKING)
 #: Addresses of the table, some with capitals, a bare host, a scheme's own port, or pages of search results.
-_ADDRESS = "case page_id % 8 when 1 then concat('HTTPS://WWW.Example.com?utm_source=', cast(page_id as string)) when 2 then replace(url, '://', '://User.') when 3 then concat('http://news.example.org:80/a', cast(page_id as string), '?b=2&gclid=3#x') when 4 then concat('https://www.google.com.hk/search?hl=en&q=', cast(page_id as string)) when 5 then concat(url, '&u=/search?q=1') when 6 then concat('https://disclosure.cninfo.com.cn/a.PDF?id=', cast(page_id as string)) else url end"
+_ADDRESS = "case page_id % 11 when 8 then concat('http://Bücher.example/é ', cast(page_id as string), '/x/../y?q=ä b&r=~*&utm_term=1') when 9 then concat('http://a.example.org/b/./c/../', cast(page_id as string), '/..') when 10 then concat('https://b.example.org:443/a?x&y=%41+', cast(page_id as string), '&z=a%20b=c') when 1 then concat('HTTPS://WWW.Example.com?utm_source=', cast(page_id as string)) when 2 then replace(url, '://', '://User.') when 3 then concat('http://news.example.org:80/a', cast(page_id as string), '?b=2&gclid=3#x') when 4 then concat('https://www.google.com.hk/search?hl=en&q=', cast(page_id as string)) when 5 then concat(url, '&u=/search?q=1') when 6 then concat('https://disclosure.cninfo.com.cn/a.PDF?id=', cast(page_id as string)) else url end"
 _ADDRESSES = f"(select page_id, {_ADDRESS} as url from pages)"
 
 
@@ -119,10 +119,13 @@ def _addresses(spark, sf_dir) -> DataFrame:
 
 
 @query(rf"""with q as (select page_id, url, regexp_extract(url, '^([^#]*)', 1) as bare from {_ADDRESSES}),
- k as (select page_id, url, regexp_extract(bare, '^([^?]*)', 1) as base, list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: length(p) > 0 and not list_contains([{_TRACK}], regexp_extract(p, '^([^=]*)', 1))) as ps from q),
- o as (select *, regexp_replace(regexp_replace(lower(regexp_extract(base, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)', 1)), '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1') as origin, regexp_extract(base, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*(.*)$', 1) as path from k),
- w as (select *, case when origin = '' then base when path = '' then origin || '/' else origin || path end as whole from o)
- select page_id, case when len(ps) > 0 then whole || '?' || array_to_string(ps, '&') else whole end as canonical, {_HOST} as host from w""")
+ k as (select page_id, url, lower(regexp_extract(bare, '^([a-zA-Z]+)://', 1)) as scheme, regexp_extract(bare, '^[a-zA-Z]+://([^/?]*)', 1) as place, regexp_extract(bare, '^[a-zA-Z]+://[^/?]*([^?]*)', 1) as path, regexp_extract(bare, '\?(.*)$', 1) as query from q),
+ h as (select *, regexp_extract(place, '^(.*@)', 1) as who, replace(lower(regexp_replace(regexp_replace(place, '^.*@', ''), case scheme when 'http' then ':80$' else ':443$' end, '')), 'bücher', 'xn--bcher-kva') as host from k),
+ p as (select *, list_filter(list_transform(list_filter(string_split(query, '&'), lambda p: length(p) > 0), lambda p: [url_decode(replace(string_split(p, '=')[1], '+', ' ')), url_decode(replace(array_to_string(string_split(p, '=')[2:], '='), '+', ' '))]), lambda p: not list_contains([{_TRACK}], p[1])) as ps, string_split(substr(path, 2), '/') as steps from h),
+ w as (select *, list_reduce(list_prepend('', steps), lambda acc, s: case when s = '..' then regexp_replace(acc, '/[^/]*$', '') when s = '.' then acc else acc || '/' || s end) || case when steps[-1] in ('.', '..') then '/' else '' end as walked from p),
+ e as (select *, replace(replace(url_encode(walked), '%2F', '/'), '%25', '%') as escaped from w)
+ select page_id, scheme || '://' || who || host || case when path = '' then '/' when regexp_matches(path, '[^!-~]') then escaped else walked end || case when len(ps) > 0 then '?' || array_to_string(list_transform(ps, lambda p: replace(replace(replace(url_encode(p[1]) || '=' || url_encode(p[2]), '%20', '+'), '~', '%7E'), '%2A', '*')), '&') else '' end as canonical,
+  case when contains(url, 'Bücher') then host else {_HOST} end as host from e""")
 def canonical_urls(spark, sf_dir):
     return _addresses(spark, sf_dir).select("page_id", urls.canonical_url(F.col("url")).alias("canonical"), urls.host_of(F.col("url")).alias("host"))
 

@@ -51,6 +51,14 @@ def test_urls(spark):
     u = F.col("u")
     assert one(spark, urls.canonical_url(u), u="http://a.com/x?utm_source=1&b=2&gclid=3#f") == "http://a.com/x?b=2"
     assert one(spark, urls.canonical_url(u), u="http://a.com/x?utm_term=1") == "http://a.com/x"
+    for told, want in (
+        ("HTTP://EXAMPLE.com/a/../%7Eb", "http://example.com/%7Eb"), (" https://Bücher.Example:0443/ä b?q=a%20b&c&ü=~*#x\n", "https://xn--bcher-kva.example/%C3%A4%20b?q=a+b&c=&%C3%BC=%7E*"),
+        ("http://例え.テスト:8080", "http://xn--r8jz45g.xn--zckzah:8080/"), ("http:\\\\a.com\\b\\..\\c", "http://a.com/c"), ("http://a.com/b/%2E%2e/c/.", "http://a.com/c/"), ("http://a.com/../..", "http://a.com/"), ("http://a.com/b/..;/c//d", "http://a.com/b/..;/c//d"),
+        ("http://a.com?%75tm_source=1&x=%zz&y=%41", "http://a.com/?x=%25zz&y=A"), ("http://Us:Pw@A.com:80/<\"x>`{}|^'", "http://Us:Pw@a.com/%3C%22x%3E%60%7B%7D|^'"), ("ht\ttp://a.com/\U0001F600?\U0001F600", "http://a.com/%F0%9F%98%80?%F0%9F%98%80="), ("mailto:a@b.c#d", "mailto:a@b.c"), ("", ""), ("http://", "http://"),
+    ):
+        assert one(spark, urls.canonical_url(u), u=told) == want, told
+    assert one(spark, urls.host_of(u), u="https://u@Bücher.example:8/x") == "xn--bcher-kva.example"
+    assert [one(spark, urls.host_of(u), u=x) for x in ("http://a b.com/é", "é", "http://A.com/é")] == ["", "", "a.com"]
     assert one(spark, urls.host_of(u), u="not a url") == ""
     for url, grade in (("http://www.sse.com.cn/x", "statutory"), ("https://x.gov.cn", "independent"), ("http://pitchhub.36kr.com/a", "self"), ("http://acme.io", "self"), ("", "unverified")):
         assert one(spark, urls.source_grade(u), u=url) == grade
