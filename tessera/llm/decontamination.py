@@ -200,51 +200,100 @@ def found(col: pa.Array, index: Index, q: int = Q, window: int = WINDOW) -> list
     return out
 
 
-def blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
-    """The items (item_id, text), block by block; each holds about `block` bytes at most.
+LEAKS = "array<struct<item_id: bigint, begin: bigint, end: bigint>>"
+
+
+def blocks(benchmark: DataFrame, block: int = BLOCK) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """How many blocks the items (item_id, text) make, and the blocks; each holds about `block` bytes at most.
 
     An item's text larger than that makes a block of its own size; nothing else is unbounded.
     """
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block)
-    for k in range(n):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().collect()
-        yield sorted((r["item_id"], r["text"]) for r in own)
 
+    def each() -> Iterator[list[tuple[int, str]]]:
+        for k in range(n):
+            own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().collect()
+            yield sorted((r["item_id"], r["text"]) for r in own)
+
+    return n, each()
+
+
+def _leaks(hits: list[dict[int, tuple[int, int]]]) -> list[list[dict[str, int]]]:
+    return [[{"item_id": i, "begin": a, "end": b} for i, (a, b) in sorted(h.items())] for h in hits]
+
+
+def _texts_hit(index: Index):
+    """For rows (h, m, text): h, m and the items found, of those texts alone in which there are any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.pieces_of(batch, "text"):
+                hits = found(K.column(part, "text"), index)
+                rows = pa.array([k for k, h in enumerate(hits) if h], pa.int64())
+                if len(rows):
+                    col = pa.array(_leaks([h for h in hits if h]), pa.list_(pa.struct([("item_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), col], names=["h", "m", "leaks"])
+
+    return run
 
-def marked(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, into: str = "leaks_") -> DataFrame:
+
+def _block_by_block(spark: SparkSession, docs: DataFrame, parts: Iterator[list[tuple[int, str]]]) -> DataFrame:
+    """(h, m, leaks): for texts, by 64-bit hash and SHA-256, all items found; a table of hits for each block, then one of all."""
+
+    def build() -> DataFrame:
+        out = None
+        texts = docs.filter("text is not null").select(F.xxhash64("text").alias("h"), F.unhex(F.sha2("text", 256)).alias("m"), "text")
+        for items in parts:
+            one = K.stored(spark, texts.mapInArrow(_texts_hit(indexed(items)), f"h long, m binary, leaks {LEAKS}"), "hits")
+            out = one if out is None else out.union(one)
+        rows = out.select("h", "m", F.explode("leaks").alias("l")).select("h", "m", "l.*").groupBy("h", "m", "item_id").agg(F.min(F.struct("begin", "end")).alias("s"))
+        return rows.groupBy("h", "m").agg(F.array_sort(F.collect_list(F.struct("item_id", "s.begin", "s.end"))).alias("leaks"))  # the items within one text
+
+    return K.settled(spark, build, "leaks")
+
+
+def marked(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, into: str = "leaks_", block: int = BLOCK) -> DataFrame:
     """docs, all rows and columns, with the column `into`: an array of (item_id, begin, end) in characters.
 
     A null or empty text has none. Items that are null, or shorter than LEAST normalised bytes,
     are not sought; items of one id count as one. Repeated rows are each marked; a column of docs
-    named as `into` is replaced. A benchmark of several blocks is sought block by block, each
-    result stored, so that a task holds one block's index.
+    named as `into` is replaced. A benchmark of one block is sought in one pass over docs. One of
+    several blocks is sought block by block, so that a task holds one block's index: each pass
+    leaves the hits of its block, and rows whose texts were hit are joined with them at the end.
     """
     names = [c for c in docs.columns if c.lower() != into.lower()]
-    out = docs.select(*(f"`{c}`" for c in names), F.expr("cast(array() as array<struct<item_id: bigint, begin: bigint, end: bigint>>)").alias(into))
-    for n, items in enumerate(blocks(benchmark)):
-        index = indexed(items)
-
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in K.pieces_of(batch, "text"):
-                    hits = found(K.column(part, "text"), index)
-                    k = part.schema.get_field_index(into)
-                    if any(hits):
-                        old = part.column(k).to_pylist()
-                        new = [sorted([*map(tuple, (x.values() for x in o)), *((i, *span) for i, span in h.items())]) for o, h in zip(old, hits)]
-                        col = pa.array([[{"item_id": i, "begin": a, "end": b} for i, a, b in x] for x in new], part.schema.field(k).type)
-                        part = part.set_column(k, part.schema.field(k), col)
-                    yield part
-
-        out = (K.stored(spark, out, "marked") if n else out).mapInArrow(run, out.schema)
-    return out
+    none = F.expr(f"cast(array() as {LEAKS})")
+    rows = docs.select(*(f"`{c}`" for c in names))
+    n, parts = blocks(benchmark, block)
+    if not n:
+        return rows.withColumn(into, none)
+    if n > 1:
+        hits = _block_by_block(spark, rows, parts)
+        maybe = F.coalesce(K.sieve(hits, "h")(F.xxhash64("text")), F.lit(False)) & F.col("text").isNotNull()
+        key, leaks = K.unused("m_", names), K.unused("hit_", names)
+        met = rows.filter(maybe).withColumn(key, F.unhex(F.sha2("text", 256))).join(hits.select(F.col("m").alias(key), F.col("leaks").alias(leaks)).hint("merge"), key, "left")
+        met = met.select(*(f"`{c}`" for c in names), F.coalesce(leaks, none).alias(into))
+        return rows.filter(~maybe).withColumn(into, none).union(met)
+    index = indexed(next(parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.pieces_of(batch, "text"):
+                hits = found(K.column(part, "text"), index)
+                k = part.schema.get_field_index(into)
+                if any(hits):
+                    part = part.set_column(k, part.schema.field(k), pa.array(_leaks(hits), part.schema.field(k).type))
+                yield part
+
+    out = rows.withColumn(into, none)
+    return out.mapInArrow(run, out.schema)
 
 
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids and spans (item_id, begin, end) for every document."""
-    rows = marked(spark, docs.select("doc_id", "text"), benchmark)
+    rows = marked(spark, docs.select("doc_id", "text"), benchmark, block=block)
     return rows.select("doc_id", (F.size("leaks_") > 0).alias("contaminated"), F.size("leaks_").cast("long").alias("n_items"), F.col("leaks_.item_id").alias("item_ids"), F.col("leaks_").alias("spans"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pathlib
 import random
 import re
 from collections import Counter
@@ -12,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from fixture_corpus import SCHEMA, prose
+from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, fingerprints, lm, urls
+from tessera.llm import textkit as K
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -154,15 +157,22 @@ def test_excerpts_of_an_item(spark):
     assert decontamination.contamination(spark, docs, bench).filter("not contaminated").count() == 0
 
 
-def test_blocks_of_the_benchmark(spark, monkeypatch):
+def test_blocks_of_the_benchmark(spark):
     rng = random.Random(1)
     items = [(i, prose(rng, 40)) for i in range(9)]
     docs = spark.createDataFrame([(i, "start " + t, "en", "s", 1) for i, t in items], SCHEMA)
     bench = spark.createDataFrame(items, "item_id long, text string")
     whole = {r["doc_id"]: r["item_ids"] for r in decontamination.contamination(spark, docs, bench).collect()}
-    real = decontamination.blocks
-    monkeypatch.setattr(decontamination, "blocks", lambda b: real(b, 600))
-    assert {r["doc_id"]: r["item_ids"] for r in decontamination.contamination(spark, docs, bench).collect()} == whole == {i: [i] for i in range(9)}
+    n, parts = decontamination.blocks(bench, 600)
+    assert n > 3 and sorted(i for p in parts for i in p) == sorted((r["item_id"], r["text"]) for r in bench.collect())
+    tables = pathlib.Path(K.shared_dir(spark).removeprefix("file:")) / "tables"
+    before = {*tables.glob("*")} if tables.exists() else set()
+    more = docs.select("doc_id", "text").union(docs.select(F.lit(100).cast("long"), "text")).union(docs.select(F.lit(None).cast("long"), F.lit(None).cast("string")))
+    one, many = (sorted(decontamination.contamination(spark, more, bench, b).collect(), key=str) for b in (1 << 23, 600))
+    assert one == many and sum(r["contaminated"] for r in many) == 18
+    left = {*tables.glob("*")} - before
+    assert [p.name.split("-")[0] for p in left] == ["leaks"]  # hits alone, and no text
+    assert {r["doc_id"]: r["item_ids"] for r in decontamination.contamination(spark, docs, bench, 600).collect()} == whole == {i: [i] for i in range(9)}
 
 
 def test_aligned():
