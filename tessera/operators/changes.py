@@ -5,7 +5,7 @@ Parquet has no MERGE: each function gives the new state, which the caller writes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -76,6 +76,54 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str], names: l
     return both.select(*keys, kind.alias("kind"), F.explode(F.when(kind == "changed", cells).otherwise(whole)).alias("c")).select(*keys, "kind", "c.field", "c.before", "c.after")
 
 
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in keys)), F.lit(buckets)).cast("int")
+
+
+def bucket_sums(rows: DataFrame, keys: list[str], names: list[str], buckets: int) -> DataFrame:
+    """(bucket, n, sum): how many rows a bucket of keys holds, and a sum over hashes of their fields in any order."""
+    whole = F.xxhash64(F.to_json(F.struct(*keys, *(F.col(n).cast("string").alias(n) for n in names))))
+    return rows.groupBy(bucket_of(keys, buckets).alias("bucket")).agg(F.count("*").alias("n"), F.sum(whole.cast("decimal(38,0)")).alias("sum"))
+
+
+def changed_buckets(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(bucket): the buckets of which two bucket_sums() say different things; equal sums of unequal rows are as likely as equal 64-bit hashes."""
+    same = F.col("o.n").eqNullSafe(F.col("p.n")) & F.col("o.sum").eqNullSafe(F.col("p.sum"))
+    return before.alias("o").join(after.alias("p"), "bucket", "full_outer").filter(~same).select("bucket")
+
+
+def keep_snapshot(rows: DataFrame, path: str, keys: list[str], names: list[str], buckets: int = 4096) -> None:
+    """A snapshot by buckets of its keys (a folder for each), and beside it what bucket_sums() says of them."""
+    rows.withColumn("bucket_", bucket_of(keys, buckets)).repartition("bucket_").sortWithinPartitions("bucket_").write.partitionBy("bucket_").parquet(f"{path}/rows")
+    bucket_sums(rows, keys, names, buckets).coalesce(1).write.parquet(f"{path}/sums")
+
+
+def kept_rows(spark: SparkSession, path: str, only: list[int] | None = None) -> DataFrame:
+    """The rows of a kept snapshot, of some buckets alone if they are named: no other folder is read."""
+    rows = spark.read.parquet(f"{path}/rows")
+    return (rows if only is None else rows.filter(F.col("bucket_").isin(only))).drop("bucket_")
+
+
+def kept_diff(spark: SparkSession, before: str, after: str, keys: list[str], names: list[str]) -> DataFrame:
+    """snapshot_diff() of two kept snapshots with as many buckets each, reading those buckets alone that differ.
+
+    The numbers of these buckets reach the driver: at most as many as there are buckets.
+    """
+    sums = [spark.read.parquet(f"{p}/sums") for p in (before, after)]
+    differ = [r["bucket"] for r in changed_buckets(*sums).collect()]
+    return snapshot_diff(kept_rows(spark, before, differ), kept_rows(spark, after, differ), keys, names)
+
+
+def pruned(before: DataFrame, after: DataFrame, keys: list[str], names: list[str], buckets: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """The rows of two tables in buckets of keys whose sums differ: what a diff by these keys, or by more of them, needs.
+
+    Rows that agree stay out of the diff's join, and so out of its shuffle.
+    """
+    differ = changed_buckets(bucket_sums(before, keys, names, buckets), bucket_sums(after, keys, names, buckets)).select(F.col("bucket").alias("bucket_"))
+    own = lambda df: df.withColumn("bucket_", bucket_of(keys, buckets)).join(F.broadcast(differ), "bucket_", "left_semi").drop("bucket_")  # noqa: E731  `buckets` numbers at most
+    return own(before), own(after)
+
+
 def profile_diff(before: DataFrame, after: DataFrame, rank: Column) -> DataFrame:
     """(company, field, change) of facts (company, field, value, grade).
 

@@ -72,6 +72,13 @@ def snapshot_diff(spark, sf_dir):
     return changes.snapshot_diff(old, new, ["o_orderkey"], ["o_orderstatus", "o_orderpriority"])
 
 
+@query(f"{_DIFF} select o_orderkey, kind, field, b as before, a as after from c where kind = 'changed' and not same union all select o_orderkey, kind, '*', null, null from j where kind <> 'changed'")
+def pruned_snapshot_diff(spark, sf_dir):
+    """The same lines from those buckets of orders alone whose sums differ."""
+    names = ["o_orderstatus", "o_orderpriority"]
+    return changes.snapshot_diff(*changes.pruned(*_states(spark, sf_dir), ["o_orderkey"], names), ["o_orderkey"], names)
+
+
 def _as_facts(df: DataFrame) -> DataFrame:
     """A customer's facts: for each priority the largest order's price band, graded by status."""
     best = F.max_by(F.struct(F.floor(F.col("o_orderkey") / 100).cast("string").alias("value"), F.col("o_orderstatus").alias("grade")), "o_orderkey")
@@ -87,7 +94,7 @@ _FACT = "select o_custkey as company, o_orderpriority as field, cast(cast(floor(
  select * from (select coalesce(o.company, n.company) as company, coalesce(o.field, n.field) as field, case when o.r is null then 'filled' when n.r is null then 'emptied' when o.v is distinct from n.v then 'changed' when n.r > o.r then 'upgraded' when n.r < o.r then 'downgraded' end as change
  from o full join n on o.company = n.company and o.field = n.field) where change is not null and company in (from co) and company in (from cn)""")
 def profile_diff(spark, sf_dir):
-    old, new = (_as_facts(x) for x in _states(spark, sf_dir))
+    old, new = changes.pruned(*(_as_facts(x) for x in _states(spark, sf_dir)), ["company"], ["field", "value", "grade"])
     return changes.profile_diff(old, new, F.expr("case grade when 'F' then 3 when 'O' then 2 when 'P' then 1 else 0 end"))
 
 
