@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,24 +75,20 @@ def is_placeholder(value: Column) -> Column:
     return (F.length(text) == 0) | text.isin(*PLACEHOLDERS)
 
 
-def entity_key(name: Column) -> Column:
-    """NFKC, lower-cased, letters and digits only: SQL has no NFKC."""
+def nfkc(text: Column) -> Column:
+    """Normalisation form KC, by the ICU library that comes with Spark, inside the JVM; ASCII is in it already."""
+    form = F.try_reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(form)
 
-    @F.pandas_udf("string")
-    def key(names: pd.Series) -> pd.Series:
-        return names.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKC", s).lower() if c.isalnum()))
 
-    return key(name)
+def entity_key(name: Column) -> Column:
+    """NFKC, lower-cased, letters and digits only."""
+    return F.regexp_replace(F.lower(nfkc(name)), r"[^\p{L}\p{N}]+", "")
 
 
 def coverage_text(text: Column) -> Column:
     """NFKC, lower-cased, without white space: the form in which terms are looked for in a reference."""
-
-    @F.pandas_udf("string")
-    def form(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda s: None if s is None else "".join(unicodedata.normalize("NFKC", s).lower().split()))
-
-    return form(text)
+    return F.regexp_replace(F.lower(nfkc(text)), rf"[{WHITE}\x1C-\x1F\x85]+", "")
 
 
 def hanzi_count(text: Column) -> Column:

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
-from tessera.functions import extract
+from tessera.functions import extract, text
 
 
 def test_cards(spark):
@@ -30,3 +32,16 @@ def test_tree_and_first_matches(spark):
     rules = spark.createDataFrame([("r1", "x+"), ("r2", "y")], "rule string, pattern string")
     rows = spark.createDataFrame([(3, "xx"), (1, "ax"), (2, "y"), (0, "q")], "i int, t string")
     assert {tuple(r) for r in extract.first_matches(rules, rows, "t", ["i"]).collect()} == {("r1", 1, "ax"), ("r2", 2, "y")}
+
+
+def test_nfkc_of_every_character(spark):
+    """Each assigned character, alone and with marks, as Python's tables have it."""
+    marks = ["", "\u0301", "\u0323\u0307", "\u3099"]
+    rows = [(k, chr(k) + marks[k % 4]) for k in range(1, 0x110000) if not 0xD800 <= k < 0xE000 and unicodedata.category(chr(k)) != "Cn"]
+    got = spark.createDataFrame(rows, "k int, t string").repartition(4).select("k", text.nfkc(F.col("t")).alias("n"), text.entity_key(F.col("t")).alias("e")).collect()
+    told = dict(rows)
+    assert [r["k"] for r in got if r["n"] != unicodedata.normalize("NFKC", told[r["k"]])] == []
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKC", t).lower() if c.isalnum())
+    odd = [r["k"] for r in got if r["e"] != plain(told[r["k"]])]
+    assert len(odd) < 0.05 * len(rows) and all(k > 0x7FF for k in odd)  # characters newer than Java's tables
+    assert spark.range(1).select(text.entity_key(F.lit(None).cast("string")).alias("e"), text.coverage_text(F.lit("Ａ ①\u3000b\u0085")).alias("c")).first() == (None, "a1b")
