@@ -41,7 +41,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ASIDE = frozenset("nav aside footer menu dialog button select template svg canvas object audio video search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class and id names that say the same: whole words, and beginnings of words.
-WORDS = frozenset("ad ads adv nav menu foot share sharing social rail aside toolbar topbar promo promos promotion widget widgets pager pagination search login signin signup register form overlay toast gdpr ccpa notice notices notification notifications alert alerts banner banners respond replies reply tags tagcloud byline teaser teasers outbrain taboola copyright skip toc".split())
+WORDS = frozenset("ad ads adv nav menu foot share sharing social rail aside toolbar topbar promo promos promotion widget widgets pager pagination search login signin signup register form overlay toast gdpr ccpa notice notices notification notifications alert alerts banner banners respond replies reply tags tagcloud byline teaser teasers outbrain taboola copyright skip toc side sidecol popular trending responses reactions disclaimer privacy legal imprint menus menubar topmenu topnav sidenav mainnav subnav adbox adslot adunit adsense adwrap".split())
 BEGINNINGS = ("advert", "breadcrumb", "comment", "consent", "cookie", "disqus", "footer", "header", "masthead", "modal", "navbar", "navigation", "newsletter", "paywall", "popup", "recommend", "related", "sidebar", "sponsor", "subscri", "submenu", "feedback", "discussion")
 #: Words that make such a name harmless: it speaks of the article itself, or of what the page has.
 HARMLESS = frozenset("article entry post story content main has with no without".split())
@@ -52,6 +52,9 @@ _DIGITS = re.compile(r"\d+")
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _MARKS = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
+#: Elements whose text belongs to an article that they begin or end.
+PROSE = frozenset("p li dd dt td th pre blockquote figcaption caption".split())
+
 #: Blocks on either side that smooth a block, the share of the mean that content reaches, and the share
 #: of the content that the element holds in which all of it is sought.
 REACH, SHARE, WHOLE = 3, 0.4, 0.9
@@ -82,18 +85,18 @@ class _Element:
 
 
 class _Block:
-    __slots__ = ("at", "depth", "heading", "link", "marks", "path", "size", "text", "whole")
+    __slots__ = ("at", "depth", "heading", "link", "marks", "path", "prose", "size", "text", "whole")
 
 
-def blocks(page: str) -> tuple[list[_Block], list[int], list[tuple[int, int]]]:
-    """The blocks of a page in order, the parents of its elements, and of its paths (parent, depth).
+def blocks(page: str) -> tuple[list[_Block], list[int], list[tuple[int, int]], set[int]]:
+    """The blocks of a page in order, the parents of its elements, and of its paths (parent, depth), and the elements that frame it.
 
     Text of elements that are no part of an article is left out. A form is, unless it wraps more
     text than there is beside it; then it is the frame of the page.
     """
     out: list[_Block] = []
     formed: list[bool] = []
-    parents, paths, known = [0], [(0, 0)], {}
+    parents, paths, known, frames = [0], [(0, 0)], {}, {0}
     stack = [_Element("", None)]
     buffer: list[str] = []
     linked, standing = 0, Counter()  # of open elements by tag
@@ -107,6 +110,7 @@ def blocks(page: str) -> tuple[list[_Block], list[int], list[tuple[int, int]]]:
                 b = _Block()
                 b.text, b.size, b.marks, b.link = text, len(text), len(_MARKS.findall(text)), min(linked, len(text))
                 b.path, b.at, b.depth, b.whole, b.heading = top.path, top.at, top.depth, top.whole, top.block in HEADINGS
+                b.prose = top.block in PROSE
                 out.append(b)
                 formed.append(top.form)
             buffer.clear()
@@ -122,6 +126,8 @@ def blocks(page: str) -> tuple[list[_Block], list[int], list[tuple[int, int]]]:
                 known[label] = len(paths)
                 paths.append((e.path, paths[e.path][1] + 1))
             parents.append(e.at)
+            if tag in ("html", "body"):
+                frames.add(len(parents) - 1)
             e.path, e.at, e.depth, e.block = known[label], len(parents) - 1, e.depth + 1, tag
         e.link = e.link or tag == "a"
         e.form = e.form or tag == "form"
@@ -195,7 +201,7 @@ def blocks(page: str) -> tuple[list[_Block], list[int], list[tuple[int, int]]]:
     inside = sum(b.size for b, f in zip(out, formed) if f)
     if 2 * inside <= sum(b.size for b in out):
         out = [b for b, f in zip(out, formed) if not f]
-    return out, parents, paths
+    return out, parents, paths, frames
 
 
 def ratios(found: list[_Block], paths: list[tuple[int, int]]) -> list[float]:
@@ -239,7 +245,7 @@ def ratios(found: list[_Block], paths: list[tuple[int, int]]) -> list[float]:
 
 def main_text(page: str) -> str:
     """The article of one page; empty if there is none."""
-    found, parents, paths = blocks(page)
+    found, parents, paths, frames = blocks(page)
     fused = ratios(found, paths)
     total = sum(b.size for b in found)
     mean = sum(f * b.size for f, b in zip(fused, found)) / total if total else 0.0
@@ -281,8 +287,8 @@ def main_text(page: str) -> str:
     kept = []
     for k, b in enumerate(found):
         title = b.heading and (inside[b.at] or (parents[b.at] in above and k < first)) and k < last
-        between = inside[b.at] and first < k < last and 2 * b.link < b.size
-        if (content[k] and inside[b.at]) or title or between:
+        within = inside[b.at] and 2 * b.link < b.size and (first < k < last or (b.prose and heart not in frames))
+        if (content[k] and inside[b.at]) or title or within:
             kept.append(b.text)
     return "\n".join(kept)
 

@@ -35,6 +35,7 @@ def templates(rng: random.Random) -> list[tuple[str, str, list[str]]]:
         ("div with names", f"<body class='has-sidebar'><div class='post-content'>{body}</div><div class='sidebar'>{note}</div><div id=\"cookie-notice\">{note}</div><form>{note}<label>Mail</label></form></body>", whole),
         ("advert in text", f"<body><div class=entry><h1>{title}</h1>" + "<div class='ad-slot'>Buy it now, for less, today.</div>".join(f"<p>{H.escape(p)}</p>" for p in ps) + "</div></body>", whole),
         ("no names at all", f"<body><div>{links(rng, 12)}</div><div>{body}</div><div>{links(rng, 12)}<span>2020 Some House</span></div></body>", whole),
+        ("lists at both ends", f"<body><div>{links(rng, 9)}</div><div id=c><ul><li>in short</li></ul>{body}<ul><li>one</li><li>two</li></ul></div><div>2020 Some House</div></body>", ["in short", *whole, "one", "two"]),
         ("title beside", f"<body><div class=x><div class=y>{links(rng)}</div><h1>{title}</h1><div class=z>" + "".join(f"<p>{H.escape(p)}</p>" for p in ps) + "</div></div></body>", whole),
         ("flat body", f"<body>{links(rng, 10)}{body}</body>", whole),
         ("page in a form", f"<body><form>{body}</form></body>", whole),
