@@ -9,6 +9,7 @@ from tessera.functions import collectors, dates, extract, holders, proposals, re
 from tessera.functions import discovery as D
 from tessera.operators import discovery, people, signals
 from tessera.plans.registry import query
+from tessera.sources import tables
 from tessera.sources.tables import table
 
 AS_OF = "2024-06-30"
@@ -316,3 +317,16 @@ def profiles_by_name(spark, sf_dir):
     return people.profiles_by_name(rows, "seq", "key", "name", "legal", "alias")
 
 
+
+
+_STABLE = lambda prefix, *parts: f"'{prefix}_' || substr(sha256({' || chr(31) || '.join(f'lower(trim({p}))' for p in parts)}), 1, 20)"
+
+
+@query(f"""with r as (select 'c' || c_custkey as id, c_name as name, case when c_custkey % 4 = 0 then '' else c_mktsegment end as controller, trim(case when c_nationkey % 5 = 0 then '' else 'Exchange ' || c_nationkey end || case when c_custkey % 3 = 0 then ' 00' || c_custkey else '' end) as listing, case when c_custkey % 7 = 0 then '' else 'Person ' || c_nationkey end as representative from customer where c_custkey % 10 > 0),
+ p as (select *, case when representative <> '' then {_STABLE("person", "id", "representative")} end as person_id from r) select *, case when person_id is not null then {_STABLE("position", "id", "person_id", "'法定代表人'")} end as position_id from p""")
+def registered_companies(spark, sf_dir):
+    """What a registry says of the companies that it holds: nine in ten of the customers."""
+    c = table(spark, sf_dir, "customer")
+    text = lambda e: F.expr(e)
+    rows = c.filter("c_custkey % 10 > 0").select(F.col("c_name").alias("企业名称"), text("case when c_custkey % 4 = 0 then null else c_mktsegment end").alias("实际控制人"), text("case when c_custkey % 7 = 0 then null else concat('Person ', cast(c_nationkey as string)) end").alias("法定代表人"), text("case when c_nationkey % 5 = 0 then '' else concat('Exchange ', cast(c_nationkey as string)) end").alias("上市地"), text("case when c_custkey % 3 = 0 then concat('00', cast(c_custkey as string)) end").alias("股票代码"))
+    return tables.registered(rows, c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name")))

@@ -9,7 +9,7 @@ from tessera.functions import dates, gates, text, urls
 from tessera.functions import queries as asks
 from tessera.operators import evidence, signals
 from tessera.plans.registry import query
-from tessera.sources.tables import looks_like_pdf, paged, table
+from tessera.sources.tables import looks_like_pdf, paged, search_hits, table
 
 AS_OF = "2024-06-30"
 _W = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -404,3 +404,15 @@ def paged_text(spark, sf_dir):
     """Pages split at form feeds; a printed number counts, else the place."""
     rows = table(spark, sf_dir, "pages").select("page_id", F.explode(paged(F.expr(_PAGED))).alias("p"))
     return rows.select("page_id", F.col("p.page_no").cast("long").alias("page_no"), "p.text")
+
+
+#: Answers of a search as their files hold them: results on the web, one that is not, one without an address.
+_ANSWER = "concat('{\"query\": \"q', cast(page_id % 7 as string), '\", \"results\": [{\"title\": \"T ', cast(page_id as string), '\", \"url\": \"', url, '\", \"snippet\": \"s\"}, {\"title\": \"x\", \"url\": \"ftp://a/', cast(page_id as string), '\"}', case when page_id % 3 = 0 then ', {\"title\": \"no address\", \"url\": null}, {\"url\": \"http://b.example.org/\", \"publishedAt\": \"2024-01-01\"}' else '' end, ']}')"
+
+
+@query(f"""with r as (select page_id, unnest(cast(json_extract({_ANSWER}, '$.results') as json[])) as r from pages)
+ select page_id, r ->> '$.title' as title, r ->> '$.url' as url, r ->> '$.snippet' as snippet, r ->> '$.publishedAt' as published from r where regexp_matches(r ->> '$.url', '^https?://')""")
+def search_answers(spark, sf_dir):
+    """The results on the web of search answers."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(search_hits(F.expr(_ANSWER))).alias("r"))
+    return rows.select("page_id", "r.title", "r.url", "r.snippet", F.col("r.publishedAt").alias("published"))

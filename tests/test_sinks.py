@@ -8,8 +8,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import changes
-from tessera.sources import tables, versions
+from tessera.functions import holders
+from tessera.operators import changes, dossier, evidence, research
+from tessera.sources import pages, tables, versions
 from tessera.streaming import ingest
 
 
@@ -101,3 +102,21 @@ def test_diffs_read_what_differs(spark, tmp_path):
     plan = changes.kept_rows(spark, paths[0], differ)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^]]*bucket_", plan) and changes.kept_rows(spark, paths[0]).count() == 400
     assert changes.kept_diff(spark, paths[0], paths[0], ["k"], names).count() == 0
+
+
+def test_what_no_query_reaches(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 2, 1), ("a", 2, 1), ("c", 3, 0), ("d", 2, 4)], "org string, heat int, checked int")
+    assert [r["org"] for r in evidence.ordered_rows(rows).collect()] == ["c", "d", "a", "b"]
+    old, new = rows.limit(1), rows
+    assert research.import_if_new(old, new, "v1", "v1") is old and research.import_if_new(old, new, "v1", "v2") is new and research.import_if_new(old, new, None, "v1") is new
+    times = spark.createDataFrame([(" 2026-01-02 10:00:00",), ("x 2026-01-02",), (None,)], "t string")
+    assert [r["p"] for r in times.select(holders.period_of(F.col("t")).alias("p")).collect()] == ["2026-01-02", "", ""]
+    found = spark.createDataFrame([("o1", ["s1", "s2"], ["s2", "s3"], 7), ("o2", [], [], None)], "id string, step_sources array<string>, system_sources array<string>, system_id int")
+    facts = dossier.opportunity_facts(found).collect()
+    assert len(facts) == 3 * (len(dossier.OPPORTUNITY_FIELDS) + 1) and len({r["id"] for r in facts}) == len(facts)
+    assert {r["source_id"] for r in facts if r["field"] == "system_in_use:7"} == {"s1", "s2", "s3"}
+    assert [(r["org"], r["heat"]) for r in dossier.latest_by_rank(rows, "heat", F.desc("checked"), F.col("org")).orderBy("heat").collect()] == [("d", 2), ("c", 3)]
+    page = spark.createDataFrame([("k", "<p>\n</p>")], "key string, html string")
+    pages.write_pages(page, str(tmp_path / "p"))
+    pages.write_pages(page, str(tmp_path / "p"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "p")).collect()] == [("k", "<p>\n</p>")]
