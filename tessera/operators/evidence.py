@@ -13,12 +13,14 @@ from tessera.functions.text import MATERIAL_LIMIT, normalize_corpus, scale_numbe
 def with_ranges(rows: DataFrame, name: str, *order: str, ranges: int | None = None) -> DataFrame:
     """rows with `name`, the number of the range of the columns' order that a row falls into.
 
-    Ranges hold about equally many rows. The bounds come from the 20 rows for each range whose order
-    has the least hashes: a bounded sample that needs no count. Rows of equal order share a range.
+    Ranges hold about equally many rows. The bounds come from a sample of 20 rows or so for each
+    range, those whose order has small hashes: the same ones however often Spark looks for them,
+    and all that moves. Rows of equal order share a range.
     """
     order = tuple(dict.fromkeys(order))
     ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sample = rows.select(*order).distinct().orderBy(F.xxhash64(*order)).limit(20 * ranges)
+    total, steps = rows.agg(F.count("*").alias("n")), 1 << 40
+    sample = rows.select(*order).filter(F.pmod(F.xxhash64(*order), F.lit(steps)).cast("double") * total.scalar() < float(20 * ranges * steps)).distinct()
     bounds = sample.agg(F.array_sort(F.collect_list(F.struct(*order))).alias("k")).select(F.filter("k", lambda _, i: i % 20 == 19))
     own = rows.withColumn("bounds_", bounds.scalar())
     return own.withColumn(name, F.size(F.filter("bounds_", lambda b: b <= F.struct(*order)))).drop("bounds_")
