@@ -290,7 +290,7 @@ def company_recall(spark, sf_dir):
 #: Parts as companies of an index, with two names and a text each; suppliers ask by a name and three clues, of which some hold rare and some common tokens only.
 _HELD_NAMES = ("concat('星河', cast(p_partkey % 600 as string), '科技')", "concat('公司 ', p_name)")
 _HELD_TEXT = "concat(p_type, ' ', p_brand, case p_size % 3 when 0 then ' 工业软件与大模型' when 1 then ' 园区' else ' 智能制造基地' end, cast(p_partkey % 90 as string), '号楼')"
-_ASK_NAME = "case s_suppkey % 4 when 0 then '科技' when 1 then concat('星河', cast(s_suppkey % 700 as string), '科技有限') when 2 then concat('part ', cast(s_suppkey as string)) else '' end"
+_ASK_NAME = "case when s_suppkey % 20 = 0 then '科技' else case s_suppkey % 4 when 0 then concat('星海', cast(s_suppkey as string)) when 1 then concat('星河', cast(s_suppkey % 700 as string), '科技有限') when 2 then concat('part ', cast(s_suppkey as string)) else '' end end"
 _ASKED = (("business", "case s_suppkey % 3 when 0 then '工业软件' when 1 then '芯片设计' else concat('大模型 x', cast(s_suppkey as string)) end"), ("address", "concat('园区', cast(s_suppkey % 120 as string), '号楼')"), ("people", "concat('来自', s_name)"))
 _SQL_TOKENS = lambda x: rf"list_distinct(list_concat(list_filter((select case when length(v) >= 2 then list_transform(range(1, length(v)), lambda i: substr(v, i, 2)) when length(v) = 1 then [v] else [] end from (select lower(regexp_replace({x}, '[\s，。！？、：；\x{{22}}''（）()【】《》…—\-_/\\|,.]', '', 'g')) as v)), lambda g: g not in ({', '.join(repr(w) for w in resolver.STOPS)})), regexp_extract_all(lower({x}), '[a-z0-9]{{2,}}')))"
 _SQL_GRAMS = lambda x: rf"(select case when length(v) < 2 then [] else list_distinct(list_transform(range(1, length(v)), lambda i: substr(v, i, 2))) end from (select lower(regexp_replace({x}, '[\s　（）()【】《》「」、，。！？\-_]', '', 'g')) as v))"
