@@ -450,7 +450,8 @@ def removed(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: in
     often = np.unique(np.concatenate(often)) if often else np.zeros(0, np.uint64)
     shared = marks.filter("kind = 1").agg(F.sum(F.octet_length("a"))).first()[0] or 0
     shards = max(n, int(shared / 8 * 1.4 * length / SHARD))
-    maybe = K.sieve(marks.filter("kind = 1").mapInArrow(_ids, "doc_id long").distinct(), "doc_id")
+    ids = marks.filter("kind = 1").select("b").mapInArrow(_marked(n), "bucket int, b binary").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_ids, "doc_id long")
+    maybe = K.sieve(K.stored(spark, ids, "marked"), "doc_id")
     texts = table.filter(maybe("doc_id")).select(spread(F.col("doc_id"), n).alias("bucket"), F.lit(0).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"))
     both = marks.filter("kind = 1").select("bucket", "kind", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "a", "b").union(texts)
     pieces = both.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("kind").desc()).mapInArrow(_pieces(length, gram, shards, often, n), _ROW)
@@ -477,10 +478,43 @@ def _whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), K.binaries(np.zeros_like(n), at), K.binaries(n, at)], names=["doc_id", "begins", "ends"])
 
 
+def _marked(docs_buckets: int):
+    """The documents of marks, once each: a row for each task (for RUNS marks of it at least) and documents' bucket."""
+
+    def out(held: list[np.ndarray]) -> pa.RecordBatch:
+        doc = np.unique(np.concatenate([np.zeros(0, np.int64), *held]))
+        bucket = spread(doc, docs_buckets)
+        order = np.argsort(bucket, kind="stable")
+        doc, bucket = doc[order], bucket[order]
+        cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(doc) else np.zeros(1, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int32)), K.binaries(doc, cut)], names=["bucket", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for b in batch.column("b").to_pylist():
+                held.append(np.frombuffer(b, np.int64))
+                size += len(held[-1])
+                if size >= RUNS:
+                    yield out(held)
+                    held, size = [], 0
+        yield out(held)
+
+    return run
+
+
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows of _marked sorted by bucket: a row for each document, as a document has one bucket."""
+    now, held = None, []
     for batch in batches:
-        for b in batch.column("b").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(b, np.int64)))], names=["doc_id"])
+        for bucket, b in zip(batch.column("bucket").to_pylist(), batch.column("b").to_pylist()):
+            if bucket != now and held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], names=["doc_id"])
+                held = []
+            now = bucket
+            held.append(np.frombuffer(b, np.int64))
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], names=["doc_id"])
 
 
 def merged(begins: bytes, ends: bytes, n: int) -> list[tuple[int, int]]:
