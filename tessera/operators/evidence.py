@@ -186,17 +186,17 @@ def valid_links(links: DataFrame, nodes: DataFrame, src: str = "source", dst: st
     return links.join(ids.withColumnRenamed(key, src), src, "left_semi").join(ids.withColumnRenamed(key, dst), dst, "left_semi")
 
 
-def hubs(nodes: DataFrame, links: DataFrame, least: int = 2, top: int = 8) -> DataFrame:
+def hubs(nodes: DataFrame, links: DataFrame, least: int = 2, top: int = 8, kind: str | None = None) -> DataFrame:
     """(hub, degree, companies): the `top` best connected nodes that are no companies, with the companies they tie together.
 
     nodes: (id, type), ids once each, links: (source, target). Degrees count links between known
-    nodes. Links meet the types of their ends once; a hub's distinct partners are counted before
+    nodes; hubs are of one type alone if it is given (`kind`). Links meet the types of their ends once; a hub's distinct partners are counted before
     its degree is, and looked at again for the best ones only.
     """
     end = lambda side: nodes.select(F.col("id").alias(side), F.col("type").alias(f"{side}_type"))
     own = links.join(end("source"), "source").join(end("target"), "target")
     both = F.array(F.struct(F.col("source").alias("hub"), F.col("source_type").alias("type"), F.col("target").alias("other"), (F.col("target_type") == "company").alias("company")), F.struct(F.col("target").alias("hub"), F.col("target_type").alias("type"), F.col("source").alias("other"), (F.col("source_type") == "company").alias("company")))
-    near = own.select(F.explode(both).alias("e")).select("e.*").filter("type <> 'company'").groupBy("hub", "other", "company").agg(F.count("*").alias("n"))
+    near = own.select(F.explode(both).alias("e")).select("e.*").filter((F.col("type") != "company") if kind is None else (F.col("type") == kind)).groupBy("hub", "other", "company").agg(F.count("*").alias("n"))
     checkpoint_dir(nodes.sparkSession)
     near = near.checkpoint()
     best = near.groupBy("hub").agg(F.sum("n").alias("degree")).filter(F.col("degree") >= least).orderBy(F.desc("degree"), "hub").limit(top)
