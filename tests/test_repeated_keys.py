@@ -95,3 +95,16 @@ def test_recall_of_one_large_group(spark):
     assert resolver._profiles(i, 8).selectExpr("size(ids)").collect() == [(8,)]
     rows = resolver.recall(a, i).collect()
     assert len(rows) == 16000 and {r["id"] for r in rows} == set(range(8)) and {r["score"] for r in rows} == {0.98}
+
+
+def test_recalled_companies_of_a_longer_index(spark, tmp_path, monkeypatch):
+    """Every list is longer than the 200 that the query first looked at, companies have the same names and text as others, their ids settle ties; no pair of ask and company is a row."""
+    from tessera.functions import resolver
+
+    seen, scored = [], resolver._scored
+    monkeypatch.setattr(resolver, "_scored", lambda pairs, *more: seen.append(pairs.count()) or scored(pairs, *more))
+    part = "select k as p_partkey, ['red bolt', 'hot ring', 'part 7'][k % 3 + 1] as p_name, 'Brand#' || (k % 2 + 11) as p_brand, 'PROMO' as p_type, cast(k % 5 as int) as p_size from (select unnest(range(0, 3600)) as k)"
+    supplier = "select k as s_suppkey, 'Supplier#' || lpad(cast(k as varchar), 9, '0') as s_name from (select unnest(range(0, 60)) as k)"
+    got, want = both(spark, tmp_path, "recalled_companies", part=part, supplier=supplier)
+    assert got == want and len(got) > 400
+    assert sum(seen) < 60 * 3600 / 10
