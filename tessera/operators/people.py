@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.evidence import checkpoint_dir
+
 # Chinese characters, and those after which a name of two characters has ended.
 HANZI = r"\x{4E00}-\x{9FA5}"
 PARTICLES = "在是的和与对给由从把被为向就也都还将已曾说表示主导负责分管兼任出任担任牵头拍"
-#: Bytes of names that an automaton holds; a larger dictionary goes out in blocks, one pass over the texts each.
+#: Bytes of names that an automaton holds; the names of a larger dictionary are joined.
 DICTIONARY = 1 << 20
+#: Beginnings of names that a task knows.
+PREFIXES = 1 << 17
 
 
 def norm(text: Column) -> Column:
@@ -39,55 +44,107 @@ def stands_alone(text: Column, name: Column) -> Column:
 def alias_hits(texts: DataFrame, names: DataFrame, block: int = DICTIONARY) -> DataFrame:
     """(signal, alias): each of the names (alias, distinct) that stands alone in a text of (signal, text), once a text.
 
-    The names are an Aho-Corasick automaton: a text is read once, whatever their number, and rows
-    come of matches only. Names go to the tasks in blocks of about `block` bytes, dealt by hash;
-    texts do not move. Boundaries are looked at once for each place where a name ends.
+    Up to `block` bytes of names are an Aho-Corasick automaton: a text is read once, whatever their
+    number, rows come of matches only, and texts do not move. Boundaries are looked at once for each
+    place where a name ends. More names than that meet what may be one of them (_spelt()).
     """
     told = names.select("alias").filter("alias <> ''")
-    blocks = -(-(told.agg(F.sum(F.octet_length("alias"))).first()[0] or 0) // block)
+    if _octets(told) > block:
+        return _spelt(texts.select("signal", "text"), told).join(told.hint("shuffle_hash"), "alias").select("signal", "alias")
     schema = texts.select("signal", F.lit("").alias("alias")).schema
-
-    def within(words: list[str]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            known = ahocorasick.Automaton()
-            for w in words:
-                known.add_word(w, w)
-            known.make_automaton()
-            hanzi = lambda c: "\u4e00" <= c <= "\u9fa5"
-            for batch in batches:
-                rows, found = [], []
-                for k, text in enumerate(batch.column(1).to_pylist()):
-                    seen = set()
-                    for last, w in known.iter(text) if text else ():
-                        first, after = last + 1 - len(w), last + 1
-                        if w in seen or (first and hanzi(text[first - 1])):
-                            continue
-                        if len(w) > 2 or after == len(text) or not hanzi(text[after]) or text[after] in PARTICLES:
-                            seen.add(w)
-                            rows.append(k)
-                            found.append(w)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=["signal", "alias"])
-
-        return run
-
-    out = None
-    for b in range(blocks):
-        words = [r["alias"] for r in told.filter(F.pmod(F.xxhash64("alias"), F.lit(blocks)) == b).collect()]  # `block` bytes or so
-        part = texts.select("signal", "text").mapInArrow(within(words), schema) if words else None
-        out = part if out is None or part is None else out.union(part)
-    return out if out is not None else texts.sparkSession.createDataFrame([], schema)
-
-
-def mentioned_names(signals: DataFrame, people: DataFrame, signal: str, text: str, name: str, block: int = DICTIONARY) -> DataFrame:
+    words = [r["alias"] for r in told.collect()]  # `block` bytes at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        known = ahocorasick.Automaton()
+        for w in words:
+            known.add_word(w, w)
+        known.make_automaton()
+        hanzi = lambda c: "\u4e00" <= c <= "\u9fa5"
+        for batch in batches:
+            rows, found = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                seen = set()
+                for last, w in known.iter(text) if text else ():
+                    first, after = last + 1 - len(w), last + 1
+                    if w in seen or (first and hanzi(text[first - 1])):
+                        continue
+                    if len(w) > 2 or after == len(text) or not hanzi(text[after]) or text[after] in PARTICLES:
+                        seen.add(w)
+                        rows.append(k)
+                        found.append(w)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=["signal", "alias"])
+
+    return texts.select("signal", "text").mapInArrow(run, schema) if words else texts.sparkSession.createDataFrame([], schema)
+
+
+def _octets(names: DataFrame) -> int:
+    return names.agg(F.sum(F.octet_length("alias"))).first()[0] or 0
+
+
+def _spelt(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """texts, `alias` in place of `text`: what stands alone in a text, begins like one of the names (alias) and is as long as one that does; each once a text.
+
+    Rows grow with the texts and the lengths of names, whatever their number: a join on alias says
+    which ones are names. Beginnings are of up to four characters, as many as leave PREFIXES or so.
+    """
+    counts = names.agg(*(F.approx_count_distinct(F.substring("alias", 1, q)) for q in (1, 2, 3, 4))).first()
+    size = max(q for q in (1, 2, 3, 4) if q == 1 or counts[q - 1] <= PREFIXES)
+    lengths = names.select(F.substring("alias", 1, size).alias("k"), F.length("alias").alias("n")).groupBy("k").agg(F.array_sort(F.collect_set("n")).alias("n"))
+    known = {r["k"]: tuple(r["n"]) for r in lengths.collect()}  # beginnings, or whole names that are shorter
+    first, hanzi, particles = "".join(re.escape(c) for c in sorted({k[0] for k in known})), "一-龥", PARTICLES
+    kept = [c for c in texts.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins = re.compile(f"(?<![{hanzi}])[{first}]").finditer
+        ends = re.compile(f"(?![{hanzi}])|(?=[{particles}])").match
+        sizes = range(1, size + 1)
+
+        def out(batch: pa.RecordBatch, rows: list[int], found: list[str]) -> pa.RecordBatch:
+            at = pa.array(rows, pa.int64())
+            return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in kept), pa.array(found, pa.string())], names=[*kept, "alias"])
+
+        for batch in batches:
+            rows, found = [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                seen = set()
+                for m in begins(text) if text else ():
+                    i = m.start()
+                    room = len(text) - i
+                    for q in sizes:
+                        for n in known.get(text[i : i + q], ()) if q <= room else ():
+                            if n <= room and (n > 2 or ends(text, i + n)):
+                                seen.add(text[i : i + n])
+                rows += [k] * len(seen)
+                found += seen
+                if len(found) > 1 << 17:
+                    yield out(batch, rows, found)
+                    rows, found = [], []
+            yield out(batch, rows, found)
+
+    return texts.mapInArrow(run, texts.select(*kept, F.lit("").alias("alias")).schema) if known else texts.select(*kept, F.lit("").alias("alias")).filter("false")
+
+
+def mentioned_names(signals: DataFrame, people: DataFrame, signal: str, text: str, name: str, block: int = DICTIONARY, carry: tuple[str, ...] = ()) -> DataFrame:
     """(signal, name): the distinct names of people under any of whose aliases a text mentions somebody.
 
     People who share a name are mentioned together: count by name first, and join people after that.
+    With `carry` also these columns of the signals, a row for each row of the signal. Of more than
+    `block` bytes of names, those with one alias need not be made distinct where each signal is one
+    row; they come by alias, so that counts by name move little.
     """
-    names = people.select(F.col(name).alias("name")).distinct().select("name", F.explode(F.array_distinct(aliases(F.col("name")))).alias("alias"))
-    hits = alias_hits(signals.select(F.col(signal).alias("signal"), F.col(text).alias("text")), names.select("alias").distinct(), block)
-    return hits.join(names, "alias").select("signal", "name").distinct()
+    spelt = people.select(F.col(name).alias("name")).distinct().select("name", F.array_distinct(aliases(F.col("name"))).alias("a"))
+    checkpoint_dir(people.sparkSession)
+    names = spelt.select("name", (F.size("a") > 1).alias("many"), F.explode("a").alias("alias")).checkpoint()  # read several times
+    texts = signals.select(F.col(signal).alias("signal"), F.col(text).alias("text"), *carry)
+    if _octets(names) > block and texts.groupBy("signal").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        met = _spelt(texts, names).join(names.hint("shuffle_hash"), "alias")
+        one, more = (met.filter(c).select("signal", "name", *carry) for c in (~F.col("many"), F.col("many")))
+        return one.union(more.distinct())
+    hits = alias_hits(texts.select("signal", "text"), names.select("alias").distinct(), block)
+    found = hits.join(names, "alias").select("signal", "name").distinct()
+    return found.join(texts.drop("text"), "signal") if carry else found
 
 
 def mentions(signals: DataFrame, people: DataFrame, signal: str, text: str, person: str, name: str) -> DataFrame:
@@ -102,13 +159,13 @@ def mention_counts(people: DataFrame, found: DataFrame, person: str, name: str)
     return people.select(F.col(person).alias("person"), F.col(name).alias("name")).join(n, "name").select("person", "n", "signals")
 
 
-def entry_points(people: DataFrame, found: DataFrame, signals: DataFrame, person: str, name: str, path: str) -> DataFrame:
+def entry_points(people: DataFrame, found: DataFrame, signals: DataFrame | None, person: str, name: str, path: str) -> DataFrame:
     """(person, name, signed, open, has_path, priority, place) of people: whom to talk to first.
 
-    found: mentioned_names(); signals: (signal, executable). 10 for each signed judgement, 4 for a
+    found: mentioned_names(); signals: (signal, executable), or None if found carries executable. 10 for each signed judgement, 4 for a
     path of our own, 1 for each open one, 5 at most; ties by name.
     """
-    n = found.join(signals, "signal").groupBy("name").agg(F.count_if("executable").alias("signed"), F.count_if(~F.col("executable")).alias("open"))
+    n = (found if signals is None else found.join(signals, "signal")).groupBy("name").agg(F.count_if("executable").alias("signed"), F.count_if(~F.col("executable")).alias("open"))
     rows = people.select(F.col(person).alias("person"), F.col(name).alias("name"), (F.trim(F.coalesce(path, F.lit(""))) != "").alias("has_path"))
     rows = rows.join(n, "name", "left").na.fill(0, ["signed", "open"])
     rows = rows.withColumn("priority", F.col("signed") * 10 + F.col("has_path").cast("int") * 4 + F.least("open", F.lit(5)))
@@ -120,14 +177,17 @@ def employed_by(people: DataFrame, employer: str, target: str) -> DataFrame:
     return people.filter(norm(F.col(employer)) == target.strip().lower()) if target.strip() else people
 
 
-def orgs_of_people(people: DataFrame, found: DataFrame, edges: DataFrame, person: str, name: str, employer: str) -> DataFrame:
+def orgs_of_people(people: DataFrame, found: DataFrame, edges: DataFrame | None, person: str, name: str, employer: str) -> DataFrame:
     """(person, org, best_gate, signals): the organisations of the signals that mention a person, and the employer as told (gate 0).
 
-    found: mentioned_names(); edges: (signal, from_node, to_node, gate). Signals are counted by name
-    before people come in. The person's own names are none of them.
+    found: mentioned_names(); edges: (signal, from_node, to_node, gate), or None if found carries
+    these of one edge a signal. Signals are counted by name, first by both ends, before people come
+    in. The person's own names are none of them.
     """
-    ends = edges.select("signal", "gate", F.explode(F.array("from_node", "to_node")).alias("org"))
-    by_name = found.join(ends, "signal").select("name", F.trim("org").alias("org"), "gate").filter("org <> ''").groupBy("name", "org").agg(F.max("gate").alias("gate"), F.count("*").alias("signals"))
+    met = found if edges is None else found.join(edges, "signal")
+    met = met.groupBy("name", "from_node", "to_node").agg(F.max("gate").alias("gate"), F.count("*").alias("n"))
+    ends = met.select("name", F.explode(F.array("from_node", "to_node")).alias("org"), "gate", "n").select("name", F.trim("org").alias("org"), "gate", "n").filter("org <> ''")
+    by_name = ends.groupBy("name", "org").agg(F.max("gate").alias("gate"), F.sum("n").alias("signals"))
     who = people.select(F.col(person).alias("person"), F.col(name).alias("name"), F.trim(employer).alias("org"))
     told = who.filter("org <> ''").select("person", "name", "org", F.lit(0).alias("gate"), F.lit(0).cast("long").alias("signals"))
     rows = who.drop("org").join(by_name, "name").select("person", "name", "org", "gate", "signals").union(told)

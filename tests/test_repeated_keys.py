@@ -108,3 +108,45 @@ def test_recalled_companies_of_a_longer_index(spark, tmp_path, monkeypatch):
     got, want = both(spark, tmp_path, "recalled_companies", part=part, supplier=supplier)
     assert got == want and len(got) > 400
     assert sum(seen) < 60 * 3600 / 10
+
+
+@pytest.mark.parametrize("prefixes,twice", [(1 << 17, False), (20, False), (1, False), (1 << 17, True)])
+def test_names_of_a_large_dictionary(spark, monkeypatch, prefixes, twice):
+    """Names that an automaton doesn't hold, of one and of several aliases, against a plain loop: texts are read a fixed number of times."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tessera.operators import people
+
+    monkeypatch.setattr(people, "PREFIXES", prefixes)
+    rng = random.Random(prefixes)
+    word = lambda a, b: "".join(rng.choice("李全德A]^-\\.") for _ in range(rng.randint(a, b)))
+    names = sorted({word(2, 6) + rng.choice(["", "", f"（{word(2, 3)}）({word(2, 7)})"]) for _ in range(300)})
+    texts = [(k // 2 if twice else k, "".join(rng.choice("李全德A]^-\\. 在说,") for _ in range(rng.randint(0, 20))), rng.choice("xy")) for k in range(400)] + [(900, None, "x"), (901, "", "x")]
+    alias = {n: [a for a in (re.sub(r"[（(][^）)]*[）)]", "", n).strip(), *re.findall(r"[（(]([^）)]+)[）)]", n)) if len(a.strip()) >= 2] for n in names}
+    hanzi = "[一-龥]"
+    alone = lambda a, t: bool(t) and re.search(f"(?<!{hanzi}){re.escape(a)}" + (f"(?:(?!{hanzi})|(?=[{people.PARTICLES}]))" if len(a) <= 2 else ""), t)
+    want = {(s, n) for s, t, _ in texts for n in names if any(alone(a.strip(), t) for a in alias[n])}
+    df = spark.createDataFrame(texts, "s long, t string, c string").repartition(3)
+    who = spark.createDataFrame([(n,) for n in [*names, names[0]]] + [(None,)], "n string")
+    found = people.mentioned_names(df, who, "s", "t", "n", block=40, carry=("c",))
+    rows = [tuple(r) for r in found.select("signal", "name", "c").collect()]
+    assert sorted(rows) == sorted((s, n, c) for s, n in want for k, _, c in texts if k == s) and len(want) > 300
+    assert {tuple(r) for r in people.mentioned_names(df, who, "s", "t", "n", block=40).collect()} == want
+    assert {tuple(r) for r in people.mentioned_names(df, who, "s", "t", "n").collect()} == want
+    hits = people.alias_hits(df.select(F.col("s").alias("signal"), F.col("t").alias("text")), who.select(F.col("n").alias("alias")).distinct(), 40)
+    assert hits._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("name", ["people_mentions", "entry_points", "people_orgs"])
+def test_people_beyond_an_automaton(spark, tmp_path, monkeypatch, name):
+    """The queries' SQL with names in more bytes than an automaton holds."""
+    from tessera.operators import people
+
+    monkeypatch.setattr(people.mentioned_names, "__defaults__", (100, ()))
+    customer = "select k as c_custkey, ['BUILDING', 'FURNITURE'][k % 2 + 1] as c_mktsegment, cast(k % 7 - 3 as double) as c_acctbal from (select unnest(range(0, 400)) as k)"
+    orders = "select k as o_orderkey, k * 7 % 450 as o_custkey, ['F', 'O', 'P'][k % 3 + 1] as o_orderstatus, (k % 5) || '-LOW' as o_orderpriority from (select unnest(range(0, 1500)) as k)"
+    got, want = both(spark, tmp_path, name, customer=customer, orders=orders)
+    assert got == want and len(got) > 100
