@@ -181,17 +181,16 @@ def orgs_of_people(people: DataFrame, found: DataFrame, edges: DataFrame | None,
     """(person, org, best_gate, signals): the organisations of the signals that mention a person, and the employer as told (gate 0).
 
     found: mentioned_names(); edges: (signal, from_node, to_node, gate), or None if found carries
-    these of one edge a signal. Signals are counted by name, first by both ends, before people come
-    in. The person's own names are none of them.
+    these of one edge a signal: then they come by name, and counts move little. Signals are counted
+    by name before people come in. The person's own names are none of them.
     """
     met = found if edges is None else found.join(edges, "signal")
-    met = met.groupBy("name", "from_node", "to_node").agg(F.max("gate").alias("gate"), F.count("*").alias("n"))
-    ends = met.select("name", F.explode(F.array("from_node", "to_node")).alias("org"), "gate", "n").select("name", F.trim("org").alias("org"), "gate", "n").filter("org <> ''")
-    by_name = ends.groupBy("name", "org").agg(F.max("gate").alias("gate"), F.sum("n").alias("signals"))
-    who = people.select(F.col(person).alias("person"), F.col(name).alias("name"), F.trim(employer).alias("org"))
-    told = who.filter("org <> ''").select("person", "name", "org", F.lit(0).alias("gate"), F.lit(0).cast("long").alias("signals"))
-    rows = who.drop("org").join(by_name, "name").select("person", "name", "org", "gate", "signals").union(told)
-    rows = rows.filter(~F.exists(aliases(F.col("name")), lambda a: norm(a) == norm(F.col("org"))))
+    ends = met.select("name", "gate", F.explode(F.array("from_node", "to_node")).alias("org"))
+    by_name = ends.select("name", F.trim("org").alias("org"), "gate").filter("org <> ''").groupBy("name", "org").agg(F.max("gate").alias("gate"), F.count("*").alias("signals"))
+    who = people.select(F.col(person).alias("person"), F.col(name).alias("name"), F.trim(employer).alias("org"), F.transform(aliases(F.col(name)), norm).alias("own"))
+    told = who.filter("org <> ''").select("person", "own", "org", F.lit(0).alias("gate"), F.lit(0).cast("long").alias("signals"))
+    rows = who.drop("org").join(by_name, "name").select("person", "own", "org", "gate", "signals").union(told)
+    rows = rows.filter(~F.array_contains("own", norm(F.col("org"))))
     return rows.groupBy("person", "org").agg(F.max("gate").alias("best_gate"), F.sum("signals").alias("signals"))
 
 
